@@ -36,8 +36,8 @@ OP4 = f"""
 WITH RECURSIVE t AS (SELECT text, row_number() OVER () AS id, {_words("text")} AS ws FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
 g AS (SELECT DISTINCT id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM t WHERE len(ws) > 0)),
 z AS (SELECT id, count(*) AS n FROM g GROUP BY id),
-e AS (SELECT a, b FROM (SELECT x.id AS a, y.id AS b, count(*) AS both FROM g x JOIN g y ON x.s = y.s AND x.id < y.id GROUP BY x.id, y.id)
-      JOIN z za ON za.id = a JOIN z zb ON zb.id = b WHERE both >= 0.8 * (za.n + zb.n - both) - 1e-9),
+e AS (SELECT a, b FROM (SELECT x.id AS a, y.id AS b, count(*) AS n FROM g x JOIN g y ON x.s = y.s AND x.id < y.id GROUP BY x.id, y.id) x
+      JOIN z za ON za.id = a JOIN z zb ON zb.id = b WHERE x.n >= 0.8 * (za.n + zb.n - x.n) - 1e-9),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 c(id, other) AS (SELECT id, id FROM t UNION SELECT c.id, u.b FROM c JOIN u ON u.a = c.other),
 l AS (SELECT id, min(other) AS label FROM c GROUP BY id),
@@ -63,15 +63,22 @@ SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::
 FROM d LEFT JOIN s USING (r)
 """
 
-OP7 = """
-WITH RECURSIVE crc AS (
-  SELECT list(c ORDER BY i) AS t FROM (
-    SELECT i, list_reduce(range(8), (a, k) -> CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS c FROM range(256) x(i))),
-d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 0) AS key, coalesce(text, '') AS text FROM documents),
+def _crc_table() -> str:
+    """Eight hex digits for each byte: its remainder by the CRC-32 polynomial."""
+    rows = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        rows.append(f"{byte:08x}")
+    return "".join(rows)
+
+
+OP7 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 0) AS key, coalesce(text, '') AS text FROM documents),
 s AS (SELECT r, doc_id, key, strlen(text)::BIGINT + 1 AS size,
-             xor(list_reduce(list_transform(range(1, strlen(text) + 1), k -> ('0x' || hx[2 * k - 1:2 * k])::BIGINT),
-                 (a, b) -> xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)::BIGINT AS text_crc32
-      FROM (SELECT r, doc_id, key, text, hex(encode(text)) AS hx FROM d), crc),
+             xor(list_reduce(list_transform(range(1, strlen(text) + 1), lambda k: ('0x' || hx[2 * k - 1:2 * k])::BIGINT),
+                 lambda a, b: xor(a >> 8, ('0x' || substr('{_crc_table()}', (8 * (xor(a, b) & 255) + 1)::INTEGER, 8))::BIGINT), 4294967295), 4294967295)::BIGINT AS text_crc32
+      FROM (SELECT r, doc_id, key, text, hex(encode(text)) AS hx FROM d)),
 j(r, n, state, b, jump) AS (
   SELECT r, n, key::UBIGINT::UHUGEINT, -1::BIGINT, 0::BIGINT FROM d, (VALUES (8), (9)) v(n)
   UNION ALL
@@ -84,19 +91,19 @@ FROM k
 """
 
 _SPLIT = r"regexp_split_to_array({}, '[\x20\x09-\x0D]+')"
-_LINE_WORDS = f"list_filter({_SPLIT.format('line')}, w -> w <> '')"
+_LINE_WORDS = f"list_filter({_SPLIT.format('line')}, lambda w: w <> '')"
 _VISIBLE = f"length(translate({{}}, {BLANKS}, ''))"
 
 OP8 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT r, doc_id, text, list_filter({_SPLIT.format("text")}, w -> w <> '') AS ws,
-             list_filter(string_split(text, chr(10)), x -> translate(x, {BLANKS}, '') <> '') AS ls FROM d),
+w AS (SELECT r, doc_id, text, list_filter({_SPLIT.format("text")}, lambda w: w <> '') AS ws,
+             list_filter(string_split(text, chr(10)), lambda x: translate(x, {BLANKS}, '') <> '') AS ls FROM d),
 g AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 m AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT g.r, unnest(range(g.i, g.i + 5)) AS k FROM g JOIN (SELECT r, s FROM g GROUP BY r, s HAVING count(*) > 1) x USING (r, s)) GROUP BY r),
 l AS (SELECT r, line, {_LINE_WORDS} AS lw, regexp_matches(line, {_quoted(quality._SENTENCE_END)}) AS ends FROM (SELECT r, unnest(ls) AS line FROM w)),
-f AS (SELECT r, line, len(lw) AS n, ends, len(list_filter(lw, x -> regexp_matches(x, {_quoted(quality._SEPARATOR)}))) AS separators,
-             len(list_filter(lw, x -> regexp_matches(x, {_quoted(quality._NOISY)}))) AS noisy,
-             len(list_filter(regexp_split_to_array(lower(line), '[^a-z]+'), x -> regexp_matches(x, {_quoted(quality._MENU)}))) AS menu,
+f AS (SELECT r, line, len(lw) AS n, ends, len(list_filter(lw, lambda x: regexp_matches(x, {_quoted(quality._SEPARATOR)}))) AS separators,
+             len(list_filter(lw, lambda x: regexp_matches(x, {_quoted(quality._NOISY)}))) AS noisy,
+             len(list_filter(regexp_split_to_array(lower(line), '[^a-z]+'), lambda x: regexp_matches(x, {_quoted(quality._MENU)}))) AS menu,
              regexp_matches(lower(line), {_quoted(quality.PHRASES)}) AS phrase FROM l),
 c AS (SELECT r, sum({_VISIBLE.format("line")}) AS kept_chars FROM f
       WHERE NOT ((separators >= 2 AND 4 * separators >= n) OR (n <= 12 AND NOT ends AND 2 * menu >= n) OR (n <= 40 AND phrase) OR NOT ends OR 3 * noisy >= n) GROUP BY r),
@@ -109,10 +116,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 OP10 = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
-b AS (SELECT *, list_transform(range(1, 41), k -> ('0x' || h[k:k])::INTEGER) AS x FROM p),
-q AS (SELECT *, array_to_string(list_transform(range(8), g -> array_to_string(list_transform([
+b AS (SELECT *, list_transform(range(1, 41), lambda k: ('0x' || h[k:k])::INTEGER) AS x FROM p),
+q AS (SELECT *, array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([
         x[5 * g + 1] * 2 + (x[5 * g + 2] >> 3), (x[5 * g + 2] & 7) * 4 + (x[5 * g + 3] >> 2), (x[5 * g + 3] & 3) * 8 + (x[5 * g + 4] >> 1), (x[5 * g + 4] & 1) * 16 + x[5 * g + 5]],
-        v -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v::INTEGER + 1, 1)), '')), '') AS payload_digest FROM b),
+        lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v::INTEGER + 1, 1)), '')), '') AS payload_digest FROM b),
 k AS (SELECT h, max(page_id) AS keeper, count(*) AS n FROM p GROUP BY h)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN n = 1 OR page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN n = 1 OR page_id = keeper THEN NULL ELSE keeper END AS refers_to

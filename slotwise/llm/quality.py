@@ -13,6 +13,8 @@ nor counted; ties and repeated rows are judged each on its own; other columns ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ _SEPARATOR = r"^[|»›>·•/\\-]+\z"
 _MENU = rf"^(?:{MENU_WORDS})\z"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
@@ -50,7 +57,7 @@ def repeated_words(words: Column) -> Column:
     n = F.size(words) - WINDOW
     hashes = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
     windows = F.sort_array(F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.concat_ws(" ", F.slice(words, i + 1, F.lit(WINDOW))).alias("w"), i.alias("i"))))
-    places = _same_neighbours(windows)
+    places = let(windows, _same_neighbours)
     covered = F.aggregate(
         places,
         F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
@@ -74,19 +81,20 @@ def _same_neighbours(windows: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """The first rule a line fails, or null: punctuation, navigation or boilerplate."""
-    words = words_of(line)
-    n = F.size(words)
     low = F.lower(line)
-    separators = F.size(F.filter(words, lambda w: w.rlike(_SEPARATOR)))
-    noisy = F.size(F.filter(words, lambda w: w.rlike(_NOISY)))
-    ends = line.rlike(_SENTENCE_END)
-    menu = F.size(F.filter(F.split(low, "[^a-z]+"), lambda w: w.rlike(_MENU)))
-    return (
-        F.when((separators >= 2) & (4 * separators >= n), "navigation")
-        .when((n <= 12) & ~ends & (2 * menu >= n), "navigation")
-        .when((n <= 40) & low.rlike(PHRASES), "boilerplate")
-        .when(~ends | (3 * noisy >= n), "punctuation")
-    )
+
+    def rules(x: Column) -> Column:
+        words, n, ends = x["words"], F.size(x["words"]), x["ends"]
+        separators = F.size(F.filter(words, lambda w: w.rlike(_SEPARATOR)))
+        noisy = F.size(F.filter(words, lambda w: w.rlike(_NOISY)))
+        menu = F.size(F.filter(F.split(low, "[^a-z]+"), lambda w: w.rlike(_MENU)))
+        return (
+            F.when((line.rlike(r"[|»›>·•/\\-]") & let(separators, lambda k: (k >= 2) & (4 * k >= n))) | ((n <= 12) & ~ends & (2 * menu >= n)), "navigation")
+            .when((n <= 40) & low.rlike(PHRASES), "boilerplate")
+            .when(~ends | (line.rlike("[!?#*$%&<>|{}~^]") & (3 * noisy >= n)), "punctuation")
+        )
+
+    return let(F.struct(words_of(line).alias("words"), line.rlike(_SENTENCE_END).alias("ends")), rules)
 
 
 def judged(text: Column) -> dict[str, Column]:
