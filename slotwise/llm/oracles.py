@@ -106,7 +106,7 @@ f AS (SELECT r, line, len(lw) AS n, ends, len(list_filter(lw, lambda x: regexp_m
              len(list_filter(regexp_split_to_array(lower(line), '[^a-z]+'), lambda x: regexp_matches(x, {_quoted(quality._MENU)}))) AS menu,
              regexp_matches(lower(line), {_quoted(quality.PHRASES)}) AS phrase FROM l),
 c AS (SELECT r, sum({_VISIBLE.format("line")}) AS kept_chars FROM f
-      WHERE NOT ((separators >= 2 AND 4 * separators >= n) OR (n <= 12 AND NOT ends AND 2 * menu >= n) OR (n <= 40 AND phrase) OR NOT ends OR 3 * noisy >= n) GROUP BY r),
+      WHERE NOT ((separators >= 2 AND 4 * separators >= n) OR (n <= 12 AND NOT ends AND 2 * menu >= n) OR (length(line) <= {quality.SHORT} AND phrase) OR NOT ends OR 3 * noisy >= n) GROUP BY r),
 o AS (SELECT doc_id, len(ws)::BIGINT AS n_words, {_VISIBLE.format("text")}::BIGINT AS word_chars, (length(text) - length(translate(text, '{quality.SYMBOLS}', '')))::BIGINT AS n_symbols,
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(m.n, 0)::BIGINT AS n_repeat_words, coalesce(kept_chars, 0) AS kept_chars
       FROM w LEFT JOIN m USING (r) LEFT JOIN c USING (r)),

@@ -3,7 +3,7 @@
 Each line that holds a word is judged by itself: it fails by punctuation (no sentence end in it, or
 every third word or more carries symbols or doubled marks), by navigation (every fourth word or more
 is a separator, or a short line of menu words without a sentence end) or by boilerplate (a fixed
-phrase of notices and consent banners in a short line). Failing lines go. A document goes if that
+phrase of notices and consent banners in a line of at most 200 characters). Failing lines go. A document goes if that
 loses more than half of its word characters, or if a base rule fails: fewer than 10 words, or more
 than 20 % of the words in five-word windows that the text repeats.
 
@@ -20,17 +20,19 @@ from pyspark.sql import functions as F
 
 from slotwise.llm.common import col, fresh, whole_row
 
-BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW, MAX_LOST = 10, 20, 5, 0.5
+#: Characters of a short line; hashes up to which repeated windows are looked up one by one.
+SHORT, FEW = 200, 64
 
 # The words and phrases of the navigation and boilerplate rules.
 MENU_WORDS = "home|menu|login|logout|register|search|next|previous|prev|back|share|print|sitemap|archive|contact|about|faq|help"
-PHRASES = "all rights reserved|cookie policy|privacy policy|terms of use|terms of service|accept cookies|enable javascript|click here|sign up now|subscribe to our|skip to content|lorem ipsum"
+PHRASES = "(?:^|[^a-z])(?:all rights reserved|cookie policy|privacy policy|terms of use|terms of service|accept cookies|enable javascript|click here|sign up now|subscribe to our|skip to content|lorem ipsum)"
 
 _SENTENCE_END = r"[.!?…。！？؟][\"'”’»)\]]*(\s|\z)"
 _NOISY = r"[!?]{2,}|[#*$%&<>{}~^]{2,}|[#*$%&<>|{}~^]\z"
 _SEPARATOR = r"^[|»›>·•/\\-]+\z"
+_MARK = r"[|»›>·•/\\!?#*$%&<{}~^-]"
 _MENU = rf"^(?:{MENU_WORDS})\z"
 
 
@@ -40,66 +42,84 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def has_word(line: Column) -> Column:
+    return line.rlike("[^\\x20\\x09-\\x0D]")
+
+
+def word_chars(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]++", ""))
+
+
+def symbols(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, f"[^{SYMBOLS}]++", ""))
 
 
 def repeated_words(words: Column) -> Column:
     """How many words lie in windows of five that occur twice or more.
 
-    64-bit hashes of the windows tell most texts apart in linear time; a text in which hashes repeat
-    is judged on the windows themselves: sorted with their places, equal neighbours mark the repeated
-    places, and each repeated place covers the words up to the next one, five at most.
+    64-bit hashes of the windows tell most texts apart in linear time. In the others the hashes that
+    occur twice select the windows to compare: sorted with their places, equal neighbours mark the
+    repeated places, and each of them covers the words up to the next one, five at most.
     """
-    n = F.size(words) - WINDOW
-    hashes = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
-    windows = F.sort_array(F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.concat_ws(" ", F.slice(words, i + 1, F.lit(WINDOW))).alias("w"), i.alias("i"))))
-    places = let(windows, _same_neighbours)
-    covered = F.aggregate(
-        places,
-        F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
-        lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")),
-        lambda a: a["n"],
-    )
-    return F.when(n < 0, 0).when(F.size(F.array_distinct(hashes)) == n + 1, 0).otherwise(covered).cast("bigint")
+    n = F.size(words) - WINDOW + 1
+    hashes = F.transform(F.arrays_zip(*[F.slice(words, k + 1, n) for k in range(WINDOW)]), lambda w: F.xxhash64(w))
+
+    def judge(h: Column) -> Column:
+        return F.when(F.size(F.array_distinct(h)) == n, 0).otherwise(let(F.array_sort(h), lambda x: let(_twice(x), lambda twice: count(h, twice))))
+
+    def count(h: Column, twice: Column) -> Column:
+        some = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.size(twice) > FEW) | F.array_contains(twice, F.get(h, i)))
+        windows = F.sort_array(F.transform(some, lambda i: F.struct(F.array_join(F.slice(words, i + 1, F.lit(WINDOW)), " ").alias("w"), i.alias("i"))))
+        return F.aggregate(
+            let(windows, _same_neighbours),
+            F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
+            lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")),
+            lambda a: a["n"],
+        )
+
+    return F.when(n < 2, 0).otherwise(let(hashes, judge)).cast("bigint")
+
+
+def _twice(ordered: Column) -> Column:
+    """The values that a sorted array holds more than once."""
+    rest = F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0)))
+    return F.array_distinct(F.array_compact(F.zip_with(ordered, rest, lambda a, b: F.when(a == b, a))))
 
 
 def _same_neighbours(windows: Column) -> Column:
     """Places, in order, of the sorted (w, i) whose w equals that before or after."""
-    same = F.filter(
-        F.transform(
-            windows,
-            lambda x, k: F.when((x["w"] == F.get(windows, k - 1)["w"]) | (x["w"] == F.get(windows, k + 1)["w"]), x["i"]),
-        ),
-        lambda i: i.isNotNull(),
-    )
-    return F.sort_array(same)
+    n = F.size(windows)
+    none = F.array(F.lit(None).cast("string"))
+    names = F.transform(windows, lambda x: x["w"])
+    before = F.concat(none, F.slice(names, 1, F.greatest(n - 1, F.lit(0))))
+    after = F.concat(F.slice(names, 2, F.greatest(n - 1, F.lit(0))), none)
+    same = F.filter(F.arrays_zip(windows.alias("x"), before.alias("b"), after.alias("a")), lambda z: (z["x"]["w"] == z["b"]) | (z["x"]["w"] == z["a"]))
+    return F.sort_array(F.transform(same, lambda z: z["x"]["i"]))
 
 
 def line_fails(line: Column) -> Column:
     """The first rule a line fails, or null: punctuation, navigation or boilerplate."""
-    low = F.lower(line)
+    ends = line.rlike(_SENTENCE_END)
 
-    def rules(x: Column) -> Column:
-        words, n, ends = x["words"], F.size(x["words"]), x["ends"]
+    def marked(words: Column) -> Column:
+        n = F.size(words)
         separators = F.size(F.filter(words, lambda w: w.rlike(_SEPARATOR)))
         noisy = F.size(F.filter(words, lambda w: w.rlike(_NOISY)))
-        menu = F.size(F.filter(F.split(low, "[^a-z]+"), lambda w: w.rlike(_MENU)))
-        return (
-            F.when((line.rlike(r"[|»›>·•/\\-]") & let(separators, lambda k: (k >= 2) & (4 * k >= n))) | ((n <= 12) & ~ends & (2 * menu >= n)), "navigation")
-            .when((n <= 40) & low.rlike(PHRASES), "boilerplate")
-            .when(~ends | (line.rlike("[!?#*$%&<>|{}~^]") & (3 * noisy >= n)), "punctuation")
-        )
-
-    return let(F.struct(words_of(line).alias("words"), line.rlike(_SENTENCE_END).alias("ends")), rules)
+        return F.when(let(separators, lambda k: (k >= 2) & (4 * k >= n)), "navigation").when(3 * noisy >= n, "punctuation")
 
+    def unended(words: Column) -> Column:
+        menu = F.size(F.filter(F.split(F.lower(line), "[^a-z]+"), lambda w: w.rlike(_MENU)))
+        return F.when((F.size(words) <= 12) & (2 * menu >= F.size(words)), "navigation").otherwise("punctuation")
 
-def judged(text: Column) -> dict[str, Column]:
-    """The base figures of a text, each a column; compute ``words`` and ``lines`` once beforehand."""
-    return {"words": words_of(text), "lines": F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: without(x, BLANKS) != "")}
+    # Words are split only for lines with a mark, without a sentence end or with a phrase.
+    return F.coalesce(
+        F.when(line.rlike(_MARK), let(words_of(line), marked)),
+        F.when(~ends, let(words_of(line), unended)),
+        F.when((F.length(line) <= SHORT) & F.lower(line).rlike(PHRASES), "boilerplate"),
+    )
 
 
 def quality(docs: DataFrame, *, text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
@@ -108,20 +128,23 @@ def quality(docs: DataFrame, *, text_col: str = "text", max_lost: float = MAX_LO
     ``clean_text`` is the text without the failing lines.
     """
     out = fresh(docs, "quality")
-    text = F.coalesce(F.col("t"), F.lit(""))
-    rows = docs.select(whole_row(docs).alias("d"), col(text_col).cast("string").alias("t"))
-    rows = rows.select("d", "t", *[c.alias(k) for k, c in judged(F.col("t")).items()])
+    rows = docs.select(whole_row(docs).alias("d"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("t"))
+    rows = rows.select("d", "t", words_of(F.col("t")).alias("words"), F.split("t", "\n").alias("all_lines"))
+    rows = rows.select("d", "t", "words", "all_lines", F.filter("all_lines", has_word).alias("lines"))
     rows = rows.select(
         "d",
+        "t",
+        "all_lines",
         F.size("words").cast("bigint").alias("n_words"),
-        F.length(without(text, BLANKS)).cast("bigint").alias("word_chars"),
-        (F.length(text) - F.length(without(text, SYMBOLS))).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
+        symbols(F.col("t")).cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.filter(F.split(text, "\n"), lambda x: line_fails(x).isNull() | (without(x, BLANKS) == "")).alias("good"),
+        F.filter("lines", lambda x: line_fails(x).isNotNull()).alias("bad"),
     )
-    rows = rows.select("*", ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"), F.concat_ws("\n", "good").alias("clean_text"))
-    left = F.length(without(F.col("clean_text"), BLANKS))
-    rows = rows.withColumn("kept", ~F.col("base_failed") & (left >= (1 - max_lost) * F.col("word_chars")))
-    figures = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
+    rows = rows.select("*", ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"))
+    lost = F.aggregate("bad", F.lit(0).cast("bigint"), lambda a, x: a + word_chars(x))
+    rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("word_chars") - lost >= (1 - max_lost) * F.col("word_chars")))
+    clean = F.when(F.size("bad") == 0, F.col("t")).otherwise(F.array_join(F.filter("all_lines", lambda x: ~has_word(x) | line_fails(x).isNull()), "\n"))
+    figures = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", clean.alias("clean_text"))
     return rows.select("d.*", figures.alias(out))
