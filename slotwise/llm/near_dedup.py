@@ -5,12 +5,14 @@ linked, and classes are the connected components of the links. Equal texts are a
 
 1. One pass over the texts gives each distinct text (identity: 128-bit digest) its band keys. With
    28 bands of 5 coordinates a pair at exactly 0.8 shares a band with probability 0.99998.
-2. A band key that several texts share is a bucket. A round compares each member only with the
-   bucket's hub (its lowest member), links pairs whose exact similarity reaches the threshold, and
-   finds the components. Buckets whose members are now one class are finished. In the others the
-   hub has met every member, so it leaves, and the next round takes new hubs, twice as many each
-   time. The rounds end when no bucket is left. So every colliding pair of different classes is
-   compared, a group of copies costs one comparison a member, and no bucket is gathered in a task.
+2. A band key that several texts share is a bucket. In three rounds each member is compared with a
+   pivot of its bucket: first the lowest member, then members of the largest class so far. Pairs whose
+   exact similarity reaches the threshold are linked, and the components of the links found; buckets
+   whose members are one class are finished. In the rest, the members outside the largest class are
+   compared with all members of other classes, except where the triangle inequality of the Jaccard
+   distance excludes a link: two members whose distances to some pivot differ by more than 0.2 cannot
+   reach 0.8. So no link between classes of a bucket is lost, a group of copies costs three comparisons
+   a member, and no bucket is gathered in a task.
 3. Class numbers go back to the documents by digest.
 
 Defined cases: a null text is a class of its own; texts without words are grouped only if equal;
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import col, cut, digest, stored, whole_row
@@ -31,7 +33,7 @@ from slotwise.llm.components import components
 from slotwise.llm.dartminhash import band_keys, signatures
 from slotwise.llm.words import Words, shingles, slices
 
-SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 28, 5
+SHINGLE, THRESHOLD, BANDS, ROWS, PIVOTS = 5, 0.8, 28, 5, 3
 
 
 def band_table(texts: DataFrame, *, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
@@ -58,8 +60,8 @@ def band_table(texts: DataFrame, *, size: int = SHINGLE, bands: int = BANDS, row
     return texts.select("node", "text").mapInArrow(run, "node binary, keys array<bigint>")
 
 
-def similar(pairs: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The (a, b) of rows (a, b, text_a, text_b) whose shingle sets have at least that Jaccard similarity."""
+def similarities(pairs: DataFrame, *, size: int = SHINGLE) -> DataFrame:
+    """(a, b, j) of rows (a, b, text_a, text_b): the Jaccard similarity of their shingle sets."""
 
     def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         doc, element = shingles(Words(column), size)
@@ -79,9 +81,9 @@ def similar(pairs: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHO
                 twice = (doc[1:] == doc[:-1]) & (both[1:] == both[:-1])
                 shared = np.bincount(doc[1:][twice], minlength=batch.num_rows)
                 union = np.bincount(doc_a, minlength=batch.num_rows) + np.bincount(doc_b, minlength=batch.num_rows) - shared
-                yield batch.select([0, 1]).filter(pa.array((union > 0) & (shared >= threshold * union - 1e-9)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared / np.maximum(union, 1))], names=["a", "b", "j"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, j double")
 
 
 def link_labels(docs: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
@@ -94,38 +96,36 @@ def link_labels(docs: DataFrame, *, size: int = SHINGLE, threshold: float = THRE
     wanted = cut(active.select("node").distinct())
     bodies = stored(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
-    labels = tested = edges = None
-    hubs_a_key = 1
-    while True:
-        marked = active
-        if labels is not None:
-            marked = active.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-            open_keys = cut(marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"))
-            if open_keys.isEmpty():
-                break
-            marked = cut(marked.join(open_keys, "key"))
-        else:
-            marked = active.withColumn("label", F.col("node"))
-        if hubs_a_key == 1:
-            hubs = marked.groupBy("key").agg(F.min(F.struct("node", "label")).alias("hub"))
-        else:
-            place = Window.partitionBy("key").orderBy("node")
-            hubs = marked.withColumn("place", F.row_number().over(place)).where(F.col("place") <= hubs_a_key).select("key", F.struct("node", "label").alias("hub"))
-        hubs = cut(hubs)
-        met = marked.join(hubs, "key")
-        pairs = met.where(F.col("label") != F.col("hub.label")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
+    def tested(pairs: DataFrame) -> DataFrame:
+        """(a, b, j) of distinct pairs of nodes."""
         sides = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        new = cut(similar(sides, size=size, threshold=threshold))
-        edges = new if edges is None else edges.union(new)
-        if labels is None or not new.isEmpty():
-            labels = components(edges)
-        active = cut(marked.select("key", "node").join(hubs.select("key", F.col("hub.node").alias("node")), ["key", "node"], "left_anti"))
-        hubs_a_key *= 2
-    return labels
+        return cut(similarities(sides, size=size))
+
+    far, least = 1 - threshold + 1e-9, threshold - 1e-9
+    ends = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
+    state = active.join(buckets.select("key", F.col("low").alias("pivot")), "key").select("key", "node", "pivot", F.expr("cast(array() as array<double>)").alias("d"))
+    known = labels = None
+    for turn in range(PIVOTS):
+        pairs = state.where("node <> pivot").select(*ends).distinct()
+        new = tested(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
+        known = new if known is None else known.union(new)
+        labels = components(known.where(F.col("j") >= least))
+        state = state.select("key", "node", "pivot", "d", *ends).join(known, ["a", "b"], "left").join(labels, "node", "left")
+        state = state.select("key", "node", F.coalesce("label", "node").alias("label"), F.concat("d", F.array(F.coalesce(1 - F.col("j"), F.lit(0.0)))).alias("d"))
+        state = stored(state, "state")
+        sizes = state.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("some"))
+        majors = sizes.groupBy("key").agg(F.max(F.struct("n", "label", F.col("some.node").alias("pivot"))).alias("m"), F.count(F.lit(1)).alias("labels"))
+        majors = cut(majors.where("labels > 1").select("key", F.col("m.label").alias("major"), F.col("m.pivot").alias("pivot")))
+        if majors.isEmpty():
+            return labels
+        state = cut(state.join(majors, "key"))
+
+    minor = state.where("label <> major").select("key", F.col("node").alias("x"), F.col("d").alias("d_x"), F.col("label").alias("label_x"))
+    near = F.forall(F.zip_with("d", "d_x", lambda p, q: F.abs(p - q)), lambda e: e <= far)
+    rest = minor.join(state.select("key", "node", "label", "d"), "key").where((F.col("label") != F.col("label_x")) & near)
+    rest = cut(rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"))
+    last = tested(rest).where(F.col("j") >= least)
+    return labels if last.isEmpty() else components(known.where(F.col("j") >= least).select("a", "b").union(last.select("a", "b")))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, **options) -> tuple[DataFrame, DataFrame]:
