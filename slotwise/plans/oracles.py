@@ -1 +1,293 @@
-ORACLES: dict[str, str] = {}
+"""The same results in DuckDB's SQL, for the queries that SQL can express.
+
+Each text is a chain of named parts: ``_with`` puts the parts that a query names, and those that they
+need, before its final SELECT. Instants are microseconds (``us``) or epoch seconds.
+"""
+
+from __future__ import annotations
+
+import re
+
+from slotwise.plans import bindings as b
+
+DAY, HOUR = 86400, 3600
+_LOCAL = "(({} AT TIME ZONE 'UTC') AT TIME ZONE 'America/Chicago')"
+
+
+def _seconds(us: str) -> str:
+    return f"({us} // 1000000)::BIGINT"
+
+
+PARTS: dict[str, str] = {
+    "r": "SELECT event_type AS facility, ts, epoch_us(ts) AS us, epoch_us(ts) // 900000000 AS batch, floor(value)::INTEGER AS value, event_id AS pos FROM events",
+    "s": f"""SELECT facility, us // {b.CADENCE}000000 AS slot, ts, us, value, {_LOCAL.format("ts")}::DATE AS local_date, hour({_LOCAL.format("ts")})::INTEGER AS local_hour
+             FROM r QUALIFY row_number() OVER (PARTITION BY facility, us // {b.CADENCE}000000 ORDER BY us DESC, batch DESC, value DESC) = 1""",
+    "reg": """SELECT n_name AS facility, n_nationkey::INTEGER AS pos, r_name AS region, 35 + (n_nationkey % 5) * 0.25::DOUBLE + floor(n_nationkey / 10) * 2.0::DOUBLE AS latitude,
+              -90 + floor(n_nationkey / 5) * 0.45::DOUBLE AS longitude FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "er": "SELECT facility, (row_number() OVER (ORDER BY facility) - 1)::INTEGER AS pos FROM (SELECT DISTINCT facility FROM r)",
+    "cal": f"SELECT unnest(range(DATE '{b.FIRST_DAY}', DATE '{b.LAST_DAY}' + 1, INTERVAL 1 DAY))::DATE AS day",
+    "cell": "SELECT facility, local_date AS day, local_hour AS hour, list(value) AS vs, count(*) AS n FROM s GROUP BY ALL",
+}
+
+
+def _models(name: str, samples: int, fallback: int) -> None:
+    p = b.HOURLY
+    PARTS[f"{name}_sp"] = f"""
+      SELECT facility, local_date, local_hour, name, place, radius, count(*) FILTER (ok) AS days, count(*) AS eligible_days, sum(observed) AS observed_slots, sum(expected) AS expected_slots,
+             list_sort(flatten(coalesce(list(vs) FILTER (ok AND vs IS NOT NULL), []))) AS vs
+      FROM (SELECT *, expected > 0 AND observed >= {p.minimum_day_coverage} * expected AS ok FROM (
+        SELECT facility, local_date, local_hour, name, place, radius, day, coalesce(sum(n), 0) AS observed,
+               count(*) FILTER (day BETWEEN DATE '{b.FIRST_DAY}' AND DATE '{b.LAST_DAY}') AS expected, flatten(list(vs) FILTER (vs IS NOT NULL)) AS vs
+        FROM (SELECT f.facility, d::DATE AS local_date, h::INTEGER AS local_hour, name, place, radius, (d - to_days(k::INTEGER))::DATE AS day, ((h + o + 24) % 24)::INTEGER AS hour
+              FROM (SELECT DISTINCT facility FROM s) f, range(DATE '{b.TARGET_DAYS[0]}', DATE '{b.TARGET_DAYS[1]}' + 1, INTERVAL 1 DAY) x(d), range(24) y(h), range(1, {p.lookback_days + 1}) z(k), range(-2, 3) w(o),
+                   (VALUES ('weekday_weekend', 0, {p.hour_radius}, true), ('wider_hours', 1, {fallback}, true), ('all_days', 2, {fallback}, false)) g(name, place, radius, alike)
+              WHERE abs(o) <= radius AND (NOT alike OR (isodow(d) >= 6) = (isodow(d - to_days(k::INTEGER)) >= 6)))
+        LEFT JOIN cell USING (facility, day, hour) GROUP BY facility, local_date, local_hour, name, place, radius, day))
+      GROUP BY ALL"""
+    PARTS[f"{name}_all"] = f"""SELECT *, len(vs)::BIGINT AS samples, observed_slots / expected_slots AS coverage,
+             days >= {p.minimum_days} AND len(vs) >= {samples} AND coalesce(observed_slots / expected_slots, 0) >= {p.minimum_coverage} AS sufficient FROM {name}_sp"""
+    PARTS[name] = f"""SELECT facility, local_date, local_hour, name, radius, days, eligible_days, samples, observed_slots, expected_slots, coverage, sufficient, CASE WHEN sufficient THEN vs END AS vs,
+             CASE WHEN sufficient THEN list_aggregate(vs, 'quantile_cont', 0.5) END AS median, CASE WHEN sufficient THEN list_aggregate(vs, 'quantile_cont', {p.band_low}) END AS low,
+             CASE WHEN sufficient THEN list_aggregate(vs, 'quantile_cont', {p.band_high}) END AS high
+      FROM {name}_all QUALIFY row_number() OVER (PARTITION BY facility, local_date, local_hour ORDER BY CASE WHEN sufficient THEN place ELSE 10 - place END) = 1"""
+
+
+_models("m", b.HOURLY.minimum_samples, b.HOURLY.fallback_hour_radius)
+_models("mdefault", 64, b.HOURLY.fallback_hour_radius)
+_models("mstrict", 40, 1)
+
+_P = b.HOURLY
+_T = b.HOURLY_TREND
+_FAR, _NEAR = (_T.trend_minutes + _T.trend_tolerance_minutes) * 60, (_T.trend_minutes - _T.trend_tolerance_minutes) * 60
+PARTS |= {
+    "c": f"""SELECT *, CASE WHEN NOT coalesce(sufficient, false) THEN 'insufficient_history' WHEN percentile >= {_P.unusual_high} AND delta >= {_P.meaningful_minutes} THEN 'above_usual'
+                    WHEN percentile <= {_P.unusual_low} AND delta <= -{_P.meaningful_minutes} THEN 'below_usual' ELSE 'no_large_departure' END AS unusual,
+             CASE WHEN low IS NULL THEN 'no_range' WHEN value > high AND delta >= 10 THEN 'above' WHEN value < low AND delta <= -10 THEN 'below' ELSE 'near' END AS point
+      FROM (SELECT s.*, m.name, m.sufficient, m.low, m.high, value - median AS delta,
+                   100.0 * (len(list_filter(vs, lambda v: v < value)) + 0.5 * len(list_filter(vs, lambda v: v = value))) / len(vs) AS percentile
+            FROM s LEFT JOIN m USING (facility, local_date, local_hour) WHERE local_date BETWEEN DATE '{b.TARGET_DAYS[0]}' AND DATE '{b.TARGET_DAYS[1]}')""",
+    "tr": f"""SELECT facility, us, value, samples, CASE WHEN fine THEN value - ago END AS delta,
+             CASE WHEN NOT fine THEN 'insufficient_recent_history' WHEN value - ago >= 10 THEN 'rising' WHEN value - ago <= -10 THEN 'falling' ELSE 'little_change' END AS state
+      FROM (SELECT *, samples >= {_T.trend_minimum_samples} AND coalesce(list_max([points[i + 1] - points[i] for i in range(1, len(points))]), 0) <= {_T.gap_seconds} AS fine
+            FROM (SELECT facility, us, value, count(value) OVER w AS samples, median(value) OVER w AS ago, list(sec) OVER w AS points FROM (SELECT *, us // 1000000 AS sec FROM s)
+                  WINDOW w AS (PARTITION BY facility ORDER BY sec RANGE BETWEEN {_FAR} PRECEDING AND {_NEAR} PRECEDING)))""",
+    "covered": f"SELECT facility, local_date FROM s WHERE value >= 0 AND local_date BETWEEN DATE '{b.FIRST_DAY}' AND DATE '{b.LAST_DAY}' GROUP BY ALL HAVING count(*) >= {b.MOVES.minimum_day_coverage} * 24",
+    "steps": "SELECT s.*, c.facility IS NOT NULL AS covered, us - lag(us) OVER (PARTITION BY s.facility ORDER BY us) AS gap FROM s LEFT JOIN covered c ON c.facility = s.facility AND c.local_date = s.local_date WHERE value >= 0",
+    "mv": " UNION ALL ".join(
+        f"""SELECT facility, {h} AS horizon_minutes, us, local_date, later - value AS change FROM (
+              SELECT *, lead(us, {k}) OVER o AS later_us, lead(value, {k}) OVER o AS later, lead(covered, {k}) OVER o AS later_covered, max(gap) OVER (o ROWS BETWEEN 1 FOLLOWING AND {k} FOLLOWING) AS widest
+              FROM steps WINDOW o AS (PARTITION BY facility ORDER BY us))
+            WHERE covered AND later_covered AND abs(later_us - us - {h * 60000000}) <= {b.MOVES.tolerance_seconds}000000 AND widest <= {b.MOVES.gap_seconds}000000"""
+        for h, k in ((h, max(1, h * 60 // b.CADENCE)) for h in b.MOVES.horizons_minutes)
+    ),
+    "heat": f"""SELECT f.facility, f.bin, coalesce(n, 0) AS readings, delta, CASE WHEN coalesce(n, 0) = 0 THEN 'empty' WHEN delta IS NULL THEN 'unsupported' WHEN delta <= -40 THEN 'far_below' WHEN delta <= -20 THEN 'below'
+             WHEN delta < -10 THEN 'slightly_below' WHEN delta <= 10 THEN 'near' WHEN delta < 20 THEN 'slightly_above' WHEN delta < 40 THEN 'above' ELSE 'far_above' END AS band
+      FROM (SELECT facility, unnest(range({b.END - 72 * HOUR}, {b.END}, {HOUR})) AS bin FROM (SELECT DISTINCT facility FROM c)) f
+      LEFT JOIN (SELECT facility, us // {HOUR}000000 * {HOUR} AS bin, count(*) AS n, median(delta) AS delta FROM c GROUP BY ALL) x ON x.facility = f.facility AND x.bin = f.bin""",
+    "dev": f"SELECT facility, us // {HOUR}000000 * {HOUR} AS bin, median(delta) AS deviation FROM c WHERE delta IS NOT NULL GROUP BY ALL HAVING count(*) >= {b.PAIRS.minimum_slots}",
+    "grid": f"""SELECT facility, (us // {b.CADENCE}000000 + 1) * {b.CADENCE} AS slot_end, value, collisions FROM (
+              SELECT *, count(*) OVER (PARTITION BY facility, us // {b.CADENCE}000000) - 1 AS collisions FROM r WHERE value >= 0)
+            QUALIFY row_number() OVER (PARTITION BY facility, us // {b.CADENCE}000000 ORDER BY us DESC, batch DESC, value DESC) = 1""",
+    "near": "SELECT x.facility AS a, y.facility AS b FROM reg x JOIN reg y ON x.facility <> y.facility WHERE {} <= 50",
+}
+
+
+def _km(a: str, o: str, radius: str = "6371.0088") -> str:
+    return f"2 * {radius} * asin(sqrt(least(1.0, pow(sin((radians({o}.latitude) - radians({a}.latitude)) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({o}.latitude)) * pow(sin((radians({o}.longitude) - radians({a}.longitude)) / 2), 2))))"
+
+
+PARTS["near"] = PARTS["near"].format(_km("x", "y"))
+PARTS["reach"] = "SELECT facility, facility AS other FROM reg UNION SELECT r.facility, n.b FROM reach r JOIN near n ON n.a = r.other"
+PARTS["grp"] = 'SELECT facility, min(other) AS "group" FROM reach GROUP BY facility'
+
+_START, _STOP = b.START + 15 * DAY, b.START + 29 * DAY
+
+
+def _replay(name: str, cut: int) -> None:
+    at = lambda alias, key: f"LEFT JOIN grid {alias} ON {alias}.facility = q.facility AND {alias}.slot_end = {key}"
+    PARTS[name] = f"""SELECT q.facility, origin, target, horizon_minutes, a.value AS actual, k.value::DOUBLE AS carry_forward,
+             CASE WHEN k.value IS NOT NULL AND target - {24 * HOUR} <= origin - {cut} THEN d.value END::DOUBLE AS daily_naive,
+             CASE WHEN k.value IS NOT NULL AND target - {168 * HOUR} <= origin - {cut} THEN w.value END::DOUBLE AS weekly_naive, coalesce(a.value > p90, false) AS spike
+      FROM (SELECT facility, origin, horizon_minutes, origin + 60 * horizon_minutes AS target FROM (SELECT DISTINCT facility FROM grid), range({_START}, {_STOP}, {b.REPLAY.origin_seconds}) x(origin), (VALUES (60), (120), (240)) v(horizon_minutes)) q
+      {at("a", "target")} {at("k", f"origin - {cut}")} {at("d", f"target - {24 * HOUR}")} {at("w", f"target - {168 * HOUR}")}
+      LEFT JOIN (SELECT o.facility, o.origin AS "at", quantile_cont(g.value, 0.9) AS p90 FROM (SELECT DISTINCT facility, origin FROM (SELECT DISTINCT facility FROM grid), range({_START}, {_STOP}, {b.REPLAY.origin_seconds}) x(origin)) o
+                 JOIN grid g ON g.facility = o.facility AND g.slot_end > o.origin - {b.REPLAY.spike_days * DAY} AND g.slot_end <= o.origin - {cut} GROUP BY ALL HAVING count(*) >= {b.REPLAY.spike_minimum}) t
+        ON t.facility = q.facility AND t."at" = q.origin
+      WHERE target < {_STOP}"""
+
+
+_replay("rep", 0)
+_replay("repd", b.CADENCE)
+PARTS["long"] = " UNION ALL ".join(
+    f"SELECT facility, origin, target, horizon_minutes, actual, spike, actual IS NOT NULL AND carry_forward IS NOT NULL AND daily_naive IS NOT NULL AND weekly_naive IS NOT NULL AS matched, '{m}' AS model, {k} AS place, {m} AS prediction FROM rep"
+    for k, m in enumerate(("carry_forward", "daily_naive", "weekly_naive"))
+)
+
+
+def _metrics(prefix: str = "", only: str = "true") -> str:
+    scored, target = f"{only} AND actual IS NOT NULL AND prediction IS NOT NULL", f"{only} AND actual IS NOT NULL"
+    e = "(prediction - actual)"
+    n, t = f"count(*) FILTER ({scored})", f"count(*) FILTER ({target})"
+    p = prefix
+    return f"""count(*) FILTER ({only}) AS {p}origins, {t} AS {p}targets, count(*) FILTER ({only} AND actual IS NULL) AS {p}missing_targets, {n} AS {p}scored, {t} - {n} AS {p}abstentions_with_target,
+      round({n} / nullif({t}, 0), 9) AS {p}availability_with_target, count(DISTINCT origin // {DAY}) FILTER ({scored}) AS {p}days, round(avg(abs{e}) FILTER ({scored}), 9) AS {p}mae,
+      round(sqrt(avg({e} * {e}) FILTER ({scored})), 9) AS {p}rmse, round(avg({e}) FILTER ({scored}), 9) AS {p}bias"""
+
+
+PARTS["scores"] = f"SELECT facility, horizon_minutes, model, place, {_metrics()}, {_metrics('matched_', 'matched')}, {_metrics('zero_', 'coalesce(actual = 0, false)')}, {_metrics('spike_', 'spike')} FROM long GROUP BY ALL"
+PARTS["err"] = "SELECT facility, horizon_minutes, model, target AS t, actual - prediction AS e FROM long WHERE actual IS NOT NULL AND prediction IS NOT NULL"
+PARTS["iv"] = f"""SELECT l.*, CASE WHEN lo8 IS NOT NULL THEN greatest(0.0, prediction + lo8) END AS lo_80, CASE WHEN hi8 IS NOT NULL THEN greatest(0.0, prediction + hi8) END AS hi_80, CASE WHEN lo9 IS NOT NULL THEN greatest(0.0, prediction + lo9) END AS lo_95, CASE WHEN hi9 IS NOT NULL THEN greatest(0.0, prediction + hi9) END AS hi_95
+   FROM long l LEFT JOIN (
+     SELECT a.facility, a.horizon_minutes, a.model, a.origin, quantile_cont(e, {(1 - 0.8) / 2}) AS lo8, quantile_cont(e, {1 - (1 - 0.8) / 2}) AS hi8, quantile_cont(e, {(1 - 0.95) / 2}) AS lo9, quantile_cont(e, {1 - (1 - 0.95) / 2}) AS hi9
+     FROM long a JOIN err ON err.facility = a.facility AND err.horizon_minutes = a.horizon_minutes AND err.model = a.model AND t > a.origin - {b.REPLAY.interval_days * DAY} AND t <= a.origin
+     WHERE a.prediction IS NOT NULL GROUP BY ALL HAVING count(*) >= {b.REPLAY.minimum_errors}) q USING (facility, horizon_minutes, model, origin)"""
+PARTS["entry"] = f"""SELECT k.facility, CASE WHEN k.facility >= 'f' OR n.us < {b.END - 5 * HOUR}000000 THEN n.us ELSE o.us END AS us, CASE WHEN k.facility >= 'f' OR n.us < {b.END - 5 * HOUR}000000 THEN n.value ELSE o.value END AS value,
+     t.facility IS NOT NULL AND k.facility < 'f' AS failed
+   FROM (SELECT DISTINCT facility FROM r UNION ALL SELECT 'absent') k
+   LEFT JOIN (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY facility ORDER BY us DESC, pos) = 1) n USING (facility)
+   LEFT JOIN (SELECT * FROM r WHERE us < {b.END - 5 * HOUR}000000 QUALIFY row_number() OVER (PARTITION BY facility ORDER BY us DESC, pos) = 1) o USING (facility)
+   LEFT JOIN (SELECT DISTINCT facility FROM r WHERE us >= {b.END - 5 * HOUR}000000) t USING (facility)"""
+PARTS["fresh"] = f"""SELECT facility, us // 1000000 AS "at", value, CASE WHEN failed THEN 'failed' WHEN us IS NULL THEN 'missing' ELSE 'reporting' END AS state, ({b.END}000000 - us) / 1000000 AS age,
+     coalesce({b.END}000000 - us >= 0 AND {b.END}000000 - us < {b.FRESH.stale_after_seconds}000000, false) AND NOT failed AS current,
+     concat_ws(',', CASE WHEN us > {b.END}000000 THEN 'clock_mismatch' END, CASE WHEN {b.END}000000 - us >= {b.FRESH.stale_after_seconds}000000 THEN 'stale' END, CASE WHEN failed THEN 'failed_attempt' END, CASE WHEN us IS NULL THEN 'missing' END) AS labels
+   FROM entry"""
+_ORDER = list(PARTS)
+
+
+def _with(select: str) -> str:
+    """``select`` after the parts it names and those that they need."""
+    wanted: set[str] = set()
+    todo = [select]
+    while todo:
+        words = set(re.findall(r"(?:FROM|JOIN|,)\s+(\w+)", todo.pop()))
+        for p in words & PARTS.keys() - wanted:
+            wanted.add(p)
+            todo.append(PARTS[p])
+    parts = []
+    done: set[str] = set()
+
+    def put(p: str) -> None:
+        if p in done:
+            return
+        done.add(p)
+        for q in _ORDER:
+            if q != p and q in wanted and re.search(rf"(?:FROM|JOIN)\s+{q}\b", PARTS[p]):
+                put(q)
+        parts.append(f"{p} AS ({PARTS[p]})")
+
+    for p in _ORDER:
+        if p in wanted:
+            put(p)
+    return f"WITH RECURSIVE {', '.join(parts)} {select}" if parts else select
+
+
+def _usual(name: str) -> str:
+    return f"""SELECT facility, local_date::VARCHAR AS local_date, local_hour, CASE WHEN sufficient THEN 'supported' ELSE 'insufficient_history' END AS state, name AS "group", radius::INTEGER AS hour_radius, days, eligible_days, samples,
+      observed_slots::BIGINT AS observed_slots, expected_slots::BIGINT AS expected_slots, round(coverage, 9) AS coverage, round(median, 6) AS median, round(low, 6) AS low, round(high, 6) AS high,
+      len(list_distinct(vs))::INTEGER AS n_values, len(vs)::BIGINT AS n_distribution FROM {name}"""
+
+
+def _area(seconds: int) -> str:
+    return f"""SELECT us // {seconds}000000 * {seconds} AS bin, count(*) AS reporting, count(*) FILTER (point <> 'no_range') AS compared, count(*) FILTER (point = 'above') AS n_above, count(*) FILTER (point = 'below') AS n_below,
+      coalesce(string_agg(facility, ',' ORDER BY facility) FILTER (point = 'above'), '') AS above, coalesce(string_agg(facility, ',' ORDER BY facility) FILTER (point = 'below'), '') AS below
+      FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY us // {seconds}000000, facility ORDER BY us DESC, point DESC) = 1) GROUP BY ALL"""
+
+
+_REPLAY = "facility, origin, target, horizon_minutes::INTEGER AS horizon_minutes, actual, carry_forward, daily_naive, weekly_naive, spike"
+_A, _B = b.END - 3 * DAY, b.END - DAY
+_RUNS = f"""SELECT a, b, start, "end", hours, median_a, median_b, place::INTEGER AS place FROM (
+    SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY hours DESC, start) AS place FROM (
+      SELECT a, b, min(bin) AS start, max(bin) + {HOUR} AS "end", count(*) AS hours, median(da) AS median_a, median(db) AS median_b FROM (
+        SELECT *, bin - {HOUR} * row_number() OVER (PARTITION BY a, b ORDER BY bin) AS run FROM (
+          SELECT x.facility AS a, y.facility AS b, x.bin, x.deviation AS da, y.deviation AS db FROM dev x JOIN dev y ON x.facility < y.facility AND x.bin = y.bin WHERE x.deviation >= 0 AND y.deviation >= 0)) GROUP BY a, b, run)) WHERE place <= 5"""
+
+SELECTS = {
+    "slot_series": f"SELECT facility, slot, {_seconds('us')} AS \"at\", value, local_date::VARCHAR AS local_date, local_hour FROM s",
+    "local_calendar_dst": f"""SELECT l::DATE::VARCHAR AS local_date, hour(l)::INTEGER AS local_hour, count(*) AS n_slots FROM (
+        SELECT {_LOCAL.format("t")} AS l FROM (SELECT unnest(range(TIMESTAMP '2026-03-06', TIMESTAMP '2026-03-11', INTERVAL 15 MINUTE)) AS t UNION ALL SELECT unnest(range(TIMESTAMP '2026-10-30', TIMESTAMP '2026-11-04', INTERVAL 15 MINUTE))))
+        WHERE l::DATE BETWEEN DATE '2026-03-07' AND DATE '2026-03-09' OR l::DATE BETWEEN DATE '2026-10-31' AND DATE '2026-11-02' GROUP BY ALL""",
+    "usual_models": _usual("m"),
+    "usual_models_default_policy": _usual("mdefault"),
+    "compare_readings": f"SELECT facility, {_seconds('us')} AS \"at\", value, name AS \"group\", round(delta, 6) AS delta, round(CASE WHEN sufficient THEN percentile END, 6) AS percentile, unusual FROM c",
+    "recent_trend": f"SELECT facility, {_seconds('us')} AS \"at\", value, state, round(delta, 6) AS delta, samples FROM tr",
+    "replay_summary": """SELECT facility, count(*) AS comparisons, count(*) FILTER (sufficient) AS supported, round(avg(abs(delta)), 6) AS mean_abs_deviation, round(median(abs(delta)), 6) AS median_abs_deviation,
+        count(*) FILTER (sufficient AND value BETWEEN low AND high) AS in_band, count(*) FILTER (unusual IN ('above_usual', 'below_usual')) AS unusual FROM c GROUP BY facility""",
+    "threshold_sensitivity": """SELECT tail::INTEGER AS tail, minutes::INTEGER AS minutes, count(*) AS compared, count(*) FILTER ((percentile >= 100 - tail AND delta >= minutes) OR (percentile <= tail AND delta <= -minutes)) AS unusual
+        FROM c, (VALUES (5), (10), (20)) t(tail), (VALUES (5), (10), (20)) u(minutes) WHERE percentile IS NOT NULL GROUP BY ALL""",
+    "trend_reversals": """SELECT facility, count(*) FILTER (state = 'rising') AS rising, count(*) FILTER (state = 'falling') AS falling, count(*) FILTER (state = 'little_change') AS little_change,
+        count(*) FILTER (moving) AS followed, count(*) FILTER (moving AND state <> after) AS reversed FROM (
+        SELECT *, coalesce(state IN ('rising', 'falling') AND after IN ('rising', 'falling') AND after_us - us < 7200000000, false) AS moving FROM (
+        SELECT *, lead(state) OVER o AS after, lead(us) OVER o AS after_us FROM tr WINDOW o AS (PARTITION BY facility ORDER BY us))) GROUP BY facility""",
+    "supported_keys": "SELECT facility, local_date::VARCHAR AS local_date, local_hour FROM m WHERE sufficient INTERSECT SELECT facility, local_date::VARCHAR, local_hour FROM mstrict WHERE sufficient",
+    "movement_pairs": f"SELECT facility, horizon_minutes::INTEGER AS horizon_minutes, {_seconds('us')} AS \"at\", change FROM mv",
+    "movement_stability": f"""SELECT facility, horizon_minutes::INTEGER AS horizon_minutes, pairs, days, CASE WHEN ok THEN q5 END AS median_abs_change, CASE WHEN ok THEN round(q9, 6) END AS p90_abs_change, CASE WHEN ok THEN round(rise, 6) END AS rise_share, CASE WHEN ok THEN round(fall, 6) END AS fall_share
+        FROM (SELECT *, pairs >= {b.MOVES.minimum_pairs} AND days >= {b.MOVES.minimum_days} AS ok FROM (
+          SELECT facility, horizon_minutes, count(*) AS pairs, count(DISTINCT local_date) AS days, quantile_cont(abs(change), 0.5) AS q5, quantile_cont(abs(change), 0.9) AS q9, avg((change >= 10)::INTEGER) AS rise, avg((change <= -10)::INTEGER) AS fall FROM mv GROUP BY ALL))""",
+    "heatmap_cells": "SELECT facility, bin, readings, round(delta, 6) AS delta, band FROM heat",
+    "heatmap_summary": """SELECT facility, count(*) FILTER (readings > 0) AS observed, count(delta) AS supported, count(*) FILTER (delta >= 10) AS above, count(*) FILTER (delta <= -10) AS below, max(abs(delta)) AS largest FROM heat GROUP BY facility""",
+    "map_snapshot": f"""SELECT heat.facility, pos + 30.0::DOUBLE AS latitude, -90.0::DOUBLE AS longitude, CASE WHEN readings = 0 THEN 'empty' WHEN delta IS NULL THEN 'unsupported' WHEN delta >= 10 THEN 'above' WHEN delta <= -10 THEN 'below' ELSE 'near' END AS state
+        FROM heat JOIN er ON er.facility = heat.facility WHERE bin = {b.END - 7200} AND pos <> 1 UNION ALL SELECT facility, latitude, longitude, 'map_only' FROM reg WHERE pos < 3""",
+    "area_counts": _area(6 * HOUR),
+    "typical_area_count": f"SELECT quantile_disc(n_above, 0.5)::BIGINT AS typical FROM ({_area(HOUR)})",
+    "batch_gaps": """SELECT before * 900 AS "from", batch * 900 AS "to", ((batch - before) * 900)::DOUBLE AS seconds FROM (SELECT batch, lag(batch) OVER (ORDER BY batch) AS before FROM (SELECT DISTINCT batch FROM r)) WHERE (batch - before) * 900 > 1200""",
+    "gap_segments": f"""SELECT facility, {_seconds("min(us)")} AS start, {_seconds("max(us)")} AS "end", count(*) AS readings FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY facility ORDER BY us ROWS UNBOUNDED PRECEDING) AS segment FROM (
+        SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY facility ORDER BY us) > {HOUR}000000 THEN 1 ELSE 0 END AS fresh FROM r)) GROUP BY facility, segment""",
+    "axis_range": f"""SELECT facility, round(min(v), 6) AS low, round(max(v), 6) AS high FROM (
+        SELECT facility, unnest([CASE WHEN t BETWEEN {_A} AND {_B} THEN value END, CASE WHEN t - t0 <= 7200 AND t0 < {_A} AND t > {_A} THEN v0 + (value - v0) * ({_A} - t0) / (t - t0) END, CASE WHEN t - t0 <= 7200 AND t0 < {_B} AND t > {_B} THEN v0 + (value - v0) * ({_B} - t0) / (t - t0) END]) AS v
+        FROM (SELECT facility, value, us / 1e6 AS t, lag(us) OVER o / 1e6 AS t0, lag(value) OVER o AS v0 FROM s WINDOW o AS (PARTITION BY facility ORDER BY us))) WHERE v IS NOT NULL GROUP BY facility""",
+    "axis_ticks": f"SELECT bin, hour(l)::INTEGER AS local_hour, hour(l) = 0 AS midnight FROM (SELECT bin, {_LOCAL.format('make_timestamp(bin * 1000000)')} AS l FROM (SELECT DISTINCT slot * 3600 AS bin FROM s)) WHERE minute(l) = 0 AND hour(l) % 6 = 0",
+    "latest_wins": "SELECT user_id, event_type, event_id, floor(value)::INTEGER AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
+    "duplicate_counters": f"""SELECT count(w) AS duplicate_records, count(*) FILTER (w IS NOT NULL AND w.value <> value) AS conflicting_duplicates FROM (
+        SELECT value, max({{'us': us, 'pos': pos, 'value': value}}) OVER (PARTITION BY facility, us // {HOUR}000000 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w FROM r)""",
+    "first_of_hour": f"SELECT facility, us // {HOUR}000000 * {HOUR} AS hour, {_seconds('us')} AS \"at\", value FROM r QUALIFY row_number() OVER (PARTITION BY facility, us // {HOUR}000000 ORDER BY us, batch, value) = 1",
+    "latest_of_bin": f"SELECT facility, us // {4 * HOUR}000000 * {4 * HOUR} AS bin, pos, value FROM r QUALIFY row_number() OVER (PARTITION BY facility, us // {4 * HOUR}000000 ORDER BY us DESC, pos DESC) = 1",
+    "live_merge": f"""SELECT facility, us // {HOUR}000000 AS slot, {_seconds("us")} AS "at", value FROM (
+        SELECT * FROM (SELECT facility, us, value, 1 AS prepared FROM r WHERE us // 1000000 < {b.END - DAY} UNION ALL SELECT facility, us, value + 1, 0 FROM r WHERE us // 1000000 >= {b.END - 2 * DAY})
+        QUALIFY row_number() OVER (PARTITION BY facility, us ORDER BY prepared DESC, value DESC) = 1) QUALIFY row_number() OVER (PARTITION BY facility, us // {HOUR}000000 ORDER BY us DESC, value DESC) = 1""",
+    "registry_coverage": """SELECT coalesce(k.facility, n.facility) AS facility, coalesce(n, 0) AS observations, CASE WHEN k.facility IS NOT NULL THEN (SELECT count(DISTINCT batch) FROM r) - coalesce(n, 0) END AS missing_in_observed_batches, k.facility IS NOT NULL AS known
+        FROM (SELECT facility FROM er WHERE pos > 0 UNION ALL SELECT 'absent') k FULL JOIN (SELECT facility, count(*) AS n FROM r GROUP BY facility) n ON n.facility = k.facility""",
+    "unknown_facilities": "SELECT facility FROM er WHERE pos <= 1",
+    "latest_state": 'SELECT facility, "at", value, state, round(age, 3) AS age_seconds, current, labels FROM fresh',
+    "latest_health": """SELECT *, CASE WHEN configured > 0 AND fresh = configured THEN 'ok' WHEN fresh > 0 THEN 'warn' ELSE 'fail' END AS status FROM (SELECT count(*) AS configured, count("at") AS with_reading, count(*) FILTER (state = 'failed') AS failed_latest_attempt,
+        count(*) FILTER ("at" IS NULL) AS missing, count(*) FILTER (current) AS fresh, max("at") AS last_success_at FROM fresh)""",
+    "place_distances": f"SELECT a, b, round(km, 6) AS km, CASE WHEN km <= 50 THEN 'neighbor' WHEN km <= 150 THEN 'regional' ELSE 'distant' END AS band FROM (SELECT x.facility AS a, y.facility AS b, {_km('x', 'y')} AS km FROM reg x JOIN reg y ON x.pos < y.pos)",
+    "place_separation": f"SELECT x.facility, round({_km('x', 'o', '6371000.0')}, 3) AS meters FROM reg x, (SELECT 35.0 AS latitude, -90.0 AS longitude) o",
+    "neighbour_groups": 'SELECT facility, "group" FROM grp',
+    "area_groups": """SELECT kind, area, members, first, facilities FROM (SELECT kind, area, count(*) AS members, min(pos) AS first, string_agg(facility, ',' ORDER BY facility) AS facilities FROM (
+        SELECT facility, pos, 'all' AS kind, 'all' AS area FROM reg UNION ALL SELECT g.facility, g.pos, 'region', region FROM reg g UNION ALL SELECT x.facility, x.pos, 'neighbors', y."group" FROM reg x JOIN grp y ON y.facility = x.facility) GROUP BY kind, area) WHERE kind = 'all' OR members >= 3""",
+    "order_rank_ties": """SELECT l_returnflag, l_linenumber, count(*) AS n, max(place) AS last, sum(place) AS total FROM (SELECT l_returnflag, l_linenumber, rank() OVER (PARTITION BY l_returnflag, l_linenumber ORDER BY l_quantity) - 1
+        + (count(*) OVER (PARTITION BY l_returnflag, l_linenumber, l_quantity) - 1) / 2.0::DOUBLE AS place FROM lineitem) GROUP BY ALL""",
+    "false_discovery": """SELECT k, family, round(CASE WHEN p IS NOT NULL THEN least(1.0, min(p * n / rank) OVER (PARTITION BY family, p IS NULL ORDER BY rank DESC ROWS UNBOUNDED PRECEDING)) END, 9) AS q FROM (
+        SELECT *, count(p) OVER (PARTITION BY family) AS n, row_number() OVER (PARTITION BY family, p IS NULL ORDER BY p, k) AS rank FROM (
+        SELECT c_custkey AS k, c_nationkey AS family, CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey * 7919 % 1000 + 1) / 20000.0::DOUBLE END AS p FROM customer))""",
+    "value_spread": "SELECT facility, round_even(quantile_cont(value, 0.5), 2) AS median, round_even(quantile_cont(value, 0.9), 2) AS p90, min(value) AS min, max(value) AS max FROM r GROUP BY facility",
+    "lower_medians": f"SELECT facility, {_LOCAL.format('ts')}::DATE::VARCHAR AS local_date, quantile_disc(value, 0.5) AS low, quantile_cont(value, 0.5) AS mid FROM r GROUP BY ALL",
+    "argmin_argmax": "SELECT facility, arg_min(pos, (value, pos)) AS least, arg_max(pos, (value, pos)) AS most FROM r GROUP BY facility",
+    "value_distribution": "SELECT facility, value, count(*) AS n FROM r GROUP BY ALL",
+    "local_parts": f"SELECT hour(l)::INTEGER AS local_hour, isodow(l) >= 6 AS weekend, count(*) AS n FROM (SELECT {_LOCAL.format('ts')} AS l FROM r) GROUP BY ALL",
+    "zero_share": "SELECT facility, avg((value // 20 = 0)::INTEGER) AS zero_share, avg((value // 20 = 0)::INTEGER) > 0.1 AS zero_heavy FROM r GROUP BY facility",
+    "hourly_deviations": "SELECT facility, bin, round(deviation, 6) AS deviation FROM dev",
+    "deviation_changes": f"SELECT x.facility, x.bin, round(x.deviation - y.deviation, 6) AS deviation FROM dev x JOIN dev y ON x.facility = y.facility AND x.bin = y.bin + {HOUR}",
+    "demeaned_deviations": f"SELECT facility, bin, round(deviation - avg(deviation) OVER (PARTITION BY facility, hour({_LOCAL.format('make_timestamp(bin * 1000000)')})), 6) AS deviation FROM dev",
+    "pair_episodes": _RUNS,
+    "pair_correlations": """SELECT leader, follower, n, round(CASE WHEN n >= 4 THEN r END, 6) AS r FROM (SELECT leader, follower, count(*) AS n, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS r FROM (
+        SELECT leader, follower, rank() OVER (PARTITION BY leader, follower ORDER BY x) + (count(*) OVER (PARTITION BY leader, follower, x) - 1) / 2.0 AS rx,
+               rank() OVER (PARTITION BY leader, follower ORDER BY y) + (count(*) OVER (PARTITION BY leader, follower, y) - 1) / 2.0 AS ry
+        FROM (SELECT a.facility AS leader, c.facility AS follower, a.deviation AS x, c.deviation AS y FROM dev a JOIN dev c ON a.facility < c.facility AND a.bin = c.bin)) GROUP BY ALL)""",
+    "forecast_grid": "SELECT facility, slot_end, value, collisions FROM grid",
+    "forecast_replay": f"SELECT {_REPLAY} FROM rep",
+    "forecast_replay_delayed": f"SELECT {_REPLAY} FROM repd",
+    "forecast_scores": "SELECT * EXCLUDE (place, horizon_minutes), horizon_minutes::INTEGER AS horizon_minutes FROM scores",
+    "forecast_winners": "SELECT facility, horizon_minutes::INTEGER AS horizon_minutes, model AS winner FROM scores WHERE matched_mae IS NOT NULL QUALIFY row_number() OVER (PARTITION BY facility, horizon_minutes ORDER BY matched_mae, place) = 1",
+    "forecast_intervals": "SELECT facility, origin, horizon_minutes::INTEGER AS horizon_minutes, model, round(lo_80, 6) AS lo_80, round(hi_80, 6) AS hi_80, round(lo_95, 6) AS lo_95, round(hi_95, 6) AS hi_95 FROM iv WHERE lo_80 IS NOT NULL",
+    "forecast_interval_scores": f"""SELECT facility, horizon_minutes::INTEGER AS horizon_minutes, model, {_metrics()}, {", ".join(f"round(avg((actual BETWEEN lo_{k} AND hi_{k})::INTEGER) FILTER (actual IS NOT NULL AND lo_{k} IS NOT NULL), 9) AS coverage_{k}, round(quantile_cont(hi_{k} - lo_{k}, 0.5) FILTER (actual IS NOT NULL AND lo_{k} IS NOT NULL), 9) AS width_{k}, count(*) FILTER (actual IS NOT NULL AND lo_{k} IS NOT NULL) AS intervals_{k}" for k in (80, 95))} FROM iv GROUP BY ALL""",
+    "seasonal_autocorrelation": " UNION ALL ".join(f"SELECT x.facility, {k}::INTEGER AS lag, count(*) AS pairs, CASE WHEN count(*) > 50 THEN round(corr(x.value, y.value), 6) END AS r FROM grid x JOIN grid y ON y.facility = x.facility AND y.slot_end = x.slot_end + {k * b.CADENCE} GROUP BY x.facility" for k in (1, 4, 24, 168)),
+    "seasonal_variance": """SELECT facility, round(1 - var_pop(d) / var_pop(value), 6) AS by_hour, round(1 - var_pop(e) / var_pop(value), 6) AS by_hour_and_day FROM (
+        SELECT facility, value, value - avg(value) OVER (PARTITION BY facility, local_hour) AS d, value - avg(value) OVER (PARTITION BY facility, local_hour, isodow(local_date) >= 6) AS e FROM s) GROUP BY facility""",
+    "scraped_numbers": r"""SELECT page_id, CASE WHEN len(f) = 0 THEN 'missing' WHEN len(f) > 1 THEN 'conflict' WHEN f[1] = '-1' THEN 'invalid' ELSE 'ok' END AS status, CASE WHEN len(f) = 1 AND f[1] <> '-1' THEN TRY_CAST(f[1] AS INTEGER) END AS minutes
+        FROM (SELECT page_id, list_distinct(regexp_extract_all(url, '\?page=(-?\d+)', 1)) AS f FROM pages)""",
+    "json_property": r"SELECT event_id, CASE WHEN regexp_full_match(k, '[+-]?\d+') THEN TRY_CAST(k AS INTEGER) END AS k FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)",
+    "top_pairs_by_route": "SELECT c_nationkey, o_orderpriority, count(*) AS orders, min(o_orderkey) AS first FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL ORDER BY orders DESC, c_nationkey, o_orderpriority LIMIT 20",
+}
+ORACLES: dict[str, str] = {name: _with(select) for name, select in SELECTS.items()}
