@@ -20,6 +20,8 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import insort
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +45,7 @@ class BestFit:
 
     def _put(self, bin_: int, residual: int) -> None:
         mask = self.sources[bin_]
-        self.levels.setdefault(residual, {}).setdefault(mask, []).append(bin_)
+        insort(self.levels.setdefault(residual, {}).setdefault(mask, []), bin_)
         self.count[residual] = self.count.get(residual, 0) + 1
         self.present |= 1 << residual
         self._tally(mask, residual, 1)

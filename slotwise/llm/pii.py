@@ -96,7 +96,7 @@ def spans_of(kind: str, text: Column) -> Column:
         lambda a, x: F.struct(
             (a["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))).cast("bigint").alias("at"),
             F.when(
-                F.coalesce(_valid(kind, x["match"]), F.lit(False)),
+                x["match"].isNotNull() & F.coalesce(_valid(kind, x["match"]), F.lit(False)),
                 F.concat(a["found"], F.array(F.struct((a["at"] + F.length(x["gap"])).cast("bigint").alias("start"), x["match"].alias("match")))),
             ).otherwise(a["found"]).alias("found"),
         ),
