@@ -4,15 +4,17 @@ Similarity is the Jaccard similarity of the sets of five-word shingles; texts of
 linked, and classes are the connected components of the links. Equal texts are always one class.
 
 1. One pass over the texts gives each distinct text (identity: 128-bit digest) its band keys. With
-   28 bands of 5 coordinates a pair at exactly 0.8 shares a band with probability 0.99998.
-2. A band key that several texts share is a bucket. In three rounds each member is compared with a
-   pivot of its bucket: first the lowest member, then members of the largest class so far. Pairs whose
-   exact similarity reaches the threshold are linked, and the components of the links found; buckets
-   whose members are one class are finished. In the rest, the members outside the largest class are
-   compared with all members of other classes, except where the triangle inequality of the Jaccard
-   distance excludes a link: two members whose distances to some pivot differ by more than 0.2 cannot
-   reach 0.8. So no link between classes of a bucket is lost, a group of copies costs three comparisons
-   a member, and no bucket is gathered in a task.
+   32 bands of 7 coordinates a pair at exactly 0.8 shares a band with probability 0.9995, and one at 0.15
+   with 0.00005, so that texts that merely share a passage seldom meet.
+2. A band key that several texts share is a bucket. In two rounds each member is compared with a pivot
+   of its bucket: the lowest member, then one that is not linked to it. Pairs whose exact similarity
+   reaches the threshold are links. Their components are found; buckets whose members are one class are
+   finished. In the rest, the members outside a bucket's largest class meet the members of other
+   classes in a join whose condition is the link itself, after two exact bounds: the sizes of the sets,
+   and the triangle inequality of the Jaccard distance (two members whose distances to a pivot differ by
+   more than 0.2 cannot reach 0.8). So no link between classes of a bucket is lost, a group of copies costs two
+   comparisons a member, only links leave the join, large buckets are split in parts of about 512 members, and none is
+   gathered in a task.
 3. Class numbers go back to the documents by digest.
 
 Defined cases: a null text is a class of its own; texts without words are grouped only if equal;
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import col, cut, digest, stored, whole_row
@@ -33,7 +35,7 @@ from slotwise.llm.components import components
 from slotwise.llm.dartminhash import band_keys, signatures
 from slotwise.llm.words import Words, shingles, slices
 
-SHINGLE, THRESHOLD, BANDS, ROWS, PIVOTS = 5, 0.8, 28, 5, 3
+SHINGLE, THRESHOLD, BANDS, ROWS, PIVOTS, PART = 5, 0.8, 32, 7, 2, 512
 
 
 def band_table(texts: DataFrame, *, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
@@ -60,30 +62,27 @@ def band_table(texts: DataFrame, *, size: int = SHINGLE, bands: int = BANDS, row
     return texts.select("node", "text").mapInArrow(run, "node binary, keys array<bigint>")
 
 
-def similarities(pairs: DataFrame, *, size: int = SHINGLE) -> DataFrame:
-    """(a, b, j) of rows (a, b, text_a, text_b): the Jaccard similarity of their shingle sets."""
-
-    def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        doc, element = shingles(Words(column), size)
-        order = np.lexsort((element, doc))
-        doc, element = doc[order], element[order]
-        new = np.append(True, (doc[1:] != doc[:-1]) | (element[1:] != element[:-1])) if len(doc) else np.empty(0, bool)
-        return doc[new], element[new]
+def shingle_sets(texts: DataFrame, *, size: int = SHINGLE) -> DataFrame:
+    """(node, shingles) of rows (node, text): the 64-bit hashes of the distinct shingles."""
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, 2):
-                doc_a, a = sets(batch.column(2))
-                doc_b, b = sets(batch.column(3))
-                doc, both = np.concatenate([doc_a, doc_b]), np.concatenate([a, b])
-                order = np.lexsort((both, doc))
-                doc, both = doc[order], both[order]
-                twice = (doc[1:] == doc[:-1]) & (both[1:] == both[:-1])
-                shared = np.bincount(doc[1:][twice], minlength=batch.num_rows)
-                union = np.bincount(doc_a, minlength=batch.num_rows) + np.bincount(doc_b, minlength=batch.num_rows) - shared
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared / np.maximum(union, 1))], names=["a", "b", "j"])
+            for batch in slices(whole, 1):
+                doc, element = shingles(Words(batch.column(1)), size)
+                order = np.lexsort((element, doc))
+                doc, element = doc[order], element[order]
+                new = np.append(True, (doc[1:] != doc[:-1]) | (element[1:] != element[:-1])) if len(doc) else np.empty(0, bool)
+                doc, element = doc[new], element[new]
+                offsets = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(element.view(np.int64)))], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, shingles array<bigint>")
+
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, j double")
+def similarity(a: Column, b: Column) -> Column:
+    """The Jaccard similarity of two arrays of distinct shingles."""
+    shared = F.size(F.array_intersect(a, b))
+    return shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))
 
 
 def link_labels(docs: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
@@ -94,38 +93,47 @@ def link_labels(docs: DataFrame, *, size: int = SHINGLE, threshold: float = THRE
     buckets = cut(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high"))
     active = stored(keyed.join(buckets.select("key"), "key"), "members")
     wanted = cut(active.select("node").distinct())
-    bodies = stored(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    bodies = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sets = stored(shingle_sets(bodies, size=size), "sets")
 
     def tested(pairs: DataFrame) -> DataFrame:
         """(a, b, j) of distinct pairs of nodes."""
-        sides = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return cut(similarities(sides, size=size))
+        sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        return cut(sides.select("a", "b", similarity(F.col("x"), F.col("y")).alias("j")))
 
     far, least = 1 - threshold + 1e-9, threshold - 1e-9
     ends = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
-    state = active.join(buckets.select("key", F.col("low").alias("pivot")), "key").select("key", "node", "pivot", F.expr("cast(array() as array<double>)").alias("d"))
-    known = labels = None
+    state = active.join(buckets.select("key", F.col("low").alias("pivot")), "key").select("key", "node", "pivot", F.expr("cast(array() as array<double>)").alias("d"), F.lit(False).alias("linked"))
+    known = None
     for turn in range(PIVOTS):
         pairs = state.where("node <> pivot").select(*ends).distinct()
         new = tested(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
         known = new if known is None else known.union(new)
-        labels = components(known.where(F.col("j") >= least))
-        state = state.select("key", "node", "pivot", "d", *ends).join(known, ["a", "b"], "left").join(labels, "node", "left")
-        state = state.select("key", "node", F.coalesce("label", "node").alias("label"), F.concat("d", F.array(F.coalesce(1 - F.col("j"), F.lit(0.0)))).alias("d"))
-        state = stored(state, "state")
-        sizes = state.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("some"))
-        majors = sizes.groupBy("key").agg(F.max(F.struct("n", "label", F.col("some.node").alias("pivot"))).alias("m"), F.count(F.lit(1)).alias("labels"))
-        majors = cut(majors.where("labels > 1").select("key", F.col("m.label").alias("major"), F.col("m.pivot").alias("pivot")))
-        if majors.isEmpty():
-            return labels
-        state = cut(state.join(majors, "key"))
-
-    minor = state.where("label <> major").select("key", F.col("node").alias("x"), F.col("d").alias("d_x"), F.col("label").alias("label_x"))
-    near = F.forall(F.zip_with("d", "d_x", lambda p, q: F.abs(p - q)), lambda e: e <= far)
-    rest = minor.join(state.select("key", "node", "label", "d"), "key").where((F.col("label") != F.col("label_x")) & near)
-    rest = cut(rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"))
-    last = tested(rest).where(F.col("j") >= least)
-    return labels if last.isEmpty() else components(known.where(F.col("j") >= least).select("a", "b").union(last.select("a", "b")))
+        state = state.select("key", "node", "pivot", "d", "linked", *ends).join(known, ["a", "b"], "left")
+        j = F.coalesce("j", F.lit(1.0))
+        state = stored(state.select("key", "node", F.concat("d", F.array(1 - j)).alias("d"), (F.col("linked") | (j >= least)).alias("linked")), "state")
+        if turn == PIVOTS - 1:
+            break
+        # The next pivot is a member that the first is not linked to; a bucket without one is a class.
+        following = F.min(F.when(~F.col("linked"), F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")))["node"]
+        open_ = cut(state.groupBy("key").agg(following.alias("pivot")).where("pivot IS NOT NULL"))
+        state = state.join(open_, "key")
+    links = known.where(F.col("j") >= least).select("a", "b")
+    labels = components(links)
+
+    state = state.drop("linked").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = state.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    majors = sizes.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("major"), F.count(F.lit(1)).alias("labels"), F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
+    members = state.join(majors.where("labels > 1").drop("labels"), "key").join(sets, "node")
+    members = stored(members.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")), "open")
+    # A large bucket is split in parts; its minor members meet each of them.
+    minor = members.where("label <> major").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "d", "shingles")])
+    once = (F.col("label") == F.col("major")) | (F.col("node_x") < F.col("node"))
+    n, n_x = F.size("shingles"), F.size("shingles_x")
+    close = (F.least(n, n_x) >= least * F.greatest(n, n_x)) & F.forall(F.zip_with("d", "d_x", lambda p, q: F.abs(p - q)), lambda e: e <= far)
+    linked = once & (F.col("label") != F.col("label_x")) & close & (similarity(F.col("shingles"), F.col("shingles_x")) >= least)
+    last = cut(minor.join(members, (minor["key"] == members["key"]) & (minor["part"] == members["part"]) & linked).select(F.least("node_x", "node").alias("a"), F.greatest("node_x", "node").alias("b")).distinct())
+    return labels if last.isEmpty() else components(links.union(last))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, **options) -> tuple[DataFrame, DataFrame]:
