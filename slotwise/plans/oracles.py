@@ -151,6 +151,41 @@ PARTS["fresh"] = f"""SELECT facility, us // 1000000 AS "at", value, CASE WHEN fa
      coalesce({b.END}000000 - us >= 0 AND {b.END}000000 - us < {b.FRESH.stale_after_seconds}000000, false) AND NOT failed AS current,
      concat_ws(',', CASE WHEN us > {b.END}000000 THEN 'clock_mismatch' END, CASE WHEN {b.END}000000 - us >= {b.FRESH.stale_after_seconds}000000 THEN 'stale' END, CASE WHEN failed THEN 'failed_attempt' END, CASE WHEN us IS NULL THEN 'missing' END) AS labels
    FROM entry"""
+_M, _R = b.MOVES, b.RULES
+_ENOUGH = f"count(*) >= {_M.minimum_pairs} AND count(DISTINCT {{}}local_date) >= {_M.minimum_days}"
+
+
+def _horizon(drive: str) -> str:
+    return "CASE " + " ".join(f"WHEN {drive} <= {h} THEN {h}" for h in _M.horizons_minutes) + " END"
+
+
+def _reading(alias: str, who: str, seconds: str, how: str = "JOIN") -> str:
+    return f"{how} rd {alias} ON {alias}.facility = {who} AND {seconds} < {b.END} AND {alias}.slot = floor(({seconds}) / {b.CADENCE})::BIGINT"
+
+
+PARTS |= {
+    "rd": "SELECT facility, slot, value FROM s WHERE value >= 0",
+    "newest": "SELECT facility, value FROM r QUALIFY row_number() OVER (PARTITION BY facility ORDER BY us DESC, pos) = 1",
+    "screen": f"SELECT facility, horizon_minutes, CASE WHEN {_ENOUGH.format('')} THEN quantile_cont(abs(change), 0.9) END AS p90 FROM mv GROUP BY ALL",
+    "scr": f"""SELECT m.facility, d.day, m.horizon_minutes, quantile_cont(abs(change), 0.9) AS p90 FROM mv m JOIN (SELECT DISTINCT local_date AS day FROM s) d
+             ON m.local_date BETWEEN d.day - {_M.lookback_days} AND d.day - 1 GROUP BY ALL HAVING {_ENOUGH.format("m.")}""",
+    "route": """SELECT g.facility AS origin, e.facility AS slug, NOT (g.pos = 2 AND e.pos = 3) AS ok, 600 + g.pos * 300 + e.pos * 900 AS seconds FROM reg g JOIN er e ON g.pos < 4""",
+    "drv": """SELECT g.facility AS origin, e.facility AS slug, k.profile, (900 + (g.pos * 7 + e.pos * 5) % 9 * 600 + extra) / 60 AS drive
+             FROM reg g JOIN er e ON g.pos < 4 JOIN (VALUES ('night', 0), ('am', 600), ('pm', 300)) k(profile, extra) ON true""",
+    "opp": f"""SELECT q.origin, q.slot, q.day, q.profile, closest, alternative, drive_c, drive_a, sc.p90 AS p90_c, sa.p90 AS p90_a, drive_c + wc.value - (drive_a + wa.value) AS D, drive_c + ac.value - (drive_a + aa.value) AS A,
+             drive_c + lc.value - (drive_a + la.value) AS A60, drive_c + ac.value - (drive_a * {_R.stress_ratio}::DOUBLE + st.value) AS A_stress
+      FROM (SELECT z.*, d.origin, c.slug AS closest, d.slug AS alternative, c.drive AS drive_c, d.drive AS drive_a FROM (
+              SELECT slot, t, l::DATE AS day, CASE WHEN isodow(l) < 6 AND hour(l) BETWEEN 6 AND 9 THEN 'am' WHEN isodow(l) < 6 AND hour(l) BETWEEN 15 AND 18 THEN 'pm' ELSE 'night' END AS profile FROM (
+                SELECT slot, (slot + 1) * {b.CADENCE} AS t, {_LOCAL.format(f"make_timestamp((slot + 1) * {b.CADENCE}000000)")} AS l FROM range({(b.START + 12 * DAY) // b.CADENCE}, {b.END // b.CADENCE}) x(slot) WHERE slot % {_R.evaluation_every_slots} = 0)) z
+            JOIN drv d ON d.profile = z.profile
+            JOIN (SELECT * FROM drv QUALIFY row_number() OVER (PARTITION BY origin, profile ORDER BY drive, slug) = 1) c ON c.origin = d.origin AND c.profile = d.profile
+            WHERE d.slug <> c.slug AND d.drive <= {_R.max_drive_minutes}) q
+      JOIN rd wc ON wc.facility = closest AND wc.slot = q.slot JOIN rd wa ON wa.facility = alternative AND wa.slot = q.slot
+      JOIN scr sc ON sc.facility = closest AND sc.day = q.day AND sc.horizon_minutes = {_horizon("drive_c")} JOIN scr sa ON sa.facility = alternative AND sa.day = q.day AND sa.horizon_minutes = {_horizon("drive_a")}
+      {_reading("ac", "closest", "t + drive_c * 60")} {_reading("aa", "alternative", "t + drive_a * 60")}
+      {_reading("lc", "closest", f"t + drive_c * 60 + {_R.later_minutes * 60}", "LEFT JOIN")} {_reading("la", "alternative", f"t + drive_a * 60 + {_R.later_minutes * 60}", "LEFT JOIN")}
+      {_reading("st", "alternative", f"t + drive_a * {_R.stress_ratio}::DOUBLE * 60", "LEFT JOIN")}""",
+}
 _ORDER = list(PARTS)
 
 
@@ -285,6 +320,15 @@ SELECTS = {
     "seasonal_autocorrelation": " UNION ALL ".join(f"SELECT x.facility, {k}::INTEGER AS lag, count(*) AS pairs, CASE WHEN count(*) > 50 THEN round(corr(x.value, y.value), 6) END AS r FROM grid x JOIN grid y ON y.facility = x.facility AND y.slot_end = x.slot_end + {k * b.CADENCE} GROUP BY x.facility" for k in (1, 4, 24, 168)),
     "seasonal_variance": """SELECT facility, round(1 - var_pop(d) / var_pop(value), 6) AS by_hour, round(1 - var_pop(e) / var_pop(value), 6) AS by_hour_and_day FROM (
         SELECT facility, value, value - avg(value) OVER (PARTITION BY facility, local_hour) AS d, value - avg(value) OVER (PARTITION BY facility, local_hour, isodow(local_date) >= 6) AS e FROM s) GROUP BY facility""",
+    "travel_comparison": f"""SELECT origin, slug, drive, value AS wait, round(drive + value, 6) AS total, h::INTEGER AS horizon_minutes, round(p90, 6) AS p90, complete AND slug = nearest AS closest FROM (
+        SELECT *, {_horizon("drive")} AS h FROM (SELECT *, CASE WHEN ok THEN seconds / 60 END AS drive, bool_and(ok) OVER (PARTITION BY origin) AS complete, first_value(slug) OVER (PARTITION BY origin ORDER BY seconds, slug) AS nearest FROM route)) x
+        LEFT JOIN newest n ON n.facility = slug LEFT JOIN screen p ON p.facility = slug AND p.horizon_minutes = h""",
+    "benefit_opportunities": f"SELECT origin, slot, day::VARCHAR AS day, profile, closest, alternative, {', '.join(f'round({c}, 6) AS {c}' for c in ('drive_c', 'drive_a', 'p90_c', 'p90_a', 'D', 'A', 'A60', 'A_stress'))} FROM opp",
+    "benefit_rules": f"""SELECT origin, rule, kind, value, count(*) AS opportunities, count(*) FILTER (y) AS claims, count(DISTINCT day) FILTER (y) AS claim_days, round(avg(y::INTEGER), 9) AS claim_rate,
+        round(avg((A > 0)::INTEGER) FILTER (y), 9) AS precision, round(quantile_cont(A, 0.5) FILTER (y), 9) AS median_A, round(quantile_cont(A, 0.1) FILTER (y), 9) AS p10_A, round(avg((A60 > 0)::INTEGER) FILTER (y), 9) AS later_precision,
+        round(avg((A_stress > 0)::INTEGER) FILTER (y), 9) AS stress_precision, count(A60) FILTER (y) AS later_n, count(A_stress) FILTER (y) AS stress_n FROM (
+        SELECT *, CASE WHEN kind = 'screen' THEN D > 10 + value * (p90_c + p90_a) WHEN value = 0 THEN D > 0 ELSE D >= value END AS y
+        FROM opp JOIN (VALUES {", ".join(f"('{n}', '{k}', {float(v)}::DOUBLE)" for n, k, v in _R.rules)}) u(rule, kind, value) ON true) GROUP BY origin, rule, kind, value""",
     "scraped_numbers": r"""SELECT page_id, CASE WHEN len(f) = 0 THEN 'missing' WHEN len(f) > 1 THEN 'conflict' WHEN f[1] = '-1' THEN 'invalid' ELSE 'ok' END AS status, CASE WHEN len(f) = 1 AND f[1] <> '-1' THEN TRY_CAST(f[1] AS INTEGER) END AS minutes
         FROM (SELECT page_id, list_distinct(regexp_extract_all(url, '\?page=(-?\d+)', 1)) AS f FROM pages)""",
     "json_property": r"SELECT event_id, CASE WHEN regexp_full_match(k, '[+-]?\d+') THEN TRY_CAST(k AS INTEGER) END AS k FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)",
