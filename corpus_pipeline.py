@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.llm import line_dedup, near_dedup, packing, quality
-from slotwise.llm.common import read, stored
+from slotwise.llm.common import fresh, read, stored
 from slotwise.llm.decontamination import flag_contaminated
 
 
@@ -23,10 +23,15 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without their failing lines."""
+    """Documents that pass, without their failing lines.
+
+    The row number keeps the filter above the rules: pushed into them, it would have the optimizer put the
+    splitting of a text into the lambdas that walk over its words, once for each word.
+    """
     done = quality.quality(docs)
-    verdict = done.columns[-1]
-    return _with_text(done.where(F.col(f"{verdict}.kept")), F.col(f"{verdict}.clean_text")).drop(verdict)
+    verdict, row = done.columns[-1], fresh(done, "row")
+    kept = done.withColumn(row, F.monotonically_increasing_id()).where(F.col(f"{verdict}.kept") & (F.col(row) >= 0))
+    return _with_text(kept, F.col(f"{verdict}.clean_text")).drop(verdict, row)
 
 
 def line_frequency(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
