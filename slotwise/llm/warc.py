@@ -14,8 +14,10 @@ transfer framing is decoded. Only segments travel. A missing, repeated or overlo
 total or broken framing raises an error.
 
 Defined cases: a null payload counts as empty; payloads of length 0 are equal payloads; rows that
-repeat a page id with an equal payload are all responses if the id is the largest; a null id ranks
-lowest and is written empty; an empty table gives an archive without records.
+repeat a page id with an equal payload are all responses if the id is the largest, and each has record
+and segment ids of its own, made from page id, digest, address and the number of the copy; a revisit
+refers to a first copy; a null id ranks lowest and is written empty; an empty table gives an archive
+without records.
 """
 
 from __future__ import annotations
@@ -94,14 +96,14 @@ def _cuts(block: bytes, most: int) -> list[bytes]:
     return out
 
 
-def page_records(page: int | None, url: str | None, payload: bytes, keeper: int | None, response: bool, segment_bytes: int) -> list[bytes]:
-    """The records of one page."""
+def page_records(page: int | None, url: str, payload: bytes, keeper: int | None, response: bool, segment_bytes: int, copy: int = 0, keeper_url: str = "") -> list[bytes]:
+    """The records of one page, the ``copy``-th from 0 of those of equal id, address and payload."""
     sha = base32_sha1(payload)
     name = "" if page is None else str(page)
-    fields = {"WARC-Record-ID": _id("page", name, sha), "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"), "WARC-Payload-Digest": f"sha1:{sha}", "WARC-Page-ID": name}
+    fields = {"WARC-Record-ID": _id("page", name, sha, copy, url), "WARC-Target-URI": url.replace("\r", "%0D").replace("\n", "%0A"), "WARC-Payload-Digest": f"sha1:{sha}", "WARC-Page-ID": name}
     if not response:
         target = "" if keeper is None else str(keeper)
-        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _id("page", target, sha), "WARC-Refers-To-Page": target}
+        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _id("page", target, sha, 0, keeper_url), "WARC-Refers-To-Page": target}
         return [record("revisit", fields, f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode())]
     block = _HTTP + chunked(payload)
     if len(block) <= segment_bytes:
@@ -109,7 +111,7 @@ def page_records(page: int | None, url: str | None, payload: bytes, keeper: int
     parts = _cuts(block, segment_bytes)
     out = [record("response", fields | {"WARC-Segment-Number": "1"}, parts[0])]
     for k, part in enumerate(parts[1:], 2):
-        more = {"WARC-Record-ID": _id("segment", name, sha, k), "WARC-Segment-Origin-ID": fields["WARC-Record-ID"], "WARC-Segment-Number": str(k)}
+        more = {"WARC-Record-ID": _id("segment", name, sha, copy, k, url), "WARC-Segment-Origin-ID": fields["WARC-Record-ID"], "WARC-Segment-Number": str(k)}
         out.append(record("continuation", more | ({"WARC-Segment-Total-Length": str(len(block))} if k == len(parts) else {}), part))
     return out
 
@@ -122,17 +124,21 @@ def chunked(payload: bytes) -> bytes:
 def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", segment_bytes: int = SEGMENT_BYTES, records_a_file: int = RECORDS_A_FILE) -> None:
     """Write the pages as archive files below ``path``."""
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    rows = pages.select(col(id_col).cast("bigint").alias("id"), col(url_col).cast("string").alias("url"), text.alias("text"), F.unhex(F.sha1(text)).alias("sha"))
-    keepers = rows.groupBy("sha").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "keeper")
-    known = rows.join(cut(keepers), "sha", "left").select("text", "id", "url", F.coalesce("keeper", "id").alias("keeper"))
+    rows = pages.select(col(id_col).cast("bigint").alias("id"), F.coalesce(col(url_col).cast("string"), F.lit("")).alias("url"), text.alias("text"), F.sha1(text).alias("sha"))
+    rows = rows.withColumn("key", F.unhex(F.md5(F.concat_ws("\n", "sha", F.coalesce(F.col("id").cast("string"), F.lit("")), "url").cast("binary"))))
+    keepers = rows.groupBy("sha").agg(F.max(F.struct("id", "url")).alias("k"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "k")
+    kept = rows.select("sha", "key").distinct().join(cut(keepers), "sha").select("key", "k")
+    # Repeated rows meet before the shuffle and are counted; each copy is written with its number.
+    pages_once = rows.groupBy("key").agg(F.first("text").alias("text"), F.first("id").alias("id"), F.first("url").alias("url"), F.count(F.lit(1)).alias("n"))
+    known = pages_once.join(kept, "key", "left").select("text", "id", "url", F.coalesce("k.id", "id").alias("keeper"), F.coalesce("k.url", "url").alias("keeper_url"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("copy"))
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, 0):
                 out = [
                     r[:-1].decode()
-                    for payload, page, url, keeper in zip(*[c.to_pylist() for c in batch.columns], strict=True)
-                    for r in page_records(page, url, payload.encode(), keeper, page == keeper, segment_bytes)
+                    for payload, page, url, keeper, keeper_url, copy in zip(*[c.to_pylist() for c in batch.columns], strict=True)
+                    for r in page_records(page, url, payload.encode(), keeper, page == keeper, segment_bytes, copy, keeper_url)
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 

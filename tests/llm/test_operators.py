@@ -235,6 +235,21 @@ def test_archives_round_trip(spark):
         assert r.record_type == "revisit" or bytes(r.payload) == payload
 
 
+def test_archives_of_repeated_rows_and_null_ids(spark, tmp_path):
+    long, other = "abc é " * 3000, "xyz " * 4000
+    pages = [(1, "u", long)] * 3 + [(1, "v", long), (0, "u", long), (0, "u", long)] + [(None, None, other)] * 2 + [(None, "w", other), (None, "u", long)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    path = str(tmp_path / "archives")
+    rows = warc.archive_and_read(df, path=path, segment_bytes=4096, records_a_file=3).collect()
+    sizes = {x: len(x.encode()) for x in (long, other)}
+    expected = [(1, sizes[long], "response", None)] * 4 + [(0, sizes[long], "revisit", 1)] * 2 + [(None, sizes[other], "response", None)] * 3 + [(None, sizes[long], "revisit", 1)]
+    assert bag((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in rows) == bag(expected)
+    assert all(bytes(r.payload).decode() == (other if r.page_id is None else long) for r in rows if r.record_type == "response")
+    heads = [f for r in spark.read.format("binaryFile").load(path).where("path LIKE '%part-%'").collect() for f, _ in warc.records(bytes(r.content))]
+    ids = {f["WARC-Record-ID"] for f in heads}
+    assert len(ids) == len(heads) and {f["WARC-Refers-To"] for f in heads if f["WARC-Type"] == "revisit"} <= ids
+
+
 def test_archives_with_missing_segments_fail(spark, tmp_path):
     block = warc._HTTP + warc.chunked(b"abc" * 5000)
     made = warc.page_records(1, "u", b"abc" * 5000, 1, True, 4096)
