@@ -1,12 +1,18 @@
 """Secret scanning: patterns propose candidates, a random forest removes false positives.
 
-Candidates are runs of 16 characters or more of the alphabets of keys (letters, digits, + / = _ -),
-within one line; a run needs a digit, or both cases. The forest sees, for each: its length, the share
+Candidates stand within one line and are of four kinds. Runs of 16 characters or more of the alphabets
+of keys (letters, digits, + / = _ -); a run needs a digit, or both cases. Tokens of parts joined by dots,
+as one candidate. Values of 6 characters or more, of any visible characters, that are assigned to a telling
+name; quoted ones may hold spaces, others end at a space or at the next assignment. Passwords of addresses
+(scheme://user:password@host). Equal spans are one candidate, a run of name and value is given as
+the value, and a run within a longer value is a candidate beside it. Of assignments nested in an unquoted
+value the outermost and the innermost are given. The forest sees, for each: its length, the share
 of character transitions (neighbouring characters of different classes, and pairs that are rare in
-words), entropy, the share covered by dictionary words, whether it stands in a path or address, and
+words), entropy, the share covered by dictionary words, other symbols, forms of code, whether it stands in a path or address or as its password, and
 the neighbouring words (assignment to a telling name, quotes, placeholder words). It is trained here,
 with Spark ML, from labelled findings: rows (line, start, end, secret). Without a table of them,
-``labelled_findings`` makes a documented, bounded number of them from fixed rules and a fixed seed.
+``labelled_findings`` makes a documented, bounded number of them from fixed rules and a fixed seed. Of a
+larger table distinct rows are taken in the order of a hash, half of them from each class as far as it goes.
 
 Candidates are found and described in one pass over the texts; only candidates travel.
 
@@ -34,6 +40,16 @@ from slotwise.llm.common import col
 from slotwise.llm.words import slices
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{16,}")
+DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+")
+ASSIGNMENT = re.compile(
+    r"""(?:api|auth|bearer|credential|key|pass|private|pwd|secret|token)[\w-]{0,40}["'`]?\]?[ \t]{0,20}"""
+    r"""(?::[ \t]{0,20}[\w.\[\], |]{1,40}?[ \t]=[ \t]{0,20}(?=["'`])|=>|:=|={1,3}|:)[ \t]{0,20}(?:(?:basic|bearer|digest|token)[ \t]+)?""",
+    re.I,
+)
+QUOTED = re.compile(r"""(["'`])((?:(?!\1)[^\\\n]|\\[^\n])*)\1""")
+PLAIN = re.compile(r"""(?:(?![;,&][ \t]{0,4}[\w.-]{1,40}[ \t]{0,4}[=:])(?!["'`](?:[\s,;)\]}>]|$))\S)+""", re.M)
+ADDRESS = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@"'`]{0,64}:([^\s/"'`]{6,4096})@""", re.I)
+LEAST = 6
 FINDINGS, SEED, TREES, DEPTH, THRESHOLD, NEARBY = 2000, 7, 30, 8, 0.5, 48
 
 # Names that go with secrets, words that mark placeholders, and common word parts.
@@ -48,8 +64,9 @@ WORD_PARTS = (
     "select", "server", "service", "session", "setting", "short", "simple", "size", "source", "start", "state", "static", "status", "string", "style", "system", "table",
     "target", "text", "that", "the", "this", "time", "tion", "title", "type", "update", "url", "user", "value", "version", "view", "web", "width", "window", "with", "word", "work",
 )
+_CODE = re.compile(r"[A-Za-z_]\w*\(|\$\{|\{\{|^[$%]|^<.*>$|^[A-Za-z_]\w*(?:(?:\.|->|::)[A-Za-z_]\w*)+$|^[A-Za-z_]\w*\[")
 _PARTS = re.compile("|".join(sorted(WORD_PARTS, key=len, reverse=True)))
-FEATURES = ("length", "transitions", "digit_runs", "entropy", "hex", "dictionary", "vowels", "path", "named", "quoted", "placeholder", "near_words")
+FEATURES = ("length", "transitions", "digit_runs", "entropy", "hex", "dictionary", "vowels", "path", "named", "quoted", "placeholder", "near_words", "symbols", "code", "credential")
 
 
 def describe(line: str, start: int, end: int) -> list[float]:
@@ -75,22 +92,68 @@ def describe(line: str, start: int, end: int) -> list[float]:
         covered,
         sum(c in "aeiou" for c in low) / max(1, letters),
         float(bool(re.search(r"(?:https?:|www\.|[\w.]+/)[^\s\"']*$", before)) or text.count("/") >= 2 or after[:1] == "/"),
-        float(any(w.rstrip("s") in NAMES or w.endswith(("key", "token", "secret", "password")) for w in near) and bool(re.search(r"[=:>]\s*[\"'`]?$", before))),
+        float(any(w.rstrip("s") in NAMES or w.endswith(("key", "token", "secret", "password", "passwd", "passphrase", "pwd")) for w in near) and bool(re.search(r"[=:>]\s*[\"'`]?$", before))),
         float(before[-1:] in "\"'`" and before[-1:] != "" and after[:1] == before[-1:]),
         float(any(p in low or p in around for p in PLACEHOLDERS)),
         float(sum(w in NAMES for w in near)),
+        sum(not c.isalnum() and c not in "+/=_-" for c in text) / n,
+        float(bool(_CODE.search(text))),
+        float(bool(re.search(r"://[^\s:/@]*:$", before)) and after[:1] == "@"),
     ]
 
 
-def candidates(line: str) -> list[tuple[int, int]]:
-    found = []
-    for m in CANDIDATE.finditer(line):
-        text = m.group()
-        if any(c.isdigit() for c in text) or (text.lower() != text and text.upper() != text):
-            found.append((m.start(), m.end()))
+def _assigned(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, quoted) of the values assigned to telling names, in order."""
+    found: list[tuple[int, int, bool]] = []
+    last = 0  # the end of the last unquoted value
+    nested = False
+    for m in ASSIGNMENT.finditer(text):
+        at = m.end()
+        if q := QUOTED.match(text, at):
+            found.append((*q.span(2), True))
+            continue
+        at += text[at : at + 1] in ("\"", "'", "`")
+        if at < last:
+            if nested:
+                found.pop()
+            nested = True
+            found.append((at, last, False))
+        elif v := PLAIN.match(text, at):
+            nested, last = False, v.end()
+            found.append((at, last, False))
     return found
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """The spans of all candidates in order, each within one line."""
+    values = set()
+    for start, end, quoted in _assigned(text):
+        while not quoted and end > start and text[end - 1] in ".,;":
+            end -= 1
+        if end - start >= LEAST and not text[start:end].isspace():
+            values.add((start, end))
+    values.update(m.span(1) for m in ADDRESS.finditer(text))
+    whole = []
+    for m in DOTTED.finditer(text):
+        parts = m.group().split(".")
+        if sum(len(p) >= 16 for p in parts) >= 2 and (len(parts) > 2 or m.group().startswith("eyJ")):
+            whole.append(m.span())
+    ends = {end: start for start, end in sorted(values, reverse=True)}  # the longest value of each end
+    runs, k = [], 0
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while k < len(whole) and whole[k][1] <= start:
+            k += 1
+        if k < len(whole) and whole[k][0] < end:
+            continue
+        if end in ends and 0 < ends[end] - start <= 40:
+            continue
+        run = m.group()
+        if any(c.isdigit() for c in run) or (run.lower() != run and run.upper() != run):
+            runs.append((start, end))
+    return sorted({*values, *whole, *runs})
+
+
 def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, int]]:
     """(line, start, end, secret): half of them secrets in assignments and headers, half false positives."""
     rng = random.Random(seed)
@@ -100,12 +163,20 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
     rows = []
     while len(rows) < n:
         secret = len(rows) % 2
-        kind = rng.randrange(6)
+        kind = rng.randrange(10)
         prose = " ".join(words(rng.randrange(2, 7)))
         if secret:
             value = some(hexa, rng.choice((32, 40, 64))) if kind < 3 else some(base, rng.randrange(20, 45)) if kind < 5 else some(base + "+/", rng.randrange(38, 60)) + "="
             name = rng.choice(NAMES)
+            if kind == 6:
+                value = some(base + "!@#$%&*.?^", rng.randrange(7, 18)) + rng.choice("!@#$%&*?^")
+            elif kind == 7:
+                value = rng.choice(words(1)).title().translate(str.maketrans("aeio", rng.choice(("4310", "@31o", "a3i0")))) + rng.choice("!@#$%&*_-") + some("0123456789", rng.randrange(2, 5))
+            elif kind == 8:
+                value = f"eyJ{some(base, rng.randrange(17, 34))}.{some(base + '_-', rng.randrange(20, 90))}.{some(base + '_-', 43)}" if rng.random() < 0.5 else some(base[26:52], rng.randrange(8, 24))
             lead = rng.choice((f'{name} = "', f"{name}: ", f"{name}='", f'"{name}": "', f"Authorization: {name} ", f"{rng.choice(words(1))}_{name}="))
+            if kind == 9:
+                value, lead = some(base + "!$%&*^", rng.randrange(8, 20)), f"{rng.choice(('postgres', 'https', 'amqp', 'redis'))}://{rng.choice(words(1))}:"
         elif kind == 0:
             value, lead = some(hexa, rng.choice((32, 40, 64))), rng.choice((f"https://{rng.choice(words(1))}.example.com/", "commit ", "sha1 of the file ", f"/{'/'.join(words(2))}/", "checksum "))
         elif kind == 1:
@@ -116,20 +187,39 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
             value, lead = "/".join([*words(4), some("0123456789", 4)]), rng.choice(("see ", "https://example.com/", "path: "))
         elif kind == 4:
             value, lead = rng.choice(("YOUR_API_KEY_GOES_HERE1", "xxxxxxxxxxxxxxxxxxxx0000", "example-token-1234567890", "changeme-password-0001", "test_secret_key_123456")), f'{rng.choice(NAMES)} = "'
+        elif kind == 6:
+            a, b = words(2)
+            value = rng.choice((a + b, f"{a}.{b}_value", f"get_{a}({b})", f"{a}[{b}]", f"${{{a.upper()}_{b.upper()}}}", f"<{a}-{b}>", f"{a}_{b}", "undefined", "required", "optional", "string"))
+            lead = rng.choice((f"{rng.choice(NAMES)} = ", f"{rng.choice(NAMES)}: "))
+        elif kind == 7:
+            value, lead = " ".join(words(rng.randrange(2, 7))), f'{rng.choice(NAMES)}: "'
+        elif kind == 8:
+            value, lead = ".".join("_".join(words(4)) for _ in range(3)), rng.choice(("import ", f"{rng.choice(NAMES)} = "))
+        elif kind == 9:
+            value, lead = rng.choice(("changeme", "your-password", "example1", "xxxxxxxx", "password", "test1234")), rng.choice((f'{rng.choice(NAMES)} = "', f"{rng.choice(NAMES)}: "))
         else:
             value, lead = rng.choice((some("0123456789", rng.randrange(16, 22)), "-".join(words(5)) + "-" + str(rng.randrange(2030)), "=" * rng.randrange(16, 40) + "1")), rng.choice(("", "order ", "number "))
         quote = lead[-1:] if lead[-1:] in "\"'" else ""
-        line = f"{prose} {lead}{value}{quote} {' '.join(words(3))}"
-        at = line.index(value, len(prose))
+        host = f"@{rng.choice(words(1))}.example.com" if secret and kind == 9 else ""
+        line = f"{prose} {lead}{value}{quote}{host} {' '.join(words(3))}"
+        at = len(prose) + 1 + len(lead)
         spans = [s for s in candidates(line) if s[0] <= at < s[1] or at <= s[0] < at + len(value)]
         if spans:
-            rows.append((line, *spans[0], secret))
+            rows.append((line, *((at, at + len(value)) if (at, at + len(value)) in spans else spans[0]), secret))
     return rows
 
 
+def _sample(findings: DataFrame, most: int) -> list[tuple[str, int, int, int]]:
+    """At most ``most`` distinct rows in the order of a hash, half of each class or what it has."""
+    rows = findings.select("line", "start", "end", F.col("secret").cast("int").alias("secret")).where("line IS NOT NULL").distinct()
+    no, yes = ([tuple(r) for r in rows.where(F.col("secret") == c).orderBy(F.xxhash64("line", "start", "end"), "line", "start", "end").limit(most).collect()] for c in (0, 1))
+    n = min(len(yes), max(most // 2, most - len(no)))
+    return no[: most - n] + yes[:n]
+
+
 def train(spark: SparkSession, findings: DataFrame | None = None, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, most: int = FINDINGS) -> RandomForestClassificationModel:
     """A forest from labelled findings (line, start, end, secret), from at most ``most`` rows of them."""
-    rows = labelled_findings(most, seed) if findings is None else [tuple(r) for r in findings.select("line", "start", "end", "secret").where("line IS NOT NULL").orderBy("line", "start").limit(most).collect()]
+    rows = labelled_findings(most, seed) if findings is None else _sample(findings, most)
     if {r[3] for r in rows} != {0, 1}:
         raise ValueError("labelled findings of both classes are needed")
     data = spark.createDataFrame([(*describe(*r[:3]), float(r[3])) for r in rows], ", ".join(f"{f} double" for f in FEATURES) + ", secret double")

@@ -284,6 +284,32 @@ def test_secret_candidates(spark):
     assert all(text[r.start : r.end] == "Zx81kQpL0aRt5vBn77YwEc3D" and r.secret for r in rows if r.doc_id != 4)
 
 
+def test_secrets_of_any_visible_characters(spark):
+    jwt = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    values = ["Tr0ub4dor&3", "a.b!c@d:e$f9", "qzxkvwjpqzxkvwjp", "correct horse battery", jwt, "s3cr!t$Pw9", "Zx81kQpL0aRt5vBn77YwEc3D"]
+    leads = ['password = "{}"', "db_password: {}", "password={}", "passphrase: '{}'", "see {} there", "postgres://user:{}@host/db", "Server=h;Password={};User=me"]
+    df = spark.createDataFrame([(k, "é text\n" + lead.format(v) + " more\nend") for k, (v, lead) in enumerate(zip(values, leads, strict=True))], "doc_id bigint, text string")
+    rows = secret_scan.find_secrets(df, secret_scan.train(spark)).collect()
+    texts = dict(df.collect())
+    found = {(r.doc_id, texts[r.doc_id][r.start : r.end]): r.secret for r in rows}
+    assert all((k, v) in found for k, v in enumerate(values))
+    assert [t for d, t in found if d == 4] == [jwt] and found[0, values[0]] and found[1, values[1]] and found[5, values[5]]
+
+
+def test_candidates_of_nested_assignments_are_few():
+    assert secret_scan.candidates("key=" * 50_000 + "Tr0ub4dor&3") == [(0, 200_009), (4, 200_011), (200_000, 200_011)]
+    assert secret_scan.candidates('auth_url = "https://h/?token=hunter22&x=1"') == [(12, 41), (29, 37)]
+
+
+def test_training_rows_are_no_prefix(spark):
+    rows = [(f"a{k:03d} value", 0, 4, 0) for k in range(300)] + [(f"z{k:03d} value", 0, 4, 1) for k in range(30)]
+    df = spark.createDataFrame(rows * 2, "line string, start int, end int, secret int")
+    taken = secret_scan._sample(df, 100)
+    assert Counter(r[3] for r in taken) == {0: 70, 1: 30} and len(set(taken)) == 100
+    assert max(r[0] for r in taken if not r[3]) > "a200"
+    secret_scan.train(spark, df, trees=2, most=100)
+
+
 def test_training_needs_both_classes(spark):
     with pytest.raises(ValueError, match="both"):
         secret_scan.train(spark, spark.createDataFrame([("a", 0, 1, 1)], "line string, start int, end int, secret int"))
