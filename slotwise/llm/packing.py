@@ -1,7 +1,8 @@
 """Conflict-constrained best-fit packing of documents into token windows.
 
-Documents are dealt by digest to groups of about ``rows_a_group`` rows, a number that follows the
-table; each group is packed by itself, longest first. Only ids, lengths, sources and clusters travel,
+Documents are dealt by id, digest and source to groups of about ``rows_a_group`` rows, a number that
+follows the table; rows that repeat are counted and dealt each by the number of the copy, so that no
+group grows with them. Each group is packed by itself, longest first. Only ids, lengths, sources and clusters travel,
 no texts.
 
 Within a group the bins stand in order of their residual space. A bin carries a bitmap of its sources
@@ -148,12 +149,14 @@ def pack(
     length: Column | None = None,
     source_col: str | None = "source",
     cluster: Column | None = None,
+    classes: DataFrame | None = None,
     rows_a_group: int = ROWS_A_GROUP,
 ) -> DataFrame:
     """(id, piece, start, length, bin_group, bin, bin_offset) of every piece of every document.
 
     ``length`` counts tokens (default: words of the text), ``cluster`` names the duplicate cluster
-    (default: equal texts). With ``source_col=None`` sources do not conflict.
+    (default: equal texts). ``classes`` has rows (node, label) for the digests of texts that belong to a
+    class of several texts; their cluster is the label. With ``source_col=None`` sources do not conflict.
     """
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     node = digest(text)
@@ -165,7 +168,12 @@ def pack(
         (F.when(col(text_col).isNotNull(), F.hex(node)) if cluster is None else cluster.cast("string")).alias("cluster"),
     )
     groups = max(1, -(-docs.count() // rows_a_group))
-    rows = rows.withColumn("bin_group", F.pmod(F.xxhash64("id", "node"), F.lit(groups)).cast("int"))
+    if classes is not None:
+        labels = classes.select(F.hex("node").alias("node"), F.hex("label").alias("label"))
+        rows = rows.join(labels, "node", "left").withColumn("cluster", F.when(F.col("cluster").isNotNull(), F.coalesce("label", "cluster"))).drop("label")
+    counted = rows.groupBy("id", "node", "size", "source", "cluster").count()
+    rows = counted.select("id", "node", "size", "source", "cluster", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("count"))).alias("copy"))
+    rows = rows.withColumn("bin_group", F.pmod(F.xxhash64("id", "node", "source", "copy"), F.lit(groups)).cast("int")).drop("copy")
 
     def run(key, batch: pd.DataFrame) -> pd.DataFrame:
         batch["id"] = batch["id"].astype("Int64")

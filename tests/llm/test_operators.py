@@ -43,6 +43,21 @@ def test_packing_groups_keep_their_constraints(docs):
     assert not whole.duplicated(["bin_group", "bin", "source"]).any()
 
 
+def test_packing_keeps_near_copies_apart(spark, tmp_path):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*words[:k], "changed", *words[k + 1 :]]) if k else " ".join(words), f"s{k}") for k in (0, 59)] + [(9, "other words", "s9"), (10, None, "s10")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: (r.bin_group, r.bin) for r in queries.op1_best_fit_packing(spark, str(tmp_path)).collect()}
+    assert len(found) == 4 and found[0] != found[59]
+
+
+def test_packing_groups_of_repeated_rows_are_bounded(spark):
+    rows = [(None, "same words", f"s{k % 50}") for k in range(1000)] + [(1, "same words", "s")] * 1000
+    found = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), rows_a_group=100)
+    sizes = [r["count"] for r in found.groupBy("bin_group").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 200
+
+
 # ---------------------------------------------------------------- decontamination
 
 
