@@ -5,10 +5,12 @@ response, with chunked transfer framing; the others are written as revisit recor
 A response longer than ``segment_bytes`` is split: the first record has segment number 1, the rest are
 continuation records with the first record's id as origin and rising segment numbers, and the last
 one states the total length. Archives are written by Spark's text writer, one record a line (a record
-ends with a line break), in files of a bounded number of records.
+ends with a line break), compressed by gzip, in files of a bounded number of records. As a record holds
+at most ``segment_bytes`` and its headers, that bounds their bytes too: 16,384 records of 16 KiB are below 280 MB
+before compression.
 
-Reading. Files are parsed record by record by their content lengths, so that nothing inside a payload
-can look like a record. Whole responses are decoded where they are found. Segments are grouped by
+Reading. Files are unpacked piece by piece and parsed record by record by their content lengths, so that
+nothing inside a payload can look like a record, and a task holds a compressed file, one record and 256 rows. Whole responses are decoded where they are found. Segments are grouped by
 origin id, ordered by segment number and joined; their total length is verified, then the chunked
 transfer framing is decoded. Only segments travel. A missing, repeated or overlong segment, a wrong
 total or broken framing raises an error.
@@ -17,7 +19,8 @@ Defined cases: a null payload counts as empty; payloads of length 0 are equal pa
 repeat a page id with an equal payload are all responses if the id is the largest, and each has record
 and segment ids of its own, made from page id, digest, address and the number of the copy; a revisit
 refers to a first copy; a null id ranks lowest and is written empty; an empty table gives an archive
-without records.
+without records; further columns, whatever their names, are left out; a payload of any length is split,
+none is cut.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from slotwise.llm.common import col, cut, shared_dir
 from slotwise.llm.words import slices
 
-SEGMENT_BYTES, CHUNK_BYTES, RECORDS_A_FILE = 16 << 10, 4 << 10, 512
+SEGMENT_BYTES, CHUNK_BYTES, RECORDS_A_FILE, PIECE = 16 << 10, 4 << 10, 16384, 1 << 18
 CRLF = b"\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -63,21 +67,55 @@ def record(kind: str, fields: dict[str, str], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + CRLF + block + CRLF + CRLF
 
 
-def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of every record of an archive file."""
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode().split("\r\n")
+def unpacked(content: bytes) -> Iterator[bytes]:
+    """The bytes of a file in pieces, decompressed if it is gzip, of one member or more."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    rest = memoryview(content)
+    while rest:
+        member = zlib.decompressobj(31)
+        for at in range(0, len(rest), PIECE):
+            yield member.decompress(rest[at : at + PIECE])
+            if member.eof:
+                rest = rest[min(at + PIECE, len(rest)) - len(member.unused_data) :]
+                break
+        else:
+            raise ValueError("the archive ends within a gzip member")
+
+
+def records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of every record of an archive that comes in pieces."""
+    source = iter(pieces)
+    held, at, done = b"", 0, 0
+
+    def have(n: int) -> bool:
+        """Whether ``n`` bytes from the record's first on are there, reading on as needed."""
+        nonlocal held, at
+        if len(held) - at < n:
+            parts, size = [held[at:]], len(held) - at
+            while size < n and (piece := next(source, None)) is not None:
+                parts.append(piece)
+                size += len(piece)
+            held, at = b"".join(parts), 0
+        return len(held) - at >= n
+
+    while have(1):
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            there = len(held) - at
+            if not have(there + 1):
+                raise ValueError(f"no end of the headers of the record at byte {done}")
+        lines = held[at:end].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record at byte {done}")
         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-        begin = end + 4
-        stop = begin + int(fields["Content-Length"])
-        if content[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"wrong length of the record at byte {at}")
-        yield fields, content[begin:stop]
-        at = stop + 4
+        head = end + 4 - at
+        length = head + int(fields["Content-Length"])
+        if not have(length + 4) or held[at + length : at + length + 4] != b"\r\n\r\n":
+            raise ValueError(f"wrong length of the record at byte {done}")
+        yield fields, held[at + head : at + length]
+        at += length + 4
+        done += length + 4
 
 
 def _id(*parts: object) -> str:
@@ -142,7 +180,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    known.mapInArrow(run, "value string").write.option("lineSep", "\n").option("maxRecordsPerFile", records_a_file).text(path)
+    known.mapInArrow(run, "value string").write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -179,23 +217,34 @@ def _number(text: str | None) -> int | None:
     return int(text) if text else None
 
 
+def _row(f: dict[str, str], block: bytes) -> tuple | None:
+    """A record as a row: a revisit or whole response, or a segment."""
+    kind, page, said = f["WARC-Type"], _number(f.get("WARC-Page-ID")), f.get("WARC-Payload-Digest", "")[5:] or None
+    if "WARC-Segment-Number" in f:
+        origin = f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"])
+        return page, block, None, said, kind, None, origin, int(f["WARC-Segment-Number"]), _number(f.get("WARC-Segment-Total-Length"))
+    if kind == "revisit":
+        length = next(int(x.split(b":")[1]) for x in block.split(CRLF) if x.lower().startswith(b"content-length:"))
+        return page, None, length, said, kind, _number(f.get("WARC-Refers-To-Page")), None, None, None
+    if kind == "response":
+        payload, sha = _payload(block, said)
+        return page, payload, len(payload), sha, kind, None, None, None, None
+    return None
+
+
 def _parse(batches):
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PARSED, strict=True)], schema=_PARSED)
     for batch in batches:
         for content in batch.column(0):
             rows = []
-            for f, block in records(content.as_py()):
-                kind, page, said = f["WARC-Type"], _number(f.get("WARC-Page-ID")), f.get("WARC-Payload-Digest", "")[5:] or None
-                if "WARC-Segment-Number" in f:
-                    origin = f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"])
-                    rows.append((page, block, None, said, kind, None, origin, int(f["WARC-Segment-Number"]), _number(f.get("WARC-Segment-Total-Length"))))
-                elif kind == "revisit":
-                    length = next(int(x.split(b":")[1]) for x in block.split(CRLF) if x.lower().startswith(b"content-length:"))
-                    rows.append((page, None, length, said, kind, _number(f.get("WARC-Refers-To-Page")), None, None, None))
-                elif kind == "response":
-                    payload, sha = _payload(block, said)
-                    rows.append((page, payload, len(payload), sha, kind, None, None, None, None))
-            for i in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[i : i + 256], strict=True), _PARSED, strict=True)], schema=_PARSED)
+            for fields, block in records(unpacked(content.as_py())):
+                if row := _row(fields, block):
+                    rows.append(row)
+                if len(rows) == 256:
+                    yield batch_of(rows)
+                    rows = []
+            if rows:
+                yield batch_of(rows)
 
 
 def _join(batches):
