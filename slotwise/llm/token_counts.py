@@ -2,7 +2,9 @@
 
 A stored table holds counts by (tokenizer digest, content digest). Contents are joined to it by their
 digests; only distinct contents it lacks are encoded, each once, and appended. Then every row takes
-its count from the cache. Texts travel only if their content is missing.
+its count from the cache. The missing digests are counted: up to ``BROADCAST_ROWS`` of them select their
+texts where these are read, and only those travel; of more, equal texts meet in each task first, and one of
+each is dealt by its digest and meets them there.
 
 Normalised content is the text as the tokenizer sees it: null becomes the empty text, and the
 tokenizer's own normalizer, where it has one, acts inside the encoding; nothing else is changed, so
@@ -16,8 +18,13 @@ counts of units, and only units they lack go through the library (a plain word,
 pre-tokenizer, straight to its model). Tokenizers of other kinds, and those
 whose special tokens have odd flags, get whole texts.
 
+The tokenizer's file is read by the driver and broadcast; it is a vocabulary of a few megabytes, and one above
+``FILE_BYTES`` is refused.
+
 Defined cases: a null or empty text has 0 tokens; special strings inside texts are what the library
-takes them for by default; rows that repeat share one cache row; an empty table gives an empty result.
+takes them for by default; rows that repeat share one cache row; texts of any length are encoded whole (the
+library needs about 60 bytes of memory for each of theirs); an empty table gives an empty result; further
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -32,10 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import col, digest, shared_dir
+from slotwise.llm.common import col, digest, shared_dir, stored
 from slotwise.llm.words import slices
 
-LIMIT, MEMO, BROADCAST_ROWS = 512, 400_000, 100_000
+LIMIT, MEMO, BROADCAST_ROWS, FILE_BYTES = 512, 400_000, 100_000, 64 << 20
 _RUN = re.compile(r"\s\s")
 _UNIT = re.compile(r"(?<=\S) (?=\S)")
 _LATIN = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]"
@@ -53,32 +60,33 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-def file_digest(path: str) -> str:
+def tokenizer_file(path: str) -> bytes:
+    if os.path.getsize(path) > FILE_BYTES:
+        raise ValueError(f"a tokenizer file of more than {FILE_BYTES} bytes is not broadcast")
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read()).hexdigest()
+        return f.read()
 
 
 class Counter:
-    """Counts the tokens of texts with one tokenizer file (.json: tokenizers, .model: sentencepiece)."""
+    """Counts the tokens of texts with one tokenizer, from the bytes of its file (JSON: tokenizers, else: sentencepiece)."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, content: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.splits = False
-        if path.endswith(".model"):
+        if content[:1] != b"{":
             import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            model = sentencepiece.SentencePieceProcessor(model_proto=content)
             self._encode = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
             return
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_buffer(content)
         tokenizer.no_truncation()
         tokenizer.no_padding()
         self._model = tokenizer.model
         self._encode = lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        with open(path, encoding="utf-8") as f:
-            said = json.load(f)
+        said = json.loads(content)
         before = said.get("pre_tokenizer") or {}
         plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in said.get("added_tokens", []))
         self.splits = said.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and plain
@@ -118,10 +126,11 @@ class Counter:
 _counters: dict[str, Counter] = {}
 
 
-def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+def counter(tokenizer: str, content) -> Counter:
+    """The counter of a tokenizer digest, one a worker; ``content`` is the broadcast file."""
+    if tokenizer not in _counters:
+        _counters[tokenizer] = Counter(content.value)
+    return _counters[tokenizer]
 
 
 def read_cache(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
@@ -139,15 +148,19 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, cache_path: str | None
     Counts are kept in the Parquet table ``cache_path``; without it, in a new table in the shared folder.
     """
     spark = docs.sparkSession
-    tokenizer = file_digest(tokenizer_path)
+    content = tokenizer_file(tokenizer_path)
+    tokenizer = hashlib.sha256(content).hexdigest()
+    shipped = spark.sparkContext.broadcast(content)
     cache_path = cache_path or f"{shared_dir(spark)}/slotwise/token-counts-{uuid.uuid4().hex}"
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(col(id_col).alias("id"), text.alias("text"), digest(text).alias("content"))
-    missing = rows.select("content").distinct().join(read_cache(spark, cache_path, tokenizer), "content", "left_anti")
-    texts = rows.select("content", "text").join(missing, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
+    rows = docs.select(text.alias("text"), digest(text).alias("content"))
+    missing = stored(rows.select("content").distinct().join(read_cache(spark, cache_path, tokenizer), "content", "left_anti"), "missing")
+    if missing.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(missing), "content", "left_semi")
+    texts = rows.groupBy("content").agg(F.first("text").alias("text")).join(missing, "content", "left_semi")
 
     def encode(batches):
-        count = counter(tokenizer_path).count
+        count = counter(tokenizer, shipped).count
         for whole in batches:
             for batch in slices(whole, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count(batch.column(1).to_pylist()), pa.int64())], names=["content", "n_tokens"])
