@@ -72,10 +72,6 @@ def benjamini_hochberg(tests: DataFrame, p: str, order: str, by: list[str], q: s
     return ranked.withColumn(q, F.when(~none, F.least(F.lit(1.0), lowest))).drop("bh_m", "bh_rank")
 
 
-def demeaned(rows: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    return rows.withColumn(name, F.col(value) - F.avg(value).over(Window.partitionBy(*by)))
-
-
 def spread(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Median, 90th percentile, minimum and maximum, rounded half-even to two places."""
     return rows.groupBy(*by).agg(*[F.bround(e, 2).alias(n) for n, e in {"median": median(value), "p90": quantile(value, 0.9), "min": F.min(value), "max": F.max(value)}.items()])

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions.stats import array_median, average_rank, benjamini_hochberg, median, p_value, pearson
 from slotwise.functions.time import local_hour
+from slotwise.operators.places import small
 from slotwise.policy import Association
+from slotwise.session import cut
 
 
 def deviations(compared: DataFrame, policy: Association) -> DataFrame:
@@ -89,7 +92,7 @@ def tests_of(registry: DataFrame, policy: Association) -> DataFrame:
 
 def period_tests(series: DataFrame, registry: DataFrame, policy: Association) -> DataFrame:
     """All tests of a period with support, correlation, system-wide and residual-hour checks, q and the reverse lag."""
-    series = series.cache()
+    series = cut(series)
     tests = tests_of(registry, policy).join(series.select(F.col("facility").alias("leader")).distinct(), "leader", "left_semi").join(series.select(F.col("facility").alias("follower")).distinct(), "follower", "left_semi")
     level, delta = series, changes(series, policy)
     is_level = F.col("family") == "co_deviation"
@@ -139,10 +142,24 @@ def confirm(first: DataFrame, later: DataFrame, policy: Association) -> DataFram
 def band_summary(tests: DataFrame, distances: DataFrame, policy: Association) -> DataFrame:
     """By family and distance band: pairs, median r, share of positive r, significant tests. ``distances`` has a, b, band."""
     both = distances.select(F.col("a").alias("leader"), F.col("b").alias("follower"), "band").unionByName(distances.select(F.col("b").alias("leader"), F.col("a").alias("follower"), "band"))
-    met = tests.where("r IS NOT NULL").join(F.broadcast(both), ["leader", "follower"])
+    met = tests.where("r IS NOT NULL").join(small(both, 100_000), ["leader", "follower"])
     return met.groupBy("family", "band").agg(F.count(F.lit(1)).alias("pairs"), F.round(median("r"), 6).alias("median_r"), F.avg((F.col("r") > 0).cast("int")).alias("positive_share"), F.count_if(F.col("q") <= policy.fdr_q).alias("significant"))
 
 
+def family_counts(tests: DataFrame) -> DataFrame:
+    """How many pairs of each family were tested, of how many."""
+    return tests.groupBy("family").agg(F.count(F.lit(1)).alias("pairs"), F.count("p").alias("tested"))
+
+
+def series_support(series: DataFrame, zeros: DataFrame, registry: DataFrame, policy: Association) -> DataFrame:
+    """(facility, bins, zero_share, lag1) of every facility: its bins, share of zero readings, and lag-1 autocorrelation of its deviations."""
+    before = series.select("facility", (F.col("bin") + policy.bin_seconds).alias("bin"), F.col("deviation").alias("last"))
+    lag1 = series.join(before, ["facility", "bin"]).groupBy("facility").agg(F.when(F.count(F.lit(1)) > 2, F.coalesce(pearson("last", "deviation"), F.lit(0.0))).otherwise(0.0).alias("lag1"))
+    bins = series.groupBy("facility").agg(F.count(F.lit(1)).alias("bins"))
+    rows = registry.select("facility").join(bins, "facility", "left").join(zeros.select("facility", "zero_share"), "facility", "left").join(lag1, "facility", "left")
+    return rows.select("facility", F.coalesce("bins", F.lit(0)).alias("bins"), "zero_share", F.coalesce("lag1", F.lit(0.0)).alias("lag1"))
+
+
 def episodes(series: DataFrame, pairs: DataFrame, threshold: float, policy: Association, limit: int = 5) -> DataFrame:
     """The longest runs of consecutive bins in which both of a pair stand above the threshold."""
     a = series.where(F.col("deviation") >= threshold)
@@ -154,26 +171,67 @@ def episodes(series: DataFrame, pairs: DataFrame, threshold: float, policy: Asso
     return found.withColumn("place", place).where(F.col("place") <= limit).drop("run")
 
 
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """Ranks from 0; ties share their mean."""
+    _, place, n = np.unique(values, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n + 1) / 2)[place]
+
+
 def bootstrap(rows: DataFrame, policy: Association) -> DataFrame:
-    """95 % interval of the rank correlation of each test by day-block resampling; each test has its own generator.
+    """95 % interval of the rank correlation of each test by resampling of UTC days; each test has its own generator.
 
-    A seed derived from the test replaces one generator shared over all tests, so that tests are independent tasks.
+    A seed derived from the test replaces one generator shared over all tests, so that tests are independent tasks. A
+    test's rows, one an hour of a period, are one task; correlations without variance do not count, and below 20 there is no interval.
     """
     resamples, seed = policy.resamples, policy.seed
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("bin")
-        blocks = [g[["x", "y"]] for _, g in frame.groupby(frame["bin"] // 86400, sort=False)]
-        rng = random.Random(f"{seed}:{'|'.join(map(str, key))}")
+        x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
+        day = frame["bin"].to_numpy() // 86400
+        edges = np.flatnonzero(np.append(True, day[1:] != day[:-1]))
+        blocks = np.split(np.arange(len(day)), edges[1:])
+        draw = random.Random(f"{seed}:{'|'.join(map(str, key))}")
         values = []
         for _ in range(resamples):
-            sample = pd.concat([rng.choice(blocks) for _ in blocks])
-            r = sample["x"].rank().corr(sample["y"].rank())
-            if r == r:
-                values.append(r)
+            picked = np.concatenate(draw.choices(blocks, k=len(blocks)))
+            a, b = _ranks(x[picked]), _ranks(y[picked])
+            if a.std() > 0 and b.std() > 0:
+                values.append(float(np.corrcoef(a, b)[0, 1]))
         values.sort()
-        known = len(values) >= 20
-        low, high = (values[int(q * (len(values) - 1))] if known else None for q in (0.025, 0.975))
+        low, high = (values[int(q * (len(values) - 1))] if len(values) >= 20 else None for q in (0.025, 0.975))
         return pd.DataFrame([(*key, low, high)], columns=[*KEY, "low", "high"])
 
     return rows.select(*KEY, "bin", "x", "y").groupBy(*KEY).applyInPandas(run, "family string, leader string, follower string, lag_hours int, low double, high double")
+
+
+def merged(first: DataFrame, later: DataFrame) -> DataFrame:
+    """The series of two periods as one; where both have a bin, the later one counts."""
+    both = first.withColumn("period", F.lit(0)).unionByName(later.withColumn("period", F.lit(1)))
+    return both.groupBy("facility", "bin").agg(F.max_by("deviation", "period").alias("deviation"))
+
+
+def study(first: DataFrame, later: DataFrame, registry: DataFrame, distances: DataFrame, zeros: DataFrame, policy: Association) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Discovery over all pairs of one period's series, confirmation of its candidates in another's.
+
+    Gives the candidates with their label, both periods' correlation and interval and the confirmation's q; the episodes of
+    the confirmed ones; and all tests with a column ``period``. ``distances`` has a, b, km, band; ``zeros`` facility, zero_heavy.
+    A pair with a zero-heavy facility stays exploratory.
+    """
+    tests = {name: cut(is_candidate(period_tests(s, registry, policy), policy)) for name, s in (("discovery", first), ("confirmation", later))}
+    found = tests["discovery"].where("candidate")
+    again = confirm(tests["discovery"], tests["confirmation"], policy)
+    heavy = zeros.where("zero_heavy").select("facility")
+    of_pair = lambda c: heavy.select(F.col("facility").alias(c), F.lit(True).alias(f"heavy_{c}"))
+    km = distances.select(F.col("a").alias("leader"), F.col("b").alias("follower"), "km", "band").unionByName(distances.select(F.col("b").alias("leader"), F.col("a").alias("follower"), "km", "band"))
+    rows = found.select(*KEY, "r", "q").join(tests["confirmation"].select(*KEY, F.col("r").alias("later_r"), F.col("p").alias("later_p")), KEY, "left").join(again, KEY, "left")
+    rows = rows.join(small(km, 100_000), ["leader", "follower"], "left").join(of_pair("leader"), "leader", "left").join(of_pair("follower"), "follower", "left")
+    rows = rows.withColumn("label", F.when(F.coalesce("heavy_leader", "heavy_follower", F.lit(False)), "exploratory").when(F.coalesce("confirmed", F.lit(False)), "confirmed").otherwise("not_supported")).drop("heavy_leader", "heavy_follower")
+    for name, series in (("discovery", first), ("confirmation", later)):
+        level = F.col("family") == "co_deviation"
+        wanted = found.select(*KEY)
+        aligned_rows = aligned(series, wanted.where(level), policy).unionByName(aligned(changes(series, policy), wanted.where(~level), policy))
+        rows = rows.join(bootstrap(aligned_rows, policy).select(*KEY, F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high")), KEY, "left")
+    rows = cut(rows)
+    pairs = rows.where("label = 'confirmed'").select(F.col("leader").alias("a"), F.col("follower").alias("b")).distinct()
+    return rows, episodes(merged(first, later), pairs, policy.episode_minutes, policy), tests["discovery"].withColumn("period", F.lit("discovery")).unionByName(tests["confirmation"].withColumn("period", F.lit("confirmation")))

@@ -10,23 +10,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions.stats import quantile
-from slotwise.policy import Forecast
+from slotwise.functions.time import local_date, local_hour
+from slotwise.operators.baseline import models
+from slotwise.policy import Baseline, Forecast
 
 MODELS = ("carry_forward", "daily_naive", "weekly_naive", "m1_median")
 
 
 def origins(grid: DataFrame, start: int, end: int, policy: Forecast) -> DataFrame:
     """(facility, origin, horizon_minutes, target): hourly origins of every facility; targets at or past the end are left out."""
-    spine = grid.select("facility").distinct().select("facility", F.explode(F.sequence(F.lit(start).cast("bigint"), F.lit(end - 1).cast("bigint"), F.lit(policy.origin_seconds).cast("bigint"))).alias("origin"))
+    spine = grid.select("facility").distinct().select("facility", F.explode(F.sequence(F.lit(start).cast("bigint"), F.lit(max(start, end - 1)).cast("bigint"), F.lit(policy.origin_seconds).cast("bigint"))).alias("origin"))
     rows = spine.select("*", F.explode(F.array(*[F.lit(h) for h in policy.horizons_minutes])).alias("horizon_minutes"))
     return rows.withColumn("target", F.col("origin") + 60 * F.col("horizon_minutes")).where(F.col("target") < end)
 
 
-def replay(grid: DataFrame, usual: DataFrame | None, start: int, end: int, policy: Forecast, delay_slots: int = 0) -> DataFrame:
+def usual_targets(asked: DataFrame, policy: Forecast, delay_slots: int = 0) -> DataFrame:
+    """``asked`` (facility, origin, target) with local_date and local_hour of the target and known_before, the origin's local day.
+
+    A forecast over local midnight uses what was known before the day of its origin, not before that of its target.
+    """
+    at = lambda c: F.timestamp_seconds(c)
+    return asked.withColumns(
+        {
+            "local_date": local_date(at(F.col("target")), policy.zone),
+            "local_hour": local_hour(at(F.col("target")), policy.zone),
+            "known_before": local_date(at(F.col("origin") - delay_slots * policy.cadence_seconds), policy.zone),
+        }
+    )
+
+
+def usual_medians(slots: DataFrame, cal: DataFrame, asked: DataFrame, policy: Forecast, baseline: Baseline, delay_slots: int = 0) -> DataFrame:
+    """(facility, origin, target, m1_median): the usual median of each target's local day and hour. ``slots`` has the grid's winners."""
+    keyed = usual_targets(asked.select("facility", "origin", "target").distinct(), policy, delay_slots)
+    key = ["facility", "local_date", "local_hour", "known_before"]
+    found = models(keyed.select(*key).distinct(), slots, cal, baseline).select(*key, F.col("median").alias("m1_median"))
+    return keyed.join(found, key).select("facility", "origin", "target", "m1_median")
+
+
+def spikes(grid: DataFrame, asked: DataFrame, policy: Forecast, delay_slots: int = 0) -> DataFrame:
+    """(facility, origin, p90) of the trailing days up to the cutoff, where they have enough slots.
+
+    Origins are exploded to the days that they look back on, a bounded number, and meet the slots of each in an equi-join.
+    """
+    window, cut = policy.spike_days * 86400, delay_slots * policy.cadence_seconds
+    day = lambda c: F.floor(c / 86400).cast("bigint")
+    days = asked.select("facility", "origin").distinct().withColumn("day", F.explode(F.sequence(day(F.col("origin") - window), day(F.col("origin") - cut))))
+    values = grid.select("facility", "slot_end", "value", day(F.col("slot_end")).alias("day"))
+    met = days.join(values, ["facility", "day"]).where((F.col("slot_end") > F.col("origin") - window) & (F.col("slot_end") <= F.col("origin") - cut))
+    found = met.groupBy("facility", "origin").agg(F.count(F.lit(1)).alias("n"), quantile("value", 0.9).alias("p90"))
+    return found.where(F.col("n") >= policy.spike_minimum).select("facility", "origin", "p90")
+
+
+def replay(grid: DataFrame, usual: DataFrame, start: int, end: int, policy: Forecast, delay_slots: int = 0) -> DataFrame:
     """Benchmark predictions of every origin and horizon, with the actual value.
 
-    ``usual`` has facility, origin, target, m1_median: the median of the target's local day and hour
-    from days before the origin's. Nothing is predicted if the latest available slot is empty. Every
+    ``usual`` comes from ``usual_medians``. Nothing is predicted if the latest available slot is empty. Every
     lookup is an equi-join on (facility, slot).
     """
     cut = delay_slots * policy.cadence_seconds
@@ -40,7 +78,7 @@ def replay(grid: DataFrame, usual: DataFrame | None, start: int, end: int, polic
     )
     rows = rows.join(value("actual", "target"), ["facility", "target"], "left").join(value("current", "cutoff"), ["facility", "cutoff"], "left")
     rows = rows.join(value("day", "daily_at"), ["facility", "daily_at"], "left").join(value("week", "weekly_at"), ["facility", "weekly_at"], "left")
-    rows = rows.join(usual, ["facility", "origin", "target"], "left") if usual is not None else rows.withColumn("m1_median", F.lit(None).cast("double"))
+    rows = rows.join(usual, ["facility", "origin", "target"], "left")
     there = F.col("current").isNotNull()
     rows = rows.select(
         "facility", "origin", "target", "horizon_minutes", "actual",
@@ -49,15 +87,19 @@ def replay(grid: DataFrame, usual: DataFrame | None, start: int, end: int, polic
         F.when(there & (F.col("weekly_at") <= F.col("cutoff")), F.col("week")).cast("double").alias("weekly_naive"),
         F.when(there, F.col("m1_median")).cast("double").alias("m1_median"),
     )
-    # The spike threshold comes from the slots of the trailing days up to the cutoff: origins join them in one window.
-    asked = rows.select("facility", F.col("origin").alias("t")).distinct().select("facility", "t", F.lit(None).cast("double").alias("p90"), F.lit(1).alias("kind"))
-    values = grid.select("facility", F.col("slot_end").alias("t"), "value", F.lit(0).alias("kind")).unionByName(asked.select("facility", "t", F.lit(None).cast("int").alias("value"), "kind"), allowMissingColumns=True)
-    frame = Window.partitionBy("facility").orderBy("t").rangeBetween(-policy.spike_days * 86400 + 1, -cut)
-    seen = values.withColumn("p90", F.when(F.count("value").over(frame) >= policy.spike_minimum, F.percentile("value", F.lit(0.9)).over(frame))).where("kind = 1")
-    rows = rows.join(seen.select("facility", F.col("t").alias("origin"), "p90"), ["facility", "origin"], "left")
+    rows = rows.join(spikes(grid, rows, policy, delay_slots), ["facility", "origin"], "left")
     return rows.withColumn("spike", F.coalesce(F.col("actual") > F.col("p90"), F.lit(False))).drop("p90")
 
 
+def with_candidates(rows: DataFrame, predictions: DataFrame, candidates: tuple[str, ...]) -> DataFrame:
+    """The long form of the benchmark ``rows`` with the candidates' predictions beside them, matched over all models.
+
+    ``predictions`` has facility, model, origin, horizon_minutes, prediction; a row that a candidate lacks is null.
+    """
+    wide = predictions.groupBy("facility", "origin", "horizon_minutes").agg(*[F.max(F.when(F.col("model") == m, F.col("prediction"))).alias(m) for m in candidates])
+    return long_form(rows.join(wide, ["facility", "origin", "horizon_minutes"], "left"), (*MODELS, *candidates))
+
+
 def long_form(rows: DataFrame, models: tuple[str, ...] = MODELS) -> DataFrame:
     """(facility, origin, target, horizon_minutes, actual, spike, matched, model, place, prediction)."""
     matched = F.col("actual").isNotNull()
@@ -132,52 +174,89 @@ def score(rows: DataFrame, by: list[str], policy: Forecast) -> DataFrame:
     return rows.groupBy(*by).agg(*metrics(rows, by), *extra)
 
 
-def bootstrap_gain(rows: DataFrame, benchmark: str, candidate: str, policy: Forecast, level: float = 0.95) -> DataFrame:
-    """Interval of the gain in error by paired day blocks, one seeded generator for each facility and horizon."""
+def chosen_models(scores: DataFrame, benchmarks: tuple[str, ...], candidates: tuple[str, ...]) -> DataFrame:
+    """(facility, horizon_minutes, benchmark, candidate): of each kind the model of least matched error; without any, the first in order."""
+    of = lambda names, name: F.min_by(F.when(F.col("model").isin(*names), F.col("model")), F.when(F.col("model").isin(*names), F.struct(F.coalesce("matched_mae", F.lit(float("inf"))), "place"))).alias(name)
+    return scores.groupBy("facility", "horizon_minutes").agg(of(benchmarks, "benchmark"), of(candidates, "candidate"))
+
+
+def paired(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(facility, horizon_minutes, origin, actual, b, c): predictions of the chosen benchmark and candidate, in origins that both predict and that have a target."""
+    key = ["facility", "horizon_minutes"]
+    picked = rows.join(F.broadcast(chosen) if chosen.count() <= 100_000 else chosen, key).where("actual IS NOT NULL AND prediction IS NOT NULL AND model IN (benchmark, candidate)")
+    side = lambda c: F.max(F.when(F.col("model") == F.col(c), F.col("prediction")))
+    return picked.groupBy(*key, "origin", "actual").agg(side("benchmark").alias("b"), side("candidate").alias("c")).where("b IS NOT NULL AND c IS NOT NULL")
+
+
+def bootstrap_gain(pairs: DataFrame, policy: Forecast, level: float = 0.95) -> DataFrame:
+    """Gain in error and its interval by paired day blocks, one seeded generator for each facility and horizon; no interval for a single day."""
     resamples, seed = policy.resamples, policy.seed
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("origin")
-        gain = (frame["b"] - frame["actual"]).abs() - (frame["c"] - frame["actual"]).abs()
-        blocks = [g.to_numpy() for _, g in gain.groupby(frame["origin"] // 86400, sort=False)]
-        if len(blocks) < 2:
+        gain = ((frame["b"] - frame["actual"]).abs() - (frame["c"] - frame["actual"]).abs()).to_numpy()
+        day = pd.factorize(frame["origin"] // 86400)[0]
+        sums, sizes = np.bincount(day, gain), np.bincount(day)
+        if len(sums) < 2:
             return pd.DataFrame([(*key, float(gain.mean()), None, None)])
-        sums, sizes = np.array([b.sum() for b in blocks]), np.array([len(b) for b in blocks])
-        rng = random.Random(seed)
-        picks = [[rng.choice(range(len(blocks))) for _ in blocks] for _ in range(resamples)]
-        draws = [sums[p].sum() / sizes[p].sum() for p in picks]
+        draw = random.Random(seed)
+        picks = np.array([draw.choice(range(len(sums))) for _ in range(resamples * len(sums))]).reshape(resamples, -1)
+        means = sums[picks].sum(1) / sizes[picks].sum(1)
         tail = (1 - level) / 2
-        return pd.DataFrame([(*key, float(gain.mean()), float(np.quantile(draws, tail)), float(np.quantile(draws, 1 - tail)))])
+        return pd.DataFrame([(*key, float(gain.mean()), float(np.quantile(means, tail)), float(np.quantile(means, 1 - tail)))])
 
-    pair = rows.where(F.col("actual").isNotNull() & F.col(benchmark).isNotNull() & F.col(candidate).isNotNull())
-    pair = pair.select("facility", "horizon_minutes", "origin", "actual", F.col(benchmark).alias("b"), F.col(candidate).alias("c"))
-    return pair.groupBy("facility", "horizon_minutes").applyInPandas(run, "facility string, horizon_minutes int, gain double, gain_low double, gain_high double")
+    return pairs.groupBy("facility", "horizon_minutes").applyInPandas(run, "facility string, horizon_minutes int, gain double, gain_low double, gain_high double")
 
 
-def gates(scores: DataFrame, gain: DataFrame, fits: DataFrame, benchmark: str, candidate: str, policy: Forecast) -> DataFrame:
-    """Eight release checks by facility and horizon, and whether all hold. ``fits`` has facility, fit_failure, update_seconds."""
-    side = lambda m, p: scores.where(F.col("model") == m).select("facility", "horizon_minutes", *[F.col(c).alias(f"{p}_{c}") for c in scores.columns if c not in ("facility", "horizon_minutes", "model", "place")])
-    met = side(benchmark, "b").join(side(candidate, "c"), ["facility", "horizon_minutes"]).join(gain, ["facility", "horizon_minutes"], "left").join(fits, "facility", "left")
+def gate_scores(rows: DataFrame, chosen: DataFrame, policy: Forecast) -> DataFrame:
+    """What the gates look at, by facility and horizon: both models on the matched origins, the candidate also on all its own."""
+    key = ["facility", "horizon_minutes"]
+    met = paired(rows, chosen)
+    error = lambda m: F.col(m) - F.col("actual")
+    mae, rmse = (lambda m: F.round(F.avg(F.abs(error(m))), 9)), (lambda m: F.round(F.sqrt(F.avg(error(m) * error(m))), 9))
+    both = met.groupBy(*key).agg(F.count(F.lit(1)).alias("matched"), F.count_distinct(F.floor(F.col("origin") / 86400)).alias("days"), mae("b").alias("b_mae"), rmse("b").alias("b_rmse"), mae("c").alias("c_mae"), rmse("c").alias("c_rmse"))
+    own = score(rows.join(chosen.select(*key, F.col("candidate").alias("model")), [*key, "model"]), key, policy)
+    own = own.select(*key, F.col("availability_with_target").alias("availability"), *[f"coverage_{level}" for level in policy.levels])
+    return chosen.join(both, key, "left").join(own, key, "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+
+
+def gates(scores: DataFrame, gain: DataFrame, fits: DataFrame, policy: Forecast) -> DataFrame:
+    """Eight release checks by facility and horizon, and whether all hold.
+
+    ``scores`` comes from ``gate_scores``, ``gain`` from ``bootstrap_gain``; ``fits`` has facility, candidate,
+    fit_failure, update_seconds.
+    """
+    key = ["facility", "horizon_minutes"]
+    met = scores.join(gain.select(*key, "gain", "gain_low"), key, "left").join(fits, ["facility", "candidate"], "left")
     covered = F.lit(True)
     for level in policy.levels:
-        covered &= F.coalesce(F.abs(F.col(f"c_coverage_{level}") - level / 100) <= policy.interval_tolerance, F.lit(False))
+        covered &= F.abs(F.col(f"coverage_{level}") - level / 100) <= policy.interval_tolerance
+    gained = F.col("b_mae") - F.col("c_mae")
     checks = {
-        "support": (F.col("c_scored") >= policy.minimum_matched) & (F.col("c_days") >= policy.minimum_days),
-        "gain_check": F.col("gain") >= F.greatest(F.lit(policy.minimum_gain), policy.minimum_gain_fraction * F.col("b_mae")),
+        "support": (F.col("matched") >= policy.minimum_matched) & (F.col("days") >= policy.minimum_days),
+        "gain_check": gained >= F.greatest(F.lit(policy.minimum_gain), policy.minimum_gain_fraction * F.col("b_mae")),
         "rmse": F.col("c_rmse") <= F.col("b_rmse"),
         "bootstrap": F.col("gain_low") > 0,
-        "availability": F.coalesce("c_availability_with_target", F.lit(0.0)) >= policy.minimum_availability,
-        "fit_failure_check": F.col("fit_failure") <= policy.maximum_fit_failure,
+        "availability": F.coalesce("availability", F.lit(0.0)) >= policy.minimum_availability,
+        "fit_failure_check": F.coalesce("fit_failure", F.lit(0.0)) <= policy.maximum_fit_failure,
         "coverage": covered,
-        "runtime": F.col("update_seconds") <= policy.maximum_update_seconds,
+        "runtime": F.coalesce("update_seconds", F.lit(0.0)) <= policy.maximum_update_seconds,
     }
-    out = met.select("facility", "horizon_minutes", "gain", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])
+    out = met.select(*key, "benchmark", "candidate", "matched", F.round(gained, 9).alias("gain"), *[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])
     passes = F.lit(True)
     for n in checks:
         passes &= F.col(n)
     return out.withColumn("passes", passes)
 
 
+def fit_failures(fits: DataFrame, begin: int) -> DataFrame:
+    """(facility, candidate, fit_failure, update_seconds) of the fits from ``begin`` on: the share of failed fits, and the longest day of all fits together."""
+    scored = fits.where(F.col("fit") >= begin)
+    shares = scored.groupBy("facility", F.col("model").alias("candidate")).agg(F.avg((F.col("status") == "fit_failed").cast("int")).alias("fit_failure"))
+    longest = scored.groupBy("fit").agg(F.sum("seconds").alias("s")).agg(F.max("s").alias("update_seconds"))
+    return shares.crossJoin(F.broadcast(longest))
+
+
 def seasonal(grid: DataFrame, lags: list[int], cadence: int) -> DataFrame:
     """Autocorrelation at each lag by facility, by equi self-joins; null at 50 pairs or fewer."""
     parts = None

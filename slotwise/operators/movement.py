@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions.stats import quantile
+from slotwise.functions.time import reference_window
+from slotwise.operators.places import small
 from slotwise.policy import Movement
 
 
+def complete_days(slots: DataFrame, now: Column, policy: Movement) -> DataFrame:
+    """The slots of the complete local days before that of ``now``, so that a day never describes itself."""
+    start, end = reference_window(now, policy.lookback_days, policy.zone)
+    return slots.where((F.col("at") >= start) & (F.col("at") < end))
+
+
 def changes(slots: DataFrame, cal: DataFrame, policy: Movement) -> DataFrame:
     """(facility, horizon_minutes, at, local_date, change): the i-th and the (i + steps)-th slot reading.
 
@@ -18,7 +26,7 @@ def changes(slots: DataFrame, cal: DataFrame, policy: Movement) -> DataFrame:
     """
     used = slots.where("value >= 0")
     whole_day = cal.groupBy("local_date").agg(F.sum("n_slots").alias("expected"))
-    covered = used.groupBy("facility", "local_date").count().join(F.broadcast(whole_day), "local_date").where(F.col("count") >= policy.minimum_day_coverage * F.col("expected"))
+    covered = used.groupBy("facility", "local_date").count().join(small(whole_day, 100_000), "local_date").where(F.col("count") >= policy.minimum_day_coverage * F.col("expected"))
     order = Window.partitionBy("facility").orderBy("at")
     micros = F.unix_micros("at")
     table = used.join(covered.select("facility", "local_date", F.lit(True).alias("covered")), ["facility", "local_date"], "left")
@@ -61,6 +69,6 @@ def daily_screens(moves: DataFrame, days: DataFrame, policy: Movement) -> DataFr
     """
     by_day = moves.groupBy("facility", "horizon_minutes", "local_date").agg(F.collect_list(F.abs("change")).alias("sizes"))
     spread = by_day.withColumn("day", F.explode(F.transform(F.sequence(F.lit(1), F.lit(policy.lookback_days)), lambda k: F.date_add("local_date", k))))
-    met = spread.join(F.broadcast(days.select("day").distinct()), "day").select("facility", "horizon_minutes", "day", "local_date", F.explode("sizes").alias("size"))
+    met = spread.join(small(days.select("day").distinct(), 100_000), "day").select("facility", "horizon_minutes", "day", "local_date", F.explode("sizes").alias("size"))
     out = met.groupBy("facility", "day", "horizon_minutes").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("local_date").alias("days"), quantile("size", 0.9).alias("p90"))
     return out.select("facility", "day", "horizon_minutes", F.when((F.col("pairs") >= policy.minimum_pairs) & (F.col("days") >= policy.minimum_days), F.col("p90")).alias("p90"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.functions.geo import coordinate, distance_km, distance_m
+from slotwise.functions.geo import KM_RADIUS, coordinate, distance_km, distance_m
+from slotwise.session import cut
 
 #: A table of places is a registry: broadcast only below this many rows.
 REGISTRY_ROWS = 10_000
@@ -19,40 +22,104 @@ def small(df: DataFrame, rows: int = REGISTRY_ROWS) -> DataFrame:
 def pairs(registry: DataFrame) -> DataFrame:
     """Unordered pairs of the registry in its own order, with their distance. ``registry`` has facility, pos, latitude, longitude.
 
-    Every pair is the result wanted here; a registry is a small dimension.
+    Every pair is the result wanted here; a registry is a small dimension, and a larger one is refused.
     """
+    if registry.limit(REGISTRY_ROWS + 1).count() > REGISTRY_ROWS:
+        raise ValueError(f"all pairs are made of at most {REGISTRY_ROWS} places; use within()")
     a = registry.select(*[F.col(c).alias(f"a_{c}") for c in ("facility", "pos", "latitude", "longitude")])
     b = registry.select(*[F.col(c).alias(f"b_{c}") for c in ("facility", "pos", "latitude", "longitude")])
-    met = a.join(small(b), F.col("a_pos") < F.col("b_pos"))
+    met = a.join(F.broadcast(b), F.col("a_pos") < F.col("b_pos"))
     km = distance_km(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude"))
     return met.select(F.col("a_facility").alias("a"), F.col("b_facility").alias("b"), km.alias("km"))
 
 
+def within(registry: DataFrame, km: float) -> DataFrame:
+    """(a, b, km) of the pairs at most ``km`` apart, by an equi-join over grid cells.
+
+    Bands of latitude are ``km`` high. Within a band, cells of longitude are as wide as ``km`` at its edge nearer to a
+    pole; a place looks into the cells around it of its own and both neighbouring bands.
+    """
+    height = math.degrees(km / KM_RADIUS)
+    band = lambda lat: F.floor((lat + 90) / height).cast("bigint")
+    # The edge nearest to a pole of the band and of both its neighbours, so that cells of all three agree in width.
+    edge = lambda b: F.least(F.lit(90.0), F.greatest(F.abs((b - 1) * height - 90), F.abs((b + 2) * height - 90)))
+    width = lambda b: F.least(F.lit(360.0), F.lit(height) / F.greatest(F.cos(F.radians(edge(b))), F.lit(1e-9)))
+    n_cells = lambda b: F.greatest(F.floor(360 / width(b)), F.lit(1)).cast("bigint")
+    cell = lambda lon, b: F.pmod(F.floor((lon + 180) / 360 * n_cells(b)), n_cells(b)).cast("bigint")
+    rows = registry.select("facility", "pos", "latitude", "longitude").withColumn("band", band(F.col("latitude")))
+    near = F.array_distinct(F.array(*[F.pmod(cell(F.col("longitude"), F.col("band")) + k, n_cells(F.col("band"))) for k in (-1, 0, 1)]))
+    left = rows.select(*[F.col(c).alias(f"a_{c}") for c in ("facility", "pos", "latitude", "longitude")], F.col("band"), F.explode(near).alias("cell"))
+    right = rows.select(*[F.col(c).alias(f"b_{c}") for c in ("facility", "pos", "latitude", "longitude")], F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    right = right.withColumn("cell", cell(F.col("b_longitude"), F.col("band")))
+    met = left.join(right, ["band", "cell"]).where("a_pos < b_pos")
+    far = distance_km(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude"))
+    return met.select(F.col("a_facility").alias("a"), F.col("b_facility").alias("b"), far.alias("km")).where(F.col("km") <= km)
+
+
 def distance_band(km: Column, near: float, far: float) -> Column:
     return F.when(km <= near, "neighbor").when(km <= far, "regional").otherwise("distant")
 
 
 def neighbour_groups(registry: DataFrame, km: float) -> DataFrame:
-    """(facility, group): components of the places within ``km`` of each other; the group is its lowest name."""
-    near = pairs(registry).where(F.col("km") <= km).select("a", "b")
-    edges = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).cache()
+    """(facility, group): components of the places within ``km`` of each other; the group is its lowest name.
+
+    Labels travel by pointer jumping: each round takes the lowest label among the neighbours, then that
+    label's own label, so that a chain of places takes a logarithmic number of rounds.
+    """
+    near = within(registry, km).select("a", "b")
+    edges = cut(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = registry.select("facility", F.col("facility").alias("group"))
     while True:
         lower = edges.join(labels.withColumnRenamed("facility", "b"), "b").groupBy(F.col("a").alias("facility")).agg(F.min("group").alias("near"))
-        after = labels.join(lower, "facility", "left").select("facility", F.least("group", F.coalesce("near", "group")).alias("group"), F.col("group").alias("old"))
-        after = after.checkpoint() if after.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else after.cache()
+        lowered = cut(labels.join(lower, "facility", "left").select("facility", F.least("group", F.coalesce("near", "group")).alias("group"), F.col("group").alias("old")))
+        jumps = lowered.select(F.col("facility").alias("group"), F.col("group").alias("next"))
+        after = cut(lowered.join(jumps, "group").select("facility", F.least("group", "next").alias("group"), "old"))
         labels = after.select("facility", "group")
         if after.where("old <> group").isEmpty():
             return labels
 
 
 def areas(registry: DataFrame, groups: DataFrame, minimum: int = 3) -> DataFrame:
-    """All places, neighbour groups and regions of at least ``minimum`` members, larger first."""
-    rows = registry.join(groups, "facility").select(
-        "facility", "pos", F.explode(F.array(F.struct(F.lit("all").alias("kind"), F.lit("all").alias("area")), F.struct(F.lit("neighbors").alias("kind"), F.col("group").alias("area")), F.struct(F.lit("region").alias("kind"), F.col("region").alias("area")))).alias("x")
+    """(place, key, kind, label, members, facilities): all places, neighbour groups of at least ``minimum``, and every region.
+
+    Groups stand after all, larger first, of equals the one whose first member comes first; regions in the order of
+    their first member. Members keep the registry's order. ``registry`` has facility, pos, region.
+    """
+    kinds = F.array(
+        F.struct(F.lit(0).alias("rank"), F.lit("all").alias("kind"), F.lit("all").alias("area")),
+        F.struct(F.lit(1).alias("rank"), F.lit("near").alias("kind"), F.col("group").alias("area")),
+        F.when(F.coalesce(F.col("region"), F.lit("")) != "", F.struct(F.lit(2).alias("rank"), F.lit("region").alias("kind"), F.col("region").alias("area"))),
     )
-    found = rows.groupBy("x.kind", "x.area").agg(F.count(F.lit(1)).alias("members"), F.min("pos").alias("first"), F.array_join(F.sort_array(F.collect_list("facility")), ",").alias("facilities"))
-    return found.where((F.col("kind") == "all") | (F.col("members") >= minimum)).orderBy(F.desc("members"), "first", "kind")
+    rows = registry.join(groups, "facility").select("facility", "pos", F.explode(F.array_compact(kinds)).alias("x"))
+    found = rows.groupBy("x.rank", "x.kind", "x.area").agg(F.count(F.lit(1)).alias("members"), F.min("pos").alias("first"), F.sort_array(F.collect_list(F.struct("pos", "facility"))).alias("list"))
+    found = found.where((F.col("kind") != "near") | (F.col("members") >= minimum))
+    names = F.transform("list", lambda x: x["facility"])
+    slug = lambda c: F.regexp_replace(F.lower(c), " ", "-")
+    key = F.when(F.col("kind") == "all", "all").when(F.col("kind") == "near", F.concat(F.lit("near-"), names[0])).otherwise(F.concat(F.lit("region-"), slug(F.col("area"))))
+    label = F.when(F.col("kind") == "all", "All places").when(F.col("kind") == "near", F.array_join(names, " / ")).otherwise(F.col("area"))
+    # One row an area: the table to number is as small as the registry's groups.
+    order = Window.orderBy("rank", F.when(F.col("kind") == "near", -F.col("members")), "first")
+    return found.select((F.row_number().over(order) - 1).alias("place"), key.alias("key"), "kind", label.alias("label"), "members", F.array_join(names, ",").alias("facilities"))
+
+
+def area_members(areas: DataFrame, registry: DataFrame) -> DataFrame:
+    """(area, facility, pos) of every member of every area."""
+    named = areas.select(F.col("key").alias("area"), F.explode(F.split("facilities", ",")).alias("facility"))
+    return named.join(small(registry.select("facility", "pos")), "facility")
+
+
+def areas_problem(areas: DataFrame, registry: DataFrame) -> str | None:
+    """Why a table of areas is not fit for use, or None: the first has all places, keys differ, members are known and distinct."""
+    rows = areas.select("place", "key", F.split("facilities", ",").alias("f"))
+    first = rows.where("place = 0").select("key", F.size("f").alias("n")).first()
+    if first is None or first.key != "all" or first.n != registry.count():
+        return "the first area does not hold all places"
+    n, keys, repeated = rows.agg(F.count(F.lit(1)), F.count_distinct("key"), F.count_if(F.size("f") != F.size(F.array_distinct("f")))).first()
+    if n != keys or repeated:
+        return "keys or members repeat"
+    if not rows.select(F.explode("f").alias("facility")).join(registry, "facility", "left_anti").isEmpty():
+        return "a member is not in the registry"
+    return None
 
 
 def point_problem(point: Column) -> Column:
@@ -109,6 +176,48 @@ def features(registry: DataFrame) -> DataFrame:
     return rows.select("slug", F.col("p.kind").alias("kind"), F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct("slug", F.col("p.kind").alias("kind")).alias("properties"))).alias("feature"))
 
 
+def feature_collection(registry: DataFrame) -> DataFrame:
+    """One row: the GeoJSON FeatureCollection of a registry, a small dimension, in its order."""
+    points = features(registry).join(registry.select("slug", "pos"), "slug")
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "kind", "feature")))
+    return points.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform(ordered, lambda x: x["feature"]), ","), F.lit("]}")).alias("collection"))
+
+
+def lookup(registry: DataFrame, slug: str) -> DataFrame:
+    """The one row of a slug; an unknown one is an error."""
+    found = registry.where(F.col("slug") == slug)
+    if found.isEmpty():
+        raise ValueError(f"no facility {slug}")
+    return found
+
+
+def set_entrance(registry: DataFrame, slug: str, entrance: dict | None) -> DataFrame:
+    """``registry`` with another entrance of one facility, or with none."""
+    lookup(registry, slug)
+    kind = registry.schema["emergency_entrance"].dataType
+    value = F.lit(None).cast(kind) if entrance is None else F.struct(*[F.lit(entrance.get(f.name)).cast(f.dataType).alias(f.name) for f in kind.fields]).cast(kind)
+    return registry.withColumn("emergency_entrance", F.when(F.col("slug") == slug, value).otherwise(F.col("emergency_entrance")))
+
+
+def review_rows(registry: DataFrame) -> DataFrame:
+    """What a reviewer of entrances sees: every facility with its entrance, how and when it was found, and its distance from the campus."""
+    e, c = F.col("emergency_entrance"), F.col("campus_point")
+    far = distance_m(e["latitude"], e["longitude"], c["latitude"], c["longitude"])
+    return registry.select("slug", "pos", e["latitude"].alias("latitude"), e["longitude"].alias("longitude"), e["method"].alias("method"), e["reviewed_on"].alias("reviewed_on"), far.alias("meters"))
+
+
+#: The keys of an origin, all of which it must have and no others.
+ORIGIN_KEYS = ("latitude", "longitude")
+
+
+def origin_problem(origin: Column) -> Column:
+    """Why JSON text is no origin, or null: it must be an object of exactly a latitude and a longitude within their limits."""
+    keys = F.array_sort(F.json_object_keys(origin))
+    number = lambda c: F.when(F.get_json_object(origin, f"$.{c}").rlike(r"^-?[0-9]") & ~origin.rlike(rf'"{c}"\s*:\s*"'), F.get_json_object(origin, f"$.{c}").try_cast("double"))
+    bad = ~coordinate(number("latitude"), 90) | ~coordinate(number("longitude"), 180)
+    return F.when(~F.coalesce(keys == F.array(*[F.lit(k) for k in ORIGIN_KEYS]), F.lit(False)), "keys").when(bad, "coordinates")
+
+
 def compare_travel(routes: DataFrame, readings: DataFrame, screens: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """Route, live reading and movement of each destination, ranked by drive; the closest only if every route is known.
 

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import date, timedelta
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotwise.functions.time import calendar
+from slotwise.functions.time import calendar, local_date
 from slotwise.operators.dedup import slot_winners
+from slotwise.operators.places import small
 from slotwise.policy import ZONE, Association, Baseline, Benefit, Forecast, Freshness, Movement
 
 CADENCE = 3600
-#: The tables hold readings of this span; targets are its last local days.
-FIRST_DAY, LAST_DAY, TARGET_DAYS = "2023-12-31", "2024-01-31", ("2024-01-27", "2024-01-30")
-START, END = 1704067200, 1706659200  # 2024-01-01 and 2024-01-31, UTC
 HOURLY = Baseline(cadence_seconds=CADENCE, minimum_samples=24)
 HOURLY_TREND = HOURLY.but(trend_minutes=180, trend_tolerance_minutes=90, gap_seconds=5400)
 MOVES = Movement(horizons_minutes=(60, 120, 240), cadence_seconds=CADENCE, gap_seconds=7200, tolerance_seconds=1800)
-PAIRS = Association(minimum_slots=1, minimum_bins=60, minimum_days=2, minimum_day_bins=6, lags=(1, 2))
-REPLAY = Forecast(cadence_seconds=CADENCE, horizons_minutes=(60, 120, 240), origin_seconds=3600 * 3, daily_slots=24, weekly_slots=168, minimum_errors=20, minimum_training_slots=200, minimum_coverage=0.5, minimum_matched=30, minimum_days=5)
-RULES = Benefit(slot_seconds=CADENCE, evaluation_every_slots=2, minimum_claims=20, minimum_days=3, minimum_precision=0.4, minimum_lower_bound=0.2, draws=200)
+PAIRS = Association(minimum_slots=1, minimum_bins=60, minimum_days=7, minimum_day_bins=6, minimum_others=3, lags=(1, 2))
+REPLAY = Forecast(cadence_seconds=CADENCE, horizons_minutes=(60, 120, 240), origin_seconds=3600 * 3, daily_slots=24, weekly_slots=168, minimum_errors=20, minimum_training_slots=200, minimum_training_coverage=0.5, minimum_matched=30, minimum_days=5)
+RULES = Benefit(slot_seconds=CADENCE, evaluation_every_slots=2, minimum_claims=20, minimum_days=3, minimum_precision=0.4, minimum_lower_bound=0.2, confirmation_claims=10, confirmation_days=2, confirmation_precision=0.4)
 FRESH = Freshness(stale_after_seconds=7200)
 
 
@@ -39,16 +40,37 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slot_winners(readings(spark, sf_dir), CADENCE, ZONE)
 
 
-def local_calendar(spark: SparkSession) -> DataFrame:
+class Span(NamedTuple):
+    """What the readings of a table cover: the local days of the first and the last, and the hours around them as epoch seconds."""
+
+    first: date
+    last: date
+    start: int
+    end: int
+
+
+def span(spark: SparkSession, sf_dir: str) -> Span:
+    """The span of the readings, from one aggregate of two values; a table without readings has the day of the epoch."""
+    at = F.col("at")
+    low, high = readings(spark, sf_dir).agg(F.min(F.struct(F.unix_seconds(at).alias("s"), local_date(at, ZONE).alias("d"))), F.max(F.struct(F.unix_seconds(at).alias("s"), local_date(at, ZONE).alias("d")))).first()
+    if low is None:
+        return Span(date(1970, 1, 1), date(1970, 1, 1), 0, CADENCE)
+    return Span(low.d, high.d, low.s // CADENCE * CADENCE, (high.s // CADENCE + 1) * CADENCE)
+
+
+def local_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hours of all local days with readings and of the days that their models look back on."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return calendar(spark, FIRST_DAY, LAST_DAY, ZONE, CADENCE)
+    s = span(spark, sf_dir)
+    return calendar(spark, str(s.first - timedelta(days=HOURLY.lookback_days)), str(s.last), ZONE, CADENCE)
 
 
 def targets(found: DataFrame) -> DataFrame:
-    """Every facility with each hour of the target days."""
-    spine = found.select("facility").distinct()
-    days = F.sequence(F.lit(TARGET_DAYS[0]).cast("date"), F.lit(TARGET_DAYS[1]).cast("date"))
-    return spine.select("facility", F.explode(days).alias("local_date")).select("facility", "local_date", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("local_hour"))
+    """Every facility with each hour of every local day from its table's first to its last."""
+    days = found.agg(F.min("local_date").alias("a"), F.max("local_date").alias("b"))
+    spine = found.select("facility").distinct().crossJoin(F.broadcast(days)).where("a IS NOT NULL")
+    dated = spine.select("facility", F.explode(F.sequence("a", "b")).alias("local_date"))
+    return dated.select("facility", "local_date", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("local_hour"))
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +85,20 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_registry(found: DataFrame) -> DataFrame:
-    """The facilities of the readings in alphabetical order, with their position."""
-    names = found.select("facility").distinct().agg(F.sort_array(F.collect_list("facility")).alias("f"))
-    return names.select(F.posexplode("f").alias("pos", "facility"))
+    """The facilities of the readings in alphabetical order, with their position. One row a facility is numbered."""
+    names = found.select("facility").distinct()
+    return names.select((F.row_number().over(Window.orderBy("facility")) - 1).alias("pos"), "facility")
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(origin, facility, o, pos): from every place of the registry to every facility, a route table of their product."""
+    here = registry(spark, sf_dir).select(F.col("facility").alias("origin"), F.col("pos").alias("o"))
+    there = event_registry(readings(spark, sf_dir))
+    # A route table holds every pair; both sides are small dimensions, met on a constant key.
+    return here.withColumn("k", F.lit(1)).join(small(there.withColumn("k", F.lit(1))), "k").drop("k")
+
+
+def event_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facilities of the readings as places: the first three near each other, the rest far off, in two regions."""
+    k = F.col("pos")
+    return event_registry(readings(spark, sf_dir)).select("facility", "pos", F.when(k % 2 == 0, "North Side").otherwise("South Side").alias("region"), (35 + k * 0.3 + F.when(k > 2, 5.0).otherwise(0.0)).alias("latitude"), F.lit(-90.0).alias("longitude"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from slotwise.functions.geo import distance_m
 from slotwise.functions.time import local_date, local_hour, weekend
 from slotwise.operators import association, baseline, benefit, dedup, forecast, latest, models, movement, places, views
 from slotwise.plans import bindings as b
+from slotwise.plans import studies
+from slotwise.session import shared_dir
 from slotwise.sources import history, parsers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,13 +32,22 @@ def second(c: str):
 
 def usual(spark: SparkSession, sf_dir: str, policy=b.HOURLY) -> DataFrame:
     found = b.slots(spark, sf_dir)
-    return baseline.models(b.targets(found), found, b.local_calendar(spark), policy)
+    return baseline.models(b.targets(found), found, b.local_calendar(spark, sf_dir), policy)
 
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = b.slots(spark, sf_dir)
-    days = found.where(F.col("local_date").between(*b.TARGET_DAYS))
-    return baseline.compare(days, baseline.models(b.targets(found), found, b.local_calendar(spark), b.HOURLY), b.HOURLY)
+    """Every reading of the slot series against its model."""
+    return baseline.compare(b.slots(spark, sf_dir), usual(spark, sf_dir), b.HOURLY)
+
+
+def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = compared(spark, sf_dir)
+    return rows.withColumn("state", views.point_state(F.col("median"), F.col("percentile"), F.col("delta"), b.HOURLY))
+
+
+def generated(spark: SparkSession, sf_dir: str) -> int:
+    """When the views are made: half an hour before the end of the readings."""
+    return b.span(spark, sf_dir).end - 1800
 
 
 @query
@@ -99,55 +111,102 @@ def trend_reversals(spark, sf_dir):
 
 @query
 def supported_keys(spark, sf_dir):
-    strict = baseline.models(b.targets(b.slots(spark, sf_dir)), b.slots(spark, sf_dir), b.local_calendar(spark), b.HOURLY.but(minimum_samples=40, fallback_hour_radius=1))
+    strict = usual(spark, sf_dir, b.HOURLY.but(minimum_samples=40, fallback_hour_radius=1))
     both = usual(spark, sf_dir).select("facility", "local_date", "local_hour", F.col("median").alias("delta")).unionByName(strict.select("facility", "local_date", "local_hour", F.col("median").alias("delta")))
     found = baseline.supported_by_all(both, ["facility", "local_date", "local_hour"], 2)
     return found.select("facility", F.col("local_date").cast("string").alias("local_date"), "local_hour")
 
 
+@query
+def model_groups(spark, sf_dir):
+    return usual(spark, sf_dir).groupBy("facility", "group", "state").agg(F.count(F.lit(1)).alias("models"))
+
+
+@query
+def history_points(spark, sf_dir):
+    now = F.timestamp_seconds(F.lit(generated(spark, sf_dir)))
+    rows = baseline.history_points(compared(spark, sf_dir), usual(spark, sf_dir), now)
+    return rows.select("facility", second("at").alias("at"), "value", *[F.round(c, 6).alias(c) for c in ("median", "low", "high", "delta", "percentile")], "days", F.round("coverage", 9).alias("coverage"), "group")
+
+
+@query
+def collection_latency(spark, sf_dir):
+    found = b.readings(spark, sf_dir).withColumn("latency_ms", F.col("pos") % 997)
+    known = b.event_registry(found).select("facility").unionByName(spark.createDataFrame([("absent",)], "facility string"))
+    return baseline.latency(found, known, F.timestamp_seconds(F.lit(generated(spark, sf_dir)))).select("facility", "samples", F.round("median_ms", 6).alias("median_ms"), F.round("p95_ms", 6).alias("p95_ms"))
+
+
 @query
 def movement_stability(spark, sf_dir):
-    rows = movement.stability(movement.changes(b.slots(spark, sf_dir), b.local_calendar(spark), b.MOVES), b.MOVES)
+    rows = movement.stability(movement.changes(b.slots(spark, sf_dir), b.local_calendar(spark, sf_dir), b.MOVES), b.MOVES)
     return rows.select("facility", "horizon_minutes", "pairs", "days", *[F.round(c, 6).alias(c) for c in ("median_abs_change", "p90_abs_change", "rise_share", "fall_share")])
 
 
 @query
 def movement_pairs(spark, sf_dir):
-    rows = movement.changes(b.slots(spark, sf_dir), b.local_calendar(spark), b.MOVES)
+    rows = movement.changes(b.slots(spark, sf_dir), b.local_calendar(spark, sf_dir), b.MOVES)
     return rows.select("facility", "horizon_minutes", second("at").alias("at"), "change")
 
 
+@query
+def recent_stability(spark, sf_dir):
+    """Movement over the complete local days before the last one."""
+    now = F.timestamp_seconds(F.lit(generated(spark, sf_dir)))
+    rows = movement.stability(movement.changes(movement.complete_days(b.slots(spark, sf_dir), now, b.MOVES), b.local_calendar(spark, sf_dir), b.MOVES), b.MOVES)
+    return rows.select("facility", "horizon_minutes", "pairs", "days", *[F.round(c, 6).alias(c) for c in ("median_abs_change", "p90_abs_change", "rise_share", "fall_share")])
+
+
 @query
 def heatmap_cells(spark, sf_dir):
     rows = compared(spark, sf_dir)
-    out = views.heatmap(rows, rows, b.END - 1800, 72)
+    out = views.heatmap(rows, b.slots(spark, sf_dir), generated(spark, sf_dir), 72)
     return out.select("facility", "bin", "readings", F.round("delta", 6).alias("delta"), "band")
 
 
 @query
 def heatmap_summary(spark, sf_dir):
-    rows = compared(spark, sf_dir)
-    return views.heatmap_summary(views.heatmap(rows, rows, b.END - 1800, 72))
+    return views.heatmap_summary(views.heatmap(compared(spark, sf_dir), b.slots(spark, sf_dir), generated(spark, sf_dir), 72)).withColumn("largest", F.round("largest", 6))
 
 
 @query
 def map_snapshot(spark, sf_dir):
-    rows = compared(spark, sf_dir)
-    cells = views.heatmap(rows, rows, b.END - 1800, 72)
+    now = generated(spark, sf_dir)
+    start, end, size = views.window(now, 72)
+    cells = views.heatmap(compared(spark, sf_dir), b.slots(spark, sf_dir), now, 72)
     here = b.event_registry(b.readings(spark, sf_dir)).select("facility", F.when(F.col("pos") != 1, F.col("pos") + 30.0).alias("latitude"), F.lit(-90.0).alias("longitude"))
-    return views.snapshot(cells, b.END - 7200, here, b.registry(spark, sf_dir).where("pos < 3"))
+    shown = start + size * views.resolve_index((end - start) // size, start, size, end - 7200, False)
+    # The places of one region publish no waiting time.
+    return views.snapshot(cells, shown, here, b.registry(spark, sf_dir).where("region = 'ASIA'"))
+
+
+def _members(spark, sf_dir):
+    places_ = b.event_places(spark, sf_dir)
+    return places.area_members(places.areas(places_, places.neighbour_groups(places_, 50)), places_)
 
 
 @query
 def area_counts(spark, sf_dir):
-    rows = compared(spark, sf_dir).withColumn("state", views.point_state(F.col("value"), F.col("low"), F.col("high"), F.col("delta"), 10))
-    return views.area_counts(rows, 6 * 3600)
+    return views.area_counts(stated(spark, sf_dir), _members(spark, sf_dir), generated(spark, sf_dir), 168)
+
+
+@query
+def area_tallies(spark, sf_dir):
+    return views.area_tallies(stated(spark, sf_dir), _members(spark, sf_dir), generated(spark, sf_dir), 168)
 
 
 @query
 def typical_area_count(spark, sf_dir):
-    rows = compared(spark, sf_dir).withColumn("state", views.point_state(F.col("value"), F.col("low"), F.col("high"), F.col("delta"), 10))
-    return views.typical_count(views.area_counts(rows, 3600), "n_above")
+    return views.typical_count(views.area_counts(stated(spark, sf_dir), _members(spark, sf_dir), generated(spark, sf_dir), 168))
+
+
+@query
+def area_now(spark, sf_dir):
+    """The latest readings against their usual, by area; a reading of the last two hours is current."""
+    now = F.timestamp_seconds(F.lit(b.span(spark, sf_dir).end))
+    rows = stated(spark, sf_dir)
+    last = rows.groupBy("facility").agg(F.max_by(F.struct("at", "value", "unusual"), "at").alias("r"))
+    current = F.unix_micros(now) - F.unix_micros("r.at") < b.FRESH.stale_after_seconds * 1_000_000
+    return views.area_now(last.select("facility", current.alias("current"), "r.value"), last.select("facility", "r.unusual"), _members(spark, sf_dir))
 
 
 @query
@@ -163,13 +222,13 @@ def gap_segments(spark, sf_dir):
 
 @query
 def axis_range(spark, sf_dir):
-    rows = views.visible_range(b.slots(spark, sf_dir), F.timestamp_seconds(F.lit(b.END - 3 * 86400)), F.timestamp_seconds(F.lit(b.END - 86400)), 7200)
+    rows = views.visible_range(b.slots(spark, sf_dir), F.timestamp_seconds(F.lit(b.span(spark, sf_dir).end - 3 * 86400)), F.timestamp_seconds(F.lit(b.span(spark, sf_dir).end - 86400)), 7200)
     return rows.select("facility", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query
 def axis_ticks(spark, sf_dir):
-    return views.ticks(b.slots(spark, sf_dir).select((F.col("slot") * 3600).alias("bin")), b.ZONE)
+    return views.ticks(generated(spark, sf_dir), 168, 4, b.ZONE, spark).withColumn("hours", F.lit(168)).unionByName(views.ticks(generated(spark, sf_dir), 24, 4, b.ZONE, spark).withColumn("hours", F.lit(24)))
 
 
 @query
@@ -197,8 +256,9 @@ def latest_of_bin(spark, sf_dir):
 @query
 def live_merge(spark, sf_dir):
     rows = b.readings(spark, sf_dir).select("facility", "at", "value")
-    live = rows.where(second("at") >= b.END - 2 * 86400).withColumn("value", F.col("value") + 1)
-    return dedup.merge_live(rows.where(second("at") < b.END - 86400), live, 3600).select("facility", "slot", second("at").alias("at"), "value")
+    end = b.span(spark, sf_dir).end
+    live = rows.where(second("at") >= end - 2 * 86400).withColumn("value", F.col("value") + 1)
+    return dedup.merge_live(rows.where(second("at") < end - 86400), live, 3600).select("facility", "slot", second("at").alias("at"), "value")
 
 
 @query
@@ -216,7 +276,7 @@ def unknown_facilities(spark, sf_dir):
 
 def _entries(spark, sf_dir):
     found = b.readings(spark, sf_dir)
-    cut = F.timestamp_seconds(F.lit(b.END - 5 * 3600))
+    cut = F.timestamp_seconds(F.lit(b.span(spark, sf_dir).end - 5 * 3600))
     kind = "facility string, success struct<at:timestamp,batch:timestamp,value:int>, attempt struct<batch:timestamp,state:string,error_code:string>"
     start = latest.merge(spark.createDataFrame([], kind), found.where(F.col("at") < cut), found.limit(0).select("facility", "batch", F.lit("").alias("state"), F.lit("").alias("error_code")), b.event_registry(found))
     tried = found.where(F.col("at") >= cut).groupBy("facility").agg(F.max("batch").alias("batch")).select("facility", "batch", F.when(F.col("facility") < "f", "failed").otherwise("success").alias("state"), F.when(F.col("facility") < "f", "request_failed").alias("error_code"))
@@ -226,12 +286,12 @@ def _entries(spark, sf_dir):
 
 @query
 def latest_state(spark, sf_dir):
-    return latest.freshness(_entries(spark, sf_dir), F.timestamp_seconds(F.lit(b.END)), b.FRESH).select("facility", second("at").alias("at"), "value", "state", F.round("age_seconds", 3).alias("age_seconds"), "current", "labels")
+    return latest.freshness(_entries(spark, sf_dir), F.timestamp_seconds(F.lit(b.span(spark, sf_dir).end)), b.FRESH).select("facility", second("at").alias("at"), "value", "state", F.round("age_seconds", 3).alias("age_seconds"), "current", "labels")
 
 
 @query
 def latest_health(spark, sf_dir):
-    return latest.health(_entries(spark, sf_dir), F.timestamp_seconds(F.lit(b.END)), b.FRESH).withColumn("last_success_at", second("last_success_at"))
+    return latest.health(_entries(spark, sf_dir), F.timestamp_seconds(F.lit(b.span(spark, sf_dir).end)), b.FRESH).withColumn("last_success_at", second("last_success_at"))
 
 
 @query
@@ -254,7 +314,7 @@ def neighbour_groups(spark, sf_dir):
 @query
 def area_groups(spark, sf_dir):
     r = b.registry(spark, sf_dir)
-    return places.areas(r, places.neighbour_groups(r, 50)).select("kind", "area", "members", "first", "facilities")
+    return places.areas(r, places.neighbour_groups(r, 50))
 
 
 def _registry_rows(spark, sf_dir):
@@ -279,17 +339,17 @@ def place_features(spark, sf_dir):
     return places.features(_registry_rows(spark, sf_dir)).select("slug", "kind", F.get_json_object("feature", "$.geometry.coordinates[1]").cast("double").alias("latitude"))
 
 
-def _routes(spark, sf_dir):
-    found = b.event_registry(b.readings(spark, sf_dir))
-    return b.registry(spark, sf_dir).where("pos < 4").select(F.col("facility").alias("origin"), F.col("pos").alias("o")).crossJoin(found)
+@query
+def entrance_review(spark, sf_dir):
+    return places.review_rows(_registry_rows(spark, sf_dir)).select("slug", "pos", F.round("latitude", 6).alias("latitude"), "method", "reviewed_on", F.round("meters", 3).alias("meters"))
 
 
 @query
 def travel_comparison(spark, sf_dir):
-    routes = _routes(spark, sf_dir).select("origin", F.col("facility").alias("slug"), F.when((F.col("o") == 2) & (F.col("pos") == 3), "failed").otherwise("ok").alias("status"), (600 + F.col("o") * 300 + F.col("pos") * 900).alias("seconds"))
+    routes = b.routes(spark, sf_dir).select("origin", F.col("facility").alias("slug"), F.when((F.col("o") % 3 == 2) & (F.col("pos") == 3), "failed").otherwise("ok").alias("status"), (600 + F.col("o") * 300 + F.col("pos") * 900).alias("seconds"))
     found = b.slots(spark, sf_dir)
     now = latest.newest(b.readings(spark, sf_dir)).select("facility", "success.value")
-    moves = movement.travel_screen(movement.changes(found, b.local_calendar(spark), b.MOVES), b.MOVES)
+    moves = movement.travel_screen(movement.changes(found, b.local_calendar(spark, sf_dir), b.MOVES), b.MOVES)
     rows = places.compare_travel(routes, now, moves, b.MOVES.horizons_minutes)
     return places.ranked(rows.select("origin", "slug", "drive", "wait", F.round("total", 6).alias("total"), "horizon_minutes", F.round("p90", 6).alias("p90"), "closest"), "total")
 
@@ -378,11 +438,47 @@ def pair_correlations(spark, sf_dir):
 
 
 @query
-def pair_bootstrap(spark, sf_dir):
-    from dataclasses import replace
+def pair_effects(spark, sf_dir):
+    """The parts of every pair test that need no error function."""
+    rows = association.period_tests(_series(spark, sf_dir), b.event_registry(b.readings(spark, sf_dir)), b.PAIRS)
+    return rows.select(*association.KEY, "bins", "days", "state", *[F.round(c, 6).alias(c) for c in ("r", "n_eff", "system_r", "residual_r", "reverse_r")])
+
 
+@query
+def pair_bootstrap(spark, sf_dir):
     tests = association.tests_of(b.event_registry(b.readings(spark, sf_dir)), b.PAIRS).where("family = 'co_deviation'")
-    return association.bootstrap(association.aligned(_series(spark, sf_dir), tests, b.PAIRS), replace(b.PAIRS, resamples=50))
+    return association.bootstrap(association.aligned(_series(spark, sf_dir), tests, b.PAIRS), b.PAIRS)
+
+
+def _study(spark, sf_dir):
+    """Discovery in the first part of the readings, confirmation in the rest."""
+    s = b.span(spark, sf_dir)
+    middle = (s.start + (s.end - s.start) * 2 // 3) // 86400 * 86400
+    series = _series(spark, sf_dir)
+    found = b.event_registry(b.readings(spark, sf_dir))
+    places_ = b.event_places(spark, sf_dir)
+    km = places.pairs(places_).withColumn("band", places.distance_band(F.col("km"), b.PAIRS.neighbor_km, b.PAIRS.far_km))
+    zeros = association.zero_share(b.readings(spark, sf_dir), b.PAIRS.zero_heavy_share)
+    return association.study(series.where(F.col("bin") < middle), series.where(F.col("bin") >= middle), found, km, zeros, b.PAIRS)
+
+
+@query
+def pair_study(spark, sf_dir):
+    rows = _study(spark, sf_dir)[0]
+    return rows.select(*association.KEY, "label", "band", *[F.round(c, 6).alias(c) for c in ("r", "q", "later_r", "confirmation_q", "discovery_low", "discovery_high", "confirmation_low", "confirmation_high")])
+
+
+@query
+def pair_families(spark, sf_dir):
+    tests = _study(spark, sf_dir)[2]
+    return tests.groupBy("period", "family").agg(F.count(F.lit(1)).alias("pairs"), F.count("p").alias("tested"), F.count_if("candidate").alias("candidates"))
+
+
+@query
+def series_support(spark, sf_dir):
+    found = b.readings(spark, sf_dir)
+    rows = association.series_support(_series(spark, sf_dir), association.zero_share(found), b.event_registry(found), b.PAIRS)
+    return rows.select("facility", "bins", F.round("zero_share", 9).alias("zero_share"), F.round("lag1", 6).alias("lag1"))
 
 
 @query
@@ -398,25 +494,44 @@ def forecast_grid(spark, sf_dir):
     return dedup.forecast_grid(b.readings(spark, sf_dir), b.CADENCE)
 
 
-PHASE = (b.START + 15 * 86400, b.START + 29 * 86400)
+MODELS = forecast.MODELS
+
+
+def phase(spark, sf_dir, name="development"):
+    """Replays begin after fifteen days, and their origins are scored from three days later to the end of the readings."""
+    s = b.span(spark, sf_dir)
+    first = s.start // 86400 * 86400
+    return studies.Phase(name, first + 15 * 86400, first + 18 * 86400, s.end)
+
+
+def _grid(spark, sf_dir):
+    return dedup.forecast_grid(b.readings(spark, sf_dir), b.CADENCE)
+
+
+def _usual(spark, sf_dir):
+    """The usual medians of asked targets, from the grid's own winners."""
+    won = b.slot_winners(b.readings(spark, sf_dir).where("value >= 0"), b.CADENCE, b.ZONE)
+    return lambda asked, delay=0: forecast.usual_medians(won, b.local_calendar(spark, sf_dir), asked, b.REPLAY, b.HOURLY, delay)
 
 
 def _replay(spark, sf_dir, delay=0):
-    return forecast.replay(dedup.forecast_grid(b.readings(spark, sf_dir), b.CADENCE), None, *PHASE, b.REPLAY, delay)
+    grid, p = _grid(spark, sf_dir), phase(spark, sf_dir)
+    asked = forecast.origins(grid, p.warm, p.end, b.REPLAY)
+    return forecast.replay(grid, _usual(spark, sf_dir)(asked, delay), p.warm, p.end, b.REPLAY, delay)
 
 
 @query
 def forecast_replay(spark, sf_dir):
-    return _replay(spark, sf_dir).drop("m1_median")
+    return _replay(spark, sf_dir)
 
 
 @query
 def forecast_replay_delayed(spark, sf_dir):
-    return _replay(spark, sf_dir, 1).drop("m1_median")
+    return _replay(spark, sf_dir, 1)
 
 
 def _long(spark, sf_dir):
-    return forecast.long_form(_replay(spark, sf_dir), ("carry_forward", "daily_naive", "weekly_naive"))
+    return forecast.long_form(_replay(spark, sf_dir))
 
 
 @query
@@ -440,22 +555,56 @@ def forecast_interval_scores(spark, sf_dir):
     return forecast.score(forecast.intervals(_long(spark, sf_dir), b.REPLAY), ["facility", "horizon_minutes", "model"], b.REPLAY)
 
 
+def _chosen(spark, sf_dir, rows):
+    """Carry-forward against the median of the usual, for every facility and horizon."""
+    return rows.select("facility", "horizon_minutes").distinct().select("*", F.lit("carry_forward").alias("benchmark"), F.lit("m1_median").alias("candidate"))
+
+
 @query
 def forecast_gain(spark, sf_dir):
-    from dataclasses import replace
+    rows = _long(spark, sf_dir)
+    return forecast.bootstrap_gain(forecast.paired(rows, _chosen(spark, sf_dir, rows)), b.REPLAY)
+
+
+@query
+def forecast_gate_scores(spark, sf_dir):
+    rows = forecast.intervals(_long(spark, sf_dir), b.REPLAY)
+    return forecast.gate_scores(rows, _chosen(spark, sf_dir, rows), b.REPLAY)
+
 
-    return forecast.bootstrap_gain(_replay(spark, sf_dir), "carry_forward", "daily_naive", replace(b.REPLAY, resamples=100))
+def _phase(spark, sf_dir):
+    return studies.run_phase(phase(spark, sf_dir), _grid(spark, sf_dir), _usual(spark, sf_dir), b.REPLAY, sf_dir)
 
 
 @query
 def forecast_gates(spark, sf_dir):
-    from dataclasses import replace
+    """The decisions of a development phase over all benchmarks and fitted candidates."""
+    return _phase(spark, sf_dir)[0]
 
-    rows = forecast.intervals(_long(spark, sf_dir), b.REPLAY)
-    scores = forecast.score(rows, ["facility", "horizon_minutes", "model"], b.REPLAY)
-    gain = forecast.bootstrap_gain(_replay(spark, sf_dir), "carry_forward", "daily_naive", replace(b.REPLAY, resamples=100))
-    fits = b.event_registry(b.readings(spark, sf_dir)).select("facility", F.lit(0.0).alias("fit_failure"), F.lit(1.0).alias("update_seconds"))
-    return forecast.gates(scores, gain, fits, "carry_forward", "daily_naive", b.REPLAY)
+
+@query
+def candidate_fits(spark, sf_dir):
+    return _phase(spark, sf_dir)[2]
+
+
+@query
+def model_candidates(spark, sf_dir):
+    p = phase(spark, sf_dir)
+    rows, _ = models.replay_candidates(_grid(spark, sf_dir), p.warm, p.end, b.REPLAY)
+    return rows.withColumn("prediction", F.round("prediction", 6))
+
+
+@query
+def profile_forecasts(spark, sf_dir):
+    p = phase(spark, sf_dir)
+    rows = models.replay_profile(_grid(spark, sf_dir), p.warm, p.end, b.REPLAY)
+    return rows.withColumn("prediction", F.round("prediction", 6))
+
+
+@query
+def training_support(spark, sf_dir):
+    p = phase(spark, sf_dir)
+    return models.trimmed(models.windows(_grid(spark, sf_dir), p.warm, p.end, b.REPLAY), b.REPLAY)[1]
 
 
 @query
@@ -469,39 +618,46 @@ def seasonal_variance(spark, sf_dir):
     return forecast.explained(rows, ["local_hour"], "by_hour").join(forecast.explained(rows, ["local_hour", "weekend"], "by_hour_and_day"), "facility")
 
 
-@query
-def model_candidates(spark, sf_dir):
-    grid = dedup.forecast_grid(b.readings(spark, sf_dir), b.CADENCE)
-    return models.replay_candidates(grid, PHASE[1] - 3 * 86400, PHASE[1], b.REPLAY).drop("fit_seconds")
+def benefit_spans(spark, sf_dir):
+    """Discovery from the twelfth day on, confirmation from the twenty-first to the end of the readings."""
+    s = b.span(spark, sf_dir)
+    first = s.start // 86400 * 86400
+    middle = first + 21 * 86400
+    return {"discovery": (first + 12 * 86400, middle), "confirmation": (middle, max(middle, s.end))}
 
 
 def _opportunities(spark, sf_dir):
     found = b.slots(spark, sf_dir)
-    moves = movement.changes(found, b.local_calendar(spark), b.MOVES)
+    moves = movement.changes(found, b.local_calendar(spark, sf_dir), b.MOVES)
     days = found.select(F.col("local_date").alias("day")).distinct()
     screens = movement.daily_screens(moves, days, b.MOVES)
     seconds = F.create_map(F.lit("night"), F.col("base"), F.lit("am"), F.col("base") + 600, F.lit("pm"), F.col("base") + 300)
-    routes = _routes(spark, sf_dir).withColumn("base", 900 + (F.col("o") * 7 + F.col("pos") * 5) % 9 * 600).select("origin", F.col("facility").alias("slug"), seconds.alias("seconds"))
-    return benefit.opportunities(found, screens, routes, b.START + 12 * 86400, b.END, b.END, b.MOVES.horizons_minutes, b.RULES)
+    routes = b.routes(spark, sf_dir).withColumn("base", 900 + (F.col("o") * 7 + F.col("pos") * 5) % 9 * 600).select("origin", F.col("facility").alias("slug"), seconds.alias("seconds"))
+    end = b.span(spark, sf_dir).end
+    return {name: benefit.opportunities(found, screens, routes, first, last, end, b.MOVES.horizons_minutes, b.RULES) for name, (first, last) in benefit_spans(spark, sf_dir).items()}
 
 
 @query
 def benefit_opportunities(spark, sf_dir):
-    rows = _opportunities(spark, sf_dir)
+    parts = _opportunities(spark, sf_dir)
+    rows = parts["discovery"].unionByName(parts["confirmation"])
     return rows.select("origin", "slot", F.col("day").cast("string").alias("day"), "profile", "closest", "alternative", *[F.round(c, 6).alias(c) for c in ("drive_c", "drive_a", "p90_c", "p90_a", "D", "A", "A60", "A_stress")])
 
 
 @query
 def benefit_rules(spark, sf_dir):
-    return benefit.rule_summary(benefit.claims(_opportunities(spark, sf_dir), b.RULES), ["origin"])
+    return studies.benefit_periods(_opportunities(spark, sf_dir), b.RULES).drop("low", "high")
+
+
+@query
+def benefit_intervals(spark, sf_dir):
+    rows = studies.benefit_periods(_opportunities(spark, sf_dir), b.RULES).where("origin = 'all'")
+    return rows.select("period", "rule", "claims", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query
 def benefit_selection(spark, sf_dir):
-    claimed = benefit.claims(_opportunities(spark, sf_dir), b.RULES)
-    days = [f"2024-01-{d:02d}" for d in range(13, 31)]
-    results = benefit.rule_summary(claimed, ["origin"]).join(benefit.precision_intervals(claimed, days, ["origin"], b.RULES), ["origin", "rule"], "left")
-    return benefit.outcome(benefit.select_rule(results, ["origin"], b.RULES), b.RULES)
+    return studies.benefit_decision(studies.benefit_periods(_opportunities(spark, sf_dir), b.RULES), b.RULES)
 
 
 @query
@@ -527,3 +683,55 @@ def top_pairs_by_route(spark, sf_dir):
     o, c = b.table(spark, sf_dir, "orders"), b.table(spark, sf_dir, "customer")
     met = o.join(c, o.o_custkey == c.c_custkey).groupBy("c_nationkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("orders"), F.min("o_orderkey").alias("first"))
     return met.orderBy(F.desc("orders"), "c_nationkey", "o_orderpriority").limit(20)
+
+
+def _store(spark, sf_dir):
+    """A history folder of the events: raw lines by day, of which the first closed day is compacted; and the compacted fingerprints."""
+    root = f"{shared_dir(spark)}/slotwise/history-{uuid.uuid4().hex}"
+    rows = b.readings(spark, sf_dir)
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+    records = rows.select("facility", F.lit("wait").alias("metric"), F.col("value").alias("wait_minutes"), iso(F.col("at")).alias("observed_at"), iso(F.col("batch")).alias("batch_id"), (F.col("pos") % 997).cast("int").alias("latency_ms"))
+    history.write_raw(records, root, "wait")
+    day = str(rows.agg(F.min(F.to_date("batch"))).first()[0])
+    said = history.compact(spark, root, "wait", day)
+    return root, spark.createDataFrame([(day, said)], "d string, fingerprint string").select(F.col("d").cast("date").alias("dt"), "fingerprint")
+
+
+def _loaded(spark, sf_dir):
+    root, said = _store(spark, sf_dir)
+    s = b.span(spark, sf_dir)
+    at = lambda k: F.timestamp_seconds(F.lit(k))
+    return history.load(spark, root, "wait", at(s.start // 86400 * 86400), at(s.end), at(s.end), said, "wait")
+
+
+@query
+def history_records(spark, sf_dir):
+    records = _loaded(spark, sf_dir)[0]
+    return records.select(F.unix_micros("batch").alias("batch"), "facility", F.unix_micros("observed").alias("observed"), "wait_minutes", "latency_ms")
+
+
+@query
+def history_counters(spark, sf_dir):
+    _, counts, issues, _ = _loaded(spark, sf_dir)
+    return counts.select("duplicate_records", "rejected_records").crossJoin(issues.agg(F.count(F.lit(1)).alias("issues")))
+
+
+@query
+def history_partitions(spark, sf_dir):
+    return _loaded(spark, sf_dir)[3].select(F.col("dt").cast("string").alias("dt"), "source", "completeness")
+
+
+@query
+def collection_summary(spark, sf_dir):
+    """Attempts of every batch, as one run: a facility without a reading in the last batch has failed."""
+    found = b.readings(spark, sf_dir)
+    last = found.agg(F.max("batch").alias("batch"))
+    rows = found.join(F.broadcast(last), "batch").select("facility", F.lit("wait").alias("metric"), F.when(F.col("value") >= 0, "available").otherwise("invalid").alias("status"), F.lit(None).cast("string").alias("detail"), F.lit("ok").alias("outcome"), F.lit(None).cast("int").alias("http_status"))
+    return parsers.run_summary(parsers.attempts(b.event_registry(found), rows, "wait"), rows)
+
+
+@query
+def route_changes(spark, sf_dir):
+    r = b.routes(spark, sf_dir)
+    run = lambda k: r.where((F.col("o") + F.col("pos")) % k != 0).select("origin", F.col("facility").alias("slug"), (600 + F.col("o") * 60 * k + F.col("pos") * 900).alias("seconds"))
+    return parsers.route_changes(run(5), run(7)).withColumn("ratio", F.round("ratio", 9))

@@ -63,11 +63,13 @@ class Association:
     minimum_bins: int = 168
     minimum_days: int = 7
     minimum_day_bins: int = 12
-    minimum_others: int = 3
+    minimum_others: int = 5
     fdr_q: float = 0.10
     discovery_effect: float = 0.20
     confirmation_effect: float = 0.10
     robust_p: float = 0.05
+    zero_heavy_share: float = 0.10
+    episode_minutes: float = 10
     resamples: int = 1000
     seed: int = 20260924
 
@@ -87,19 +89,20 @@ class Forecast:
     interval_days: int = 7
     minimum_errors: int = 72
     levels: tuple[int, ...] = (80, 95)
+    training_days: int = 28
     minimum_training_slots: int = 14 * 96
-    minimum_coverage: float = 0.95
+    minimum_training_coverage: float = 0.95
     maximum_missing_run: int = 4
-    minimum_matched: int = 500
-    minimum_days: int = 20
+    minimum_matched: int = 150
+    minimum_days: int = 6
     minimum_gain: float = 1.0
     minimum_gain_fraction: float = 0.05
     minimum_availability: float = 0.95
-    maximum_fit_failure: float = 0.02
+    maximum_fit_failure: float = 0.01
     interval_tolerance: float = 0.05
     maximum_update_seconds: float = 600
-    resamples: int = 1000
-    seed: int = 20260926
+    resamples: int = 2000
+    seed: int = 20260924
 
 
 @dataclass(frozen=True)
@@ -116,10 +119,13 @@ class Benefit:
         ("F0", "fixed", 0), ("F10", "fixed", 10), ("F20", "fixed", 20), ("F30", "fixed", 30),
         ("F45", "fixed", 45), ("F60", "fixed", 60), ("S1", "screen", 1), ("S0.5", "screen", 0.5),
     )
-    minimum_claims: int = 100
-    minimum_days: int = 10
+    minimum_claims: int = 50
+    minimum_days: int = 5
     minimum_precision: float = 0.9
     minimum_lower_bound: float = 0.8
+    confirmation_claims: int = 20
+    confirmation_days: int = 3
+    confirmation_precision: float = 0.9
     draws: int = 2000
     seed: int = 20260926
 

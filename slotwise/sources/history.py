@@ -20,7 +20,9 @@ from pyspark.sql import types as T
 
 from slotwise.functions.time import instant
 from slotwise.operators.dedup import duplicate_counts, latest_by_key
+from slotwise.session import cut
 
+# The closed fields of a record, in order of name.
 FIELDS = ("batch_id", "facility", "latency_ms", "metric", "observed_at", "wait_minutes")
 SCHEMA = "facility string, metric string, wait_minutes int, observed_at string, batch_id string, latency_ms int"
 #: Every line boundary of text, not the line feed alone.
@@ -28,8 +30,15 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 MOST_ISSUES = 25
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(key, dt, length, etag) of all objects below a root, in key order. The tag is a digest of the content."""
+    if not exists(spark, root):
+        return spark.createDataFrame([], "key string, dt date, length bigint, etag string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     day = F.regexp_extract("path", r"/dt=(\d{4}-\d{2}-\d{2})/", 1)
     return files.select(F.col("path").alias("key"), F.when(day != "", day.cast("date")).alias("dt"), "length", F.md5("content").alias("etag")).orderBy("key")
@@ -68,19 +77,57 @@ def decoded(content: pd.Series, path: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "error"])
 
 
-def lines(spark: SparkSession, root: str, chosen: DataFrame) -> DataFrame:
-    """(dt, key, line, text, error) of the chosen source of every day, with line numbers from 1."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    day = F.regexp_extract("path", r"/dt=(\d{4}-\d{2}-\d{2})/", 1)
-    source = F.when(F.col("path").rlike("/compacted/.*\\.gz$"), "compacted").when(F.col("path").rlike("/raw/.*\\.jsonl$"), "raw")
-    files = files.select(F.col("path").alias("key"), "content", F.when(day != "", day.cast("date")).alias("dt"), source.alias("source"))
-    files = files.join(F.broadcast(chosen.select("dt", "source")), ["dt", "source"]).withColumn("body", decoded("content", "key"))
+def folders(root: str, dataset: str, chosen: DataFrame) -> dict[str, list[str]]:
+    """The folders of the chosen source of each day, by source. A range of days is a bounded list."""
+    found: dict[str, list[str]] = {"raw": [], "compacted": []}
+    for r in chosen.where(F.col("source").isin(*found)).select("dt", "source").collect():
+        found[r.source].append(f"{root}/{r.source}/{dataset}/dt={r.dt}")
+    return found
+
+
+def lines(spark: SparkSession, root: str, dataset: str, chosen: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
+    """(dt, key, line, text, error) of the chosen source of every day, with line numbers from 1.
+
+    Only the chosen days' folders are read. ``pinned`` is a listing (key, etag): an object that is not in it, or whose
+    content has changed since, ends the read with an error.
+    """
+    patterns, files = {"raw": "*.jsonl", "compacted": "*.gz"}, None
+    for source, places in folders(root, dataset, chosen).items():
+        if places:
+            some = spark.read.format("binaryFile").option("pathGlobFilter", patterns[source]).option("recursiveFileLookup", "true").load(places)
+            files = some if files is None else files.unionByName(some)
+    if files is None:
+        return spark.createDataFrame([], "dt date, key string, line int, text string, error string")
+    files = files.select(F.col("path").alias("key"), "content", F.regexp_extract("path", r"/dt=(\d{4}-\d{2}-\d{2})/", 1).cast("date").alias("dt"))
+    if pinned is not None:
+        known = files.join(pinned.select("key", "etag"), "key", "left")
+        same = F.coalesce(F.md5("content") == F.col("etag"), F.lit(False))
+        files = known.withColumn("content", F.when(same, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("changed since it was listed: "), F.col("key"))).cast("binary"))).drop("etag")
+    files = files.withColumn("body", decoded("content", "key"))
     bad = files.where("body.error IS NOT NULL").select("dt", "key", F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("text"), F.col("body.error").alias("error"))
     good = files.where("body.error IS NULL").select("dt", "key", F.posexplode(F.split("body.text", LINE_BREAK)).alias("line", "text"))
     good = good.where(F.trim("text") != "").select("dt", "key", (F.col("line") + 1).alias("line"), "text", F.lit(None).cast("string").alias("error"))
     return good.unionByName(bad)
 
 
+def load(spark: SparkSession, root: str, dataset: str, start: Column, end: Column, now: Column, stored: DataFrame, metric: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Records, counters, first issues and partitions of the batches in [start, end).
+
+    ``stored`` has dt and fingerprint of the compacted days. The days are listed, a source is chosen for each, and what is read
+    is pinned to that listing. Days are read side by side, as tasks; their rows, counters and issues are merged by the plan.
+    """
+    utc = lambda t: F.to_date(t)
+    first, last, today, late = spark.range(1).select(utc(start).cast("string"), utc(end - F.expr("interval 1 microsecond")).cast("string"), utc(now).cast("string"), end > now).first()
+    if first > last or late:
+        raise ValueError("start < end <= now is needed")
+    raw, packed = (cut(listing(spark, f"{root}/{kind}/{dataset}")) for kind in ("raw", "compacted"))
+    inside = lambda objects, pattern: objects.where(F.col("dt").between(first, last) & F.col("key").rlike(pattern))
+    partitions = cut(choose(spark, first, last, inside(raw, r"\.jsonl$"), inside(packed, r"\.gz$"), stored, F.lit(today).cast("date")))
+    rows = validated(lines(spark, root, dataset, partitions, raw.unionByName(packed)), now)
+    records, counts, issues = history(rows, start, end, metric)
+    return records, counts, issues, partitions
+
+
 def validated(rows: DataFrame, now: Column) -> DataFrame:
     """Lines as records with ``reject_reason``: the first rule that fails, in order, or null."""
     row = F.from_json("text", SCHEMA)
@@ -136,17 +183,34 @@ def write_raw(records: DataFrame, root: str, dataset: str) -> None:
     records.select(text.alias("value"), F.to_date(instant(F.col("batch_id"))).alias("dt")).write.mode("append").partitionBy("dt").text(f"{root}/raw/{dataset}")
 
 
+PART_BYTES = 128 << 20
+
+
 def compact(spark: SparkSession, root: str, dataset: str, day: str) -> str | None:
-    """One gzip file of a day's raw lines, in object order, and its fingerprint; nothing for an empty day."""
+    """A day's raw lines in object order, as gzip files of about 128 MB of text, and their fingerprint; nothing for an empty day."""
     folder = f"{root}/raw/{dataset}/dt={day}"
-    objects = listing(spark, folder).cache()
-    if objects.isEmpty():
+    objects = cut(listing(spark, folder).where(F.col("key").endswith(".jsonl")))
+    total = objects.agg(F.sum("length")).first()[0]
+    if not total:
         return None
-    rows = spark.read.text(folder).withColumn("key", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
-    rows.repartition(1).sortWithinPartitions("key", "at").select("value").write.mode("overwrite").option("compression", "gzip").text(f"{root}/compacted/{dataset}/dt={day}")
+    rows = spark.read.option("pathGlobFilter", "*.jsonl").text(folder).withColumn("key", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
+    parts = rows.repartitionByRange(-(-total // PART_BYTES), "key", "at").sortWithinPartitions("key", "at")
+    parts.select("value").write.mode("overwrite").option("compression", "gzip").text(f"{root}/compacted/{dataset}/dt={day}")
     return fingerprint(objects).first().fingerprint
 
 
+def write_batch(spark: SparkSession, root: str, dataset: str, records: DataFrame, summary: DataFrame, name: str) -> None:
+    """A collection batch: its records as JSON lines, if there are any, and always its summary as JSON."""
+    if not records.isEmpty():
+        records.select(F.to_json(F.struct(*[F.col(c) for c in records.columns])).alias("value")).write.mode("overwrite").text(f"{root}/raw/{dataset}/{name}")
+    summary.coalesce(1).write.mode("overwrite").json(f"{root}/operations/{dataset}/{name}")
+
+
+def points(records: DataFrame) -> DataFrame:
+    """Canonical order of points without their batch, for a sink."""
+    return records.orderBy("observed", "facility", "metric")
+
+
 def write_snapshot(records: DataFrame, path: str) -> str:
     """Write records as Parquet and return their identity: a digest over row digests, in any order."""
     records.write.mode("overwrite").parquet(path)

@@ -7,11 +7,7 @@ import pytest
 from slotwise.plans.oracles import ORACLES
 from slotwise.plans.queries import QUERIES
 
-#: Long on a laptop; the comparison at sf0.01 covers what they are made of.
-SLOW = {"pair_tests", "pair_bands"}
-
-
-@pytest.mark.parametrize("name", sorted(QUERIES.keys() - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, sf_dir, duck, same):
     df = QUERIES[name](spark, sf_dir)
     if name in ORACLES:

@@ -31,7 +31,7 @@ def store(tmp_path):
 
 def rows(spark, store, source="raw"):
     chosen = spark.createDataFrame([(DAY, source)], "d string, source string").select(F.col("d").cast("date").alias("dt"), "source")
-    return history.validated(history.lines(spark, store.root, chosen), F.lit("2026-10-01").cast("timestamp"))
+    return history.validated(history.lines(spark, store.root, "wait", chosen), F.lit("2026-10-01").cast("timestamp"))
 
 
 def test_rejections(spark, store):
@@ -97,11 +97,110 @@ def test_page_parts(spark):
     assert row[1].p is None and row[2].p.text == ""
 
 
-def test_published_minutes_and_ranges(spark):
+def test_pages_without_the_standard_library_parser(spark):
+    html = "<!-- <h4 class=wait-time-menu>no</h4> --><STYLE>x</STYLE><h4 class=\"a\">no</h4><H4 class=wait-time-menu id=1>Current ER&nbsp;Wait\nTime: 5 Minutes</H4><script>if (a < b) { '</p>' }</script>1 < 2<input name='k' type=\"hidden\" value=\"1\"><input type=hidden name=k value='2'><input type=hidden value=3><img alt='a > b'>"
+    p = spark.createDataFrame([(html,)], "h string").select(parsers.page_parts(F.col("h")).alias("p")).first().p
+    assert p.text == "noCurrent ER Wait Time: 5 Minutes1 < 2" and p.headings == ["Current ER Wait Time: 5 Minutes"] and p.hidden == {"k": "2"}
+
+
+def test_published_minutes(spark):
     df = spark.createDataFrame([("wait=5 wait=5",), ("wait=5 wait=6",), ("wait=-1",), ("",), (None,)], "t string")
     found = [tuple(r.m) for r in df.select(parsers.published_minutes(F.col("t"), r"wait=(-?\d+)").alias("m")).collect()]
     assert found == [("ok", 5), ("conflict", None), ("invalid", None), ("missing", None), ("missing", None)]
-    one = {"name": "n", "type": "ED", "active": True, "wait_low": 5, "wait_high": 9, "lower_bound_only": False}
-    payloads = [{"departments": [one]}, {"departments": [one, one]}, {"departments": [one | {"wait_high": 1}]}, {"departments": [one | {"lower_bound_only": True, "wait_high": None}]}]
-    df = spark.createDataFrame([(json.dumps(p),) for p in payloads], "t string")
-    assert [tuple(r.m) for r in df.select(parsers.wait_range(F.col("t")).alias("m")).collect()] == [("ok", 5, 9, False), ("invalid", None, None, None), ("invalid", None, None, None), ("ok", 5, None, True)]
+    page = lambda text, name="Hill House": f"<h1>{name}</h1><h4 class='wait-time-menu'>{text}</h4>"
+    pages = [page("Current ER Wait Time: 12 Minutes"), page("current er wait time: -1 minutes"), page("Closed " + "x" * 300), page("Current ER Wait Time: 12 Minutes", "Other")]
+    df = spark.createDataFrame([(x,) for x in pages], "h string")
+    rows = [r.w for r in df.select(parsers.published_wait(F.col("h"), "Hill House").alias("w")).collect()]
+    assert [(r.status, r.detail, r.minutes) for r in rows] == [("available", None, 12), ("invalid", "negative_wait_sentinel", None), ("invalid", "missing_or_conflicting_widget", None), ("failed", "unexpected page", None)]
+    assert len(rows[2].evidence) == 200 and rows[3].evidence is None
+
+
+def test_ranges_of_departments(spark):
+    one = {"Name": "n", "IsEDDep": True, "IsASAP": True, "CanShowWaitInfo": True, "WaitTime": 9, "WaitTimeLower": 5, "MaxValueHit": False}
+    cases = [[one], [one, one], [one | {"WaitTime": 4}], [one | {"WaitTimeLower": 9, "MaxValueHit": True}], [one | {"WaitTimeLower": None}], [one | {"CanShowWaitInfo": False}], [one | {"WaitTime": "9"}], [one | {"MaxValueHit": "no"}], [one | {"IsEDDep": False}], [{k: v for k, v in one.items() if k != "MaxValueHit"}], [one | {"CanShowWaitInfo": "true"}]]
+    df = spark.createDataFrame([(json.dumps({"OnMyWayDepartments": c}),) for c in cases] + [("{}",)], "t string")
+    found = [tuple(r.m) for r in df.select(parsers.wait_range(F.col("t"), "n").alias("m")).collect()]
+    failed = lambda detail: ("failed", detail, None, None, None)
+    assert found == [
+        ("available", None, 5, 9, False), failed("missing or duplicate department"), ("invalid", "invalid_wait_bounds", None, None, None), ("available", None, 9, None, True), ("available", None, 9, 9, False),
+        ("unavailable", "wait_not_displayed", None, None, None), ("invalid", "invalid_wait_bounds", None, None, None), ("invalid", "invalid_cap_flag", None, None, None), failed("missing or duplicate department"),
+        failed("missing wait fields"), failed("invalid wait visibility flag"), failed("invalid department list"),
+    ]
+
+
+def test_schedules_and_slots(spark):
+    row = lambda k, **more: {"id": k, "attributes": {"active": True, "hidden": False, "appointment-types": [], "service": {"permalink": "emergency-room"}} | more, "relationships": {"facility": {"data": {"id": "7"}}}}
+    place = {"id": "7", "type": "facilities", "attributes": {"permalink": "hill", "facility-type": "Emergencydepartment"}}
+    whole = lambda rows, included=(place,): {"data": rows, "meta": {"record-count": len(rows)}, "included": list(included)}
+    cases = [whole([row("1"), row("2"), row("3", service={"permalink": "other"})]), whole([row("1"), row("1")]), whole([row("1", hidden=True)]), whole([]), whole([row("1")], []), whole([row("1")]) | {"meta": {"record-count": 2}}, {"x": 1}]
+    df = spark.createDataFrame([(json.dumps(c),) for c in cases], "t string")
+    found = [(r.s.detail, r.s.ids) for r in df.select(parsers.schedules(F.col("t"), "7", "hill").alias("s")).collect()]
+    assert found == [(None, ["1", "2"]), ("missing or duplicate schedules", None), ("unexpected schedule scope", None), ("missing or duplicate schedules", None), ("missing or unexpected facility", None), ("incomplete schedule listing", None), ("invalid public API envelope", None)]
+    slot = lambda k, times, next_time=None: {"schedule-id": k, "appointment-type-id": "", "times": times, "next-time": next_time}
+    day = "2026-09-14T"
+    cases = [
+        [slot("1", [f"{day}11:00:00Z", f"{day}06:00:00-05:00", f"{day}10:30:00+00:00"]), slot("2", ["2026-09-15T12:00:00Z"], f"{day}10:15:00Z")], [slot("1", []), slot("2", [])], [slot("1", [f"{day}11:00:00Z"])],
+        [slot("1", []), slot("9", [])], [slot("1", [f"{day}09:59:00Z"]), slot("2", [])], [slot("1", [f"{day}11:00:00"]), slot("2", [])], [slot("1", []), slot("2", [], f"{day}09:00:00Z")],
+    ]
+    df = spark.createDataFrame([(json.dumps(c),) for c in cases], "t string")
+    at = lambda t: F.lit(t).cast("timestamp")
+    made = df.select(parsers.arrival_slots(F.col("t"), F.array(F.lit("1"), F.lit("2")), at(f"{day}10:00:00Z"), at("2026-09-15T10:00:00Z")).alias("s")).select("s.status", "s.detail", F.date_format("s.next_available_at", "HH:mm").alias("next"), F.size("s.available_slots").alias("n"), "s.slots_beyond_window")
+    assert [tuple(r) for r in made.collect()] == [
+        ("available", None, "10:15", 2, 1), ("unavailable", "no_slots_returned", None, 0, 0), ("failed", "incomplete slot response", None, None, None), ("failed", "unexpected slot schedule or appointment type", None, None, None),
+        ("failed", "expired slot", None, None, None), ("failed", "invalid timestamp", None, None, None), ("failed", "expired next slot", None, None, None),
+    ]
+
+
+def test_polls_and_attempts(spark):
+    df = spark.createDataFrame([("a", '{"wait": 5, "beds": "7"}'), ("b", '{"wait": 5.5}'), ("c", "[]"), ("d", '{"beds": 1}')], "facility string, body string").selectExpr("*", "'x' batch_id", "'y' observed_at", "3 latency_ms")
+    rows = parsers.polled_metrics(df)
+    assert {(r.facility, r.metric, r.wait_minutes) for r in rows.collect()} == {("a", "wait", 5), ("a", "beds", 7), ("b", None, None), ("c", None, None), ("d", "beds", 1)}
+    fetches = spark.createDataFrame(
+        [("ok", "m", "available", None, "ok", None), ("part", "m", "available", None, "ok", None), ("part", "n", "invalid", "invalid_wait_bounds", "ok", None), ("bad", "m", "invalid", "r2", "ok", None), ("bad", "n", "invalid", "r1", "ok", None), ("http", None, None, None, "http_error", 503), ("late", None, None, None, "deadline", None), ("odd", None, None, "expired slot", "invalid", None), ("less", "n", "available", None, "ok", None)],
+        "facility string, metric string, status string, detail string, outcome string, http_status int",
+    )
+    expected = spark.createDataFrame([(x,) for x in ("ok", "part", "bad", "http", "late", "odd", "less", "none")], "facility string")
+    found = {r.facility: (r.state, r.error_code, r.error_detail, r.http_status) for r in parsers.attempts(expected, fetches, "m").collect()}
+    assert found == {
+        "ok": ("success", None, None, None), "part": ("partial", "invalid_source_value", "invalid_wait_bounds", None), "bad": ("failed", "invalid_source_value", "r1, r2", None), "http": ("failed", "request_failed", "http_error", 503),
+        "late": ("failed", "collection_deadline", None, None), "odd": ("failed", "invalid_response", "expired slot", None), "less": ("failed", "expected_metric_missing", None, None), "none": ("failed", "request_failed", None, None),
+    }
+    summary = parsers.run_summary(parsers.attempts(expected, fetches, "m"), fetches.where("metric IS NOT NULL")).first().asDict()
+    assert summary == {"expected_facilities": 8, "success": 1, "partial": 1, "failed": 6, "records": 6}
+
+
+def test_routes_and_their_changes(spark):
+    good = {"routes": [{"summary": {"lengthInMeters": 5, "travelDurationInSeconds": 60, "trafficDelayDurationInSeconds": 0}, "legs": [{"path": {"type": "LineString", "coordinates": [[0, 0], [-90.0, 35.0]]}}]}]}
+    two = {"routes": [good["routes"][0] | {"legs": good["routes"][0]["legs"] * 2}]}
+    df = spark.createDataFrame([(json.dumps(good), 35.0), (json.dumps(two), 35.0), (json.dumps(good), 36.0), ("x", 35.0)], "t string, lat double")
+    assert [r.r.status for r in df.select(parsers.route(F.col("t"), F.col("lat"), F.lit(-90.0), 100).alias("r")).collect()] == ["ok", "invalid", "invalid", "invalid"]
+    run = lambda rows: spark.createDataFrame(rows, "origin string, slug string, seconds int")
+    assert [tuple(r) for r in parsers.route_changes(run([("o", "a", 100), ("o", "b", 5)]), run([("o", "a", 150), ("p", "b", 5)])).collect()] == [("o", "a", 100, 150, 50, 1.5)]
+
+
+def test_load_is_pruned_and_pinned(spark, store):
+    for day, wait in (("2026-09-12", 1), (DAY, 2), ("2026-09-14", 3)):
+        store("raw", day, "a.jsonl", line(wait_minutes=wait, batch_id=f"{day}T10:00:00+00:00", observed_at=f"{day}T10:00:05+00:00"))
+    store("raw", "2026-09-12", "b.jsonl", "not json")
+    said = spark.createDataFrame([(DAY, history.compact(spark, store.root, "wait", DAY))], "d string, fingerprint string").select(F.col("d").cast("date").alias("dt"), "fingerprint")
+    at = lambda t: F.lit(t).cast("timestamp")
+    records, counts, issues, parts = history.load(spark, store.root, "wait", at("2026-09-12T00:00:00Z"), at("2026-09-14T00:00:00Z"), at("2026-09-20T00:00:00Z"), said)
+    assert sorted(r.wait_minutes for r in records.collect()) == [1, 2] and counts.first().rejected_records == 1 and issues.count() == 1
+    assert {str(r.dt): r.source for r in parts.collect()} == {"2026-09-12": "raw", DAY: "compacted"}
+    with pytest.raises(ValueError, match="start < end"):
+        history.load(spark, store.root, "wait", at("2026-09-14T00:00:00Z"), at("2026-09-12T00:00:00Z"), at("2026-09-20T00:00:00Z"), said)
+    listed = history.listing(spark, f"{store.root}/raw/wait").cache()
+    listed.count()
+    store("raw", "2026-09-14", "a.jsonl", line(wait_minutes=9))
+    chosen = spark.createDataFrame([("2026-09-14", "raw")], "d string, source string").select(F.col("d").cast("date").alias("dt"), "source")
+    with pytest.raises(Exception, match="changed since"):
+        history.lines(spark, store.root, "wait", chosen, listed).collect()
+
+
+def test_batches_leave_a_summary_even_without_records(spark, tmp_path):
+    none = spark.createDataFrame([], "facility string, wait int")
+    summary = spark.createDataFrame([(8, 0)], "expected int, success int")
+    history.write_batch(spark, str(tmp_path), "wait", none, summary, "dt=2026-09-13/x")
+    assert spark.read.json(f"{tmp_path}/operations/wait/dt=2026-09-13/x").first().expected == 8 and not (tmp_path / "raw").exists()
+    history.write_batch(spark, str(tmp_path), "wait", spark.createDataFrame([("a", 1)], "facility string, wait int"), summary, "dt=2026-09-13/x")
+    assert spark.read.json(f"{tmp_path}/raw/wait/dt=2026-09-13/x").count() == 1
