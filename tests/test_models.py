@@ -114,7 +114,7 @@ def test_profile_against_plain_python(spark, delay):
     known = {START + 3600 * k: int(30 + 20 * math.sin(k / 24 * 6.28) + rng.random() * 10) for k in range(24 * 9) if rng.random() > 0.05}
     first, end = START + 7 * DAY, START + 9 * DAY
     rows = models.replay_profile(grid_of(spark, [("a", s, v) for s, v in known.items()]), first, end, POLICY, delay).collect()
-    assert len(rows) == 2 * 2 * 4 - 1
+    assert len(rows) == 2 * 2 * 4
     for r in rows:
         fit = first + (r.origin - first) // DAY * DAY
         last = known.get(fit - delay * 3600)
