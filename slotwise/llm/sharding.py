@@ -5,13 +5,16 @@ through ever larger shard counts, and the last jump below the count is the shard
 and one more shard takes over its fair part of the rows and moves no others. Jumps run in an Arrow
 batch function, because they need wrapping 64-bit products.
 
-Slots number the rows of a shard from 0, ordered by (bucket, key): buckets are a digest of the key
-modulo a count that grows with the table, rows are numbered within (shard, bucket), and the small
-table of bucket sizes gives each bucket its first slot. So no task sees a whole shard.
+Slots number the rows of a shard from 0, ordered by (bucket, key, checksum, size): buckets are a digest of
+these three modulo a count that grows with the table, so that rows of one key spread. Rows that are equal in
+them are counted before the shuffle and numbered as a block; blocks are numbered within (shard, bucket), and
+the small table of bucket sizes gives each bucket its first slot. So no task sees a whole shard, the rows
+of a hot key or the copies of a hot row.
 
 Defined cases: a null key counts as 0 for shard and bucket and comes first; a null text has 0 bytes
-and the checksum of the empty text; rows of equal key take neighbouring slots in the order of their
-checksum and size (equal rows in any order); an empty table gives an empty result.
+and the checksum of the empty text; equal rows take neighbouring slots; texts of any length are
+measured whole and do not travel; an empty table gives an empty result; further columns, whatever
+their names, are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import col, cut
+from slotwise.llm.common import col, cut, stored
 
 ROWS_A_BUCKET = 20_000
 
@@ -54,17 +57,17 @@ def shard_of(key: Column, shards: int) -> Column:
 def assign_shards(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
     """id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    total = docs.count()
+    rows = docs.select(col(id_col).alias("id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
+    blocks = stored(rows.groupBy("id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")), "blocks")
+    total = blocks.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // rows_a_bucket))
-    key = col(id_col)
-    bucket = F.pmod(F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("0"))), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
-    rows = docs.select(key.alias("id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), bucket.cast("int").alias("bucket"))
-    rows = rows.withColumns({"shard": shard_of(F.col("id"), shards), "grown_shard": shard_of(F.col("id"), shards + 1)})
-    sizes = cut(rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")))
+    named = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("0")), "text_crc32", "size")
+    bucket = F.pmod(F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
+    blocks = blocks.withColumns({"bucket": bucket, "shard": shard_of(F.col("id"), shards), "grown_shard": shard_of(F.col("id"), shards + 1)})
+    sizes = cut(blocks.groupBy("shard", "bucket").agg(F.sum("n").alias("rows")))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = cut(sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
-    within = Window.partitionBy("shard", "bucket").orderBy(F.col("id").asc_nulls_first(), "text_crc32", "size")
-    numbered = rows.withColumn("place", F.row_number().over(within))
-    return numbered.join(firsts, ["shard", "bucket"]).select(
-        F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("place") - 1).alias("slot"), "grown_shard"
-    )
+    firsts = cut(sizes.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first")))
+    within = Window.partitionBy("shard", "bucket").orderBy(F.col("id").asc_nulls_first(), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = blocks.withColumn("at", F.coalesce(F.sum("n").over(within), F.lit(0))).join(firsts, ["shard", "bucket"]).withColumn("at", F.col("first") + F.col("at"))
+    placed = numbered.select("id", "size", "text_crc32", "shard", "grown_shard", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("slot"))
+    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
