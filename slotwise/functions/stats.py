@@ -19,10 +19,9 @@ def median(x: Column | str) -> Column:
     return F.percentile(x, F.lit(0.5))
 
 
-def lower_median(x: Column) -> Column:
-    """The lower of the middle two for even counts."""
-    values = F.sort_array(F.collect_list(x))
-    return F.get(values, F.floor((F.size(values) - 1) / 2).cast("int"))
+def lower_median(x: str) -> Column:
+    """The lower of the middle two for even counts; the state holds distinct values with their counts."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{x}`)")
 
 
 def array_median(values: Column) -> Column:
@@ -39,6 +38,21 @@ def average_rank(x: str, by: list[str]) -> Column:
     return F.rank().over(order) - 1 + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
 
 
+def with_average_rank(rows: DataFrame, x: str, by: list[str], name: str) -> DataFrame:
+    """``rows`` with ``average_rank`` as a column, for groups of any size.
+
+    Equal values are counted before the shuffle, distinct values are numbered, and rows find their value's rank in a join, so
+    that no task sorts a whole group's rows. Nulls come first, as in a sort.
+    """
+    counts = rows.groupBy(*by, x).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = counts.select(*[F.col(c).alias(f"rank_of_{c}") for c in (*by, x)], (before + (F.col("n") - 1) / F.lit(2.0)).alias(name))
+    same = F.lit(True)
+    for c in (*by, x):
+        same &= F.col(c).eqNullSafe(F.col(f"rank_of_{c}"))
+    return rows.join(ranks, same).drop(*[f"rank_of_{c}" for c in (*by, x)])
+
+
 def pearson(x: Column | str, y: Column | str) -> Column:
     """Correlation; null if either side does not vary."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

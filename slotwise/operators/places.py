@@ -71,7 +71,7 @@ def neighbour_groups(registry: DataFrame, km: float) -> DataFrame:
     labels = registry.select("facility", F.col("facility").alias("group"))
     while True:
         lower = edges.join(labels.withColumnRenamed("facility", "b"), "b").groupBy(F.col("a").alias("facility")).agg(F.min("group").alias("near"))
-        lowered = cut(labels.join(lower, "facility", "left").select("facility", F.least("group", F.coalesce("near", "group")).alias("group"), F.col("group").alias("old")))
+        lowered = labels.join(lower, "facility", "left").select("facility", F.least("group", F.coalesce("near", "group")).alias("group"), F.col("group").alias("old"))
         jumps = lowered.select(F.col("facility").alias("group"), F.col("group").alias("next"))
         after = cut(lowered.join(jumps, "group").select("facility", F.least("group", "next").alias("group"), "old"))
         labels = after.select("facility", "group")

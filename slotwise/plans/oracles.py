@@ -487,7 +487,7 @@ SELECTS = {
     "collection_summary": """SELECT count(*) AS expected_facilities, sum(coalesce(n, 0))::BIGINT AS records, count(*) FILTER (bad = 0) AS success, count(*) FILTER (bad > 0 AND bad < n) AS partial, count(*) FILTER (n IS NULL OR bad = n) AS failed
         FROM er LEFT JOIN (SELECT facility, count(*) AS n, count(*) FILTER (value < 0) AS bad FROM r WHERE batch = (SELECT max(batch) FROM r) GROUP BY facility) x ON x.facility = er.facility""",
     "route_changes": """SELECT origin, slug, before, after, after - before AS change, round(after / before, 9) AS ratio FROM (SELECT g.facility AS origin, e.facility AS slug, 600 + g.pos * 300 + e.pos * 900 AS before, 600 + g.pos * 420 + e.pos * 900 AS after FROM reg g JOIN er e ON (g.pos + e.pos) % 5 <> 0 AND (g.pos + e.pos) % 7 <> 0)""",
-    "entrance_review": f"""SELECT slug, pos, latitude, method, reviewed_on, round({_km("c", "e", "6371000.0")}, 3) AS meters FROM (SELECT facility AS slug, pos, CASE WHEN pos % 5 = 0 THEN round(latitude + pos / 2000, 6) END AS latitude, CASE WHEN pos % 5 = 0 THEN 'site_visit' END AS method, CASE WHEN pos % 5 = 0 THEN '2024-01-02' END AS reviewed_on,
+    "entrance_review": f"""SELECT slug, pos, latitude, method, reviewed_on, CASE WHEN method IS NOT NULL THEN round({_km("c", "e", "6371000.0")}, 3) END AS meters FROM (SELECT facility AS slug, pos, CASE WHEN pos % 5 = 0 THEN round(latitude + pos / 2000, 6) END AS latitude, CASE WHEN pos % 5 = 0 THEN 'site_visit' END AS method, CASE WHEN pos % 5 = 0 THEN '2024-01-02' END AS reviewed_on,
         {{'latitude': latitude, 'longitude': longitude}} AS c, {{'latitude': CASE WHEN pos % 5 = 0 THEN latitude + pos / 2000 END, 'longitude': longitude}} AS e FROM reg)""",
     "destination_eligibility": """SELECT facility AS slug, CASE WHEN pos % 11 = 1 THEN 'No published wait time · map only' WHEN pos % 13 = 2 THEN 'Active emergency service unverified' WHEN pos % 6 = 4 THEN 'Age applicability unverified or unsuitable' WHEN pos % 9 = 5 THEN 'Destination verification missing'
         WHEN pos * 4 > 90 THEN 'Destination verification expired' WHEN pos % 5 = 0 THEN CASE WHEN pos % 7 <> 3 AND pos / 2000 * 6371000 * pi() / 180 > 1000 THEN 'Emergency entrance too far from campus' END WHEN pos % 7 = 3 THEN 'Arrival location unavailable' END AS reason,

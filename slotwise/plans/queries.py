@@ -357,7 +357,7 @@ def travel_comparison(spark, sf_dir):
 @query
 def order_rank_ties(spark, sf_dir):
     rows = b.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"))
-    return rows.withColumn("place", stats.average_rank("q", ["l_returnflag", "l_linenumber"])).groupBy("l_returnflag", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("last"), F.sum("place").alias("total"))
+    return stats.with_average_rank(rows, "q", ["l_returnflag", "l_linenumber"], "place").groupBy("l_returnflag", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("last"), F.sum("place").alias("total"))
 
 
 @query
@@ -373,7 +373,7 @@ def value_spread(spark, sf_dir):
 
 @query
 def lower_medians(spark, sf_dir):
-    return b.readings(spark, sf_dir).groupBy("facility", local_date(F.col("at"), b.ZONE).cast("string").alias("local_date")).agg(stats.lower_median(F.col("value")).alias("low"), stats.median("value").alias("mid"))
+    return b.readings(spark, sf_dir).groupBy("facility", local_date(F.col("at"), b.ZONE).cast("string").alias("local_date")).agg(stats.lower_median("value").alias("low"), stats.median("value").alias("mid"))
 
 
 @query

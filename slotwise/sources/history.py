@@ -28,6 +28,8 @@ SCHEMA = "facility string, metric string, wait_minutes int, observed_at string,
 #: Every line boundary of text, not the line feed alone.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 MOST_ISSUES = 25
+#: Names of raw objects (Spark's text writer ends its files in .txt) and of compacted ones.
+RAW, PACKED = r"\.(jsonl|txt)$", r"\.gz$"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -91,7 +93,7 @@ def lines(spark: SparkSession, root: str, dataset: str, chosen: DataFrame, pinne
     Only the chosen days' folders are read. ``pinned`` is a listing (key, etag): an object that is not in it, or whose
     content has changed since, ends the read with an error.
     """
-    patterns, files = {"raw": "*.jsonl", "compacted": "*.gz"}, None
+    patterns, files = {"raw": "*.{jsonl,txt}", "compacted": "*.gz"}, None
     for source, places in folders(root, dataset, chosen).items():
         if places:
             some = spark.read.format("binaryFile").option("pathGlobFilter", patterns[source]).option("recursiveFileLookup", "true").load(places)
@@ -122,7 +124,7 @@ def load(spark: SparkSession, root: str, dataset: str, start: Column, end: Colum
         raise ValueError("start < end <= now is needed")
     raw, packed = (cut(listing(spark, f"{root}/{kind}/{dataset}")) for kind in ("raw", "compacted"))
     inside = lambda objects, pattern: objects.where(F.col("dt").between(first, last) & F.col("key").rlike(pattern))
-    partitions = cut(choose(spark, first, last, inside(raw, r"\.jsonl$"), inside(packed, r"\.gz$"), stored, F.lit(today).cast("date")))
+    partitions = cut(choose(spark, first, last, inside(raw, RAW), inside(packed, PACKED), stored, F.lit(today).cast("date")))
     rows = validated(lines(spark, root, dataset, partitions, raw.unionByName(packed)), now)
     records, counts, issues = history(rows, start, end, metric)
     return records, counts, issues, partitions
@@ -189,11 +191,11 @@ PART_BYTES = 128 << 20
 def compact(spark: SparkSession, root: str, dataset: str, day: str) -> str | None:
     """A day's raw lines in object order, as gzip files of about 128 MB of text, and their fingerprint; nothing for an empty day."""
     folder = f"{root}/raw/{dataset}/dt={day}"
-    objects = cut(listing(spark, folder).where(F.col("key").endswith(".jsonl")))
+    objects = cut(listing(spark, folder).where(F.col("key").rlike(RAW)))
     total = objects.agg(F.sum("length")).first()[0]
     if not total:
         return None
-    rows = spark.read.option("pathGlobFilter", "*.jsonl").text(folder).withColumn("key", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
+    rows = spark.read.option("pathGlobFilter", "*.{jsonl,txt}").text(folder).withColumn("key", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
     parts = rows.repartitionByRange(-(-total // PART_BYTES), "key", "at").sortWithinPartitions("key", "at")
     parts.select("value").write.mode("overwrite").option("compression", "gzip").text(f"{root}/compacted/{dataset}/dt={day}")
     return fingerprint(objects).first().fingerprint

@@ -35,6 +35,15 @@ def sessions(stream: DataFrame, gap: str = "20 minutes", late: str = "1 hour") -
     return out.select("facility", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "highest")
 
 
+def deduplicated(stream: DataFrame) -> DataFrame:
+    """One row for each batch and facility, the latest reading; a late one still replaces it.
+
+    As in a read of the history, nothing is dropped for being late, so the state has every key and no watermark.
+    """
+    won = stream.groupBy("batch", "facility").agg(F.max(F.struct("at", "value")).alias("w"), F.count(F.lit(1)).alias("records"))
+    return won.select("batch", "facility", "w.at", "w.value", "records")
+
+
 STATE = "facility string, at timestamp, batch timestamp, value int"
 
 
@@ -72,6 +81,37 @@ def publish(stream: DataFrame, registry: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
+TRIES = 4
+
+
+def publish_once(readings: DataFrame, attempts: DataFrame, registry: DataFrame, path: str, tries: int = TRIES, before_write=None) -> int:
+    """Read the newest version, merge, and write the next one only if nobody else has; else begin again, ``tries`` times at most.
+
+    A version is a folder that is written once, so that of two writers with the same one in hand the second fails and
+    merges into what the first has published. ``before_write`` is called between reading and writing. Gives the number written.
+    """
+    from pyspark.errors import AnalysisException
+
+    from slotwise.operators.latest import merge
+
+    spark = readings.sparkSession
+    kind = "facility string, success struct<at:timestamp,batch:timestamp,value:int>, attempt struct<batch:timestamp,state:string,error_code:string>"
+    for _ in range(tries):
+        versions = [int(r.name[2:-1]) for r in _folders(spark, path)]
+        held = max(versions, default=0)
+        old = spark.read.parquet(f"{path}/v={held}").select("facility", "success", "attempt") if versions else spark.createDataFrame([], kind)
+        merged = merge(old, readings, attempts, registry)
+        if before_write:
+            before_write()
+        try:
+            merged.write.mode("errorifexists").parquet(f"{path}/v={held + 1}")
+            return held + 1
+        except AnalysisException as error:
+            if "PATH_ALREADY_EXISTS" not in str(error):
+                raise
+    raise RuntimeError(f"another writer was faster {tries} times")
+
+
 def _folders(spark: SparkSession, path: str):
     from types import SimpleNamespace
 

@@ -8,7 +8,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from slotwise.sources import history, parsers
+from slotwise.operators import latest
+from slotwise.operators import places as places_
+from slotwise.sources import artifacts, history, parsers
 
 DAY = "2026-09-13"
 
@@ -204,3 +206,62 @@ def test_batches_leave_a_summary_even_without_records(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/operations/wait/dt=2026-09-13/x").first().expected == 8 and not (tmp_path / "raw").exists()
     history.write_batch(spark, str(tmp_path), "wait", spark.createDataFrame([("a", 1)], "facility string, wait int"), summary, "dt=2026-09-13/x")
     assert spark.read.json(f"{tmp_path}/raw/wait/dt=2026-09-13/x").count() == 1
+
+
+def test_supplied_tables_are_checked(spark, tmp_path):
+    registry = spark.createDataFrame([("a",), ("b",)], "facility string")
+    kind = "facility string, success struct<at:timestamp,batch:timestamp,value:int>, attempt struct<batch:timestamp,state:string>, state string"
+    from datetime import datetime
+
+    at = lambda h: datetime(2026, 1, 1, h)
+    good = [("a", (at(2), at(1), 5), (at(1), "success"), "reporting"), ("b", None, (at(1), "failed"), "failed")]
+    now = F.lit("2026-01-01T03:00:00Z").cast("timestamp")
+    assert artifacts.latest_problems(spark.createDataFrame(good, kind), registry, now).isEmpty()
+    bad = [("a", (at(4), at(1), 5), (at(1), "success"), "reporting"), ("a", None, None, "reporting"), ("x", None, None, "missing")]
+    found = {(r.key, r.problem) for r in artifacts.latest_problems(spark.createDataFrame(bad, kind), registry, now).collect()}
+    assert found == {("a", "observation"), ("a", "state"), ("a", "reporting without an attempt"), ("a", "repeated"), ("b", "missing"), ("x", "unknown")}
+    with pytest.raises(ValueError, match="a: observation"):
+        artifacts.require(artifacts.latest_problems(spark.createDataFrame(bad, kind), registry, now))
+    (tmp_path / "routes.json").write_text(json.dumps({"routes": [{"origin": "o", "slug": "a", "seconds": {"night": 1, "am": 2, "pm": 3}}, {"origin": "o", "slug": "z", "seconds": {"night": -1}}]}))
+    routes = artifacts.route_profiles(spark, str(tmp_path / "routes.json"))
+    assert {(r.key, r.problem) for r in artifacts.route_problems(routes, registry).collect()} == {("o|z", "profiles"), ("o|z", "seconds"), ("o|z", "unknown")}
+    places = spark.createDataFrame([("a", 35.0, -90.0), (" ", 1.0, 1.0), ("c", 91.0, None)], "facility string, latitude double, longitude double")
+    assert {(r.key, r.problem) for r in artifacts.place_problems(places).collect()} == {(" ", "name"), ("c", "coordinates")}
+
+
+def test_models_are_checked(spark):
+    kind = "facility string, local_date string, local_hour int, state string, days int, eligible_days int, samples long, observed_slots long, coverage double, median double, low double, high double, distribution array<struct<value:int,n:bigint>>"
+    rows = [("a", "d", 1, "supported", 8, 20, 3, 3, 0.9, 2.0, 1.0, 3.0, [(1, 1), (2, 2)]), ("b", "d", 1, "insufficient_history", 1, 20, 3, 3, 0.1, None, None, None, None), ("c", "d", 24, "supported", 9, 8, 4, 3, 0.9, 0.0, 1.0, 3.0, [(1, 1)])]
+    found = {(r.key, r.problem) for r in artifacts.model_problems(spark.createDataFrame(rows, kind)).collect()}
+    assert found == {("c|d|24", p) for p in ("hour", "support", "quartiles", "distribution")}
+
+
+def test_contexts_end_at_midnight_and_after_two_hours(spark):
+    rows = [("2026-09-14T10:00:00Z", "2026-09-14T11:59:59Z"), ("2026-09-14T10:00:00Z", "2026-09-14T12:00:00Z"), ("2026-09-14T10:00:00Z", "2026-09-14T09:59:59Z"), ("2026-09-15T04:30:00Z", "2026-09-15T05:00:00Z"), ("2026-09-15T04:30:00Z", "2026-09-15T04:59:00Z")]
+    df = spark.createDataFrame(rows, "g string, n string").selectExpr("timestamp(g) g", "timestamp(n) n")
+    assert [r[0] for r in df.select(latest.context_available(F.col("g"), F.col("n"), "America/Chicago")).collect()] == [True, False, False, False, True]
+
+
+def test_candidates_of_a_context(spark):
+    rows = spark.createDataFrame([("a", None), ("b", "closed"), ("c", None)], "slug string, adult string").select("slug", F.create_map(F.lit("adult"), "adult").alias("eligibility"))
+    assert sorted(r.slug for r in places_.candidates(rows, "adult").collect()) == ["a", "c"]
+    for bad in (rows.where("slug = 'b'"), rows.unionByName(rows)):
+        with pytest.raises(ValueError, match="distinct"):
+            places_.candidates(bad, "adult")
+
+
+def test_registry_and_canonical_order(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps({"facilities": [{"slug": "b", "collection_enabled": True}, {"slug": "a", "collection_enabled": False}]}))
+    assert [(r.pos, r.slug) for r in history.registry(spark, str(tmp_path / "r.json")).collect()] == [(0, "b")]
+    assert history.registry(spark, str(tmp_path / "r.json"), include_map_only=True).count() == 2
+    df = spark.createDataFrame([(2, "a", "m", 1), (1, "b", "m", 2), (1, "a", "m", 3)], "observed int, facility string, metric string, batch int")
+    assert [r.batch for r in history.points(df).collect()] == [3, 2, 1] == [r.batch for r in history.ordered(df).collect()]
+    history.write_json(df.where("batch = 1"), str(tmp_path / "x.json"))
+    assert json.loads((tmp_path / "x.json").read_text()) == [{"observed": 2, "facility": "a", "metric": "m", "batch": 1}]
+
+
+def test_raw_batches_land_under_their_day(spark, tmp_path):
+    rows = [json.loads(line()), json.loads(line(batch_id="2026-09-14T00:10:00+02:00", observed_at="2026-09-14T00:11:00+02:00", wait_minutes=7))]
+    history.write_raw(spark.createDataFrame([tuple(r[f] for f in history.FIELDS) for r in rows], "batch_id string, facility string, latency_ms int, metric string, observed_at string, wait_minutes int"), str(tmp_path), "wait")
+    found = history.listing(spark, f"{tmp_path}/raw/wait").where("key LIKE '%part-%'").select("dt").distinct().collect()
+    assert [str(r.dt) for r in found] == [DAY]

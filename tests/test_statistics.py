@@ -14,11 +14,19 @@ from slotwise.functions.time import calendar, instant
 
 def test_medians_and_quantiles(spark):
     values = [5, 1, 9, 3, 3, 8]
-    row = spark.createDataFrame([(v,) for v in values], "v int").agg(stats.median("v").alias("m"), stats.quantile("v", 0.9).alias("q"), stats.lower_median(F.col("v")).alias("low")).first()
+    row = spark.createDataFrame([(v,) for v in values], "v int").agg(stats.median("v").alias("m"), stats.quantile("v", 0.9).alias("q"), stats.lower_median("v").alias("low")).first()
     assert row.m == statistics.median(values) and row.low == statistics.median_low(values)
     assert math.isclose(row.q, 8 + 0.5 * (9 - 8))
 
 
+def test_average_ranks_of_groups(spark):
+    rows = [("a", v) for v in (0, 0, 5, 3, None)] + [(None, v) for v in (2, 2, 2)] + [("b", 7)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    small = df.withColumn("r", stats.average_rank("v", ["g"])).collect()
+    large = stats.with_average_rank(df, "v", ["g"], "r").collect()
+    assert sorted(map(str, small)) == sorted(map(str, large)) and {r.v: r.r for r in large if r.g == "a"} == {None: 0, 0: 1.5, 3: 3, 5: 4}
+
+
 def test_array_median_of_nulls_and_ties(spark):
     df = spark.createDataFrame([([None, 4.0, 1.0],), ([],), ([2.0],)], "v array<double>")
     assert [r[0] for r in df.select(stats.array_median(F.col("v"))).collect()] == [2.5, None, 2.0]

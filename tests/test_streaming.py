@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from slotwise.streaming import readings
 
 
@@ -49,3 +51,31 @@ def test_published_versions(spark, tmp_path):
     run(readings.publish(readings.source(spark, str(tmp_path / "in")), registry, path, str(tmp_path / "c")))
     found = {r.facility: (r.state, r.success and r.success.value) for r in spark.read.parquet(f"{path}/v=1").collect()}
     assert found == {"a": ("reporting", 5), "z": ("missing", None)}
+
+
+def test_late_readings_replace_earlier_ones_of_their_batch(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    row = lambda at, value: json.dumps({"facility": "a", "at": at, "batch": "2026-01-01T00:00:00Z", "value": value})
+    (folder / "1.json").write_text("\n".join([row("2026-01-01T00:01:00Z", 1), row("2026-01-01T00:03:00Z", 3)]))
+    start = lambda: run(readings.deduplicated(readings.source(spark, str(folder))).writeStream.outputMode("complete").format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c")))
+    start()
+    assert [(r.value, r.records) for r in spark.table("once").collect()] == [(3, 2)]
+    (folder / "2.json").write_text("\n".join([row("2026-01-01T00:02:00Z", 2), row("2026-01-01T09:00:00Z", 9)]))
+    start()
+    assert [(r.value, r.records) for r in spark.table("once").collect()] == [(9, 4)]
+
+
+def test_writers_do_not_overwrite_each_other(spark, tmp_path):
+    registry = spark.createDataFrame([("a",), ("b",)], "facility string")
+    reading = lambda f, minute, value: spark.createDataFrame([(f, f"2026-01-01 00:{minute}:00", value, 0)], "facility string, t string, value int, pos int").selectExpr("facility", "timestamp(t) at", "timestamp(t) batch", "value", "pos")
+    tried = spark.createDataFrame([], "facility string, batch timestamp, state string, error_code string")
+    path = str(tmp_path / "out")
+    others = [reading("b", "07", 7)]
+    between = lambda: others and readings.publish_once(others.pop(), tried, registry, path)
+    assert readings.publish_once(reading("a", "05", 5), tried, registry, path, before_write=between) == 2
+    found = {r.facility: r.success.value for r in spark.read.parquet(f"{path}/v=2").collect()}
+    assert found == {"a": 5, "b": 7}
+    busy = lambda: readings.publish_once(reading("b", "08", 8), tried, registry, path)
+    with pytest.raises(RuntimeError, match="faster"):
+        readings.publish_once(reading("a", "09", 9), tried, registry, path, tries=2, before_write=busy)
