@@ -2,39 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotwise.session import cut, shared_dir
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, read from the session.
+__all__ = ["col", "cut", "digest", "fresh", "read", "shared_dir", "stored", "whole_row"]
 
-    Where it is unset (tests, a local run) a temporary folder is made and set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None
-    if not named:
-        named = tempfile.mkdtemp(prefix="slotwise-shared-")
-        sc.setCheckpointDir(named)
-    return named
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """End the lineage of a small table with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

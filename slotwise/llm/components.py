@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import cut
+from slotwise.llm.common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,13 +15,13 @@ def components(edges: DataFrame) -> DataFrame:
     that label, so that labels travel along doubling distances. Rounds end when no label changes. An
     empty edge table gives an empty result.
     """
-    both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
+    both = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
+    labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        lower = cut(labels.join(near, labels.node == near.u).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")))
+        lower = stored(labels.join(near, labels.node == near.u).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")), "labels")
         up = lower.select(F.col("node").alias("label"), F.col("label").alias("upper"))
-        after = cut(lower.join(up, "label").select("node", "old", F.least("label", "upper").alias("label")))
+        after = stored(lower.join(up, "label").select("node", "old", F.least("label", "upper").alias("label")), "labels")
         labels = after.select("node", "label")
         if after.where("old <> label").isEmpty():
             return labels

@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 
-from slotwise.llm.words import mix
+from slotwise.llm.words import _CELL, mix
 
-_CELL, _ARRIVAL, _DART, _BAND = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
+_ARRIVAL, _DART, _BAND = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
+_HALF = np.uint64(32)
 
 
 def _times(x: np.uint64, n: int) -> np.uint64:
@@ -26,47 +27,43 @@ def _times(x: np.uint64, n: int) -> np.uint64:
 
 def _unit(x: np.ndarray) -> np.ndarray:
     """Uniform in (0, 1]."""
-    return ((x >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53
+    out = (x >> np.uint64(11)).astype(np.float64)
+    out += 1.0
+    out *= 2.0**-53
+    return out
 
 
-def signatures(owner: np.ndarray, element: np.ndarray, n_sets: int, k: int, weight: np.ndarray | None = None) -> np.ndarray:
-    """An ``n_sets`` x ``k`` array of dart numbers; rows of sets without elements are 0.
+def signatures(owner: np.ndarray, cell: np.ndarray, n_sets: int, k: int, share: np.ndarray | None = None) -> np.ndarray:
+    """An ``n_sets`` x ``k`` array of dart numbers; rows of sets without cells are 0.
 
-    ``owner`` gives each element's set, ``element`` its 64-bit hash. Without ``weight`` every
-    distinct element of a set weighs one, and repeats change nothing. With it, an element must
-    occur at most once in a set.
+    ``owner`` gives each cell's set, ``cell`` its 64-bit number: a unit of an element's weight, so that
+    an element of weight w has the cells 0 to w - 1 (``words.numbered`` makes them from repeats,
+    ``unit_cells`` from weights). A repeated cell changes nothing. ``share`` is the part of a cell, up
+    to one, that the weight covers; without it cells are whole.
     """
     signature = np.zeros((n_sets, k), np.uint64)
     if not len(owner):
         return signature
-    if weight is None:
-        total = np.bincount(owner, minlength=n_sets).astype(np.float64)
-        part = None
-    else:
-        total = np.bincount(owner, weights=weight, minlength=n_sets)
-        cells = np.maximum(np.ceil(weight), 1).astype(np.int64)
-        nth = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
-        part = np.minimum(np.repeat(weight, cells) - nth, 1.0)
-        owner, element = np.repeat(owner, cells), np.repeat(element, cells) + nth.astype(np.uint64) * _CELL
+    total = np.bincount(owner, weights=share, minlength=n_sets).astype(np.float64)
     limit = np.zeros(n_sets)
     limit[total > 0] = k * (np.log(k) + 3) / total[total > 0]
     while len(owner):
         lowest = np.full(n_sets * k, np.inf)
         number = np.zeros(n_sets * k, np.uint64)
         slots, ranks, darts = [], [], []
-        own, cell, share = owner, element, part
+        own, now, part, most = owner.astype(np.int64) * k, cell, share, limit[owner]
         rank, arrival = np.zeros(len(own)), 1
         while len(own):
-            rank = rank - np.log(_unit(mix(cell + _times(_ARRIVAL, arrival))))
-            near = rank <= limit[own]
-            own, cell, rank = own[near], cell[near], rank[near]
-            dart = mix((cell ^ _DART) + _times(_CELL, arrival))
-            slot = own * k + ((dart >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
-            if share is None:
+            rank = rank - np.log(_unit(mix(now + _times(_ARRIVAL, arrival))))
+            near = np.flatnonzero(rank <= most)
+            own, now, rank, most = own[near], now[near], rank[near], most[near]
+            dart = mix((now ^ _DART) + _times(_CELL, arrival))
+            slot = own + ((dart >> _HALF) * np.uint64(k) >> _HALF).astype(np.int64)
+            if part is None:
                 slots.append(slot), ranks.append(rank), darts.append(dart)
             else:
-                share = share[near]
-                inside = _unit(mix(dart + _BAND)) <= share
+                part = part[near]
+                inside = _unit(mix(dart + _BAND)) <= part
                 slots.append(slot[inside]), ranks.append(rank[inside]), darts.append(dart[inside])
             arrival += 1
         slot, rank, dart = np.concatenate(slots), np.concatenate(ranks), np.concatenate(darts)
@@ -77,10 +74,18 @@ def signatures(owner: np.ndarray, element: np.ndarray, n_sets: int, k: int, weig
         signature[filled] = number.reshape(n_sets, k)[filled]
         limit[~filled] *= 2
         rest = ~filled[owner]
-        owner, element, part = owner[rest], element[rest], None if part is None else part[rest]
+        owner, cell, share = owner[rest], cell[rest], None if share is None else share[rest]
     return signature
 
 
+def unit_cells(owner: np.ndarray, element: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, cell, share) of elements with real weights; an element occurs at most once in a set."""
+    cells = np.maximum(np.ceil(weight), 1).astype(np.int64)
+    nth = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
+    share = np.minimum(np.repeat(weight, cells) - nth, 1.0)
+    return np.repeat(owner, cells), np.repeat(element, cells) + nth.astype(np.uint64) * _CELL, share
+
+
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key for each band of ``rows`` coordinates."""
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _BAND, (len(signature), bands)).copy()

@@ -1,11 +1,14 @@
 """Near-duplicate classes: DartMinHash signatures, banded joining, exact verification.
 
-Similarity is the Jaccard similarity of the sets of five-word shingles; texts of 0.8 or more are
-linked, and classes are the connected components of the links. Equal texts are always one class.
-
-1. One pass over the texts gives each distinct text (identity: 128-bit digest) its band keys. With
-   32 bands of 7 coordinates a pair at exactly 0.8 shares a band with probability 0.9995, and one at 0.15
-   with 0.00005, so that texts that merely share a passage seldom meet.
+Similarity is the weighted Jaccard similarity of the five-word shingles of two texts, a shingle's
+weight being the number of its occurrences (``weights="set"``: one); texts of 0.8 or more are linked,
+and classes are the connected components of the links. Equal texts are always one class.
+
+1. One pass over the texts gives each distinct text (identity: 128 bits of two hashes) its band keys.
+   With 24 bands of 6 coordinates a pair at exactly 0.8 shares a band with probability 0.9993, and one
+   at 0.15 with 0.0003, so that texts that merely share a passage seldom meet. Distinct texts are
+   numbered as they are stored; from then on only these 64-bit numbers travel, with band keys or
+   shingles.
 2. A band key that several texts share is a bucket. In two rounds each member is compared with a pivot
    of its bucket: the lowest member, then one that is not linked to it. Pairs whose exact similarity
    reaches the threshold are links. Their components are found; buckets whose members are one class are
@@ -15,7 +18,11 @@ linked, and classes are the connected components of the links. Equal texts are a
    more than 0.2 cannot reach 0.8). So no link between classes of a bucket is lost, a group of copies costs two
    comparisons a member, only links leave the join, large buckets are split in parts of about 512 members, and none is
    gathered in a task.
-3. Class numbers go back to the documents by digest.
+3. Class numbers go back to the documents by the hashes.
+
+Of the texts only those that share a band key are read again and travel (``marked``). Equal texts meet before the shuffle (partial aggregation), so that a group of exact copies sends one
+text from each task. Shingles are those of whole texts, whatever their length: a text over a slice of 2 MB is a
+slice by itself, at about 16 bytes of memory for each of its bytes.
 
 Defined cases: a null text is a class of its own; texts without words are grouped only if equal;
 a text of one to four words is one shingle; the class number is the lowest id of its documents (null
@@ -27,132 +34,160 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import col, cut, digest, stored, whole_row
+from slotwise.llm.common import col, stored, whole_row
 from slotwise.llm.components import components
 from slotwise.llm.dartminhash import band_keys, signatures
-from slotwise.llm.words import Words, shingles, slices
+from slotwise.llm.words import Words, numbered, shingles, slices
 
-SHINGLE, THRESHOLD, BANDS, ROWS, PIVOTS, PART = 5, 0.8, 32, 7, 2, 512
+SHINGLE, THRESHOLD, BANDS, ROWS, PIVOTS, PART, WEIGHTS, BITMAP = 5, 0.8, 24, 6, 2, 512, "count", 24
+NODE = ["hi", "lo"]
 
 
-def band_table(texts: DataFrame, *, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
-    """(node, keys) of every row of (node, text); keys is null for texts without words.
+def node_of(text: Column) -> list[Column]:
+    """The identity of a text as columns hi and lo: two 64-bit hashes; null for null."""
+    some = text.isNotNull()
+    return [F.when(some, F.xxhash64(F.lit(k), text)).alias(n) for k, n in enumerate(NODE, 1)]
 
-    ``weights``: "set" gives every distinct shingle the weight one, "count" its number of occurrences.
-    """
+
+def _cells(words: Words, size: int, weights: str) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, unit cell) of the weighted shingles: an element of weight w has w cells."""
+    doc, element = shingles(words, size)
+    return (doc, numbered(doc, element)) if weights == "count" else (doc, element)
+
+
+def band_table(texts: DataFrame, *, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weights: str = WEIGHTS) -> DataFrame:
+    """(hi, lo, keys) of every row of (hi, lo, text); keys is null for texts without words."""
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, 1):
-                words = Words(batch.column(1))
-                doc, element = shingles(words, size)
-                weight = None
-                if weights == "count":
-                    pairs, n = np.unique(np.stack([doc.astype(np.uint64), element], 1), axis=0, return_counts=True)
-                    doc, element, weight = pairs[:, 0].astype(np.int64), pairs[:, 1], n.astype(np.float64)
-                keys = band_keys(signatures(doc, element, batch.num_rows, bands * rows, weight), bands, rows)
+            for batch in slices(whole, 2):
+                words = Words(batch.column(2))
+                doc, cell = _cells(words, size, weights)
+                keys = band_keys(signatures(doc, cell, batch.num_rows, bands * rows), bands, rows)
                 some = words.n_words > 0
                 offsets = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~some, False)), pa.array(keys[some].view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=[*NODE, "keys"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, keys array<bigint>")
+    return texts.select(*NODE, "text").mapInArrow(run, "hi bigint, lo bigint, keys array<bigint>")
 
 
-def shingle_sets(texts: DataFrame, *, size: int = SHINGLE) -> DataFrame:
-    """(node, shingles) of rows (node, text): the 64-bit hashes of the distinct shingles."""
+def shingle_sets(texts: DataFrame, *, size: int = SHINGLE, weights: str = WEIGHTS) -> DataFrame:
+    """(n, shingles) of rows (n, text): the distinct unit cells of the weighted shingles."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, 1):
-                doc, element = shingles(Words(batch.column(1)), size)
-                order = np.lexsort((element, doc))
-                doc, element = doc[order], element[order]
-                new = np.append(True, (doc[1:] != doc[:-1]) | (element[1:] != element[:-1])) if len(doc) else np.empty(0, bool)
-                doc, element = doc[new], element[new]
+                doc, cell = _cells(Words(batch.column(1)), size, weights)
+                order = np.lexsort((cell, doc))
+                doc, cell = doc[order], cell[order]
+                new = np.append(True, (doc[1:] != doc[:-1]) | (cell[1:] != cell[:-1])) if len(doc) else np.empty(0, bool)
+                doc, cell = doc[new], cell[new]
                 offsets = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(element.view(np.int64)))], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell.view(np.int64)))], names=["n", "shingles"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, shingles array<bigint>")
+    return texts.select("n", "text").mapInArrow(run, "n bigint, shingles array<bigint>")
+
+
+def marked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` that may be ``wanted``: all that are, and some others.
+
+    A bitmap of the wanted hashes, in words of 64 bits, is broadcast; it has at most 2 ** (BITMAP - 6) rows, however
+    many are wanted. So texts that nobody asks for stay where they are read; when so many are wanted that the bitmap is full, all travel.
+    """
+    slot = F.pmod("lo", F.lit(1 << BITMAP))
+    at = lambda df: df.withColumns({"word": F.shiftright(slot, 6).cast("int"), "bit": F.pmod(slot, F.lit(64)).cast("int")})
+    bitmap = stored(at(wanted).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")), "bitmap")
+    met = at(texts).join(F.broadcast(bitmap), "word")
+    return met.where(F.expr("(shiftrightunsigned(bits, bit) & 1L) = 1L")).select(*texts.columns)
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """The Jaccard similarity of two arrays of distinct shingles."""
+    """The Jaccard similarity of two arrays of distinct cells: weighted, as an element of weight w has w cells."""
     shared = F.size(F.array_intersect(a, b))
     return shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))
 
 
-def link_labels(docs: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
-    """(node, label) of the texts that have a link to a different text, from (node, text)."""
-    texts = docs.select("node", "text").where("text IS NOT NULL")
-    keys = band_table(texts, size=size, bands=bands, rows=rows, weights=weights).where("keys IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys"))
-    keyed = stored(keys.select("node", F.explode("keys").alias("key")), "bands")
-    buckets = cut(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high"))
-    active = stored(keyed.join(buckets.select("key"), "key"), "members")
-    wanted = cut(active.select("node").distinct())
-    bodies = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = stored(shingle_sets(bodies, size=size), "sets")
+def link_labels(docs: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = WEIGHTS) -> DataFrame:
+    """(hi, lo, label) of the texts that have a link to a different text, from (hi, lo, text)."""
+    texts = docs.select(*NODE, "text").where("text IS NOT NULL")
+    keys = band_table(texts, size=size, bands=bands, rows=rows, weights=weights).where("keys IS NOT NULL").groupBy(*NODE).agg(F.first("keys").alias("keys"))
+    nodes = stored(keys.withColumn("n", F.monotonically_increasing_id()), "nodes")
+    keyed = nodes.select("n", F.explode("keys").alias("key"))
+    buckets = stored(keyed.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low <> high"), "buckets")
+    state = stored(keyed.join(buckets.select("key", F.col("low").alias("pivot")), "key"), "members")
+    wanted = stored(nodes.join(state.select("n").distinct(), "n").select(*NODE, "n"), "wanted")
+    bodies = marked(texts, wanted).groupBy(*NODE).agg(F.first("text").alias("text")).join(wanted, NODE)
+    sets = stored(shingle_sets(bodies, size=size, weights=weights), "sets")
+    # Kept dealt by number, the sets are shuffled once for all rounds; a lost block is made again from the stored table.
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sets.repartition(parts, "n").persist(StorageLevel.DISK_ONLY)
 
     def tested(pairs: DataFrame) -> DataFrame:
-        """(a, b, j) of distinct pairs of nodes."""
-        sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        return cut(sides.select("a", "b", similarity(F.col("x"), F.col("y")).alias("j")))
+        """(a, b, j) of distinct pairs of numbers."""
+        sides = pairs.join(dealt.select(F.col("n").alias("a"), F.col("shingles").alias("x")), "a").join(dealt.select(F.col("n").alias("b"), F.col("shingles").alias("y")), "b")
+        return stored(sides.select("a", "b", similarity(F.col("x"), F.col("y")).alias("j")), "tested")
 
     far, least = 1 - threshold + 1e-9, threshold - 1e-9
-    ends = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
-    state = active.join(buckets.select("key", F.col("low").alias("pivot")), "key").select("key", "node", "pivot", F.expr("cast(array() as array<double>)").alias("d"), F.lit(False).alias("linked"))
+    ends = [F.least("n", "pivot").alias("a"), F.greatest("n", "pivot").alias("b")]
+    state = state.select("key", "n", "pivot", F.expr("cast(array() as array<double>)").alias("d"), F.lit(False).alias("linked"))
     known = None
     for turn in range(PIVOTS):
-        pairs = state.where("node <> pivot").select(*ends).distinct()
+        pairs = state.where("n <> pivot").select(*ends).distinct()
         new = tested(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
         known = new if known is None else known.union(new)
-        state = state.select("key", "node", "pivot", "d", "linked", *ends).join(known, ["a", "b"], "left")
+        state = state.select("key", "n", "pivot", "d", "linked", *ends).join(known, ["a", "b"], "left")
         j = F.coalesce("j", F.lit(1.0))
-        state = stored(state.select("key", "node", F.concat("d", F.array(1 - j)).alias("d"), (F.col("linked") | (j >= least)).alias("linked")), "state")
+        state = stored(state.select("key", "n", F.concat("d", F.array(1 - j)).alias("d"), (F.col("linked") | (j >= least)).alias("linked")), "state")
         if turn == PIVOTS - 1:
             break
         # The next pivot is a member that the first is not linked to; a bucket without one is a class.
-        following = F.min(F.when(~F.col("linked"), F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")))["node"]
-        open_ = cut(state.groupBy("key").agg(following.alias("pivot")).where("pivot IS NOT NULL"))
+        open_ = stored(state.where("NOT linked").groupBy("key").agg(F.min("n").alias("pivot")), "pivots")
         state = state.join(open_, "key")
     links = known.where(F.col("j") >= least).select("a", "b")
     labels = components(links)
 
-    state = state.drop("linked").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = state.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    majors = sizes.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("major"), F.count(F.lit(1)).alias("labels"), F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
-    members = state.join(majors.where("labels > 1").drop("labels"), "key").join(sets, "node")
-    members = stored(members.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")), "open")
+    state = state.drop("linked").join(labels.withColumnRenamed("node", "n"), "n", "left").withColumn("label", F.coalesce("label", "n"))
+    sizes = state.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    majors = sizes.groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("major"), F.count(F.lit(1)).alias("labels"), F.ceil(F.sum("size") / PART).cast("int").alias("parts"))
+    members = state.join(majors.where("labels > 1").drop("labels"), "key").join(dealt, "n")
+    members = stored(members.withColumn("part", F.pmod(F.xxhash64("n"), "parts").cast("int")), "open")
     # A large bucket is split in parts; its minor members meet each of them.
-    minor = members.where("label <> major").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "d", "shingles")])
-    once = (F.col("label") == F.col("major")) | (F.col("node_x") < F.col("node"))
-    n, n_x = F.size("shingles"), F.size("shingles_x")
-    close = (F.least(n, n_x) >= least * F.greatest(n, n_x)) & F.forall(F.zip_with("d", "d_x", lambda p, q: F.abs(p - q)), lambda e: e <= far)
+    minor = members.where("label <> major").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_x") for c in ("n", "label", "d", "shingles")])
+    once = (F.col("label") == F.col("major")) | (F.col("n_x") < F.col("n"))
+    mine, other = F.size("shingles"), F.size("shingles_x")
+    close = (F.least(mine, other) >= least * F.greatest(mine, other)) & F.forall(F.zip_with("d", "d_x", lambda p, q: F.abs(p - q)), lambda e: e <= far)
     linked = once & (F.col("label") != F.col("label_x")) & close & (similarity(F.col("shingles"), F.col("shingles_x")) >= least)
-    last = cut(minor.join(members, (minor["key"] == members["key"]) & (minor["part"] == members["part"]) & linked).select(F.least("node_x", "node").alias("a"), F.greatest("node_x", "node").alias("b")).distinct())
-    return labels if last.isEmpty() else components(links.union(last))
-
-
-def _classes(docs: DataFrame, id_col: str, text_col: str, **options) -> tuple[DataFrame, DataFrame]:
-    """(node, class_id, class_size, keeper), keeper true for the node that holds the kept document; and the nodes."""
-    texts = docs.select(digest(col(text_col)).alias("node"), col(text_col).cast("string").alias("text"))
-    labels = link_labels(texts, **options)
-    ids = docs.select(digest(col(text_col)).alias("node"), col(id_col).alias("id")).where("node IS NOT NULL")
-    nodes = ids.groupBy("node", "id").count().groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "count")).alias("low"), F.sum("count").alias("n"))
-    nodes = cut(nodes.join(labels, "node", "left").select("node", "n", F.col("low.none"), F.col("low.id").alias("id"), F.col("low.count").alias("ties"), F.coalesce("label", "node").alias("label")))
-    classes = cut(nodes.groupBy("label").agg(F.min(F.struct("none", "id", "node")).alias("low"), F.sum("n").alias("class_size")))
-    found = nodes.join(classes, "label").select("node", "ties", F.col("low.id").alias("class_id"), "class_size", (F.col("low.node") == F.col("node")).alias("keeper"))
-    return cut(found), nodes
+    last = stored(minor.join(members, (minor["key"] == members["key"]) & (minor["part"] == members["part"]) & linked).select(F.least("n_x", "n").alias("a"), F.greatest("n_x", "n").alias("b")).distinct(), "links")
+    dealt.unpersist()
+    labels = labels if last.isEmpty() else components(links.union(last))
+    return labels.join(wanted.withColumnRenamed("n", "node"), "node").select(*NODE, "label")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """(hi, lo, ties, class_id, class_size, keeper) of every text; keeper is true for the text of the kept document."""
+    text = col(text_col).cast("string")
+    labels = link_labels(docs.select(*node_of(text), text.alias("text")), **options)
+    ids = docs.select(*node_of(text), col(id_col).alias("id")).where("hi IS NOT NULL")
+    nodes = ids.groupBy(*NODE, "id").count().groupBy(*NODE).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "count")).alias("low"), F.sum("count").alias("size"))
+    nodes = stored(nodes.join(labels, NODE, "left").select(*NODE, "size", F.col("low.none"), F.col("low.id").alias("id"), F.col("low.count").alias("ties"), "label"), "texts")
+    linked = nodes.where("label IS NOT NULL")
+    classes = linked.groupBy("label").agg(F.min(F.struct("none", "id", *NODE)).alias("low"), F.sum("size").alias("class_size"))
+    keeper = (F.col("low.hi") == F.col("hi")) & (F.col("low.lo") == F.col("lo"))
+    found = linked.join(classes, "label").select(*NODE, "ties", F.col("low.id").alias("class_id"), "class_size", keeper.alias("keeper"))
+    alone = nodes.where("label IS NULL").select(*NODE, "ties", F.col("id").alias("class_id"), F.col("size").alias("class_size"), F.lit(True).alias("keeper"))
+    return stored(found.unionByName(alone), "classes")
 
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row a document: id, class_id, class_size, and whether it is the document that represents its class."""
-    found, _ = _classes(docs, id_col, text_col, **options)
-    rows = docs.select(col(id_col).alias("id"), digest(col(text_col)).alias("node"))
-    return rows.join(found, "node", "left").select(
+    found = _classes(docs, id_col, text_col, **options)
+    rows = docs.select(col(id_col).alias("id"), *node_of(col(text_col).cast("string")))
+    return rows.join(found, NODE, "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("keeper").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"),
@@ -162,10 +197,10 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class: the one of lowest id; of equal rows, any."""
-    found, _ = _classes(docs, id_col, text_col, **options)
-    keepers = found.where("keeper").select(F.col("node").alias("k_node"), F.col("class_id").alias("k_id"), "ties")
-    rows = docs.select(whole_row(docs).alias("d"), digest(col(text_col)).alias("node"))
-    alone = rows.where("node IS NULL").select("d.*")
-    kept = rows.join(keepers, (F.col("node") == F.col("k_node")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col("k_id")))
-    tied = kept.where("ties > 1").groupBy("node").agg(F.first("d").alias("d")).select("d.*")
+    found = _classes(docs, id_col, text_col, **options)
+    keepers = found.where("keeper").select(F.col("hi").alias("k_hi"), F.col("lo").alias("k_lo"), F.col("class_id").alias("k_id"), "ties")
+    rows = docs.select(whole_row(docs).alias("d"), *node_of(col(text_col).cast("string")))
+    alone = rows.where("hi IS NULL").select("d.*")
+    kept = rows.join(keepers, (F.col("hi") == F.col("k_hi")) & (F.col("lo") == F.col("k_lo")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col("k_id")))
+    tied = kept.where("ties > 1").groupBy(*NODE).agg(F.first("d").alias("d")).select("d.*")
     return kept.where("ties = 1").select("d.*").unionByName(alone).unionByName(tied)

@@ -34,9 +34,9 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN s USING (r)
 
 OP4 = f"""
 WITH RECURSIVE t AS (SELECT text, row_number() OVER () AS id, {_words("text")} AS ws FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
-g AS (SELECT DISTINCT id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM t WHERE len(ws) > 0)),
-z AS (SELECT id, count(*) AS n FROM g GROUP BY id),
-e AS (SELECT a, b FROM (SELECT x.id AS a, y.id AS b, count(*) AS n FROM g x JOIN g y ON x.s = y.s AND x.id < y.id GROUP BY x.id, y.id) x
+g AS (SELECT id, array_to_string(ws[i:i + 4], ' ') AS s, count(*) AS w FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM t WHERE len(ws) > 0) GROUP BY ALL),
+z AS (SELECT id, sum(w) AS n FROM g GROUP BY id),
+e AS (SELECT a, b FROM (SELECT x.id AS a, y.id AS b, sum(least(x.w, y.w)) AS n FROM g x JOIN g y ON x.s = y.s AND x.id < y.id GROUP BY x.id, y.id) x
       JOIN z za ON za.id = a JOIN z zb ON zb.id = b WHERE x.n >= 0.8 * (za.n + zb.n - x.n) - 1e-9),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 c(id, other) AS (SELECT id, id FROM t UNION SELECT c.id, u.b FROM c JOIN u ON u.a = c.other),
@@ -85,7 +85,7 @@ j(r, n, state, b, jump) AS (
   SELECT r, n, after, jump, floor((jump + 1) * (2147483648.0::DOUBLE / (after // 8589934592 + 1)::DOUBLE))::BIGINT
   FROM (SELECT r, n, jump, (state * 2862933555777941757 + 1) % 18446744073709551616 AS after FROM j WHERE jump < n)),
 h AS (SELECT r, max(b) FILTER (WHERE n = 8)::INTEGER AS shard, max(b) FILTER (WHERE n = 9)::INTEGER AS grown_shard FROM j GROUP BY r),
-k AS (SELECT s.*, shard, grown_shard, ('0x' || md5(key::VARCHAR)[1:8])::BIGINT % (SELECT greatest(1, ceil(count(*) / 20000.0)::BIGINT) FROM documents) AS bucket FROM s JOIN h USING (r))
+k AS (SELECT s.*, shard, grown_shard, ('0x' || md5(key || ':' || text_crc32 || ':' || size)[1:8])::BIGINT % (SELECT greatest(1, ceil(count(*) / 20000.0)::BIGINT) FROM documents) AS bucket FROM s JOIN h USING (r))
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
 FROM k
 """
@@ -103,7 +103,7 @@ m AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT g.r, unnest(range(g.i, g.i +
 l AS (SELECT r, line, {_LINE_WORDS} AS lw, regexp_matches(line, {_quoted(quality._SENTENCE_END)}) AS ends FROM (SELECT r, unnest(ls) AS line FROM w)),
 f AS (SELECT r, line, len(lw) AS n, ends, len(list_filter(lw, lambda x: regexp_matches(x, {_quoted(quality._SEPARATOR)}))) AS separators,
              len(list_filter(lw, lambda x: regexp_matches(x, {_quoted(quality._NOISY)}))) AS noisy,
-             len(list_filter(regexp_split_to_array(lower(line), '[^a-z]+'), lambda x: regexp_matches(x, {_quoted(quality._MENU)}))) AS menu,
+             len(list_filter(regexp_split_to_array(lower(line), '[^a-zà-ÿ]+'), lambda x: regexp_matches(x, {_quoted(quality._MENU)}))) AS menu,
              regexp_matches(lower(line), {_quoted(quality.PHRASES)}) AS phrase FROM l),
 c AS (SELECT r, sum({_VISIBLE.format("line")}) AS kept_chars FROM f
       WHERE NOT ((separators >= 2 AND 4 * separators >= n) OR (n <= 12 AND NOT ends AND 2 * menu >= n) OR (length(line) <= {quality.SHORT} AND phrase) OR NOT ends OR 3 * noisy >= n) GROUP BY r),

@@ -2,8 +2,8 @@
 
 A word is a maximal run of digits, of letters a-z after lower-casing A-Z, or of characters beyond
 ASCII. All functions take one Arrow string array and work on all its texts at once; callers feed
-them slices of bounded size (``slices``). Memory is about 40 bytes for each byte of a slice; a text
-larger than a slice is a slice of its own.
+them slices of bounded size (``slices``). A text larger than a slice is a slice of its own, of which
+words take about 6 bytes of memory for each byte and shingles 10 more; nothing is cut off.
 """
 
 from __future__ import annotations
@@ -78,16 +78,19 @@ _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x5851F42D4C957F2D
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _SHIFT = np.uint64(33)
+#: What tells the unit cells of one element's weight apart.
+_CELL = np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit changes about half of the output bits."""
-    x = x ^ (x >> _SHIFT)
-    x = x * _M1
-    x ^= x >> _SHIFT
-    x *= _M2
-    x ^= x >> _SHIFT
-    return x
+    half = x >> _SHIFT
+    out = half ^ x
+    for factor in (_M1, _M2):
+        out *= factor
+        np.right_shift(out, _SHIFT, out=half)
+        out ^= half
+    return out
 
 
 _BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _ODD)
@@ -106,21 +109,59 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def word_hashes(words: Words) -> np.ndarray:
+    """64-bit hash of every word; the entry of a space that no word follows means nothing.
+
+    Spaces and the words after them have one index. Long buffers are hashed in pieces cut at spaces.
+    """
+    buffer, space = words.buffer, words.space
+    out = np.zeros(len(space), np.uint64)
+    edge = np.append(space, len(buffer))
+    at = 0
+    while at < len(space):
+        stop = max(at + 1, int(np.searchsorted(edge, edge[at] + SLICE_BYTES)) - 1)
+        low, high = edge[at], edge[min(stop, len(space))]
+        part = buffer[low:high]
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * _power(_BASE, len(part)), out=prefix[1:])
+        a, b = edge[at:stop] + 1 - low, edge[at + 1 : stop + 1] - low
+        out[at:stop] = (prefix[np.maximum(b, a)] - prefix[a]) * _power(_BASE_INVERSE, len(part) + 1)[a]
+        at = stop
+    return out
+
+
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, 64-bit hash) of every run of ``size`` words, repeats included.
 
     A text of fewer words, but not none, is one shingle.
     """
-    buffer, space, first, n = words.buffer, words.space, words.first[:-1], words.n_words
-    prefix = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum(_BYTE[buffer] * _power(_BASE, len(buffer)), out=prefix[1:])
-    owner = np.repeat(np.arange(len(n)), n + 1)
-    at = np.arange(len(space)) - first[owner]
-    long = at <= (n - size)[owner]
-    left, doc = np.flatnonzero(long), owner[long]
-    right = left + size
+    first, n = words.first[:-1], words.n_words
+    word = mix(word_hashes(words) + _ODD)
+    run = np.zeros(max(len(word) - size + 1, 0), np.uint64)
+    for k in range(size):
+        run = run * _M1 + word[k : k + len(run)]
+    runs = np.maximum(n - size + 1, 0)
+    owner = np.repeat(np.arange(len(n)), runs)
+    left = np.arange(len(owner)) + np.repeat(first - (np.cumsum(runs) - runs), runs)
     short = np.flatnonzero((n > 0) & (n < size))
-    left, right = np.concatenate([left, first[short]]), np.concatenate([right, first[short] + n[short]])
-    doc = np.concatenate([doc, short])
-    a, b = space[left] + 1, space[right]
-    return doc, mix((prefix[b] - prefix[a]) * _power(_BASE_INVERSE, len(buffer))[a])
+    few = np.zeros(len(short), np.uint64)
+    for k in range(size - 1):
+        there = k < n[short]
+        few[there] = few[there] * _M1 + word[first[short[there]] + k]
+    return np.concatenate([owner, short]), mix(np.concatenate([run[left], few * _M2 + n[short].astype(np.uint64)]))
+
+
+def numbered(owner: np.ndarray, element: np.ndarray) -> np.ndarray:
+    """The elements, with the second and later occurrence in a set told apart by its number."""
+    tag = mix(element ^ (owner.astype(np.uint64) * _ODD))
+    ordered = np.sort(tag)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return element
+    again = np.flatnonzero(np.isin(tag, twice))
+    order = again[np.lexsort((element[again], owner[again]))]
+    new = np.append(True, (owner[order[1:]] != owner[order[:-1]]) | (element[order[1:]] != element[order[:-1]]))
+    nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    out = element.copy()
+    out[order] += nth.astype(np.uint64) * _CELL
+    return out

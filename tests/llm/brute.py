@@ -34,12 +34,13 @@ def contamination(texts: list[str | None], items: list[tuple[str, str | None]],
     return out
 
 
-def classes(texts: list[str | None], size: int = 5, least: float = 0.8) -> list[frozenset[int]]:
-    """Row numbers of each class."""
+def classes(texts: list[str | None], size: int = 5, least: float = 0.8, weights: str = "count") -> list[frozenset[int]]:
+    """Row numbers of each class, by the weighted Jaccard similarity of shingles ("set": each weighs one)."""
     sets = []
     for t in texts:
         ws = words(t)
-        sets.append({tuple(ws[i : i + size]) for i in range(max(1, len(ws) - size + 1))} if ws else set())
+        found = Counter(tuple(ws[i : i + size]) for i in range(max(1, len(ws) - size + 1))) if ws else Counter()
+        sets.append(found if weights == "count" else Counter(dict.fromkeys(found, 1)))
     parent = list(range(len(texts)))
 
     def root(i: int) -> int:
@@ -51,8 +52,9 @@ def classes(texts: list[str | None], size: int = 5, least: float = 0.8) -> list[
         for j in range(i):
             if texts[i] is None or texts[j] is None:
                 continue
-            union = len(sets[i] | sets[j])
-            if texts[i] == texts[j] or (union and len(sets[i] & sets[j]) / union >= least - 1e-9):
+            if texts[i] == texts[j]:
+                parent[root(i)] = root(j)
+            elif sets[i].keys() & sets[j].keys() and (sets[i] & sets[j]).total() / (sets[i] | sets[j]).total() >= least - 1e-9:
                 parent[root(i)] = root(j)
     groups = defaultdict(set)
     for i in range(len(texts)):
@@ -88,7 +90,7 @@ def quality(text: str | None) -> tuple:
     def fails(line: str) -> bool:
         lw, ends = split(line), bool(java(q._SENTENCE_END).search(line))
         separators, noisy = (sum(bool(java(p).search(w)) for w in lw) for p in (q._SEPARATOR, q._NOISY))
-        menu = sum(bool(java(q._MENU).search(w)) for w in re.split("[^a-z]+", line.lower()))
+        menu = sum(bool(java(q._MENU).search(w)) for w in re.split("[^a-zà-ÿ]+", line.lower()))
         return (separators >= 2 and 4 * separators >= len(lw)) or (len(lw) <= 12 and not ends and 2 * menu >= len(lw)) or (len(line) <= q.SHORT and bool(re.search(q.PHRASES, line.lower()))) or not ends or 3 * noisy >= len(lw)
 
     chars, bad = sum(map(len, ws)), [x for x in lines if fails(x)]
