@@ -14,6 +14,7 @@ from slotwise.functions.time import local_date, local_hour
 from slotwise.operators.baseline import models
 from slotwise.policy import Baseline, Forecast
 
+# The benchmark models in order of preference; the names of metrics below are fixed too.
 MODELS = ("carry_forward", "daily_naive", "weekly_naive", "m1_median")
 
 

@@ -122,41 +122,57 @@ def areas_problem(areas: DataFrame, registry: DataFrame) -> str | None:
     return None
 
 
-def point_problem(point: Column) -> Column:
-    bad = ~coordinate(point["latitude"], 90) | ~coordinate(point["longitude"], 180)
-    evidence = F.coalesce(point["label"], F.lit("")) != ""
-    return F.when(point.isNull() | bad, "coordinates").when(~evidence | ~F.coalesce(point["source_url"].startswith("https://"), F.lit(False)), "evidence")
-
-
-def entrance_problem(entrance: Column, campus: Column, today: Column, methods: tuple[str, ...], most_meters: float = 1000) -> Column:
-    reviewed = entrance["reviewed_on"].try_cast("date")
-    far = distance_m(entrance["latitude"], entrance["longitude"], campus["latitude"], campus["longitude"]) > most_meters
-    incomplete = point_problem(entrance).isNotNull() | ~F.coalesce(entrance["method"].isin(*methods), F.lit(False)) | reviewed.isNull() | (reviewed > today)
-    return F.when(incomplete, "Emergency entrance evidence incomplete").when(point_problem(campus).isNull() & far, "Emergency entrance too far from campus")
-
-
-def eligibility(age_group: str, today: Column, *, verification_days: int = 90, methods: tuple[str, ...] = ("official_map", "site_visit", "aerial_imagery")) -> Column:
-    """The first reason why a registry row is no destination, or null. The order of the rules is part of the result."""
-    verified = F.col("travel_verified_on").try_cast("date")
-    age = F.datediff(today, verified)
-    has = lambda c, v: F.coalesce(F.array_contains(c, v), F.lit(False))
-    return (
-        F.when(~F.col("collection_enabled"), "No published wait time · map only")
-        .when(F.lit(age_group not in ("adult", "child")), "Choose an age group")
-        .when(~F.col("active_status").eqNullSafe("active"), "Active emergency service unverified")
-        .when(~has("service_applicability", "general_emergency"), "Emergency service applicability unverified")
-        .when(~has("age_applicability", age_group), "Age applicability unverified or unsuitable")
-        .when(verified.isNull(), "Destination verification missing")
-        .when((age < 0) | (age > verification_days), "Destination verification expired")
-        .when(F.col("emergency_entrance").isNotNull(), entrance_problem(F.col("emergency_entrance"), F.col("campus_point"), today, methods))
-        .when(point_problem(F.col("campus_point")).isNotNull(), "Arrival location unavailable")
-    )
-
-
-def arrival(entrance: Column, campus: Column) -> Column:
-    """(kind, latitude, longitude) of the place to arrive at, or null."""
-    at = lambda kind, p: F.struct(F.lit(kind).alias("kind"), p["latitude"].alias("latitude"), p["longitude"].alias("longitude"))
-    return F.when(entrance.isNotNull(), at("entrance", entrance)).when(point_problem(campus).isNull(), at("campus", campus))
+# Why a place is no destination, in the order in which the rules are asked.
+REFUSALS = {
+    "not_collected": "No published wait time · map only",
+    "age_group": "Choose an age group",
+    "inactive": "Active emergency service unverified",
+    "service": "Emergency service applicability unverified",
+    "age": "Age applicability unverified or unsuitable",
+    "unverified": "Destination verification missing",
+    "expired": "Destination verification expired",
+    "entrance_evidence": "Emergency entrance evidence incomplete",
+    "entrance_far": "Emergency entrance too far from campus",
+    "no_arrival": "Arrival location unavailable",
+}
+# How an entrance may have been found, its greatest distance from the campus in metres, and days that a verification holds.
+METHODS, FARTHEST, HOLDS = ("official_map", "site_visit", "aerial_imagery"), 1000, 90
+AGE_GROUPS = ("adult", "child")
+
+
+def usable(point: Column) -> Column:
+    """Whether a point has coordinates within their limits, a label and an https source."""
+    evidence = (point["label"] != "") & point["source_url"].startswith("https://")
+    return F.coalesce(point.isNotNull() & coordinate(point["latitude"], 90) & coordinate(point["longitude"], 180) & evidence, F.lit(False))
+
+
+def refusal(age_group: str, today: Column) -> Column:
+    """Why a registry row is no destination for an age group: the first of ``REFUSALS`` that holds, or null."""
+    entrance, campus = F.col("emergency_entrance"), F.col("campus_point")
+    says = lambda c, v: F.coalesce(F.array_contains(c, v), F.lit(False))
+    known = lambda c: F.coalesce(c, F.lit(False))
+    verified, reviewed = F.col("travel_verified_on").try_cast("date"), entrance["reviewed_on"].try_cast("date")
+    found = usable(entrance) & known(entrance["method"].isin(*METHODS)) & known(reviewed <= today)
+    apart = distance_m(entrance["latitude"], entrance["longitude"], campus["latitude"], campus["longitude"])
+    holds = {
+        "not_collected": ~F.col("collection_enabled"),
+        "age_group": F.lit(age_group not in AGE_GROUPS),
+        "inactive": ~F.col("active_status").eqNullSafe("active"),
+        "service": ~says("service_applicability", "general_emergency"),
+        "age": ~says("age_applicability", age_group),
+        "unverified": verified.isNull(),
+        "expired": ~F.datediff(today, verified).between(0, HOLDS),
+        "entrance_evidence": entrance.isNotNull() & ~found,
+        "entrance_far": entrance.isNotNull() & usable(campus) & (apart > FARTHEST),
+        "no_arrival": entrance.isNull() & ~usable(campus),
+    }
+    return F.coalesce(*[F.when(holds[rule], reason) for rule, reason in REFUSALS.items()])
+
+
+def arrival_point() -> Column:
+    """(kind, latitude, longitude) of where to arrive: the entrance, else a usable campus, else null."""
+    at = lambda kind, column: F.struct(F.lit(kind).alias("kind"), F.col(f"{column}.latitude").alias("latitude"), F.col(f"{column}.longitude").alias("longitude"))
+    return F.when(F.col("emergency_entrance").isNotNull(), at("entrance", "emergency_entrance")).when(usable(F.col("campus_point")), at("campus", "campus_point"))
 
 
 def candidates(context: DataFrame, age_group: str, most: int = 20) -> DataFrame:

@@ -331,7 +331,7 @@ def _registry_rows(spark, sf_dir):
 @query
 def destination_eligibility(spark, sf_dir):
     rows = _registry_rows(spark, sf_dir)
-    return rows.select("slug", places.eligibility("adult", F.lit("2024-01-31").cast("date")).alias("reason"), places.arrival(F.col("emergency_entrance"), F.col("campus_point"))["kind"].alias("arrival"))
+    return rows.select("slug", places.refusal("adult", F.lit("2024-01-31").cast("date")).alias("reason"), places.arrival_point()["kind"].alias("arrival"))
 
 
 @query

@@ -55,7 +55,10 @@ def fingerprint(objects: DataFrame) -> DataFrame:
 
 
 def choose(spark: SparkSession, first: str, last: str, raw: DataFrame, compacted: DataFrame, stored: DataFrame, today: Column) -> DataFrame:
-    """(dt, source, completeness, objects) of every day of a range; missing days appear. ``stored`` has dt, fingerprint."""
+    """(dt, source, completeness, objects) of every day of a range; missing days appear. ``stored`` has dt, fingerprint.
+
+    Fixed values: the names of sources and of completeness.
+    """
     days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("dt"))
     rows = days.join(fingerprint(raw), "dt", "left").join(stored.select("dt", F.col("fingerprint").alias("said")), "dt", "left")
     rows = rows.join(compacted.select("dt", F.lit(True).alias("packed")).distinct(), "dt", "left")
