@@ -2,13 +2,14 @@
 
 Each line that holds a word is judged by itself: it fails by punctuation (no sentence end in it, or
 every third word or more carries symbols or doubled marks), by navigation (every fourth word or more
-is a separator, or a short line of menu words without a sentence end) or by boilerplate (a fixed
+is a separator, or a short line of menu words in one of four languages without a sentence end) or by boilerplate (a fixed
 phrase of notices and consent banners in a line of at most 200 characters). Failing lines go. A document goes if that
 loses more than half of its word characters, or if a base rule fails: fewer than 10 words, or more
 than 20 % of the words in five-word windows that the text repeats.
 
 Defined cases: a null or empty text has no words and goes; lines without a word are neither judged
-nor counted; ties and repeated rows are judged each on its own; other columns are passed through.
+nor counted; ties and repeated rows are judged each on its own; texts of any length are judged whole, in the
+memory of their words and lines; other columns are passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +26,21 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW, MAX_LOST = 10, 20, 5, 0.5
 #: Characters of a short line; hashes up to which repeated windows are looked up one by one.
 SHORT, FEW = 200, 64
 
-# The words and phrases of the navigation and boilerplate rules.
-MENU_WORDS = "home|menu|login|logout|register|search|next|previous|prev|back|share|print|sitemap|archive|contact|about|faq|help"
-PHRASES = "(?:^|[^a-z])(?:all rights reserved|cookie policy|privacy policy|terms of use|terms of service|accept cookies|enable javascript|click here|sign up now|subscribe to our|skip to content|lorem ipsum)"
+# The words and phrases of the navigation and boilerplate rules, in English, German, French and Spanish.
+MENU = (
+    "home menu login logout register search next previous prev back share print sitemap archive contact about faq help",
+    "startseite anmelden abmelden registrieren suche suchen weiter zurück teilen drucken impressum archiv kontakt hilfe",
+    "accueil connexion inscription recherche rechercher suivant précédent retour partager imprimer archives aide plan",
+    "inicio entrar salir registro buscar siguiente anterior volver compartir imprimir mapa archivo contacto ayuda",
+)
+NOTICES = (
+    "all rights reserved|cookie policy|privacy policy|terms of use|terms of service|accept cookies|enable javascript|click here|sign up now|subscribe to our|skip to content|lorem ipsum",
+    "alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookies akzeptieren|javascript aktivieren|hier klicken|jetzt anmelden|zum inhalt springen",
+    "tous droits réservés|politique de confidentialité|conditions d'utilisation|accepter les cookies|activer javascript|cliquez ici|abonnez-vous|aller au contenu",
+    "todos los derechos reservados|política de privacidad|términos de uso|condiciones de uso|aceptar cookies|activar javascript|haga clic aquí|suscríbase|saltar al contenido",
+)
+MENU_WORDS = "|".join("|".join(words.split()) for words in MENU)
+PHRASES = f"(?:^|[^a-zà-ÿ])(?:{'|'.join(NOTICES)})"
 
 _SENTENCE_END = r"[.!?…。！？؟][\"'”’»)\]]*(\s|\z)"
 _NOISY = r"[!?]{2,}|[#*$%&<>{}~^]{2,}|[#*$%&<>|{}~^]\z"
@@ -65,7 +78,7 @@ def repeated_words(words: Column) -> Column:
     repeated places, and each of them covers the words up to the next one, five at most.
     """
     n = F.size(words) - WINDOW + 1
-    hashes = F.transform(F.arrays_zip(*[F.slice(words, k + 1, n) for k in range(WINDOW)]), lambda w: F.xxhash64(w))
+    hashes = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
 
     def judge(h: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) == n, 0).otherwise(let(F.array_sort(h), lambda x: let(_twice(x), lambda twice: count(h, twice))))
@@ -111,7 +124,7 @@ def line_fails(line: Column) -> Column:
         return F.when(let(separators, lambda k: (k >= 2) & (4 * k >= n)), "navigation").when(3 * noisy >= n, "punctuation")
 
     def unended(words: Column) -> Column:
-        menu = F.size(F.filter(F.split(F.lower(line), "[^a-z]+"), lambda w: w.rlike(_MENU)))
+        menu = F.size(F.filter(F.split(F.lower(line), "[^a-zà-ÿ]+"), lambda w: w.rlike(_MENU)))
         return F.when((F.size(words) <= 12) & (2 * menu >= F.size(words)), "navigation").otherwise("punctuation")
 
     # Words are split only for lines with a mark, without a sentence end or with a phrase.
@@ -129,22 +142,26 @@ def quality(docs: DataFrame, *, text_col: str = "text", max_lost: float = MAX_LO
     """
     out = fresh(docs, "quality")
     rows = docs.select(whole_row(docs).alias("d"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("t"))
-    rows = rows.select("d", "t", words_of(F.col("t")).alias("words"), F.split("t", "\n").alias("all_lines"))
-    rows = rows.select("d", "t", "words", "all_lines", F.filter("all_lines", has_word).alias("lines"))
+    rows = rows.select("d", "t", words_of(F.col("t")).alias("words"), F.split("t", "\n").alias("lines"))
+    # One verdict a line: null without a word, empty for a pass, else the rule that it fails.
+    rows = rows.withColumn("verdicts", F.transform("lines", lambda x: F.when(has_word(x), F.coalesce(line_fails(x), F.lit("")))))
+    some = F.filter("lines", lambda x, i: F.get("verdicts", i).isNotNull())
     rows = rows.select(
         "d",
         "t",
-        "all_lines",
+        "lines",
+        "verdicts",
         F.size("words").cast("bigint").alias("n_words"),
         F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         symbols(F.col("t")).cast("bigint").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
+        let(some, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.filter("lines", lambda x: line_fails(x).isNotNull()).alias("bad"),
+        F.exists("verdicts", lambda v: v != "").alias("some_fail"),
     )
     rows = rows.select("*", ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"))
-    lost = F.aggregate("bad", F.lit(0).cast("bigint"), lambda a, x: a + word_chars(x))
+    fails = lambda i: F.coalesce(F.get("verdicts", i) != "", F.lit(False))
+    lost = F.when(F.col("some_fail"), word_chars(F.array_join(F.filter("lines", lambda x, i: fails(i)), ""))).otherwise(0)
     rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("word_chars") - lost >= (1 - max_lost) * F.col("word_chars")))
-    clean = F.when(F.size("bad") == 0, F.col("t")).otherwise(F.array_join(F.filter("all_lines", lambda x: ~has_word(x) | line_fails(x).isNull()), "\n"))
+    clean = F.when(F.col("some_fail"), F.array_join(F.filter("lines", lambda x, i: ~fails(i)), "\n")).otherwise(F.col("t"))
     figures = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", clean.alias("clean_text"))
     return rows.select("d.*", figures.alias(out))
