@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.llm import line_dedup, near_dedup, packing, pii, quality, secret_scan, sharding, token_counts, warc
-from slotwise.llm.common import digest, read
+from slotwise.llm.common import read
 from slotwise.llm.decontamination import flag_contaminated
 from slotwise.llm.oracles import ORACLES
 
@@ -23,11 +23,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return packing.pack(docs, classes=near_dedup.link_labels(docs.select(digest(F.col("text")).alias("node"), "text")))
+    return packing.pack(docs, classes=near_dedup.link_labels(docs.select(*near_dedup.node_of(F.col("text")), "text")))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"), secret_scan.train(spark))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    words = secret_scan.dictionary(docs)
+    return secret_scan.find_secrets(docs, secret_scan.train(spark, words=words), words=words)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ name; quoted ones may hold spaces, others end at a space or at the next assignme
 the value, and a run within a longer value is a candidate beside it. Of assignments nested in an unquoted
 value the outermost and the innermost are given. The forest sees, for each: its length, the share
 of character transitions (neighbouring characters of different classes, and pairs that are rare in
-words), entropy, the share covered by dictionary words, other symbols, forms of code, whether it stands in a path or address or as its password, and
+words), entropy, the share covered by words of a dictionary (``dictionary``: the words that are common in the
+corpus itself) or by common word parts, other symbols, forms of code, whether it stands in a path or address or as its password, and
 the neighbouring words (assignment to a telling name, quotes, placeholder words). It is trained here,
 with Spark ML, from labelled findings: rows (line, start, end, secret). Without a table of them,
 ``labelled_findings`` makes a documented, bounded number of them from fixed rules and a fixed seed. Of a
@@ -17,8 +18,7 @@ larger table distinct rows are taken in the order of a hash, half of them from e
 Candidates are found and described in one pass over the texts; only candidates travel.
 
 Defined cases: a null text has no candidates; a run over 4,096 characters is one candidate like any
-other; equal candidates are scored each; repeated rows are judged each on its own; texts are scanned
-whole; an empty table gives an empty result; without labelled findings of both classes training fails
+other; texts of any length are scanned whole; further columns, whatever their names, are left out; equal candidates are scored each; repeated rows are judged each on its own; an empty table gives an empty result; without labelled findings of both classes training fails
 with an error.
 """
 
@@ -36,7 +36,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import col
+from slotwise.llm.common import col, stored
 from slotwise.llm.words import slices
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{16,}")
@@ -69,8 +69,30 @@ _PARTS = re.compile("|".join(sorted(WORD_PARTS, key=len, reverse=True)))
 FEATURES = ("length", "transitions", "digit_runs", "entropy", "hex", "dictionary", "vowels", "path", "named", "quoted", "placeholder", "near_words", "symbols", "code", "credential")
 
 
-def describe(line: str, start: int, end: int) -> list[float]:
-    """The features of a candidate in its line."""
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: A word is in the dictionary if it makes up this share of all words, so that there are at most 100,000.
+SHARE, SHORTEST = 1e-5, 4
+
+
+def dictionary(docs: DataFrame, *, text_col: str = "text", share: float = SHARE) -> frozenset[str]:
+    """The words of a-z that make up at least ``share`` of the words of all texts, which bounds their number by its inverse."""
+    words = docs.select(F.explode(F.split(F.lower(col(text_col).cast("string")), "[^a-z]+")).alias("w")).where(F.length("w").between(SHORTEST, 24))
+    counts = stored(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return frozenset(r.w for r in counts.where(F.col("n") >= share * total).select("w").collect()) if total else frozenset()
+
+
+def coverage(text: str, words: frozenset[str] = frozenset()) -> float:
+    """The share of a text's characters in words: of the dictionary, as pieces between changes of case, or common word parts."""
+    covered = 0
+    for m in _PIECE.finditer(text):
+        piece = m.group().lower()
+        covered += len(piece) if piece in words else sum(p.end() - p.start() for p in _PARTS.finditer(piece))
+    return covered / len(text)
+
+
+def describe(line: str, start: int, end: int, words: frozenset[str] = frozenset()) -> list[float]:
+    """The features of a candidate in its line, with the corpus's dictionary."""
     text = line[start:end]
     n = len(text)
     low = text.lower()
@@ -79,7 +101,7 @@ def describe(line: str, start: int, end: int) -> list[float]:
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1)
     runs = sum(k == "d" and (i == 0 or kinds[i - 1] != "d") for i, k in enumerate(kinds)) / n
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(text).values())
-    covered = sum(m.end() - m.start() for m in _PARTS.finditer(low)) / n
+    covered = coverage(text, words)
     letters = sum(c.isalpha() for c in low)
     near = re.findall(r"[a-z]+", before.lower())[-3:]
     around = " ".join(near) + " " + after.lower()[:16]
@@ -217,18 +239,19 @@ def _sample(findings: DataFrame, most: int) -> list[tuple[str, int, int, int]]:
     return no[: most - n] + yes[:n]
 
 
-def train(spark: SparkSession, findings: DataFrame | None = None, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, most: int = FINDINGS) -> RandomForestClassificationModel:
+def train(spark: SparkSession, findings: DataFrame | None = None, *, words: frozenset[str] = frozenset(), trees: int = TREES, depth: int = DEPTH, seed: int = SEED, most: int = FINDINGS) -> RandomForestClassificationModel:
     """A forest from labelled findings (line, start, end, secret), from at most ``most`` rows of them."""
     rows = labelled_findings(most, seed) if findings is None else _sample(findings, most)
     if {r[3] for r in rows} != {0, 1}:
         raise ValueError("labelled findings of both classes are needed")
-    data = spark.createDataFrame([(*describe(*r[:3]), float(r[3])) for r in rows], ", ".join(f"{f} double" for f in FEATURES) + ", secret double")
+    data = spark.createDataFrame([(*describe(*r[:3], words), float(r[3])) for r in rows], ", ".join(f"{f} double" for f in FEATURES) + ", secret double")
     forest = RandomForestClassifier(featuresCol="features", labelCol="secret", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt")
     return forest.fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(data))
 
 
-def find_secrets(docs: DataFrame, model: RandomForestClassificationModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, start, end, score, secret) of every candidate of every text; code points, end exclusive."""
+def find_secrets(docs: DataFrame, model: RandomForestClassificationModel, *, words: frozenset[str] = frozenset(), id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, start, end, score, secret) of every candidate of every text; code points, end exclusive. ``words`` is that of the training."""
+    known = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
         for whole in batches:
@@ -241,7 +264,7 @@ def find_secrets(docs: DataFrame, model: RandomForestClassificationModel, *, id_
                         ids.append(row)
                         starts.append(start)
                         ends.append(end)
-                        features.append(describe(line, start - left, end - left))
+                        features.append(describe(line, start - left, end - left, known.value))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), *[pa.array([f[k] for f in features], pa.float64()) for k in range(len(FEATURES))]],
                     names=["id", "start", "end", *FEATURES],
