@@ -6,11 +6,13 @@ tells from the last block of the current window how far no pattern can end; wher
 a suffix-hash bucket selects the patterns to test, and a direct comparison confirms each. Texts are
 cut in segments whose cursors move in lockstep as numpy arrays.
 
-The documents are never shuffled: the search is one pass over each partition, and the pattern tables
-are broadcast. They come from at most ``block_bytes`` of item text; more items are searched in
-further passes, each over a block of items, that carry the hits so far in two array columns.
+The search is a pass over each partition, and the pattern tables are broadcast. They come from at most
+``block_bytes`` of item text. That is one pass for most benchmarks, and no document is shuffled. More items are
+searched in passes one after another: the documents are stored with a row number, each pass writes the hits of
+its block by row and gives its tables back before the next one begins, and at the end the hits, not the texts' words,
+are merged by row. So memory holds the tables of one block, whatever the benchmark's size.
 
-Defined cases: null and wordless texts have no words and are never contaminated; rows that repeat
+Defined cases: a text of any length is searched whole, at about 10 bytes of memory for each of its bytes; null and wordless texts have no words and are never contaminated; rows that repeat
 are judged each on its own; items that share an id count once; a null item id prints as "null"; an
 empty benchmark hits nothing; other columns, whatever their names, are passed through.
 """
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotwise.llm.common import col, fresh
+from slotwise.llm.common import col, fresh, stored
 from slotwise.llm.words import Words, mix, slices
 
 WINDOW = 13
@@ -167,24 +170,52 @@ def flag_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "tex
     documents go instead, and the columns stay as they are.
     """
     spark = docs.sparkSession
-    state = fresh(docs, "hits_so_far")
-    seen = fresh(docs, "items_so_far")
     out = fresh(docs, "contamination")
-    place = docs.columns.index(text_col)
-    carried = T.StructType([*docs.schema.fields, T.StructField(state, T.ArrayType(T.IntegerType())), T.StructField(seen, T.ArrayType(T.StringType()))])
     verdict = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
     final = docs.schema if drop else T.StructType([*docs.schema.fields, T.StructField(out, verdict)])
-    width = len(docs.columns)
-    frame, waiting = docs, None
-    for block in blocks(items, item_id, item_text, block_bytes):
-        if waiting is not None:
-            frame = frame.mapInArrow(_pass(spark.sparkContext.broadcast(waiting), place, width, False, part, drop), carried)
-        waiting = Patterns(block, window)
-    waiting = waiting or Patterns([], window)
-    return frame.mapInArrow(_pass(spark.sparkContext.broadcast(waiting), place, width, True, part, drop), final)
+    place, width = docs.columns.index(text_col), len(docs.columns)
+    found = blocks(items, item_id, item_text, block_bytes)
+    first = next(found, [])
+    second = next(found, None)
+    if second is None:
+        return docs.mapInArrow(_pass(spark.sparkContext.broadcast(Patterns(first, window)), place, width, part, drop), final)
+    row, state, seen = (fresh(docs, n) for n in ("row_so_far", "hits_so_far", "items_so_far"))
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    texts, hits = rows.select(row, col(text_col)), None
+    for block in chain([first, second], found):
+        tables = spark.sparkContext.broadcast(Patterns(block, window))
+        new = stored(texts.mapInArrow(_hits(tables), "row bigint, hits array<int>, items array<string>"), "hits")
+        tables.destroy()
+        hits = new if hits is None else hits.unionByName(new)
+    merged = hits.groupBy(F.col("row").alias(row)).agg(F.flatten(F.collect_list("hits")).alias(state), F.flatten(F.collect_list("items")).alias(seen))
+    none = spark.sparkContext.broadcast(Patterns([], window))
+    return rows.join(merged, row, "left").select(*docs.columns, state, seen).mapInArrow(_pass(none, place, width, part, drop), final)
+
+
+def _hits(tables):
+    """(row, hits, items) of the texts that a block of items hits; hits are bounds of runs of hit words."""
 
+    def run(batches):
+        patterns = tables.value
+        for whole in batches:
+            for batch in slices(whole, 1):
+                words = Words(batch.column(1))
+                hit, doc, item = patterns.hits(words)
+                found: dict[int, set[str]] = {}
+                for d, i in zip(doc.tolist(), item.tolist(), strict=True):
+                    found.setdefault(d, set()).add(patterns.ids[i])
+                some = sorted(found)
+                ranges = [_ranges(hit[words.first[d] : words.first[d + 1]]) for d in some]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(some, pa.int64())), pa.array(ranges, pa.list_(pa.int32())), pa.array([sorted(found[d]) for d in some], pa.list_(pa.string()))], names=["row", "hits", "items"]
+                )
+
+    return run
+
+
+def _pass(tables, place: int, width: int, part: int, drop: bool):
+    """The verdicts of texts by a block of items and, in two further columns, by what other blocks hit."""
 
-def _pass(tables, place: int, width: int, last: bool, part: int, drop: bool):
     def run(batches):
         patterns = tables.value
         for whole in batches:
@@ -196,15 +227,11 @@ def _pass(tables, place: int, width: int, last: bool, part: int, drop: bool):
                     found.setdefault(d, set()).add(patterns.ids[i])
                 if batch.num_columns > width:
                     for d, (ranges, items) in enumerate(zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True)):
-                        for a, b in zip(ranges[::2], ranges[1::2], strict=True):
-                            hit[words.first[d] + a : words.first[d] + b] = True
-                        if items:
+                        if ranges:
+                            for a, b in zip(ranges[::2], ranges[1::2], strict=True):
+                                hit[words.first[d] + a : words.first[d] + b] = True
                             found.setdefault(d, set()).update(items)
                 columns = batch.columns[:width]
-                if not last:
-                    ranges = [_ranges(hit[words.first[d] : words.first[d + 1]]) for d in range(batch.num_rows)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(ranges, pa.list_(pa.int32())), pa.array([sorted(found.get(d, ())) for d in range(batch.num_rows)], pa.list_(pa.string()))], names=[str(k) for k in range(width + 2)])
-                    continue
                 n_hit = np.add.reduceat(np.append(hit, False).astype(np.int64), words.first[:-1])[: batch.num_rows]
                 bad = (n_hit > 0) & (part * n_hit >= words.n_words)
                 if drop:
