@@ -9,8 +9,11 @@ A host's boilerplate lines number fewer than its mean lines a page divided by ``
 size, so they fit in one array beside the host. The array table is broadcast only if it is counted to
 be small; otherwise pages meet it in a join on the host, whose hot partitions Spark splits.
 
+Host totals are broadcast to the counted lines where there are few hosts, so that a hot host's lines are
+not dealt by their host; of more hosts they meet in a join that Spark splits where it is skewed.
+
 Defined cases: pages without a host form one host; a null text stays null and has no lines; repeated
-rows count as pages of their own; a line on exactly ``ratio`` of the pages stays; an empty table gives
+rows count as pages of their own; texts of any length are split whole; a line on exactly ``ratio`` of the pages stays; an empty table gives
 an empty result; other columns, whatever their names, are passed through.
 """
 
@@ -37,7 +40,8 @@ def line_key(line: Column) -> Column:
 def boilerplate(pages: DataFrame, *, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, drop): the keys of each host's boilerplate lines, for hosts that have some."""
     rows = pages.select(host.alias("host"), text.alias("t"))
-    totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    totals = cut(rows.groupBy("host").agg(F.count(F.lit(1)).alias("total")))
+    totals = F.broadcast(totals) if totals.count() <= BROADCAST_LINES else totals
     keys = rows.select("host", F.explode(F.array_distinct(F.transform(lines_of(F.col("t")), line_key))).alias("key")).where("key IS NOT NULL")
     counts = keys.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     over = counts.join(totals, counts["host"].eqNullSafe(totals["host"])).where(F.col("n") > ratio * F.col("total")).select(counts["host"], "key")
