@@ -16,8 +16,8 @@ and classes are the connected components of the links. Equal texts are always on
    classes in a join whose condition is the link itself, after two exact bounds: the sizes of the sets,
    and the triangle inequality of the Jaccard distance (two members whose distances to a pivot differ by
    more than 0.2 cannot reach 0.8). So no link between classes of a bucket is lost, a group of copies costs two
-   comparisons a member, only links leave the join, large buckets are split in parts of about 512 members, and none is
-   gathered in a task.
+   comparisons a member, only links leave the join, large buckets are split in parts of about 512 members, which meet the pivot and
+   each other part by part, and none is gathered in a task.
 3. Class numbers go back to the documents by the hashes.
 
 Of the texts only those that share a band key are read again and travel (``marked``). Equal texts meet before the shuffle (partial aggregation), so that a group of exact copies sends one
@@ -118,8 +118,8 @@ def link_labels(docs: DataFrame, *, size: int = SHINGLE, threshold: float = THRE
     keys = band_table(texts, size=size, bands=bands, rows=rows, weights=weights).where("keys IS NOT NULL").groupBy(*NODE).agg(F.first("keys").alias("keys"))
     nodes = stored(keys.withColumn("n", F.monotonically_increasing_id()), "nodes")
     keyed = nodes.select("n", F.explode("keys").alias("key"))
-    buckets = stored(keyed.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low <> high"), "buckets")
-    state = stored(keyed.join(buckets.select("key", F.col("low").alias("pivot")), "key"), "members")
+    buckets = stored(keyed.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).where("low <> high"), "buckets")
+    state = stored(keyed.join(buckets.select("key", F.col("low").alias("pivot"), "parts"), "key"), "members")
     wanted = stored(nodes.join(state.select("n").distinct(), "n").select(*NODE, "n"), "wanted")
     bodies = marked(texts, wanted).groupBy(*NODE).agg(F.first("text").alias("text")).join(wanted, NODE)
     sets = stored(shingle_sets(bodies, size=size, weights=weights), "sets")
@@ -128,21 +128,23 @@ def link_labels(docs: DataFrame, *, size: int = SHINGLE, threshold: float = THRE
     dealt = sets.repartition(parts, "n").persist(StorageLevel.DISK_ONLY)
 
     def tested(pairs: DataFrame) -> DataFrame:
-        """(a, b, j) of distinct pairs of numbers."""
-        sides = pairs.join(dealt.select(F.col("n").alias("a"), F.col("shingles").alias("x")), "a").join(dealt.select(F.col("n").alias("b"), F.col("shingles").alias("y")), "b")
+        """(a, b, j) of distinct pairs (a, b) of a pivot and a member n. A pivot of many members has its set in several parts."""
+        split = pairs.withColumn("part", F.pmod(F.xxhash64("n"), "parts").cast("int"))
+        heads = split.select("pivot", "part").distinct().join(dealt.select(F.col("n").alias("pivot"), F.col("shingles").alias("x")), "pivot")
+        sides = split.join(dealt.select("n", F.col("shingles").alias("y")), "n").join(heads, ["pivot", "part"])
         return stored(sides.select("a", "b", similarity(F.col("x"), F.col("y")).alias("j")), "tested")
 
     far, least = 1 - threshold + 1e-9, threshold - 1e-9
     ends = [F.least("n", "pivot").alias("a"), F.greatest("n", "pivot").alias("b")]
-    state = state.select("key", "n", "pivot", F.expr("cast(array() as array<double>)").alias("d"), F.lit(False).alias("linked"))
+    state = state.select("key", "n", "pivot", "parts", F.expr("cast(array() as array<double>)").alias("d"), F.lit(False).alias("linked"))
     known = None
     for turn in range(PIVOTS):
-        pairs = state.where("n <> pivot").select(*ends).distinct()
-        new = tested(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
+        met = state.where("n <> pivot").select(*ends, "n", "pivot", "parts").groupBy("a", "b").agg(F.max(F.struct("parts", "pivot", "n")).alias("p")).select("a", "b", "p.*")
+        new = tested(met if known is None else met.join(known, ["a", "b"], "left_anti"))
         known = new if known is None else known.union(new)
-        state = state.select("key", "n", "pivot", "d", "linked", *ends).join(known, ["a", "b"], "left")
+        state = state.select("key", "n", "pivot", "parts", "d", "linked", *ends).join(known, ["a", "b"], "left")
         j = F.coalesce("j", F.lit(1.0))
-        state = stored(state.select("key", "n", F.concat("d", F.array(1 - j)).alias("d"), (F.col("linked") | (j >= least)).alias("linked")), "state")
+        state = stored(state.select("key", "n", "parts", F.concat("d", F.array(1 - j)).alias("d"), (F.col("linked") | (j >= least)).alias("linked")), "state")
         if turn == PIVOTS - 1:
             break
         # The next pivot is a member that the first is not linked to; a bucket without one is a class.
@@ -151,7 +153,7 @@ def link_labels(docs: DataFrame, *, size: int = SHINGLE, threshold: float = THRE
     links = known.where(F.col("j") >= least).select("a", "b")
     labels = components(links)
 
-    state = state.drop("linked").join(labels.withColumnRenamed("node", "n"), "n", "left").withColumn("label", F.coalesce("label", "n"))
+    state = state.drop("linked", "parts").join(labels.withColumnRenamed("node", "n"), "n", "left").withColumn("label", F.coalesce("label", "n"))
     sizes = state.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     majors = sizes.groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("major"), F.count(F.lit(1)).alias("labels"), F.ceil(F.sum("size") / PART).cast("int").alias("parts"))
     members = state.join(majors.where("labels > 1").drop("labels"), "key").join(dealt, "n")

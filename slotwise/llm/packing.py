@@ -23,11 +23,17 @@ from __future__ import annotations
 
 from bisect import insort
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from slotwise.llm.common import col, digest
+from slotwise.llm.common import col, digest, stored
+from slotwise.llm.near_dedup import NODE, node_of
+from slotwise.llm.words import slices
 
 CAPACITY, ROWS_A_GROUP = 2048, 8192
 
@@ -136,8 +142,32 @@ def pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return made
 
 
-def word_count(text: Column) -> Column:
-    return F.when(F.trim(F.translate(text, "\t\n\x0b\f\r", "     ")) == "", 0).otherwise(F.size(F.split(F.trim(F.translate(text, "\t\n\x0b\f\r", "     ")), " +"))).cast("bigint")
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def count_words(texts: pa.Array) -> np.ndarray:
+    """The number of runs of visible characters of each text; 0 for null."""
+    data = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    raw = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(data) and data.buffers()[2] else np.empty(0, np.uint8)
+    visible = ~_BLANK[raw]
+    begins = visible.copy()
+    begins[1:] &= ~visible[:-1]
+    out = np.zeros(len(data), np.int64)
+    some = np.flatnonzero(np.diff(offsets)) if len(data) else np.empty(0, np.int64)
+    if len(some):
+        edge = offsets[some] - offsets[0]
+        begins[edge] = visible[edge]
+        out[some] = np.add.reduceat(begins.view(np.uint8), edge, dtype=np.int64)
+    return out
+
+
+@F.arrow_udf(T.LongType())
+def word_count(texts: pa.Array) -> pa.Array:
+    """Words of a text, in Arrow batches, counted in slices of bounded size."""
+    whole = pa.RecordBatch.from_arrays([texts], names=["text"])
+    return pa.array(np.concatenate([np.empty(0, np.int64), *[count_words(part.column(0)) for part in slices(whole, 0)]]), pa.int64())
 
 
 def pack(
@@ -155,25 +185,28 @@ def pack(
     """(id, piece, start, length, bin_group, bin, bin_offset) of every piece of every document.
 
     ``length`` counts tokens (default: words of the text), ``cluster`` names the duplicate cluster
-    (default: equal texts). ``classes`` has rows (node, label) for the digests of texts that belong to a
-    class of several texts; their cluster is the label. With ``source_col=None`` sources do not conflict.
+    (default: equal texts). ``classes`` has rows (hi, lo, label) for the hashes (``near_dedup.node_of``) of texts
+    that belong to a class of several texts; their cluster is the label. With ``source_col=None`` sources do not conflict.
     """
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    node = digest(text)
+    node = F.hex(digest(text))
     rows = docs.select(
         col(id_col).cast("bigint").alias("id"),
-        F.hex(node).alias("node"),
+        node.alias("node"),
         F.coalesce((word_count(text) if length is None else length).cast("bigint"), F.lit(0)).alias("size"),
         (F.lit(None).cast("string") if source_col is None else col(source_col).cast("string")).alias("source"),
-        (F.when(col(text_col).isNotNull(), F.hex(node)) if cluster is None else cluster.cast("string")).alias("cluster"),
+        (F.when(col(text_col).isNotNull(), node) if cluster is None else cluster.cast("string")).alias("cluster"),
+        *([] if classes is None else node_of(col(text_col).cast("string"))),
     )
-    groups = max(1, -(-docs.count() // rows_a_group))
     if classes is not None:
-        labels = classes.select(F.hex("node").alias("node"), F.hex("label").alias("label"))
-        rows = rows.join(labels, "node", "left").withColumn("cluster", F.when(F.col("cluster").isNotNull(), F.coalesce("label", "cluster"))).drop("label")
-    counted = rows.groupBy("id", "node", "size", "source", "cluster").count()
-    rows = counted.select("id", "node", "size", "source", "cluster", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("count"))).alias("copy"))
+        named = F.concat(F.lit("class "), F.col("label").cast("string"))
+        rows = rows.join(classes, NODE, "left").withColumn("cluster", F.coalesce(named, "cluster")).drop("label", *NODE)
+    rows = stored(rows.groupBy("id", "node", "size", "source", "cluster").count(), "lengths")
+    groups = max(1, -(-(rows.agg(F.sum("count")).first()[0] or 0) // rows_a_group))
+    rows = rows.select("id", "node", "size", "source", "cluster", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("count"))).alias("copy"))
     rows = rows.withColumn("bin_group", F.pmod(F.xxhash64("id", "node", "source", "copy"), F.lit(groups)).cast("int")).drop("copy")
+    # Dealt by range, no two groups meet in a task while others have none; only the stored lengths are sampled for it.
+    rows = rows.repartitionByRange(groups, "bin_group")
 
     def run(key, batch: pd.DataFrame) -> pd.DataFrame:
         batch["id"] = batch["id"].astype("Int64")

@@ -174,6 +174,16 @@ def test_quality(docs):
     assert {r.kept for r in rows} == {True, False}
 
 
+def test_line_rules_by_hand(spark):
+    lines = {
+        "This is a proper sentence.": None, "„Das ist ein Satz.“": None, "Home | Menu | Login": "navigation", "home about contact": "navigation", "Startseite Kontakt Impressum": "navigation", "accueil contact aide": "navigation",
+        "inicio buscar ayuda": "navigation", "All rights reserved.": "boilerplate", "Alle Rechte vorbehalten.": "boilerplate", "Tous droits réservés.": "boilerplate", "Todos los derechos reservados.": "boilerplate",
+        "a line of words without an end": "punctuation", "buy!! now!! here.": "punctuation", "Prices rose by 5% in May, she said.": None, "What a day!": None, "The home of the people is open today.": None,
+    }
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert {r.line: r.why for r in df.select("line", quality.line_fails(F.col("line")).alias("why")).collect()} == lines
+
+
 # ---------------------------------------------------------------- personal data
 
 
