@@ -42,7 +42,7 @@ NOTICES = (
 MENU_WORDS = "|".join("|".join(words.split()) for words in MENU)
 PHRASES = f"(?:^|[^a-zà-ÿ])(?:{'|'.join(NOTICES)})"
 
-_SENTENCE_END = r"[.!?…。！？؟][\"'”’»)\]]*(\s|\z)"
+_SENTENCE_END = r"[.!?…。！？؟][\"'”’“‘»«)\]]*(\s|\z)"
 _NOISY = r"[!?]{2,}|[#*$%&<>{}~^]{2,}|[#*$%&<>|{}~^]\z"
 _SEPARATOR = r"^[|»›>·•/\\-]+\z"
 _MARK = r"[|»›>·•/\\!?#*$%&<{}~^-]"
