@@ -14,7 +14,7 @@ from slotwise.functions.time import local_date, local_hour, weekend
 from slotwise.operators import association, baseline, benefit, dedup, forecast, latest, models, movement, places, views
 from slotwise.plans import bindings as b
 from slotwise.plans import studies
-from slotwise.session import shared_dir
+from slotwise.session import cut, shared_dir
 from slotwise.sources import history, parsers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -451,15 +451,15 @@ def pair_bootstrap(spark, sf_dir):
 
 
 def _study(spark, sf_dir):
-    """Discovery in the first part of the readings, confirmation in the rest."""
-    s = b.span(spark, sf_dir)
-    middle = (s.start + (s.end - s.start) * 2 // 3) // 86400 * 86400
-    series = _series(spark, sf_dir)
+    """Discovery in the first half of the days with usual values, confirmation in the rest."""
+    series = cut(_series(spark, sf_dir))
+    low, high = series.agg(F.min("bin"), F.max("bin")).first()
+    middle = 0 if low is None else (low + (high - low) // 2) // 86400 * 86400
     found = b.event_registry(b.readings(spark, sf_dir))
     places_ = b.event_places(spark, sf_dir)
-    km = places.pairs(places_).withColumn("band", places.distance_band(F.col("km"), b.PAIRS.neighbor_km, b.PAIRS.far_km))
-    zeros = association.zero_share(b.readings(spark, sf_dir), b.PAIRS.zero_heavy_share)
-    return association.study(series.where(F.col("bin") < middle), series.where(F.col("bin") >= middle), found, km, zeros, b.PAIRS)
+    km = places.pairs(places_).withColumn("band", places.distance_band(F.col("km"), b.STUDY.neighbor_km, b.STUDY.far_km))
+    zeros = association.zero_share(b.readings(spark, sf_dir), b.STUDY.zero_heavy_share)
+    return association.study(series.where(F.col("bin") < middle), series.where(F.col("bin") >= middle), found, km, zeros, b.STUDY)
 
 
 @query
