@@ -126,4 +126,25 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN n = 1 OR page_id = keep
 FROM q JOIN k USING (h)
 """
 
-ORACLES = {"op3_decontamination": OP3, "op4_minhash_dedup": OP4, "op6_line_dedup": OP6, "op7_sharding": OP7, "op8_quality_rules": OP8, "op10_warc": OP10}
+OP13 = f"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, part, text, list_filter({_SPLIT.format("text")}, lambda w: w <> '') AS ws, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+m AS (SELECT doc_id, part, (len(ws) < 50)::INTEGER + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INTEGER
+             + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INTEGER
+             + 8 * regexp_matches(text, '[#$%&*|]')::INTEGER + 16 * coalesce(doc_id > first, false)::INTEGER AS mask FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INTEGER) AS quality, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE toxic = 1) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, bit, coalesce((SELECT sum(g.bit) FROM f g WHERE instr(filter_order, g.letter) < step), 0) AS before
+      FROM o, (SELECT unnest(range(1, 6)) AS step), f WHERE letter = filter_order[step]),
+r AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (before::INTEGER | bit) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN mask & bit > 0 AND mask & before::INTEGER = 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN mask & bit > 0 AND mask & before::INTEGER > 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN mask & bit > 0 AND mask & before::INTEGER = 0 THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN mask & bit > 0 AND mask & before::INTEGER = 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
+ORACLES = {"op3_decontamination": OP3, "op4_minhash_dedup": OP4, "op6_line_dedup": OP6, "op7_sharding": OP7, "op8_quality_rules": OP8, "op10_warc": OP10, "op13_filter_audit": OP13}
