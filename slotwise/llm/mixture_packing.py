@@ -181,14 +181,15 @@ def pack_mixture(
 
     dealt = placed.withColumn("among", spread("queue", "place", "n_tokens")).select("row", "queue", "place", "n_tokens", F.explode(F.sequence("among.first", "among.last")).alias("partition"))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["queue", "place"])
         queue, place, n = rows["queue"].to_numpy(np.int64), rows["place"].to_numpy(np.int64), rows["n_tokens"].to_numpy(np.int64)
         low = np.maximum(place, fluid.given(queue, np.full(len(rows), key[0])))
         high = np.minimum(place + n, fluid.given(queue, np.full(len(rows), key[0] + 1)))
         waiting: list[list[tuple[int, int, int]]] = [[] for _ in fluid.tokens]
         for s, row, start, length in zip(queue.tolist(), rows["row"].tolist(), (low - place).tolist(), (high - low).tolist(), strict=True):
-            waiting[s].append((row, start, length))
+            if length > 0:  # a queue may give nothing in a partition within a long document
+                waiting[s].append((row, start, length))
         exact = fluid.exact(np.arange(len(waiting)), np.full(len(waiting), key[0]))
         found = pd.DataFrame(fill(waiting, exact - np.floor(exact), capacity, least), columns=["row", "start", "length", "sequence_id", "offset"])
         # A partition has no more sequences than windows, one for the fractions and the powers of two of the last one.
