@@ -1,9 +1,9 @@
-"""Token ids of whole texts, through bounded memos of the words that a worker has met.
+"""Token ids of whole texts, through a bounded vocabulary of the words that a worker has met.
 
 Byte-level BPE splits a text before every single space between two visible characters, and a piece tokenizer
 whose pieces hold a space at their beginning only is split before every space that a visible character precedes;
 so both give a text's ids as those of its words, each with the space before it, one after another. Words that
-the memo lacks are encoded by the library; for byte-level BPE whose ids are the ranks of its merges, words of characters
+the vocabulary lacks are encoded together, many in one call, and their tokens told apart by their lengths in bytes. For byte-level BPE whose ids are the ranks of its merges, words of characters
 that every Unicode version classes alike go through tiktoken, which gives the same ids from the same vocabulary,
 sooner. Tokenizers of other kinds get whole texts.
 """
@@ -13,18 +13,20 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 from slotwise.llm.token_counts import _LETTERS
 
-MEMO = 500_000
+MEMO, CHUNK = 600_000, 512
 _RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: ASCII and the Latin letters of Europe: one class each in all versions of Unicode.
-_SETTLED = re.compile(r"[\x00-\x7F -ɏ]*")
+_SETTLED = re.compile(r"[\x00-\x7F\u00A0-\u024F]*")
+#: A word of such characters between visible ones.
+_PLAIN = re.compile(r"(?!\s)[\x00-\x7F\u00A0-\u024F]+(?<!\s)")
 # Fixed value: how byte-level BPE of this kind splits a text.
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -36,17 +38,35 @@ def words_of(text: str) -> list[str]:
     return text.split(" ")
 
 
-class Memo(dict):
-    """What ``encode`` gives for a word, kept for up to ``MEMO`` words."""
-
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        found = self[word] = self.encode(word)
-        return found
+def told_apart(words: list[str], plain: int, encode: Callable[[str], list[int]], lengths: np.ndarray, bytes_of: dict[int, bytes], spell: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words one after another, and how many each has; with ``spell`` the one id -1 for a word that its tokens do not spell.
+
+    The first ``plain`` words are encoded ``CHUNK`` at a time: one after another they are a text that is split before each of them.
+    """
+    of = bytes_of.__getitem__
+    found: list[np.ndarray] = [np.empty(0, np.int32)]
+    counts: list[np.ndarray] = [np.empty(0, np.int64)]
+
+    def one_by_one(some: list[str]) -> None:
+        ids = list(map(encode, some))
+        if spell:
+            ids = [x if b"".join(map(of, x)) == w.encode() else [-1] for x, w in zip(ids, some, strict=True)]
+        found.append(np.fromiter(chain.from_iterable(ids), np.int32))
+        counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    for at in range(0, plain, CHUNK):
+        some = words[at : min(at + CHUNK, plain)]
+        text = "".join(some)
+        raw, ids = text.encode(), encode(text)
+        if b"".join(map(of, ids)) != raw:
+            one_by_one(some)
+            continue
+        whole = np.array(ids, np.int32)
+        ends = np.cumsum(list(map(len, some if len(raw) == len(text) else [w.encode() for w in some])))
+        found.append(whole)
+        counts.append(np.diff(np.searchsorted(np.cumsum(lengths[whole]), ends) + 1, prepend=0))
+    one_by_one(words[plain:])
+    return np.concatenate(found), np.concatenate(counts)
 
 
 class BytePairs:
@@ -108,59 +128,64 @@ class Pieces:
         words = [p.piece for p in said.pieces]
         #: Whether words may be encoded one by one.
         self.splits = not normal.precompiled_charsmap and normal.add_dummy_prefix and not normal.remove_extra_whitespaces and said.trainer_spec.model_type == 2 and not any("▁" in w.lstrip("▁") for w in words) and not any(p.type == 4 for p in said.pieces)
-        self.bytes_of = [bytes([int(w[3:5], 16)]) if p.type == 6 else w.replace("▁", " ").encode() for w, p in zip(words, said.pieces, strict=True)]
+        self.bytes_of = {i: bytes([int(w[3:5], 16)]) if p.type == 6 else w.replace("▁", " ").encode() for i, (w, p) in enumerate(zip(words, said.pieces, strict=True))}
 
     def ids(self, text: str) -> list[int]:
-        """Ids of a text, or of a word without the space before it."""
-        return self._model.encode(text)
-
-
-class IdEncoder:
-    """The ids of texts as bytes of little-endian unsigned 32-bit numbers."""
-
-    def __init__(self, content: bytes) -> None:
-        self.tokenizer = BytePairs(content)
-        self._first = Memo(lambda w: self._raw(w))
-        self._later = Memo(lambda w: self._raw(" " + w))
-
-    def _raw(self, text: str) -> bytes:
-        return array("I", self.tokenizer.ids(text)).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.tokenizer.splits:
-            return self._raw(text)
-        first, *later = words_of(text)
-        return self._first[first] + b"".join(map(self._later.__getitem__, later))
-
-
-class Spans:
-    """(id, length in bytes) of the tokens of space+text as pairs of 32-bit numbers; id -1 where the tokens are not the text's bytes."""
-
-    def __init__(self, tokenizer: BytePairs | Pieces) -> None:
-        self.tokenizer, self.spaced = tokenizer, isinstance(tokenizer, BytePairs)
-        self._memo = Memo(self._word)
-
-    def _word(self, word: str) -> bytes:
-        """The tokens of space+word."""
-        whole, of = " " + word, self.tokenizer.bytes_of
-        ids = self.tokenizer.ids(whole if self.spaced else word)
-        parts = [of[i] for i in ids]
-        if b"".join(parts) != whole.encode():
-            return array("i", [-1, 0]).tobytes()
-        out = array("i", ids * 2)
-        out[::2] = array("i", ids)
-        out[1::2] = array("i", map(len, parts))
-        return out.tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.tokenizer.splits:
-            return self._word(text)
-        return b"".join(map(self._memo.__getitem__, words_of(text)))
-
-
-def id_array(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.dtype("<u4"))
+        """Ids of a text that begins with a space, which the tokenizer puts there by itself."""
+        return self._model.encode(text[1:])
+
+
+class Vocabulary:
+    """The tokens of the words met so far, as runs of one array of ids for each tokenizer.
+
+    Words behind a space and words that begin a text are told apart. With ``spell`` a word whose tokens are not its bytes
+    has the one id -1.
+    """
+
+    def __init__(self, tokenizers: list[BytePairs | Pieces], *, spell: bool) -> None:
+        self.tokenizers, self.spell = tokenizers, spell
+        self.splits = all(t.splits for t in tokenizers)
+        #: Bytes of each id; the last entry is that of id -1.
+        self.lengths = [np.array([*(len(t.bytes_of.get(i, b"")) for i in range(max(t.bytes_of) + 1)), 0], np.int32) for t in tokenizers]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.later: dict[str, int] = {}
+        self.first: dict[str, int] = {}
+        self.ids = [np.empty(0, np.int32) for _ in self.tokenizers]
+        self.start = [np.zeros(1, np.int64) for _ in self.tokenizers]
+
+    def _numbers(self, known: dict[str, int], words: list[str], before: str) -> np.ndarray:
+        """The numbers of the words, after those that are new have been encoded."""
+        if new := [w for w in set(words) if w not in known]:
+            new.sort(key=lambda w: not (self.splits and before and _PLAIN.fullmatch(w)))
+            plain = sum(1 for w in new if self.splits and before and _PLAIN.fullmatch(w))
+            have = len(self.start[0]) - 1
+            known.update(zip(new, range(have, have + len(new)), strict=True))
+            spaced = [before + w for w in new]
+            for k, (tokenizer, lengths) in enumerate(zip(self.tokenizers, self.lengths, strict=True)):
+                ids, counts = told_apart(spaced, plain, tokenizer.ids, lengths, tokenizer.bytes_of, self.spell)
+                self.ids[k] = np.concatenate([self.ids[k], ids])
+                self.start[k] = np.concatenate([self.start[k], self.start[k][-1] + np.cumsum(counts)])
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def encode(self, texts: list[str], *, spaced: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each tokenizer: how many tokens each text has, and the ids of all. ``spaced``: a space is put before every text that is not empty."""
+        if not self.splits or len(self.start[0]) > MEMO:
+            self._clear()
+        parts = [(words_of(t) if self.splits else [t]) if t else [] for t in texts]
+        words = np.fromiter(map(len, parts), np.int64, len(parts))
+        number = np.empty(int(words.sum()), np.int64)
+        begins = np.zeros(len(number), bool)
+        if not spaced:
+            begins[(np.cumsum(words) - words)[words > 0]] = True
+            number[begins] = self._numbers(self.first, [p[0] for p in parts if p], "")
+        number[~begins] = self._numbers(self.later, list(chain.from_iterable(p if spaced else p[1:] for p in parts)), " ")
+        owner = np.repeat(np.arange(len(texts)), words)
+        out = []
+        for ids, start in zip(self.ids, self.start, strict=True):
+            first = start[number]
+            n = start[number + 1] - first
+            at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+            out.append((np.bincount(owner, n, len(texts)).astype(np.int64), ids[at]))
+        return out

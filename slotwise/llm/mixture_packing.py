@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import col, running_totals, stored
-from slotwise.llm.encoding import IdEncoder, id_array
+from slotwise.llm.encoding import BytePairs, Vocabulary
 from slotwise.llm.token_counts import tokenizer_file
 from slotwise.llm.words import slices
 
@@ -120,13 +120,19 @@ def tokenised(docs: DataFrame, tokenizer_path: str, *, id_col: str, text_col: st
     shipped = docs.sparkSession.sparkContext.broadcast(tokenizer_file(tokenizer_path))
 
     def encode(batches):
-        encoder = IdEncoder(shipped.value)
-        kind = "<u2" if max(encoder.tokenizer.bytes_of, default=0) < 1 << 16 else "<u4"
-        end = np.array([end_id], "<u4").tobytes()
+        words = Vocabulary([BytePairs(shipped.value)], spell=False)
+        kind = np.dtype("<u2" if max(words.tokenizers[0].bytes_of, default=0) < 1 << 16 else "<u4")
         for whole in batches:
             for batch in slices(whole, 3):
-                ids = [id_array(encoder.encode(t or "") + end) for t in batch.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["row", "id", "source", "n_tokens", "ids"])
+                n, ids = words.encode([t or "" for t in batch.column(3).to_pylist()], spaced=False)[0]
+                stops = np.cumsum(n + 1)
+                closed = np.full(int(stops[-1]), end_id, kind)
+                inside = np.ones(len(closed), bool)
+                inside[stops - 1] = False
+                closed[inside] = ids
+                edges = np.concatenate([[0], stops * kind.itemsize]).astype(np.int32)
+                lists = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(closed)])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n + 1), lists], names=["row", "id", "source", "n_tokens", "ids"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).cast("bigint").alias("id"), F.coalesce(col(source_col).cast("string"), F.lit("")).alias("source"), col(text_col).cast("string").alias("text"))
     return stored(rows.mapInArrow(encode, "row bigint, id bigint, source string, n_tokens bigint, ids binary"), "token-ids", "zstd")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import filter_audit, line_dedup, mixture_packing, near_dedup, packing, pii, quality, secret_scan, sharding, token_counts, warc
+from slotwise.llm import alignment, filter_audit, line_dedup, mixture_packing, near_dedup, packing, pii, quality, secret_scan, sharding, token_counts, warc
 from slotwise.llm.common import read
 from slotwise.llm.decontamination import flag_contaminated
 from slotwise.llm.oracles import ORACLES
@@ -73,6 +73,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = mixture_packing.pack_mixture(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), tokenizer_path())
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -89,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_secret_scan, op3_decontamination, op4_minhash_dedup, op5_pii, op6_line_dedup, op7_sharding, op8_quality_rules, op9_token_counts, op10_warc, op12_mixture_packing, op13_filter_audit, pipeline)
+    found = (op1_best_fit_packing, op2_secret_scan, op3_decontamination, op4_minhash_dedup, op5_pii, op6_line_dedup, op7_sharding, op8_quality_rules, op9_token_counts, op10_warc, op11_alignment, op12_mixture_packing, op13_filter_audit, pipeline)
     return {f.__name__: f for f in found}
 
 
