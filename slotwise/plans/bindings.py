@@ -18,11 +18,11 @@ CADENCE = 3600
 HOURLY = Baseline(cadence_seconds=CADENCE, minimum_samples=24)
 HOURLY_TREND = HOURLY.but(trend_minutes=180, trend_tolerance_minutes=90, gap_seconds=5400)
 MOVES = Movement(horizons_minutes=(60, 120, 240), cadence_seconds=CADENCE, gap_seconds=7200, tolerance_seconds=1800)
-PAIRS = Association(minimum_slots=1, minimum_bins=60, minimum_days=7, minimum_day_bins=6, minimum_others=3, lags=(1, 2))
+PAIRS = Association(minimum_slots=1, minimum_bins=60, minimum_days=7, minimum_day_bins=6, minimum_others=3, lags=(1, 2, 3))
 #: Both periods of the study lie in the few days for which usual values are supported.
 STUDY = replace(PAIRS, minimum_bins=48, minimum_days=2)
-REPLAY = Forecast(cadence_seconds=CADENCE, horizons_minutes=(60, 120, 240), origin_seconds=3600 * 3, daily_slots=24, weekly_slots=168, minimum_errors=20, minimum_training_slots=200, minimum_training_coverage=0.5, minimum_matched=30, minimum_days=5)
-RULES = Benefit(slot_seconds=CADENCE, evaluation_every_slots=2, minimum_claims=20, minimum_days=3, minimum_precision=0.25, minimum_lower_bound=0.2, confirmation_claims=10, confirmation_days=2, confirmation_precision=0.25)
+REPLAY = Forecast(cadence_seconds=CADENCE, horizons_minutes=(60, 120, 180, 240), origin_seconds=3600, daily_slots=24, weekly_slots=168, minimum_errors=20, minimum_training_slots=200, minimum_training_coverage=0.5, minimum_matched=30, minimum_days=5)
+RULES = Benefit(slot_seconds=CADENCE, evaluation_every_slots=1, minimum_claims=20, minimum_days=3, minimum_precision=0.25, minimum_lower_bound=0.2, confirmation_claims=10, confirmation_days=2, confirmation_precision=0.25)
 FRESH = Freshness(stale_after_seconds=7200)
 
 

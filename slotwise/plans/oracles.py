@@ -70,11 +70,13 @@ _models("mover", b.HOURLY.minimum_samples, b.HOURLY.fallback_hour_radius, "celln
 _P = b.HOURLY
 _T = b.HOURLY_TREND
 
+_HORIZONS = f"(VALUES {', '.join(f'({h})' for h in b.REPLAY.horizons_minutes)}) v(horizon_minutes)"
+
 
 def _moves(steps: str) -> str:
     return " UNION ALL ".join(
-        f"""SELECT facility, {h} AS horizon_minutes, us, local_date, later - value AS change FROM (
-              SELECT *, lead(us, {k}) OVER o AS later_us, lead(value, {k}) OVER o AS later, lead(covered, {k}) OVER o AS later_covered, max(gap) OVER (o ROWS BETWEEN 1 FOLLOWING AND {k} FOLLOWING) AS widest
+        f"""SELECT facility, {h} AS horizon_minutes, us, local_date, later_date, later - value AS change FROM (
+              SELECT *, lead(us, {k}) OVER o AS later_us, lead(value, {k}) OVER o AS later, lead(covered, {k}) OVER o AS later_covered, lead(local_date, {k}) OVER o AS later_date, max(gap) OVER (o ROWS BETWEEN 1 FOLLOWING AND {k} FOLLOWING) AS widest
               FROM {steps} WINDOW o AS (PARTITION BY facility ORDER BY us))
             WHERE covered AND later_covered AND abs(later_us - us - {h * 60000000}) <= {b.MOVES.tolerance_seconds}000000 AND widest <= {b.MOVES.gap_seconds}000000"""
         for h, k in ((h, max(1, h * 60 // b.CADENCE)) for h in b.MOVES.horizons_minutes)
@@ -130,7 +132,7 @@ def _replay(name: str, cut: int) -> None:
              CASE WHEN k.value IS NOT NULL AND target - {24 * HOUR} <= origin - {cut} THEN d.value END::DOUBLE AS daily_naive,
              CASE WHEN k.value IS NOT NULL AND target - {168 * HOUR} <= origin - {cut} THEN w.value END::DOUBLE AS weekly_naive, CASE WHEN k.value IS NOT NULL THEN CASE WHEN same THEN mn.median ELSE mo.median END END AS m1_median, coalesce(a.value > p90, false) AS spike
       FROM (SELECT *, {_LOCAL.format("make_timestamp(target * 1000000)")}::DATE AS tday, hour({_LOCAL.format("make_timestamp(target * 1000000)")})::INTEGER AS thour, {_LOCAL.format("make_timestamp(target * 1000000)")}::DATE = {_LOCAL.format(f"make_timestamp((origin - {cut}) * 1000000)")}::DATE AS same
-            FROM (SELECT facility, origin, horizon_minutes, origin + 60 * horizon_minutes AS target FROM (SELECT DISTINCT facility FROM grid) g, (SELECT unnest(range({_START}, {_STOP}, {b.REPLAY.origin_seconds})) AS origin) x, (VALUES (60), (120), (240)) v(horizon_minutes))) q
+            FROM (SELECT facility, origin, horizon_minutes, origin + 60 * horizon_minutes AS target FROM (SELECT DISTINCT facility FROM grid) g, (SELECT unnest(range({_START}, {_STOP}, {b.REPLAY.origin_seconds})) AS origin) x, {_HORIZONS})) q
       LEFT JOIN mnear mn ON mn.facility = q.facility AND mn.local_date = tday AND mn.local_hour = thour LEFT JOIN mover mo ON mo.facility = q.facility AND mo.local_date = tday AND mo.local_hour = thour
       {at("a", "target")} {at("k", f"origin - {cut}")} {at("d", f"target - {24 * HOUR}")} {at("w", f"target - {168 * HOUR}")}
       LEFT JOIN (SELECT o.facility, o.origin AS "at", quantile_cont(g.value, 0.9) AS p90 FROM (SELECT DISTINCT facility, origin FROM (SELECT DISTINCT facility FROM grid) g, (SELECT unnest(range({_START}, {_STOP}, {b.REPLAY.origin_seconds})) AS origin) x) o
@@ -159,9 +161,9 @@ def _metrics(prefix: str = "", only: str = "true") -> str:
 
 PARTS["scores"] = f"SELECT facility, horizon_minutes, model, place, {_metrics()}, {_metrics('matched_', 'matched')}, {_metrics('zero_', 'coalesce(actual = 0, false)')}, {_metrics('spike_', 'spike')} FROM long GROUP BY ALL"
 PARTS["err"] = "SELECT facility, horizon_minutes, model, target AS t, actual - prediction AS e FROM long WHERE actual IS NOT NULL AND prediction IS NOT NULL"
-PARTS["iv"] = f"""SELECT l.*, CASE WHEN lo8 IS NOT NULL THEN greatest(0.0, prediction + lo8) END AS lo_80, CASE WHEN hi8 IS NOT NULL THEN greatest(0.0, prediction + hi8) END AS hi_80, CASE WHEN lo9 IS NOT NULL THEN greatest(0.0, prediction + lo9) END AS lo_95, CASE WHEN hi9 IS NOT NULL THEN greatest(0.0, prediction + hi9) END AS hi_95
+PARTS["iv"] = f"""SELECT l.*, CASE WHEN qs[1] IS NOT NULL THEN greatest(0.0, prediction + qs[1]) END AS lo_80, CASE WHEN qs[2] IS NOT NULL THEN greatest(0.0, prediction + qs[2]) END AS hi_80, CASE WHEN qs[3] IS NOT NULL THEN greatest(0.0, prediction + qs[3]) END AS lo_95, CASE WHEN qs[4] IS NOT NULL THEN greatest(0.0, prediction + qs[4]) END AS hi_95
    FROM long l LEFT JOIN (
-     SELECT a.facility, a.horizon_minutes, a.model, a.origin, quantile_cont(e, {(1 - 0.8) / 2}) AS lo8, quantile_cont(e, {1 - (1 - 0.8) / 2}) AS hi8, quantile_cont(e, {(1 - 0.95) / 2}) AS lo9, quantile_cont(e, {1 - (1 - 0.95) / 2}) AS hi9
+     SELECT a.facility, a.horizon_minutes, a.model, a.origin, quantile_cont(e, [{(1 - 0.8) / 2}, {1 - (1 - 0.8) / 2}, {(1 - 0.95) / 2}, {1 - (1 - 0.95) / 2}]) AS qs
      FROM long a JOIN err ON err.facility = a.facility AND err.horizon_minutes = a.horizon_minutes AND err.model = a.model AND t > a.origin - {b.REPLAY.interval_days * DAY} AND t <= a.origin
      WHERE a.prediction IS NOT NULL GROUP BY ALL HAVING count(*) >= {b.REPLAY.minimum_errors}) q USING (facility, horizon_minutes, model, origin)"""
 PARTS["entry"] = f"""SELECT k.facility, CASE WHEN k.facility >= 'f' OR n.us < ({T1} - {5 * HOUR}) * 1000000 THEN n.us ELSE o.us END AS us, CASE WHEN k.facility >= 'f' OR n.us < ({T1} - {5 * HOUR}) * 1000000 THEN n.value ELSE o.value END AS value,
@@ -189,9 +191,9 @@ def _reading(alias: str, who: str, seconds: str, how: str = "JOIN") -> str:
 PARTS |= {
     "rd": "SELECT facility, slot, value FROM s WHERE value >= 0",
     "newest": "SELECT facility, value FROM r QUALIFY row_number() OVER (PARTITION BY facility ORDER BY us DESC, pos) = 1",
-    "screen": f"SELECT facility, horizon_minutes, CASE WHEN {_ENOUGH.format('')} THEN quantile_cont(abs(change), 0.9) END AS p90 FROM mv GROUP BY ALL",
+    "screen": f"SELECT facility, horizon_minutes, CASE WHEN {_ENOUGH.format('')} THEN quantile_cont(abs(change), 0.9) END AS p90 FROM mvr GROUP BY ALL",
     "scr": f"""SELECT m.facility, d.day, m.horizon_minutes, quantile_cont(abs(change), 0.9) AS p90 FROM mv m JOIN (SELECT DISTINCT local_date AS day FROM s) d
-             ON m.local_date BETWEEN d.day - {_M.lookback_days} AND d.day - 1 GROUP BY ALL HAVING {_ENOUGH.format("m.")}""",
+             ON m.local_date >= d.day - {_M.lookback_days} AND m.later_date < d.day GROUP BY ALL HAVING {_ENOUGH.format("m.")}""",
     "route": """SELECT g.facility AS origin, e.facility AS slug, NOT (g.pos % 3 = 2 AND e.pos = 3) AS ok, 600 + g.pos * 300 + e.pos * 900 AS seconds FROM reg g JOIN er e ON true""",
     "drv": """SELECT g.facility AS origin, e.facility AS slug, k.profile, (900 + (g.pos * 7 + e.pos * 5) % 9 * 600 + extra) / 60 AS drive
              FROM reg g JOIN er e ON true JOIN (VALUES ('night', 0), ('am', 600), ('pm', 300)) k(profile, extra) ON true""",
@@ -472,7 +474,7 @@ SELECTS = {
     "training_support": "SELECT facility, fit, whole, supported FROM sup",
     "profile_forecasts": f"""SELECT q.facility, 'profile_ar' AS model, origin, target, horizon_minutes::INTEGER AS horizon_minutes, round(CASE WHEN g.value IS NOT NULL AND then_.usual IS NOT NULL AND beta IS NOT NULL THEN greatest(0, then_.usual + beta * (g.value - now_.usual)) END, 6) AS prediction
         FROM (SELECT *, {MIDNIGHT} + {15 * DAY} + (origin - {_START}) // {DAY} * {DAY} AS fit, {_cell("origin")} AS now_cell, {_cell("target")} AS then_cell FROM (SELECT facility, origin, horizon_minutes, origin + 60 * horizon_minutes AS target
-              FROM (SELECT DISTINCT facility FROM grid) f, (SELECT unnest(range({_START}, {_STOP}, {_F.origin_seconds})) AS origin) x, (VALUES (60), (120), (240)) v(horizon_minutes))) q
+              FROM (SELECT DISTINCT facility FROM grid) f, (SELECT unnest(range({_START}, {_STOP}, {_F.origin_seconds})) AS origin) x, {_HORIZONS})) q
         LEFT JOIN grid g ON g.facility = q.facility AND g.slot_end = origin LEFT JOIN pcell now_ ON now_.facility = q.facility AND now_.fit = q.fit AND now_.cell = now_cell
         LEFT JOIN pcell then_ ON then_.facility = q.facility AND then_.fit = q.fit AND then_.cell = then_cell LEFT JOIN pbeta p ON p.facility = q.facility AND p.fit = q.fit AND p.step = horizon_minutes * 60 // {b.CADENCE} WHERE target < {_STOP}""",
     "pair_effects": f"""SELECT {_TEST.replace("lag_hours", "lag_hours::INTEGER AS lag_hours")}, bins, days, CASE WHEN ok THEN 'tested' ELSE 'insufficient_support' END AS state, round(CASE WHEN ok THEN r END, 6) AS r, round(CASE WHEN ok THEN n_eff END, 6) AS n_eff, round(CASE WHEN ok THEN sr END, 6) AS system_r, round(CASE WHEN ok THEN rr END, 6) AS residual_r,

@@ -15,7 +15,7 @@ from slotwise.operators import association, baseline, benefit, dedup, forecast,
 from slotwise.plans import bindings as b
 from slotwise.plans import studies
 from slotwise.session import cut, shared_dir
-from slotwise.sources import history, parsers
+from slotwise.sources import history, pages, parsers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -349,7 +349,8 @@ def travel_comparison(spark, sf_dir):
     routes = b.routes(spark, sf_dir).select("origin", F.col("facility").alias("slug"), F.when((F.col("o") % 3 == 2) & (F.col("pos") == 3), "failed").otherwise("ok").alias("status"), (600 + F.col("o") * 300 + F.col("pos") * 900).alias("seconds"))
     found = b.slots(spark, sf_dir)
     now = latest.newest(b.readings(spark, sf_dir)).select("facility", "success.value")
-    moves = movement.travel_screen(movement.changes(found, b.local_calendar(spark, sf_dir), b.MOVES), b.MOVES)
+    complete = movement.complete_days(found, F.timestamp_seconds(F.lit(generated(spark, sf_dir))), b.MOVES)
+    moves = movement.travel_screen(movement.changes(complete, b.local_calendar(spark, sf_dir), b.MOVES), b.MOVES)
     rows = places.compare_travel(routes, now, moves, b.MOVES.horizons_minutes)
     return places.ranked(rows.select("origin", "slug", "drive", "wait", F.round("total", 6).alias("total"), "horizon_minutes", F.round("p90", 6).alias("p90"), "closest"), "total")
 
@@ -662,7 +663,7 @@ def benefit_selection(spark, sf_dir):
 
 @query
 def page_text(spark, sf_dir):
-    p = b.table(spark, sf_dir, "pages").select("page_id", parsers.page_parts(F.col("html")).alias("p"))
+    p = b.table(spark, sf_dir, "pages").select("page_id", pages.page_parts(F.col("html")).alias("p"))
     return p.select("page_id", F.length("p.text").alias("chars"), F.size("p.headings").alias("headings"), F.size("p.hidden").alias("hidden"))
 
 

@@ -92,19 +92,6 @@ def test_compaction(spark, store):
     assert sorted(r.w for r in kept.collect()) == ["1", "2"] and len(name) == 64
 
 
-def test_page_parts(spark):
-    html = "<html><script>no</script><p>a &amp; b</p><h4 class='x wait-time-menu'>North <b>5</b></h4><input type=hidden name=k value=v>"
-    row = spark.createDataFrame([(html,), (None,), ("",)], "h string").select(parsers.page_parts(F.col("h")).alias("p")).collect()
-    assert row[0].p.text == "a & bNorth 5" and row[0].p.headings == ["North 5"] and row[0].p.hidden == {"k": "v"}
-    assert row[1].p is None and row[2].p.text == ""
-
-
-def test_pages_without_the_standard_library_parser(spark):
-    html = "<!-- <h4 class=wait-time-menu>no</h4> --><STYLE>x</STYLE><h4 class=\"a\">no</h4><H4 class=wait-time-menu id=1>Current ER&nbsp;Wait\nTime: 5 Minutes</H4><script>if (a < b) { '</p>' }</script>1 < 2<input name='k' type=\"hidden\" value=\"1\"><input type=hidden name=k value='2'><input type=hidden value=3><img alt='a > b'>"
-    p = spark.createDataFrame([(html,)], "h string").select(parsers.page_parts(F.col("h")).alias("p")).first().p
-    assert p.text == "noCurrent ER Wait Time: 5 Minutes1 < 2" and p.headings == ["Current ER Wait Time: 5 Minutes"] and p.hidden == {"k": "2"}
-
-
 def test_published_minutes(spark):
     df = spark.createDataFrame([("wait=5 wait=5",), ("wait=5 wait=6",), ("wait=-1",), ("",), (None,)], "t string")
     found = [tuple(r.m) for r in df.select(parsers.published_minutes(F.col("t"), r"wait=(-?\d+)").alias("m")).collect()]
