@@ -6,7 +6,7 @@ groups. The ends of both, each with its tokenizer and number, are sorted into on
 end less its own number is the number of the other tokenizer's tokens that end before. So one ``transform``
 finds for every distinct end the two tokens that cover the bytes before it: these are the links, each once,
 as two tokens overlap in one range and that ends where the first of them does. The links at the cuts bound the groups, whose
-tokens ``sequence`` and ``transform`` list; ``aggregate`` sums their sizes. All of it is linear in the tokens,
+tokens ``sequence`` and ``transform`` list; ``aggregate`` finds the tokens they cover. All of it is linear in the tokens,
 and a step that others use is a column of its own, so that it is computed once a text.
 
 The documents that hold an id pair are counted from the distinct pairs of each document; counts meet the links
@@ -20,6 +20,7 @@ no tokens and zeros; rows that repeat count each as a document; texts of any len
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -28,11 +29,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import col, looked_up, stored
-from slotwise.llm.encoding import BytePairs, Pieces, Vocabulary
+from slotwise.llm.encoding import BytePairs, Pieces, Vocabulary, shared
 from slotwise.llm.token_counts import tokenizer_file
 from slotwise.llm.words import slices
 
-#: Pairs that are broadcast at most.
+#: Bytes of text that are tokenised at a time, and pairs that are broadcast at most.
+SLICE_BYTES = 1 << 20
 HOT_PAIRS = 1_000_000
 TOKENS = ["a_ids", "a_ends", "b_ids", "b_ends"]
 
@@ -52,12 +54,14 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_i
     A is a byte-level BPE tokenizer, which gets space+text; B one of pieces, which puts the space before by itself.
     """
     context = docs.sparkSession.sparkContext
-    a_file, b_file = context.broadcast(tokenizer_file(a_path)), context.broadcast(tokenizer_file(b_path))
+    contents = [tokenizer_file(a_path), tokenizer_file(b_path)]
+    name = hashlib.sha256(b"".join(hashlib.sha256(c).digest() for c in contents)).hexdigest()
+    a_file, b_file = (context.broadcast(c) for c in contents)
 
     def encode(batches):
-        words = Vocabulary([BytePairs(a_file.value, plain=True), Pieces(b_file.value)], spell=True)
+        words = shared(name, lambda: Vocabulary([BytePairs(a_file.value, plain=True), Pieces(b_file.value)], spell=True))
         for whole in batches:
-            for batch in slices(whole, 2):
+            for batch in slices(whole, 2, SLICE_BYTES):
                 found = words.encode([t or "" for t in batch.column(2).to_pylist()], spaced=True)
                 owners = [np.repeat(np.arange(batch.num_rows), n) for n, _ in found]
                 bad = np.zeros(batch.num_rows, bool)
@@ -80,28 +84,23 @@ def _marks(ends: str, side: int) -> Column:
     return F.transform(ends, lambda e, i: F.shiftleft(e, 33).bitwiseOR(i.cast("bigint") if side == 0 else i + F.lit(_SIDE)))
 
 
-def _same(i: Column, j: Column) -> Column:
-    """Whether two marks have one end."""
-    return F.get("marks", i).bitwiseXOR(F.get("marks", j)) < _END
-
-
 def _number(mark: Column) -> Column:
     return mark.bitwiseAND(_SIDE - 1).cast("int")
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """``tokens`` with ``marks`` in order, ``stops`` (the place of the A mark at every cut), ``a_stops``
-    and ``b_stops`` (-1, then the A and the B token there) and ``n_groups``."""
-    marked = tokens.withColumn("marks", F.sort_array(F.concat(_marks("a_ends", 0), _marks("b_ends", 1))))
+    """``tokens`` without ends, with ``marks`` in order, ``stops`` (the place of the A mark at every cut), ``a_stops`` and ``b_stops`` (-1, then
+    the A and the B token there), ``n_a``, ``n_b``, ``n_groups`` and ``n_links``."""
+    kept = [c for c in tokens.columns if c not in ("a_ends", "b_ends")]
+    marks = F.sort_array(F.concat(_marks("a_ends", 0), _marks("b_ends", 1)))
+    number = lambda name: F.size(name).cast("bigint")
+    marked = tokens.select(*kept, marks.alias("marks"), number(F.array_intersect("a_ends", "b_ends")).alias("n_groups"), number("a_ids").alias("n_a"), number("b_ids").alias("n_b"))
     n = F.size("marks")
-    stopped = marked.withColumn("stops", F.when(n > 1, F.filter(F.sequence(F.lit(0), n - 2), lambda i: _same(i, i + 1))).otherwise(F.array().cast("array<int>")))
-    numbered = stopped.withColumn("a_stops", _after_none(F.transform("stops", lambda i: _number(F.get("marks", i)))))
-    numbered = numbered.withColumn("b_stops", _after_none(F.transform("stops", lambda i, g: i - F.get("a_stops", g + 1))))
-    return numbered.withColumn("n_groups", F.size(F.array_intersect("a_ends", "b_ends")).cast("bigint"))
-
-
-def _after_none(stops: Column) -> Column:
-    return F.concat(F.array(F.lit(-1)), stops)
+    stopped = marked.withColumn("stops", F.when(n > 1, F.filter(F.sequence(F.lit(0), n - 2), lambda i: F.get("marks", i).bitwiseXOR(F.get("marks", i + 1)) < _END)).otherwise(F.array().cast("array<int>")))
+    after_none = lambda stops: F.concat(F.array(F.lit(-1)), stops)
+    a_stop = lambda i: _number(F.get("marks", i))
+    covered = F.aggregate("stops", F.lit(0), lambda so_far, stop: F.greatest(so_far, stop + 2))
+    return stopped.withColumns({"a_stops": after_none(F.transform("stops", a_stop)), "b_stops": after_none(F.transform("stops", lambda i: i - a_stop(i))), "n_links": covered - F.col("n_groups")})
 
 
 def groups(of: Callable[[Column, Column, Column, Column], Column]) -> Column:
@@ -110,21 +109,35 @@ def groups(of: Callable[[Column, Column, Column, Column], Column]) -> Column:
     return F.transform("stops", lambda stop, g: of(*side("a_stops", g), *side("b_stops", g)))
 
 
-def _listed(names: str, first: Column, last: Column) -> Column:
-    one = F.get(names, last)
-    two = F.when(last - first == 1, F.concat(F.get(names, first), F.lit(","), one))
-    return F.when(first == last, one).otherwise(two.otherwise(F.concat_ws(",", F.transform(F.sequence(first, last), lambda k: F.get(names, k)))))
+def _listed(ids: str, first: Column, last: Column) -> Column:
+    return F.transform(F.sequence(first, last), lambda k: F.get(ids, k))
+
+
+#: Stand for the bar and the semicolon in an array of ids.
+_BAR, _NEXT = -1, -2
 
 
 def group_text() -> Column:
-    """``a1,a2|b1;a3|b2,b3``: the ids of the groups, from ``a_names`` and ``b_names`` (ids as strings)."""
-    return F.concat_ws(";", groups(lambda a, a_last, b, b_last: F.concat(_listed("a_names", a, a_last), F.lit("|"), _listed("b_names", b, b_last))))
+    """``a1,a2|b1;a3|b2,b3``: the ids of the groups.
+
+    The groups are put in one array, with numbers below zero between them; its text is that of the numbers, in which these are then replaced.
+    """
+
+    def one(a: Column, a_last: Column, b: Column, b_last: Column) -> Column:
+        bar, end = F.lit(_BAR), F.lit(_NEXT)
+        single = F.array(F.get("a_ids", a_last), bar, F.get("b_ids", b_last), end)
+        return F.when((a == a_last) & (b == b_last), single).otherwise(F.concat(_listed("a_ids", a, a_last), F.array(bar), _listed("b_ids", b, b_last), F.array(end)))
+
+    text = F.flatten(groups(one)).cast("string")
+    text = F.substr(text, F.lit(2), F.length(text) - len(f"[, {_NEXT}]"))
+    for old, new in ((f", {_BAR}, ", "|"), (f", {_NEXT}, ", ";"), (", ", ",")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
 
 
 def group_ids() -> Column:
     """The groups as structs of A and B ids."""
-    ids = lambda name, first, last: F.transform(F.sequence(first, last), lambda k: F.get(name, k))
-    return groups(lambda a, a_last, b, b_last: F.struct(ids("a_ids", a, a_last).alias("a"), ids("b_ids", b, b_last).alias("b")))
+    return groups(lambda a, a_last, b, b_last: F.struct(_listed("a_ids", a, a_last).alias("a"), _listed("b_ids", b, b_last).alias("b")))
 
 
 def links(of: Callable[[Column, Column], Column]) -> Column:
@@ -132,7 +145,7 @@ def links(of: Callable[[Column, Column], Column]) -> Column:
 
     def one(mark: Column, i: Column) -> Column:
         number = _number(mark)
-        return F.when(mark.bitwiseAND(_SIDE) == 0, of(number, i - number)).when((i == 0) | ~_same(i - 1, i), of(i - number, number))
+        return F.when(mark.bitwiseAND(_SIDE) == 0, of(number, i - number)).when((i == 0) | (F.get("marks", i - 1).bitwiseXOR(mark) >= _END), of(i - number, number))
 
     return F.transform("marks", one)
 
@@ -142,11 +155,6 @@ def pair_ids() -> Column:
     return links(lambda a, b: F.shiftleft(F.get("a_ids", a).cast("bigint"), 32).bitwiseOR(F.get("b_ids", b).cast("bigint")))
 
 
-def n_links() -> Column:
-    """Links by the groups: an A and a B token more than the group before ends with, less one; summed over the stops."""
-    return F.aggregate("stops", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-1).alias("at")), lambda t, stop: F.struct((t["n"] + stop - t["at"]).alias("n"), (stop + 1).alias("at")), lambda t: t["n"])
-
-
 def pair_counts(pairs: DataFrame) -> DataFrame:
     """(pair, n_docs, best) from rows with an array of ``pairs``: documents that hold it, and whether its A id has none in more."""
     counted = pairs.select(F.explode(F.array_distinct("pairs")).alias("pair")).where("pair IS NOT NULL").groupBy("pair").agg(F.count(F.lit(1)).alias("n_docs"))
@@ -157,10 +165,8 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
 def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
     found = aligned(tokenised(docs, a_path, b_path, id_col=id_col, text_col=text_col))
-    named = found.withColumns({"a_names": F.col("a_ids").cast("array<string>"), "b_names": F.col("b_ids").cast("array<string>")})
-    number = lambda name: F.size(name).cast("bigint")
     text = F.when(F.size("a_ids") == 0, F.lit("")).otherwise(F.sha2(group_text().cast("binary"), 256))
-    done = stored(named.select("row", "id", number("a_ids").alias("n_a"), number("b_ids").alias("n_b"), "n_groups", n_links().alias("n_links"), text.alias("groups_sha256"), pair_ids().alias("pairs")), "aligned", "zstd")
+    done = stored(found.select("row", "id", "n_a", "n_b", "n_groups", "n_links", text.alias("groups_sha256"), pair_ids().alias("pairs")), "aligned", "zstd")
     met = looked_up(done.select("row", F.explode("pairs").alias("pair")).where("pair IS NOT NULL"), pair_counts(done), "pair", "n_docs", hot_pairs)
     sums = met.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("n_docs").alias("count_sum"))
     zero = lambda name: F.coalesce(name, F.lit(0)).cast("bigint").alias(name)

@@ -13,14 +13,14 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Hashable
 from itertools import chain
 
 import numpy as np
 
 from slotwise.llm.token_counts import _LETTERS
 
-MEMO, CHUNK = 600_000, 512
+MEMO, CHUNK = 300_000, 512
 _RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: ASCII and the Latin letters of Europe: one class each in all versions of Unicode.
@@ -189,3 +189,14 @@ class Vocabulary:
             at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
             out.append((np.bincount(owner, n, len(texts)).astype(np.int64), ids[at]))
         return out
+
+
+_shared: dict[Hashable, Vocabulary] = {}
+
+
+def shared(key: Hashable, make: Callable[[], Vocabulary]) -> Vocabulary:
+    """The vocabulary of a key, one a worker, which keeps it from task to task; one of another key is given up."""
+    if key not in _shared:
+        _shared.clear()
+        _shared[key] = make()
+    return _shared[key]

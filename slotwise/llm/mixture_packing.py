@@ -29,6 +29,7 @@ table gives an empty result; further columns, whatever their names, are left out
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import deque
 
@@ -39,11 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import col, running_totals, stored
-from slotwise.llm.encoding import BytePairs, Vocabulary
+from slotwise.llm.encoding import BytePairs, Vocabulary, shared
 from slotwise.llm.token_counts import tokenizer_file
 from slotwise.llm.words import slices
 
 CAPACITY, WINDOWS, LEAST, QUEUES, END_ID = 1024, 1024, 256, 512, 0
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 1 << 20
 
 
 class Fluid:
@@ -117,13 +120,15 @@ def fill(queues: list[list[tuple[int, int, int]]], owed: np.ndarray, capacity: i
 
 def tokenised(docs: DataFrame, tokenizer_path: str, *, id_col: str, text_col: str, source_col: str, end_id: int) -> DataFrame:
     """(row, id, source, n_tokens, ids) of every document, stored; ids are little-endian 16- or 32-bit numbers."""
-    shipped = docs.sparkSession.sparkContext.broadcast(tokenizer_file(tokenizer_path))
+    content = tokenizer_file(tokenizer_path)
+    name = hashlib.sha256(content).hexdigest()
+    shipped = docs.sparkSession.sparkContext.broadcast(content)
 
     def encode(batches):
-        words = Vocabulary([BytePairs(shipped.value)], spell=False)
+        words = shared(name, lambda: Vocabulary([BytePairs(shipped.value)], spell=False))
         kind = np.dtype("<u2" if max(words.tokenizers[0].bytes_of, default=0) < 1 << 16 else "<u4")
         for whole in batches:
-            for batch in slices(whole, 3):
+            for batch in slices(whole, 3, SLICE_BYTES):
                 n, ids = words.encode([t or "" for t in batch.column(3).to_pylist()], spaced=False)[0]
                 stops = np.cumsum(n + 1)
                 closed = np.full(int(stops[-1]), end_id, kind)
