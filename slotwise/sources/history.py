@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from slotwise.functions.time import instant
 from slotwise.operators.dedup import duplicate_counts, latest_by_key
 from slotwise.session import cut
+from slotwise.sources.manifest import day_folders, listed, objects
 
 # The closed fields of a record, in order of name.
 FIELDS = ("batch_id", "facility", "latency_ms", "metric", "observed_at", "wait_minutes")
@@ -37,13 +38,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(key, dt, length, etag) of all objects below a root, in key order. The tag is a digest of the content."""
-    if not exists(spark, root):
+def listing(spark: SparkSession, root: str, first: str | None = None, last: str | None = None, manifest: str | None = None) -> DataFrame:
+    """(key, dt, length, etag) of the objects below a root, or in the folders of a range of days. The tag is a digest of the content.
+
+    With a ``manifest`` only objects that it does not know are opened.
+    """
+    places = day_folders(spark, root, first, last) if first or last else [root] if exists(spark, root) else []
+    if not places:
         return spark.createDataFrame([], "key string, dt date, length bigint, etag string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    day = F.regexp_extract("path", r"/dt=(\d{4}-\d{2}-\d{2})/", 1)
-    return files.select(F.col("path").alias("key"), F.when(day != "", day.cast("date")).alias("dt"), "length", F.md5("content").alias("etag")).orderBy("key")
+    if manifest is not None:
+        return listed(spark, places, manifest)
+    return objects(spark, places).select(F.col("path").alias("key"), "dt", "length", F.md5("content").alias("etag"))
 
 
 def fingerprint(objects: DataFrame) -> DataFrame:
@@ -115,17 +120,17 @@ def lines(spark: SparkSession, root: str, dataset: str, chosen: DataFrame, pinne
     return good.unionByName(bad)
 
 
-def load(spark: SparkSession, root: str, dataset: str, start: Column, end: Column, now: Column, stored: DataFrame, metric: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def load(spark: SparkSession, root: str, dataset: str, start: Column, end: Column, now: Column, stored: DataFrame, metric: str | None = None, manifest: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Records, counters, first issues and partitions of the batches in [start, end).
 
-    ``stored`` has dt and fingerprint of the compacted days. The days are listed, a source is chosen for each, and what is read
-    is pinned to that listing. Days are read side by side, as tasks; their rows, counters and issues are merged by the plan.
+    ``stored`` has dt and fingerprint of the compacted days. The folders of those days alone are listed, a source is chosen for each, and what is read
+    is pinned to that listing. ``manifest`` is a table of digests, kept from one read to the next. Days are read side by side, as tasks; their rows, counters and issues are merged by the plan.
     """
     utc = lambda t: F.to_date(t)
     first, last, today, late = spark.range(1).select(utc(start).cast("string"), utc(end - F.expr("interval 1 microsecond")).cast("string"), utc(now).cast("string"), end > now).first()
     if first > last or late:
         raise ValueError("start < end <= now is needed")
-    raw, packed = (cut(listing(spark, f"{root}/{kind}/{dataset}")) for kind in ("raw", "compacted"))
+    raw, packed = (cut(listing(spark, f"{root}/{kind}/{dataset}", first, last, manifest and f"{manifest}/{kind}/{dataset}")) for kind in ("raw", "compacted"))
     inside = lambda objects, pattern: objects.where(F.col("dt").between(first, last) & F.col("key").rlike(pattern))
     partitions = cut(choose(spark, first, last, inside(raw, RAW), inside(packed, PACKED), stored, F.lit(today).cast("date")))
     rows = validated(lines(spark, root, dataset, partitions, raw.unionByName(packed)), now)

@@ -7,14 +7,19 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from slotwise.streaming import commits
 
 READING = "facility string, at timestamp, batch timestamp, value int"
+#: A reading, or an attempt that gave none.
+ATTEMPTED = READING + ", state string, error_code string"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def source(spark: SparkSession, path: str, files_a_trigger: int = 64) -> DataFrame:
+def source(spark: SparkSession, path: str, files_a_trigger: int = 64, schema: str = READING) -> DataFrame:
     """Batches of JSON readings as a stream."""
-    return spark.readStream.schema(READING).option("maxFilesPerTrigger", files_a_trigger).json(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).json(path)
 
 
 def slots(stream: DataFrame, minutes: int = 15, late: str = "1 hour") -> DataFrame:
@@ -44,79 +49,89 @@ def deduplicated(stream: DataFrame) -> DataFrame:
     return won.select("batch", "facility", "w.at", "w.value", "records")
 
 
-STATE = "facility string, at timestamp, batch timestamp, value int"
+_SUCCESS, _ATTEMPT = "at timestamp, batch timestamp, value int", "batch timestamp, state string, error_code string"
+LATEST = f"facility string, success struct<{_SUCCESS.replace(' ', ':').replace(',:', ',')}>, attempt struct<{_ATTEMPT.replace(' ', ':').replace(',:', ',')}>, state string"
+
+
+class Latest(StatefulProcessor):
+    """A facility's latest success and latest attempt, neither of which moves back."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.success, self.attempt = handle.getValueState("success", _SUCCESS), handle.getValueState("attempt", _ATTEMPT)
 
-def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    at, batch, value = state.get if state.exists else (None, None, None)
-    moved = False
-    for frame in frames:
-        for row in frame.sort_values(["at", "batch"], kind="stable").itertuples(index=False):
-            if at is None or row.at > at:
-                at, batch, value, moved = row.at, row.batch, int(row.value), True
-    if moved:
-        state.update((at, batch, value))
-        yield pd.DataFrame([(key[0], at, batch, value)], columns=["facility", "at", "batch", "value"])
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        success, attempt = self.success.get(), self.attempt.get()
+        moved = False
+        for frame in rows:
+            read = frame[frame["value"].notna()]
+            if len(read) and (success is None or read["at"].max() > success[0]):
+                best = read.sort_values(["at", "batch", "value"], ascending=[False, True, True], kind="stable").iloc[0]
+                success, moved = (best["at"], best["batch"], int(best["value"])), True
+            tried = frame[frame["batch"].notna()]
+            if len(tried) and (attempt is None or tried["batch"].max() > attempt[0]):
+                # Of one batch a success outranks a failure.
+                last = tried.sort_values(["batch", "state"], ascending=[False, False], kind="stable").iloc[0]
+                attempt, moved = (last["batch"], last["state"], None if pd.isna(last["error_code"]) else last["error_code"]), True
+        if moved:
+            if success is not None:
+                self.success.update(success)
+            if attempt is not None:
+                self.attempt.update(attempt)
+            state = "failed" if attempt is not None and attempt[1] == "failed" else "reporting" if success is not None else "missing"
+            yield pd.DataFrame({"facility": [key[0]], "success": [success and dict(zip(("at", "batch", "value"), success, strict=True))], "attempt": [attempt and dict(zip(("batch", "state", "error_code"), attempt, strict=True))], "state": [state]})
+
+    def close(self) -> None:
+        pass
 
 
 def latest(stream: DataFrame) -> DataFrame:
-    """Updates of each facility's latest reading; readings out of order never move it back."""
-    return stream.groupBy("facility").applyInPandasWithState(_advance, STATE, "at timestamp, batch timestamp, value int", "update", GroupStateTimeout.NoTimeout)
+    """(facility, success, attempt, state) of each facility whose latest reading or attempt has moved on, as updates.
 
+    ``stream`` has facility, at, batch, value, and may have state and error_code: a row without a value is an attempt that gave
+    no reading. Readings and attempts out of order never move a facility back. The state is one row a facility, kept by the
+    state store of the checkpoint, where it can be read (``latest_state``); it needs Spark's RocksDB store, which is
+    set for the session where none is named.
+    """
+    spark = stream.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKS:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    have = set(stream.columns)
+    success = F.when(F.col("value").isNotNull(), "success").otherwise("failed")
+    rows = stream.select("facility", "at", "batch", F.col("value").cast("int").alias("value"), (F.coalesce("state", success) if "state" in have else success).alias("state"), (F.col("error_code") if "error_code" in have else F.lit(None).cast("string")).alias("error_code"))
+    return rows.groupBy("facility").transformWithStateInPandas(Latest(), LATEST, "Update", "None")
 
-def publish(stream: DataFrame, registry: DataFrame, path: str, checkpoint: str):
-    """Merge each micro-batch into the published table, one version a batch; an older version is never published again."""
-    from slotwise.operators.latest import merge
 
-    def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        kind = "facility string, success struct<at:timestamp,batch:timestamp,value:int>, attempt struct<batch:timestamp,state:string,error_code:string>"
-        versions = [int(r.name[2:-1]) for r in _folders(spark, path)]
-        if number in versions:
-            return
-        old = spark.read.parquet(f"{path}/v={max(versions)}").select("facility", "success", "attempt") if versions else spark.createDataFrame([], kind)
-        attempts = batch.groupBy("facility").agg(F.max("batch").alias("batch")).select("facility", "batch", F.lit("success").alias("state"), F.lit(None).cast("string").alias("error_code"))
-        merge(old, batch.withColumn("pos", F.monotonically_increasing_id()), attempts, registry).write.parquet(f"{path}/v={number}")
+def latest_state(spark: SparkSession, checkpoint: str, name: str = "success") -> DataFrame:
+    """The state that a stream of ``latest`` has stored: (facility, and the fields of success or attempt)."""
+    kept = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    return kept.select("key.facility", "value.*")
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
+_EMPTY = "facility string, success struct<at:timestamp,batch:timestamp,value:int>, attempt struct<batch:timestamp,state:string,error_code:string>"
 
-TRIES = 4
 
+def _merged(old: DataFrame | None, readings: DataFrame, attempts: DataFrame, registry: DataFrame) -> DataFrame:
+    from slotwise.operators.latest import merge
+
+    before = readings.sparkSession.createDataFrame([], _EMPTY) if old is None else old.select("facility", "success", "attempt")
+    return merge(before, readings, attempts, registry)
 
-def publish_once(readings: DataFrame, attempts: DataFrame, registry: DataFrame, path: str, tries: int = TRIES, before_write=None) -> int:
-    """Read the newest version, merge, and write the next one only if nobody else has; else begin again, ``tries`` times at most.
 
-    A version is a folder that is written once, so that of two writers with the same one in hand the second fails and
-    merges into what the first has published. ``before_write`` is called between reading and writing. Gives the number written.
+def publish(stream: DataFrame, registry: DataFrame, path: str, checkpoint: str):
+    """Merge each micro-batch into the published table (``commits.read``), one version a batch.
+
+    The log names the last batch of this stream that it holds, so that a batch that is run again after a failure, before or
+    after its version was published, is published once.
     """
-    from pyspark.errors import AnalysisException
 
-    from slotwise.operators.latest import merge
+    def put(batch: DataFrame, number: int) -> None:
+        attempts = batch.groupBy("facility").agg(F.max("batch").alias("batch")).select("facility", "batch", F.lit("success").alias("state"), F.lit(None).cast("string").alias("error_code"))
+        readings = batch.withColumn("pos", F.monotonically_increasing_id())
+        commits.update(batch.sparkSession, path, lambda old: _merged(old, readings, attempts, registry), source=checkpoint, batch=number)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
 
-    spark = readings.sparkSession
-    kind = "facility string, success struct<at:timestamp,batch:timestamp,value:int>, attempt struct<batch:timestamp,state:string,error_code:string>"
-    for _ in range(tries):
-        versions = [int(r.name[2:-1]) for r in _folders(spark, path)]
-        held = max(versions, default=0)
-        old = spark.read.parquet(f"{path}/v={held}").select("facility", "success", "attempt") if versions else spark.createDataFrame([], kind)
-        merged = merge(old, readings, attempts, registry)
-        if before_write:
-            before_write()
-        try:
-            merged.write.mode("errorifexists").parquet(f"{path}/v={held + 1}")
-            return held + 1
-        except AnalysisException as error:
-            if "PATH_ALREADY_EXISTS" not in str(error):
-                raise
-    raise RuntimeError(f"another writer was faster {tries} times")
-
-
-def _folders(spark: SparkSession, path: str):
-    from types import SimpleNamespace
-
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = system.listStatus(at) if system.exists(at) else []
-    return [SimpleNamespace(name=f.getPath().getName() + "/") for f in found if f.getPath().getName().startswith("v=")]
+def publish_once(readings: DataFrame, attempts: DataFrame, registry: DataFrame, path: str, tries: int = commits.TRIES, before_claim=None) -> int:
+    """Merge readings and attempts into the newest version and publish the next one; gives its number."""
+    return commits.update(readings.sparkSession, path, lambda old: _merged(old, readings, attempts, registry), tries=tries, before_claim=before_claim)
