@@ -1,4 +1,4 @@
-"""Token ids of whole texts, through a bounded vocabulary of the words that a worker has met.
+"""Token ids of whole texts: by the library itself, or through a bounded vocabulary of the words that a worker has met.
 
 Byte-level BPE splits a text before every single space between two visible characters, and a piece tokenizer
 whose pieces hold a space at their beginning only is split before every space that a visible character precedes;
@@ -14,7 +14,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Hashable
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 
@@ -58,7 +58,7 @@ def told_apart(words: list[str], plain: int, encode: Callable[[str], list[int]],
         some = words[at : min(at + CHUNK, plain)]
         text = "".join(some)
         raw, ids = text.encode(), encode(text)
-        if b"".join(map(of, ids)) != raw:
+        if b"".join(map(of, ids)) != raw:  # also where it is not asked for: lengths are to tell the words apart
             one_by_one(some)
             continue
         whole = np.array(ids, np.int32)
@@ -107,6 +107,27 @@ class BytePairs:
         ranks = {bytes(letters[c] for c in word): i for word, i in vocab.items()}
         return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        """Ids of whole texts, of each at once where that is the sooner way, else word by word."""
+        quick = self._quick is not None
+        return [self._quick.encode_ordinary(t) if quick and _SETTLED.fullmatch(t) and not any(m in t for m in self.marks) else self._by_words(t) for t in texts]
+
+    def _by_words(self, text: str) -> list[int]:
+        """Ids of a text; words of settled characters in one call from one unsettled word to the next."""
+        if not self.splits:
+            return self.ids(text)
+        first, *later = words_of(text)
+        runs = [[first]]
+        settled = bool(_SETTLED.fullmatch(first))
+        for word in later:
+            now = bool(_SETTLED.fullmatch(word))
+            if now and settled:
+                runs[-1].append(" " + word)
+            else:
+                runs.append([" " + word])
+            settled = now
+        return list(chain.from_iterable(self.ids("".join(r)) for r in runs))
+
     def ids(self, text: str) -> list[int]:
         """Ids of a text or of a word with what stands before it."""
         if self._quick is not None and _SETTLED.fullmatch(text) and not any(m in text for m in self.marks):
@@ -158,8 +179,9 @@ class Vocabulary:
     def _numbers(self, known: dict[str, int], words: list[str], before: str) -> np.ndarray:
         """The numbers of the words, after those that are new have been encoded."""
         if new := [w for w in set(words) if w not in known]:
-            new.sort(key=lambda w: not (self.splits and before and _PLAIN.fullmatch(w)))
-            plain = sum(1 for w in new if self.splits and before and _PLAIN.fullmatch(w))
+            ready = [bool(self.splits and before and _PLAIN.fullmatch(w)) for w in new]
+            plain = sum(ready)
+            new = [*compress(new, ready), *(w for w, r in zip(new, ready, strict=True) if not r)]
             have = len(self.start[0]) - 1
             known.update(zip(new, range(have, have + len(new)), strict=True))
             spaced = [before + w for w in new]
@@ -191,11 +213,11 @@ class Vocabulary:
         return out
 
 
-_shared: dict[Hashable, Vocabulary] = {}
+_shared: dict[Hashable, object] = {}
 
 
-def shared(key: Hashable, make: Callable[[], Vocabulary]) -> Vocabulary:
-    """The vocabulary of a key, one a worker, which keeps it from task to task; one of another key is given up."""
+def shared[T](key: Hashable, make: Callable[[], T]) -> T:
+    """What ``make`` gives for a key, one a worker, which keeps it from task to task; that of another key is given up."""
     if key not in _shared:
         _shared.clear()
         _shared[key] = make()

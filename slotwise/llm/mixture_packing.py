@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import deque
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import col, running_totals, stored
-from slotwise.llm.encoding import BytePairs, Vocabulary, shared
+from slotwise.llm.encoding import BytePairs, shared
 from slotwise.llm.token_counts import tokenizer_file
 from slotwise.llm.words import slices
 
@@ -125,11 +126,13 @@ def tokenised(docs: DataFrame, tokenizer_path: str, *, id_col: str, text_col: st
     shipped = docs.sparkSession.sparkContext.broadcast(content)
 
     def encode(batches):
-        words = shared(name, lambda: Vocabulary([BytePairs(shipped.value)], spell=False))
-        kind = np.dtype("<u2" if max(words.tokenizers[0].bytes_of, default=0) < 1 << 16 else "<u4")
+        tokenizer = shared(name, lambda: BytePairs(shipped.value))
+        kind = np.dtype("<u2" if max(tokenizer.bytes_of, default=0) < 1 << 16 else "<u4")
         for whole in batches:
             for batch in slices(whole, 3, SLICE_BYTES):
-                n, ids = words.encode([t or "" for t in batch.column(3).to_pylist()], spaced=False)[0]
+                found = tokenizer.whole([t or "" for t in batch.column(3).to_pylist()])
+                n = np.fromiter(map(len, found), np.int64, len(found))
+                ids = np.fromiter(chain.from_iterable(found), kind, int(n.sum()))
                 stops = np.cumsum(n + 1)
                 closed = np.full(int(stops[-1]), end_id, kind)
                 inside = np.ones(len(closed), bool)

@@ -41,6 +41,7 @@ def test_words_together_have_the_ids_of_the_library(files, docs):
     tokenizer, pieces = Tokenizer.from_file(A_PATH), sentencepiece.SentencePieceProcessor(model_file=B_PATH)
     alone = per_text(Vocabulary([BytePairs(files[0])], spell=False).encode(some, spaced=False), 0)
     assert alone == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    assert BytePairs(files[0]).whole(some) == alone
     both = Vocabulary([BytePairs(files[0], plain=True), Pieces(files[1])], spell=True)
     found = both.encode(some, spaced=True)
     tokenizer.encode_special_tokens = True
