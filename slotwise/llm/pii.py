@@ -2,7 +2,8 @@
 
 DataFrame functions only. For each kind a regular expression proposes leftmost non-overlapping
 matches. Their places follow from the gaps between them: splitting by the pattern gives the gaps, and
-gap and match lengths add up to starts. Validators then drop matches, without retries: parts of an
+gap and match lengths add up to starts, in running sums over blocks. Surroundings are looked up in pieces of 64
+characters, so that the work is nearly linear in a text and its spans, however dense they are. Validators then drop matches, without retries: parts of an
 address up to 255, the Luhn checksum of card numbers, digit counts of phone numbers, the mod-97
 checksum of account numbers. The base kinds (email, ip, card, phone) stay whatever their score; the
 method's own kinds (iban, ssn) need a score of 0.5, which a checksum or a context word gives.
@@ -12,7 +13,8 @@ quantifiers, and a look-behind that starts matches only at the beginning of a ru
 the match before).
 
 Defined cases: a null text counts as empty; spans of different kinds may overlap; equal starts are
-ordered by kind; repeated rows are judged each on its own; other columns are passed through.
+ordered by kind; repeated rows are judged each on its own; texts of any length are searched whole, in the memory of
+their matches, gaps and pieces; an empty table gives an empty result; other columns, whatever their names, are passed through.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import col, fresh, whole_row
+from slotwise.llm.quality import let
 
 # Kinds in their order, patterns, and the words that raise a score nearby.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -87,37 +90,61 @@ def _span_type(score: bool) -> str:
     return "array<struct<start:bigint,rank:int,end:bigint,kind:string" + (",score:double>>" if score else ">>")
 
 
+def _sums(lengths: Column) -> Column:
+    """Running sums of an array, each with its own element, in blocks of the root of its size, so that no long array is copied for every element."""
+    empty = F.expr("cast(array() as array<bigint>)")
+
+    def within(block: Column, start: Column) -> Column:
+        fold = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"] + x)).alias("all"))
+        return F.aggregate(block, F.struct(start.cast("bigint").alias("at"), empty.alias("all")), fold, lambda a: a["all"])
+
+    def blocks(values: Column) -> Column:
+        n = F.size(values)
+        most = F.greatest(F.lit(64), F.ceil(F.sqrt(n)).cast("int"))
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(n / most).cast("int") - 1), lambda k: F.transform(F.sequence(k * most, F.least(n, (k + 1) * most) - 1), lambda i: F.get(values, i)))
+        sums = lambda parts: within(F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0))
+        return let(cut, lambda parts: let(sums(parts), lambda ends: F.flatten(F.transform(parts, lambda p, k: within(p, F.when(k == 0, F.lit(0).cast("bigint")).otherwise(F.get(ends, k - 1)))))))
+
+    return let(lengths, lambda values: F.when(F.size(values) == 0, empty).otherwise(blocks(values)))
+
+
+#: Characters of the pieces in which the surroundings of spans are looked up.
+_PIECE = 64
+
+
+def _surroundings(pieces: Column, start: Column, n: int) -> Column:
+    """The ``n`` characters from a place on, at most a piece; ``pieces`` are the text's, of 64 characters each."""
+    at = F.floor(start / _PIECE).cast("int")
+    two = F.concat(F.coalesce(F.get(pieces, at), F.lit("")), F.coalesce(F.get(pieces, at + 1), F.lit("")))
+    return two.substr((start - at * _PIECE + 1).cast("int"), F.lit(n) if isinstance(n, int) else n.cast("int"))
+
+
 def spans_of(kind: str, text: Column) -> Column:
     """Array of (start, rank, end, kind, score) of a kind's confirmed spans; code points, end exclusive."""
-    pattern = F.lit(PATTERNS[kind])
-    placed = F.aggregate(
-        F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("match")),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<struct<start:bigint,match:string>>)").alias("found")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))).cast("bigint").alias("at"),
-            F.when(
-                x["match"].isNotNull() & F.coalesce(_valid(kind, x["match"]), F.lit(False)),
-                F.concat(a["found"], F.array(F.struct((a["at"] + F.length(x["gap"])).cast("bigint").alias("start"), x["match"].alias("match")))),
-            ).otherwise(a["found"]).alias("found"),
-        ),
-        lambda a: a["found"],
-    )
-
-    def score(x: Column) -> Column:
-        start = F.greatest(x["start"] - NEARBY, F.lit(0))
-        before = F.lower(text.substr((start + 1).cast("int"), (x["start"] - start).cast("int")))
-        after = F.lower(text.substr((x["start"] + F.length(x["match"]) + 1).cast("int"), F.lit(NEARBY)))
-        near = before.rlike(rf"\b(?:{CONTEXT[kind]})") | after.rlike(rf"\b(?:{CONTEXT[kind]})")
-        return F.least(F.lit(1.0), F.lit(PRIOR[kind] + CONFIRMED.get(kind, 0.0)) + F.when(near, CONTEXT_GAIN).otherwise(0.0))
-
-    made = F.transform(
-        placed,
-        lambda x: F.struct(
-            x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (x["start"] + F.length(x["match"])).cast("bigint").alias("end"), F.lit(kind).alias("kind"), score(x).alias("score")
-        ),
-    ).cast(_span_type(True))
     none = F.expr(f"cast(array() as {_span_type(True)})")
-    found = F.when(text.contains(HINTS[kind]) & text.rlike(PATTERNS[kind]), made).otherwise(none)
+
+    def placed(found: Column) -> Column:
+        """(start, end, match) of the confirmed matches."""
+        ahead = F.transform(found["gaps"], lambda g, i: (F.length(g) + F.coalesce(F.length(F.get(found["matches"], i - 1)), F.lit(0))).cast("bigint"))
+        spans = lambda starts: F.transform(found["matches"], lambda m, i: F.struct(F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(m)).alias("end"), m.alias("match")))
+        return F.filter(let(_sums(ahead), spans), lambda x: F.coalesce(_valid(kind, x["match"]), F.lit(False)))
+
+    def scored(spans: Column) -> Column:
+        def score(pieces: Column, x: Column) -> Column:
+            first = F.greatest(x["start"] - NEARBY, F.lit(0))
+            before, after = F.lower(_surroundings(pieces, first, x["start"] - first)), F.lower(_surroundings(pieces, x["end"], NEARBY))
+            near = before.rlike(rf"\b(?:{CONTEXT[kind]})") | after.rlike(rf"\b(?:{CONTEXT[kind]})")
+            return F.least(F.lit(1.0), F.lit(PRIOR[kind] + CONFIRMED.get(kind, 0.0)) + F.when(near, CONTEXT_GAIN).otherwise(0.0))
+
+        def made(pieces: Column) -> Column:
+            return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), score(pieces, x).alias("score"))).cast(_span_type(True))
+
+        pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_PIECE}}}"), F.lit(0))
+        return F.when(F.size(spans) == 0, none).otherwise(let(pieces, made))
+
+    pattern = PATTERNS[kind]
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"))
+    found = F.when(text.contains(HINTS[kind]) & text.rlike(pattern), let(let(both, placed), scored)).otherwise(none)
     return found if kind in BASE else F.filter(found, lambda x: x["score"] >= LEAST)
 
 
