@@ -3,8 +3,8 @@
 Candidates stand within one line and are of four kinds. Runs of 16 characters or more of the alphabets
 of keys (letters, digits, + / = _ -); a run needs a digit, or both cases. Tokens of parts joined by dots,
 as one candidate. Values of 6 characters or more, of any visible characters, that are assigned to a telling
-name; quoted ones may hold spaces, others end at a space or at the next assignment. Passwords of addresses
-(scheme://user:password@host). Equal spans are one candidate, a run of name and value is given as
+name, however long the name, the blanks around the sign or the value are; quoted ones may hold spaces, others end at a space or at the next assignment. Passwords of addresses
+(scheme://user:password@host) of 6 characters or more. Equal spans are one candidate, a run of name and value is given as
 the value, and a run within a longer value is a candidate beside it. Of assignments nested in an unquoted
 value the outermost and the innermost are given. The forest sees, for each: its length, the share
 of character transitions (neighbouring characters of different classes, and pairs that are rare in
@@ -41,14 +41,15 @@ from slotwise.llm.words import slices
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{16,}")
 DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+")
+#: A telling name, as part of a word or alone, and what stands between it and its value. A word is looked at once, from its beginning.
 ASSIGNMENT = re.compile(
-    r"""(?:api|auth|bearer|credential|key|pass|private|pwd|secret|token)[\w-]{0,40}["'`]?\]?[ \t]{0,20}"""
-    r"""(?::[ \t]{0,20}[\w.\[\], |]{1,40}?[ \t]=[ \t]{0,20}(?=["'`])|=>|:=|={1,3}|:)[ \t]{0,20}(?:(?:basic|bearer|digest|token)[ \t]+)?""",
+    r"""(?<![\w-])(?=[\w-]*?(?:api|auth|bearer|credential|key|pass|private|pwd|secret|token))[\w-]++["'`]?\]?[ \t]*+"""
+    r"""(?::[ \t]*+[\w.\[\], |]+?[ \t]=[ \t]*+(?=["'`])|=>|:=|={1,3}|:)[ \t]*+(?:(?:basic|bearer|digest|token)[ \t]++)?+""",
     re.I,
 )
-QUOTED = re.compile(r"""(["'`])((?:(?!\1)[^\\\n]|\\[^\n])*)\1""")
-PLAIN = re.compile(r"""(?:(?![;,&][ \t]{0,4}[\w.-]{1,40}[ \t]{0,4}[=:])(?!["'`](?:[\s,;)\]}>]|$))\S)+""", re.M)
-ADDRESS = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@"'`]{0,64}:([^\s/"'`]{6,4096})@""", re.I)
+QUOTED = re.compile(r"""(["'`])((?:(?!\1)[^\\\n]|\\[^\n])*+)\1""")
+PLAIN = re.compile(r"""(?:(?![;,&][ \t]*+[\w.-]++[ \t]*+[=:])(?!["'`](?:[\s,;)\]}>]|$))\S)++""", re.M)
+ADDRESS = re.compile(r"""(?<![a-z0-9+.-])[0-9+.-]*+[a-z][a-z0-9+.-]++://[^\s:/@"'`]*+:([^\s/"'`]{6,})@""", re.I)
 LEAST = 6
 FINDINGS, SEED, TREES, DEPTH, THRESHOLD, NEARBY = 2000, 7, 30, 8, 0.5, 48
 
@@ -168,7 +169,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
             k += 1
         if k < len(whole) and whole[k][0] < end:
             continue
-        if end in ends and 0 < ends[end] - start <= 40:
+        if end in ends and ends[end] > start:
             continue
         run = m.group()
         if any(c.isdigit() for c in run) or (run.lower() != run and run.upper() != run):
