@@ -28,6 +28,14 @@ def zero_share(readings: DataFrame, most: float = 0.1) -> DataFrame:
     return readings.groupBy("facility").agg(share.alias("zero_share"), (share > most).alias("zero_heavy"))
 
 
+def zero_heavy(readings: DataFrame, begin: int, middle: int, end: int, most: float) -> DataFrame:
+    """(facility, zero_heavy): whether more than ``most`` of its readings are zero in either of two periods, given in epoch seconds."""
+    at = F.unix_seconds("at")
+    inside = readings.where((at >= begin) & (at < end)).withColumn("later", at >= middle)
+    shares = inside.groupBy("facility", "later").agg(F.avg((F.col("value") == 0).cast("int")).alias("share"))
+    return shares.groupBy("facility").agg((F.max("share") > most).alias("zero_heavy"))
+
+
 def changes(series: DataFrame, policy: Association) -> DataFrame:
     """Differences to the bin just before, where there is one."""
     before = series.select("facility", (F.col("bin") + policy.bin_seconds).alias("bin"), F.col("deviation").alias("last"))

@@ -13,6 +13,7 @@ cannot fail to converge; it fails only where the values do not vary.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 
@@ -214,11 +215,28 @@ def predict(kind: str, train: np.ndarray, later: np.ndarray, hours: np.ndarray,
     return np.maximum(out, 0)
 
 
+#: Slots up to an origin of which one must have a reading.
+RECENT = 4
+
+
+def outage(there: set[int], fit: int, policy: Forecast, delay_slots: int = 0) -> float:
+    """The slot from which on a fit of a day no longer counts: that of its first origin without a reading in the last four slots; infinite if there is none.
+
+    A state that was carried over so long an outage is given up until the next fit.
+    """
+    cadence = policy.cadence_seconds
+    for origin in range(fit, fit + DAY, policy.origin_seconds):
+        available = origin - delay_slots * cadence
+        if not any(available - k * cadence in there for k in range(RECENT)):
+            return available
+    return math.inf
+
+
 def replay_autoregressions(grid: DataFrame, start: int, end: int, policy: Forecast, delay_slots: int = 0, kinds: tuple[str, ...] = KINDS, clock: Callable[[], float] = time.perf_counter) -> DataFrame:
     """(facility, fit, model, status, seconds, guesses) of every daily fit; guesses are (available, step, prediction).
 
     A fit sees slots up to its midnight, less the delay; its state is carried over the slots that arrive until
-    each origin, its parameters are not.
+    each origin, its parameters are not. After an outage within the day it abstains until the next fit (``outage``).
     """
     cadence, steps = policy.cadence_seconds, steps_of(policy, delay_slots)
     rows, support = trimmed(windows(grid, start, end, policy, delay_slots), policy)
@@ -236,6 +254,7 @@ def replay_autoregressions(grid: DataFrame, start: int, end: int, policy: Foreca
         known = frame[frame["training"].notna()]
         train = known.loc[known["training"].astype(bool), "value"].to_numpy(float)
         values, ends = known["value"].to_numpy(float), known["slot_end"].to_numpy()
+        lost = outage(set(ends[~np.isnan(values)].tolist()), key[1], policy, delay_slots)
         out = []
         for kind in kinds:
             began, status, guesses = clock(), "ok", []
@@ -244,7 +263,7 @@ def replay_autoregressions(grid: DataFrame, start: int, end: int, policy: Foreca
             else:
                 try:
                     found = predict(kind, train, values[len(train) :], frame["hour"].to_numpy(float), steps)
-                    at = np.flatnonzero(ends >= key[1] - delay_slots * cadence)
+                    at = np.flatnonzero((ends >= key[1] - delay_slots * cadence) & (ends < lost))
                     guesses = [{"available": int(ends[i]), "step": s, "prediction": float(found[i, j])} for i in at for j, s in enumerate(steps) if np.isfinite(found[i, j])]
                 except (ValueError, np.linalg.LinAlgError):
                     status = "fit_failed"

@@ -339,9 +339,33 @@ PARTS |= {
     "cpart": _correlated("swing_", True),
     "cres": _correlated("dm_al", False),
     "csup": f"SELECT {_TEST}, sum(k)::BIGINT AS bins, count(*) FILTER (k >= {b.PAIRS.minimum_day_bins}) AS days FROM (SELECT {_TEST}, bin // {DAY} AS day, count(*) AS k FROM lv_al GROUP BY ALL) GROUP BY {_TEST}",
-    "ctest": f"""SELECT t.*, coalesce(bins, 0) AS bins, coalesce(days, 0) AS days, coalesce(bins >= {b.PAIRS.minimum_bins} AND days >= {b.PAIRS.minimum_days}, false) AS ok, cmain.r AS r, cmain.n_eff AS n_eff, cpart.r AS sr, cres.r AS rr
+    "ctest": f"""SELECT t.*, coalesce(bins, 0) AS bins, coalesce(days, 0) AS days, coalesce(bins >= {b.PAIRS.minimum_bins} AND days >= {b.PAIRS.minimum_days}, false) AS ok, cmain.r AS r, cmain.n_eff AS n_eff, cpart.r AS sr, cpart.n_eff AS sn, cres.r AS rr, cres.n_eff AS rn
       FROM tests_ t LEFT JOIN csup USING ({_TEST}) LEFT JOIN cmain USING ({_TEST}) LEFT JOIN cpart USING ({_TEST}) LEFT JOIN cres USING ({_TEST})""",
 }
+
+
+def _z(r: str, n: str, controls: int) -> str:
+    """The argument of the error function for the p of a correlation."""
+    return f"CASE WHEN ok AND {r} IS NOT NULL AND {n} - 3 - {controls} > 0 THEN abs(atanh(greatest(-0.999999, least(0.999999, {r})))) * sqrt({n} - 3 - {controls}) / sqrt(2.0::DOUBLE) END"
+
+
+def _erfc(z: str) -> str:
+    """One less the series of odd double factorials, or the continued fraction."""
+    log_factorial = "(lgamma(2 * k + 2) - k * ln(2.0::DOUBLE) - lgamma(k + 1))"
+    series = f"list_sum(list_transform(range(0, 81), lambda k: exp((2 * k + 1) * ln({z}) + k * ln(2.0::DOUBLE) - {log_factorial})))"
+    fraction = f"list_reduce(list_transform(range(80, 0, -1), lambda k: k::DOUBLE), lambda f, k: {z} + k / 2.0::DOUBLE / f, {z})"
+    scale = f"(exp(-{z} * {z}) / sqrt(pi()))"
+    return f"CASE WHEN {z} = 0 THEN 1.0::DOUBLE WHEN {z} < 2.5 THEN 1 - 2 * {scale} * {series} ELSE {scale} / {fraction} END"
+
+
+PARTS |= {
+    "cz": f"SELECT *, {_z('r', 'n_eff', 0)} AS z, {_z('sr', 'sn', 1)} AS sz, {_z('rr', 'rn', 0)} AS rz FROM ctest",
+    "cp": f"SELECT *, {_erfc('z')} AS p, {_erfc('sz')} AS sp, {_erfc('rz')} AS rp FROM cz",
+    "cb": "SELECT *, row_number() OVER (PARTITION BY family, p IS NULL ORDER BY p, concat_ws('|', leader, follower, lag_hours::VARCHAR)) AS k, count(p) OVER (PARTITION BY family) AS m FROM cp",
+    "cq": f"""SELECT x.*, CASE WHEN x.p IS NOT NULL THEN least(1.0::DOUBLE, min(x.p * x.m / x.k) OVER (PARTITION BY x.family, x.p IS NULL ORDER BY x.k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS q, u.r AS reverse_r,
+      coalesce(sign(x.r) * x.sr > 0 AND x.sp < {b.PAIRS.robust_p}, false) AND coalesce(sign(x.r) * x.rr > 0 AND x.rp < {b.PAIRS.robust_p}, false) AS robust, x.family <> 'lagged_change' OR coalesce(abs(x.r) > abs(u.r), false) AS dominant
+      FROM cb x LEFT JOIN cb u ON x.family = 'lagged_change' AND u.family = x.family AND u.leader = x.follower AND u.follower = x.leader AND u.lag_hours = x.lag_hours AND u.ok""",
+}
 _ORDER[:] = list(PARTS)
 
 
@@ -479,6 +503,8 @@ SELECTS = {
         LEFT JOIN pcell then_ ON then_.facility = q.facility AND then_.fit = q.fit AND then_.cell = then_cell LEFT JOIN pbeta p ON p.facility = q.facility AND p.fit = q.fit AND p.step = horizon_minutes * 60 // {b.CADENCE} WHERE target < {_STOP}""",
     "pair_effects": f"""SELECT {_TEST.replace("lag_hours", "lag_hours::INTEGER AS lag_hours")}, bins, days, CASE WHEN ok THEN 'tested' ELSE 'insufficient_support' END AS state, round(CASE WHEN ok THEN r END, 6) AS r, round(CASE WHEN ok THEN n_eff END, 6) AS n_eff, round(CASE WHEN ok THEN sr END, 6) AS system_r, round(CASE WHEN ok THEN rr END, 6) AS residual_r,
         (SELECT round(CASE WHEN u.ok THEN u.r END, 6) FROM ctest u WHERE u.family = 'lagged_change' AND t.family = u.family AND u.leader = t.follower AND u.follower = t.leader AND u.lag_hours = t.lag_hours) AS reverse_r FROM ctest t""",
+    "pair_tests": f"""SELECT {_TEST.replace("lag_hours", "lag_hours::INTEGER AS lag_hours")}, bins, days, CASE WHEN ok THEN 'tested' ELSE 'insufficient_support' END AS state, {", ".join(f"round(CASE WHEN ok THEN {v} END, 6) AS {n}" for v, n in (("r", "r"), ("n_eff", "n_eff"), ("p", "p"), ("sr", "system_r"), ("sp", "system_p"), ("rr", "residual_r"), ("rp", "residual_p"), ("q", "q")))},
+        round(reverse_r, 6) AS reverse_r, ok AND robust AS robust, CASE WHEN ok THEN dominant ELSE family <> 'lagged_change' END AS dominant, ok AND coalesce(q <= {b.PAIRS.fdr_q} AND abs(r) >= {b.PAIRS.discovery_effect}, false) AND robust AND dominant AS candidate FROM cq""",
     "series_support": f"""SELECT k.facility, coalesce(n, 0) AS bins, round(z, 9) AS zero_share, round(coalesce(l, 0), 6) AS lag1 FROM er k LEFT JOIN (SELECT facility, count(*) AS n FROM dev GROUP BY facility) d ON d.facility = k.facility
         LEFT JOIN (SELECT facility, avg((value = 0)::INTEGER) AS z FROM r GROUP BY facility) y ON y.facility = k.facility
         LEFT JOIN (SELECT x.facility, CASE WHEN count(*) > 2 THEN coalesce({_corr("y.deviation", "x.deviation")}, 0) ELSE 0 END AS l FROM dev x JOIN dev y ON x.facility = y.facility AND x.bin = y.bin + {HOUR} GROUP BY x.facility) q ON q.facility = k.facility""",

@@ -459,7 +459,8 @@ def _study(spark, sf_dir):
     found = b.event_registry(b.readings(spark, sf_dir))
     places_ = b.event_places(spark, sf_dir)
     km = places.pairs(places_).withColumn("band", places.distance_band(F.col("km"), b.STUDY.neighbor_km, b.STUDY.far_km))
-    zeros = association.zero_share(b.readings(spark, sf_dir), b.STUDY.zero_heavy_share)
+    start, end = (0, 0) if low is None else (low, high + b.STUDY.bin_seconds)
+    zeros = association.zero_heavy(b.slots(spark, sf_dir).where("value >= 0"), start, middle, end, b.STUDY.zero_heavy_share)
     return association.study(series.where(F.col("bin") < middle), series.where(F.col("bin") >= middle), found, km, zeros, b.STUDY)
 
 
@@ -574,7 +575,9 @@ def forecast_gate_scores(spark, sf_dir):
 
 
 def _phase(spark, sf_dir):
-    return studies.run_phase(phase(spark, sf_dir), _grid(spark, sf_dir), _usual(spark, sf_dir), b.REPLAY, sf_dir)
+    """The phase, bound to what the readings are and not to where they lie."""
+    grid = _grid(spark, sf_dir)
+    return studies.run_phase(phase(spark, sf_dir), grid, _usual(spark, sf_dir), b.REPLAY, history.identity(grid))
 
 
 @query

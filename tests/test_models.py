@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -137,6 +138,34 @@ def test_candidates_see_no_future(spark, delay):
     assert all(v is not None for v in honest.values())
 
 
+@pytest.mark.parametrize("delay", [0, 1])
+def test_candidates_abstain_after_an_outage_until_the_next_fit(spark, delay):
+    policy = replace(POLICY, origin_seconds=3600)
+    first, end = START + 7 * DAY, START + 9 * DAY
+    rng = random.Random(8)
+    gone = range(24 * 7 + 6, 24 * 7 + 11)  # five hours within the first day; three hours within the second, which are no outage
+    rows = [("a", START + 3600 * k, int(30 + 9 * math.sin(k) + rng.random() * 9)) for k in range(24 * 9) if k not in gone and k not in range(24 * 8 + 6, 24 * 8 + 9)]
+    there = {s for _, s, _ in rows}
+    made, fits = (df.collect() for df in models.replay_candidates(grid_of(spark, rows), first, end, policy, delay, clock=lambda: 0.0))
+    fitted = {(r.model, r.fit) for r in fits if r.status == "ok"}
+    lost: set[int] = set()
+    for day in (first, first + DAY):
+        state = True
+        for origin in range(day, day + DAY, policy.origin_seconds):
+            available = origin - delay * 3600
+            state = state and any(available - k * 3600 in there for k in range(4))
+            if not state:
+                lost.add(origin)
+    assert lost and max(lost) < first + DAY
+    for r in made:
+        given = r.origin - delay * 3600 in there and (r.model == "profile_ar" or r.origin not in lost)
+        assert given or r.prediction is None, r
+        day = first if r.origin < first + DAY else first + DAY
+        assert r.model == "profile_ar" or (r.prediction is not None) == (given and (r.model, day) in fitted), r
+    assert {d for _, d in fitted} >= {first} and any(r.prediction is not None for r in made if r.model != "profile_ar")
+    assert models.outage({START}, START, policy) == START + 4 * 3600 and models.outage(set(range(START, START + 2 * DAY, 3600)), START, policy) == math.inf
+
+
 def test_forecasts_over_midnight_use_what_their_origin_knew(spark):
     rows = [(f"{f}", START + 3600 * k + 60, 20 if k < 24 * 30 + 6 else 500) for f in "a" for k in range(24 * 32)]
     from datetime import datetime, timezone
@@ -235,6 +264,23 @@ def test_ranks_and_the_interval_of_a_correlation(spark):
     assert association.bootstrap(df, Association(resamples=10)).first().low is None
 
 
+def test_zero_heavy_in_either_period(spark):
+    rows = [("a", k, 0 if k < 3 else 5) for k in range(20)] + [("b", k, 0 if k == 19 else 5) for k in range(20)] + [("c", k, 0) for k in range(20, 25)] + [("c", 1, 5)]
+    df = spark.createDataFrame(rows, "facility string, s int, value int").selectExpr("facility", "timestamp_seconds(s) at", "value")
+    found = {r.facility: r.zero_heavy for r in association.zero_heavy(df, 0, 10, 20, 0.1).collect()}
+    assert found == {"a": True, "b": False, "c": False}  # 3 of 10 in the first, 1 of 10 in the second, none of those inside
+
+
+def test_a_freeze_is_bound_to_the_content(spark):
+    from slotwise.sources import history
+
+    one = spark.createDataFrame([("a", 1), ("b", 2)], "facility string, value int")
+    assert history.identity(one) == history.identity(one.orderBy(F.desc("value")).repartition(3)) != history.identity(one.withColumn("value", F.col("value") + 1))
+    frozen = studies.Freeze(studies.specification(POLICY, history.identity(one)), [])
+    with pytest.raises(ValueError, match="specification"):
+        studies.run_phase(studies.Phase("calibration", START, START, START + DAY), None, None, POLICY, history.identity(one.where("value = 1")), freeze=frozen)
+
+
 def test_relationship_study(spark):
     rng = random.Random(9)
     def series(seed):

@@ -57,3 +57,10 @@ def test_days_with_a_clock_change(spark):
 def test_instants_need_an_offset(spark):
     df = spark.createDataFrame([("2026-01-01T00:00:00Z",), ("2026-01-01T00:00:00",), ("x",), (None,), ("2026-13-01T00:00:00Z",)], "t string")
     assert [r[0] is not None for r in df.select(instant(F.col("t"))).collect()] == [True, False, False, False, False]
+
+
+def test_erfc_is_that_of_the_library(spark):
+    xs = [0.0, 1e-300, 1e-9, 0.01, 0.3, 1.0, 1.7, 2.4999, 2.5, 2.5001, 3.0, 5.0, 9.0, 15.0, 26.0, 40.0, -0.5, -3.0, None]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", stats.erfc(F.col("x")).alias("y")).collect()
+    for r in rows:
+        assert (r.y is None) == (r.x is None) and (r.x is None or math.isclose(r.y, math.erfc(r.x), rel_tol=1e-12, abs_tol=1e-300)), r
