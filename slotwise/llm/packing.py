@@ -16,7 +16,8 @@ A document longer than a bin fills bins of its own and its rest is packed; no te
 
 Defined cases: documents of length 0 (null or wordless texts) take a place of length 0; a null source
 or cluster conflicts with nothing; ties are ordered by id and digest; repeated rows are packed each;
-an empty table gives an empty result.
+words of texts of any length are counted in slices; an empty table gives an empty result; further columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations
@@ -205,8 +206,10 @@ def pack(
     groups = max(1, -(-(rows.agg(F.sum("count")).first()[0] or 0) // rows_a_group))
     rows = rows.select("id", "node", "size", "source", "cluster", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("count"))).alias("copy"))
     rows = rows.withColumn("bin_group", F.pmod(F.xxhash64("id", "node", "source", "copy"), F.lit(groups)).cast("int")).drop("copy")
-    # Dealt by range, no two groups meet in a task while others have none; only the stored lengths are sampled for it.
-    rows = rows.repartitionByRange(groups, "bin_group")
+    # Dealt by range, groups spread evenly over tasks, several in one where there are more groups than tasks; only the stored lengths are sampled for it.
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rows = rows.repartitionByRange(min(groups, tasks), "bin_group")
 
     def run(key, batch: pd.DataFrame) -> pd.DataFrame:
         batch["id"] = batch["id"].astype("Int64")

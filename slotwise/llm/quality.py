@@ -9,7 +9,7 @@ than 20 % of the words in five-word windows that the text repeats.
 
 Defined cases: a null or empty text has no words and goes; lines without a word are neither judged
 nor counted; ties and repeated rows are judged each on its own; texts of any length are judged whole, in the
-memory of their words and lines; other columns are passed through, whatever their names.
+memory of their words and lines; an empty table gives an empty result; other columns are passed through, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -203,6 +204,18 @@ def test_personal_data(spark):
     assert pii.find_pii(df).select(F.max(F.size("pii"))).first()[0] > 0
 
 
+def test_dense_spans_of_a_long_text(spark):
+    texts = ["mail a@b.co and 1.2.3.4 " * 100_000, "é漢🙂 x@y.co, " * 3000 + "tel +49 170 1234567", "host 1.2.3.4" + " " * 300_000 + "4.3.2.1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    began = time.time()
+    rows = {r.doc_id: r.pii for r in pii.find_pii(df).collect()}
+    assert time.time() - began < 60
+    for k, text in enumerate(texts):
+        assert [(x.kind, x.start, x.end) for x in rows[k]] == brute.personal(text)
+    assert {(x.kind, x.score) for x in rows[0]} == {("email", 1.0), ("ip", 0.6)}
+    assert [round(x.score, 6) for x in rows[2]] == [0.9, 0.6]
+
+
 def test_personal_data_of_the_tables(spark, sf_dir):
     rows = queries.op5_pii(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id").collect()
     for r in rows:
