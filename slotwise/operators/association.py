@@ -6,10 +6,10 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.functions.stats import array_median, average_rank, benjamini_hochberg, median, p_value, pearson
+from slotwise.functions.stats import average_rank, benjamini_hochberg, median, p_value, pearson
 from slotwise.functions.time import local_hour
 from slotwise.operators.places import small
 from slotwise.policy import Association
@@ -98,6 +98,38 @@ def tests_of(registry: DataFrame, policy: Association) -> DataFrame:
     return rows.select("k.family", F.when(F.col("k.turned"), F.col("b")).otherwise(F.col("a")).alias("leader"), F.when(F.col("k.turned"), F.col("a")).otherwise(F.col("b")).alias("follower"), "k.lag_hours")
 
 
+#: Values in the middle of a bin, among which is every median without two of its members.
+_MIDDLE = 5
+
+
+def with_swing(rows: DataFrame, series: DataFrame, policy: Association) -> DataFrame:
+    """``rows`` with ``swing``: the median at their y_bin over all facilities but the two of the test, if these are enough.
+
+    A bin's values are ranked once. Without two members the k-th value is that of rank k, moved up by one for each of
+    the two that ranks no higher; so all medians of a bin lie among the few values in its middle, and a pair's row needs these, the
+    number of values and two ranks. ``series`` has facility, bin, deviation, is_level.
+    """
+    by = ["is_level", "bin"]
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("deviation", "facility")) - 1
+    ranked = series.withColumns({"place": rank, "n": F.count(F.lit(1)).over(Window.partitionBy(*by))})
+    base = F.greatest(F.floor((F.col("n") - 3) / 2), F.lit(0))
+    middle = ranked.groupBy("is_level", F.col("bin").alias("y_bin"), "n").agg(*[F.max(F.when(F.col("place") == base + k, F.col("deviation"))).alias(f"middle_{k}") for k in range(_MIDDLE)])
+    place = lambda who: ranked.select("is_level", F.col("bin").alias("y_bin"), F.col("facility").alias(who), F.col("place").alias(f"{who}_place"))
+    met = rows.join(middle, ["is_level", "y_bin"], "left").join(place("leader"), ["is_level", "y_bin", "leader"], "left").join(place("follower"), ["is_level", "y_bin", "follower"], "left")
+    nowhere = F.col("n") + 1
+    one, two = F.coalesce("leader_place", nowhere), F.coalesce("follower_place", nowhere)
+    low, high = F.least(one, two), F.greatest(one, two)
+    others = F.col("n") - F.col("leader_place").isNotNull().cast("int") - F.col("follower_place").isNotNull().cast("int")
+
+    def value(k: Column) -> Column:
+        at = k + (k >= low).cast("int")
+        at = at + (at >= high).cast("int") - base
+        return F.coalesce(*[F.when(at == j, F.col(f"middle_{j}")) for j in range(_MIDDLE)])
+
+    swing = (value(F.floor((others - 1) / 2)) + value(F.floor(others / 2))) / 2
+    return met.withColumn("swing", F.when(others >= policy.minimum_others, swing)).drop("n", "leader_place", "follower_place", *[f"middle_{k}" for k in range(_MIDDLE)])
+
+
 def period_tests(series: DataFrame, registry: DataFrame, policy: Association) -> DataFrame:
     """All tests of a period with support, correlation, system-wide and residual-hour checks, q and the reverse lag."""
     series = cut(series)
@@ -106,11 +138,7 @@ def period_tests(series: DataFrame, registry: DataFrame, policy: Association) ->
     is_level = F.col("family") == "co_deviation"
     both = lambda f: aligned(f(level), tests.where(is_level), policy).unionByName(aligned(f(delta), tests.where(~is_level), policy))
     rows = both(lambda s: s)
-    wide = lambda s, kind: s.groupBy(F.col("bin").alias("y_bin")).agg(F.collect_list(F.struct("facility", "deviation")).alias("all")).withColumn("is_level", F.lit(kind))
-    # One array a bin holds every facility's value; a filter leaves the others of a pair.
-    rows = rows.withColumn("is_level", is_level).join(wide(level, True).unionByName(wide(delta, False)), ["y_bin", "is_level"], "left")
-    others = F.transform(F.filter("all", lambda v: (v["facility"] != F.col("leader")) & (v["facility"] != F.col("follower"))), lambda v: v["deviation"])
-    rows = rows.withColumn("others", others).withColumn("swing", F.when(F.size("others") >= policy.minimum_others, array_median(F.col("others")))).drop("all", "others", "is_level")
+    rows = with_swing(rows.withColumn("is_level", is_level), level.withColumn("is_level", F.lit(True)).unionByName(delta.withColumn("is_level", F.lit(False))), policy).drop("is_level")
     by_day = rows.groupBy(*KEY, F.floor(F.col("bin") / 86400).alias("day")).count()
     support = by_day.groupBy(*KEY).agg(F.sum("count").alias("bins"), F.count_if(F.col("count") >= policy.minimum_day_bins).alias("days"))
     main = correlate(rows, policy)

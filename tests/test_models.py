@@ -264,6 +264,18 @@ def test_ranks_and_the_interval_of_a_correlation(spark):
     assert association.bootstrap(df, Association(resamples=10)).first().low is None
 
 
+def test_medians_without_two_members(spark):
+    rng = random.Random(12)
+    series = [(f, k, float(rng.randrange(8)), level) for level in (True, False) for k in range(60) for f in "abcdefgh"[: 1 + k % 8] if rng.random() < 0.8]
+    asked = [(a, b, k, level) for level in (True, False) for k in range(60) for a in "abcdefgh" for b in "abcdefgh" if a != b]
+    rows = spark.createDataFrame(asked, "leader string, follower string, y_bin bigint, is_level boolean")
+    found = association.with_swing(rows, spark.createDataFrame(series, "facility string, bin bigint, deviation double, is_level boolean"), Association(minimum_others=3)).collect()
+    assert len(found) == len(asked) and sum(r.swing is not None for r in found) > 1000
+    for r in found:
+        others = [v for f, k, v, level in series if k == r.y_bin and level == r.is_level and f not in (r.leader, r.follower)]
+        assert r.swing == (np.median(others) if len(others) >= 3 else None)
+
+
 def test_zero_heavy_in_either_period(spark):
     rows = [("a", k, 0 if k < 3 else 5) for k in range(20)] + [("b", k, 0 if k == 19 else 5) for k in range(20)] + [("c", k, 0) for k in range(20, 25)] + [("c", 1, 5)]
     df = spark.createDataFrame(rows, "facility string, s int, value int").selectExpr("facility", "timestamp_seconds(s) at", "value")
