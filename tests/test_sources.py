@@ -111,8 +111,8 @@ def test_ranges_of_departments(spark):
     found = [tuple(r.m) for r in df.select(parsers.wait_range(F.col("t"), "n").alias("m")).collect()]
     failed = lambda detail: ("failed", detail, None, None, None)
     assert found == [
-        ("available", None, 5, 9, False), failed("missing or duplicate department"), ("invalid", "invalid_wait_bounds", None, None, None), ("available", None, 9, None, True), ("available", None, 9, 9, False),
-        ("unavailable", "wait_not_displayed", None, None, None), ("invalid", "invalid_wait_bounds", None, None, None), ("invalid", "invalid_cap_flag", None, None, None), failed("missing or duplicate department"),
+        ("available", None, 5, 9, False), failed("missing or duplicate ER department"), ("invalid", "invalid_wait_bounds", None, None, None), ("available", None, 9, None, True), ("available", None, 9, 9, False),
+        ("unavailable", "wait_not_displayed", None, None, None), ("invalid", "invalid_wait_bounds", None, None, None), ("invalid", "invalid_cap_flag", None, None, None), failed("missing or duplicate ER department"),
         failed("missing wait fields"), failed("invalid wait visibility flag"), failed("invalid department list"),
     ]
 
@@ -124,7 +124,7 @@ def test_schedules_and_slots(spark):
     cases = [whole([row("1"), row("2"), row("3", service={"permalink": "other"})]), whole([row("1"), row("1")]), whole([row("1", hidden=True)]), whole([]), whole([row("1")], []), whole([row("1")]) | {"meta": {"record-count": 2}}, {"x": 1}]
     df = spark.createDataFrame([(json.dumps(c),) for c in cases], "t string")
     found = [(r.s.detail, r.s.ids) for r in df.select(parsers.schedules(F.col("t"), "7", "hill").alias("s")).collect()]
-    assert found == [(None, ["1", "2"]), ("missing or duplicate schedules", None), ("unexpected schedule scope", None), ("missing or duplicate schedules", None), ("missing or unexpected facility", None), ("incomplete schedule listing", None), ("invalid public API envelope", None)]
+    assert found == [(None, ["1", "2"]), ("missing or duplicate ER schedules", None), ("unexpected ER schedule scope", None), ("missing or duplicate ER schedules", None), ("missing or unexpected emergency facility", None), ("incomplete schedule listing", None), ("invalid public API envelope", None)]
     slot = lambda k, times, next_time=None: {"schedule-id": k, "appointment-type-id": "", "times": times, "next-time": next_time}
     day = "2026-09-14T"
     cases = [
