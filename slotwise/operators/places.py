@@ -246,5 +246,10 @@ def compare_travel(routes: DataFrame, readings: DataFrame, screens: DataFrame, h
     return rows.join(best, "origin").select("origin", "slug", "drive", "wait", (F.col("drive") + F.col("wait")).alias("total"), "horizon_minutes", "p90", (F.col("complete") & (F.col("slug") == F.col("nearest"))).alias("closest"))
 
 
-def ranked(rows: DataFrame, by: str) -> DataFrame:
-    return rows.orderBy(F.col(by).asc_nulls_last(), F.col("drive").asc_nulls_last(), "slug")
+#: What a travel comparison can be ordered by.
+SORT_KEYS = ("drive", "wait", "total")
+
+
+def ranked(rows: DataFrame, by: str = "drive") -> DataFrame:
+    """The rows by drive, wait or their total, what is missing last and ties by drive; by drive if ``by`` is none of these."""
+    return rows.orderBy(F.col(by if by in SORT_KEYS else "drive").asc_nulls_last(), F.col("drive").asc_nulls_last(), "slug")

@@ -169,10 +169,10 @@ def segments(readings: DataFrame, gap_seconds: int) -> DataFrame:
 
 
 def snapshot(cells: DataFrame, bin_: int, campuses: DataFrame, map_only: DataFrame) -> DataFrame:
-    """One bin on the map: facilities with a campus, and map-only places listed with their own state."""
+    """One bin on the map: facilities with a campus, and map-only places with one, whose state is that they publish no waiting time."""
     here = cells.where(F.col("bin") == bin_).join(campuses.where("latitude IS NOT NULL"), "facility")
     shown = here.select("facility", "latitude", "longitude", marker_state(F.col("readings"), F.col("delta"), 10).alias("state"))
-    return shown.unionByName(map_only.select("facility", "latitude", "longitude", F.lit("map_only").alias("state")))
+    return shown.unionByName(map_only.where("latitude IS NOT NULL").select("facility", "latitude", "longitude", F.lit("unpublished").alias("state")))
 
 
 def resolve_index(n_bins: int, start: int, size: int, wanted: int | None, follow: bool) -> int:

@@ -406,7 +406,7 @@ SELECTS = {
     "heatmap_cells": "SELECT facility, bin, readings, round(delta, 6) AS delta, band FROM heat",
     "heatmap_summary": """SELECT facility, count(*) FILTER (readings > 0) AS observed, count(delta) AS supported, count(*) FILTER (delta > 10) AS above, count(*) FILTER (delta < -10) AS below, round(max(delta) FILTER (delta > 10), 6) AS largest FROM heat GROUP BY facility""",
     "map_snapshot": f"""SELECT heat.facility, pos + 30.0::DOUBLE AS latitude, -90.0::DOUBLE AS longitude, CASE WHEN readings = 0 THEN 'empty' WHEN delta IS NULL THEN 'unsupported' WHEN delta > 10 THEN 'above' WHEN delta < -10 THEN 'below' ELSE 'near' END AS state
-        FROM heat JOIN er ON er.facility = heat.facility WHERE bin = {T1} - 7200 AND pos <> 1 UNION ALL SELECT facility, latitude, longitude, 'map_only' FROM reg WHERE region = 'ASIA'""",
+        FROM heat JOIN er ON er.facility = heat.facility WHERE bin = {T1} - 7200 AND pos <> 1 UNION ALL SELECT facility, latitude, longitude, 'unpublished' FROM reg WHERE region = 'ASIA'""",
     "area_counts": "SELECT area, bin, reporting, compared, n_above, n_below, above, below FROM abin",
     "area_tallies": """SELECT m.area, m.facility, count(point) AS reporting, count(*) FILTER (point <> 'no_range') AS compared, count(*) FILTER (point = 'above') AS above, count(*) FILTER (point = 'below') AS below
         FROM mem m LEFT JOIN st ON st.area = m.area AND st.facility = m.facility GROUP BY ALL""",

@@ -50,3 +50,20 @@ def test_complete_days_end_before_the_day_of_now(spark):
     now = F.lit(START + timedelta(hours=80)).cast("timestamp")
     kept = movement.complete_days(rows, now, POLICY).agg(F.min("at"), F.max("at"), F.count("at")).first()
     assert kept[2] == 72
+
+
+def test_travel_can_be_ordered_by_drive_wait_and_total(spark):
+    from slotwise.operators import places
+
+    rows = spark.createDataFrame([("a", 10.0, 30, 40.0), ("b", 20.0, 5, 25.0), ("c", None, 1, None), ("d", 5.0, None, None), ("e", 20.0, 20, 40.0)], "slug string, drive double, wait int, total double")
+    order = lambda by: "".join(r.slug for r in places.ranked(rows, by).collect())
+    assert (order("drive"), order("wait"), order("total"), order("other")) == ("dabec", "cbead", "baedc", "dabec")
+
+
+def test_places_without_a_campus_are_not_on_the_map(spark):
+    from slotwise.operators import views
+
+    cells = spark.createDataFrame([("a", 3, 2, 50.0), ("b", 3, 0, None), ("c", 3, 1, 1.0)], "facility string, bin int, readings int, delta double")
+    campus = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 4.0), ("c", None, None)], "facility string, latitude double, longitude double")
+    only = spark.createDataFrame([("x", 5.0, 6.0), ("y", None, None)], "facility string, latitude double, longitude double")
+    assert {(r.facility, r.state) for r in views.snapshot(cells, 3, campus, only).collect()} == {("a", "above"), ("b", "empty"), ("x", "unpublished")}
