@@ -1,6 +1,6 @@
 """Alignment of two tokenizers over the bytes of each text.
 
-Python only tokenises: it gives each text the ids of both tokenizers and the byte offset at which each token ends. All
+Python only tokenises: it gives the ids of both tokenizers and the byte offset at which each token ends. All
 else is array functions. ``array_intersect`` of the two arrays of ends gives the offsets that cut the text into
 groups. The ends of both, each with its tokenizer and number, are sorted into one array; in it, the place of an
 end less its own number is the number of the other tokenizer's tokens that end before. So one ``transform``
@@ -9,13 +9,20 @@ as two tokens overlap in one range and that ends where the first of them does. T
 tokens ``sequence`` and ``transform`` list; ``aggregate`` finds the tokens they cover. All of it is linear in the tokens,
 and a step that others use is a column of its own, so that it is computed once a text.
 
+``tokenised``, ``aligned``, ``group_ids`` and ``links`` give the groups and links of every document. ``align``, which needs
+digests and counts only, uses that both tokenizers cut a text before its words, so that every word ends a group and its tokens
+are the same wherever it stands: tokenising gives, for a slice of the table, its distinct words one after another as if they
+were one text, and the documents as numbers of words. The words are aligned as any text is; where each of them ends among
+the groups and links is found as the links are, by sorting ends. Then a document's groups are those of its words in their order,
+and ``transform`` and ``aggregate`` over its words give its text and sums. Where a tokenizer does not cut texts at words, whole texts are the words.
+
 The documents that hold an id pair are counted from the distinct pairs of each document; counts meet the links
-by ``common.looked_up``: pairs that are frequent are broadcast, of a bounded number, and the rest are joined by a shuffle
-in which no pair has many rows. Sums are taken by document before they travel.
+of each slice's words by ``common.looked_up``: pairs that are frequent are broadcast, of a bounded number, and the rest are joined by a shuffle
+in which no pair has many rows. Sums are taken by word, and gathered by slice, which a slice's bytes bound.
 
 Defined cases: a text that is null, empty, or whose tokens of either tokenizer are not the bytes of space+text has
 no tokens and zeros; rows that repeat count each as a document; texts of any length are aligned whole, in a memory of about
-100 bytes a token; an empty table gives an empty result; further columns, whatever their names, are left out.
+100 bytes for each token of their distinct words and 40 for each word; an empty table gives an empty result; further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import col, looked_up, stored
@@ -33,8 +40,9 @@ from slotwise.llm.encoding import BytePairs, Pieces, Vocabulary, shared
 from slotwise.llm.token_counts import tokenizer_file
 from slotwise.llm.words import slices
 
-#: Bytes of text that are tokenised at a time, and pairs that are broadcast at most.
+#: Bytes of text that are tokenised at a time, as texts and as distinct words, and pairs that are broadcast at most.
 SLICE_BYTES = 1 << 20
+WORDS_BYTES = 4 << 20
 HOT_PAIRS = 1_000_000
 TOKENS = ["a_ids", "a_ends", "b_ids", "b_ends"]
 
@@ -48,18 +56,27 @@ def _lists(n: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> tuple[pa.List
     return pa.ListArray.from_arrays(rows, pa.array(ids)), pa.ListArray.from_arrays(rows, pa.array(ends))
 
 
-def tokenised(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, a_ids, a_ends, b_ids, b_ends) of every document; empty arrays where a text has no tokens.
+def _broadcast(spark: SparkSession, a_path: str, b_path: str) -> Callable[[], Vocabulary]:
+    """What gives a worker its vocabulary of both tokenizers.
 
     A is a byte-level BPE tokenizer, which gets space+text; B one of pieces, which puts the space before by itself.
     """
-    context = docs.sparkSession.sparkContext
     contents = [tokenizer_file(a_path), tokenizer_file(b_path)]
     name = hashlib.sha256(b"".join(hashlib.sha256(c).digest() for c in contents)).hexdigest()
-    a_file, b_file = (context.broadcast(c) for c in contents)
+    a_file, b_file = (spark.sparkContext.broadcast(c) for c in contents)
+    return lambda: shared(name, lambda: Vocabulary([BytePairs(a_file.value, plain=True), Pieces(b_file.value)], spell=True))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text"))
+
+
+def tokenised(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, id, a_ids, a_ends, b_ids, b_ends) of every document; empty arrays where a text has no tokens."""
+    vocabulary = _broadcast(docs.sparkSession, a_path, b_path)
 
     def encode(batches):
-        words = shared(name, lambda: Vocabulary([BytePairs(a_file.value, plain=True), Pieces(b_file.value)], spell=True))
+        words = vocabulary()
         for whole in batches:
             for batch in slices(whole, 2, SLICE_BYTES):
                 found = words.encode([t or "" for t in batch.column(2).to_pylist()], spaced=True)
@@ -72,8 +89,43 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_i
                     columns += _lists(np.where(bad, 0, n), ids[~bad[owner]], lengths)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["row", "id", *TOKENS])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(encode, "row bigint, id bigint, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>")
+    return _rows(docs, id_col, text_col).mapInArrow(encode, "row bigint, id bigint, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>")
+
+
+def sliced(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = WORDS_BYTES) -> DataFrame:
+    """Slices of the table: (slice, docs, a_ids, a_ends, b_ids, b_ends, w_ends).
+
+    The tokens are those of the slice's distinct words one after another, which end at ``w_ends``; ``docs`` has a struct (id, n_a,
+    n_b, words) for every document, with the places of its words, none where a text has no tokens.
+    """
+    vocabulary = _broadcast(docs.sparkSession, a_path, b_path)
+
+    def encode(batches):
+        words = vocabulary()
+        for whole in batches:
+            for batch in slices(whole, 2, slice_bytes):
+                n_words, number = words.numbers([t or "" for t in batch.column(2).to_pylist()], spaced=True)
+                owner = np.repeat(np.arange(batch.num_rows), n_words)
+                distinct, place = np.unique(number, return_inverse=True)
+                wrong = np.zeros(len(distinct), bool)
+                for n, ids in words.tokens(distinct):
+                    wrong[np.repeat(np.arange(len(n)), n)[ids < 0]] = True
+                if wrong.any():
+                    bad = np.zeros(batch.num_rows, bool)
+                    bad[owner[wrong[place]]] = True
+                    n_words, number, owner = np.where(bad, 0, n_words), number[~bad[owner]], owner[~bad[owner]]
+                    distinct, place = np.unique(number, return_inverse=True)
+                found = words.tokens(distinct)
+                n_tokens = [pa.array(np.bincount(owner, n[place], batch.num_rows).astype(np.int64)) for n, _ in found]
+                lists = [_lists(np.array([len(ids)]), ids, lengths) for (_, ids), lengths in zip(found, words.lengths, strict=True)]
+                ends = np.concatenate([[0], np.cumsum(words.lengths[0][found[0][1]], dtype=np.int64)])[np.cumsum(found[0][0])]
+                places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_words)]).astype(np.int32)), pa.array(place.astype(np.int32)))
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                rows = one(pa.StructArray.from_arrays([batch.column(1), *n_tokens, places], names=["id", "n_a", "n_b", "words"]))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[:1], rows, *lists[0], *lists[1], one(pa.array(ends))], names=["slice", "docs", *TOKENS, "w_ends"])
+
+    doc = "array<struct<id: bigint, n_a: bigint, n_b: bigint, words: array<int>>>"
+    return _rows(docs, id_col, text_col).mapInArrow(encode, f"slice bigint, docs {doc}, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>, w_ends array<bigint>")
 
 
 # A mark is a token's end, tokenizer (0 or 1) and number in one long; marks of A and B with the same end are neighbours.
@@ -113,26 +165,15 @@ def _listed(ids: str, first: Column, last: Column) -> Column:
     return F.transform(F.sequence(first, last), lambda k: F.get(ids, k))
 
 
-#: Stand for the bar and the semicolon in an array of ids.
-_BAR, _NEXT = -1, -2
-
-
-def group_text() -> Column:
-    """``a1,a2|b1;a3|b2,b3``: the ids of the groups.
-
-    The groups are put in one array, with numbers below zero between them; its text is that of the numbers, in which these are then replaced.
-    """
+def group_texts() -> Column:
+    """``a1,a2|b1``, the ids of a group, for every group."""
 
     def one(a: Column, a_last: Column, b: Column, b_last: Column) -> Column:
-        bar, end = F.lit(_BAR), F.lit(_NEXT)
-        single = F.array(F.get("a_ids", a_last), bar, F.get("b_ids", b_last), end)
-        return F.when((a == a_last) & (b == b_last), single).otherwise(F.concat(_listed("a_ids", a, a_last), F.array(bar), _listed("b_ids", b, b_last), F.array(end)))
+        single = lambda ids, last: F.get(ids, last).cast("string")
+        side = lambda ids, first, last: F.when(first == last, single(ids, last)).otherwise(F.array_join(_listed(ids, first, last).cast("array<string>"), ","))
+        return F.concat(side("a_ids", a, a_last), F.lit("|"), side("b_ids", b, b_last))
 
-    text = F.flatten(groups(one)).cast("string")
-    text = F.substr(text, F.lit(2), F.length(text) - len(f"[, {_NEXT}]"))
-    for old, new in ((f", {_BAR}, ", "|"), (f", {_NEXT}, ", ";"), (", ", ",")):
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return text
+    return groups(one)
 
 
 def group_ids() -> Column:
@@ -162,12 +203,50 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     return counted.select("pair", "n_docs", (F.col("n_docs") == most).cast("int").alias("best"))
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", hot_pairs: int = HOT_PAIRS) -> DataFrame:
+def words_aligned(found: DataFrame) -> DataFrame:
+    """``aligned`` slices as (slice, docs, w_texts, w_groups, w_pairs): the text of the groups, their number and the id pairs of every word.
+
+    Every word ends a group. In the sorted ends of groups and words, the place of a word's end less the word's number is how many groups end up to there.
+    """
+    cuts = F.transform("stops", lambda stop, i: F.shiftleft(F.shiftright(F.get("marks", stop), 33), 33).bitwiseOR(i.cast("bigint")))
+    steps = found.select("slice", "docs", "stops", group_texts().alias("texts"), pair_ids().alias("pairs"), F.sort_array(F.concat(cuts, _marks("w_ends", 1))).alias("both"))
+    upto = F.filter(F.transform("both", lambda mark, i: F.when(mark.bitwiseAND(_SIDE) != 0, i - _number(mark))), lambda g: g.isNotNull())
+    steps = kept_apart(steps.select("slice", "docs", "stops", "texts", "pairs", upto.alias("upto")))
+
+    def of_words(of: Callable[[Column, Column], Column]) -> Column:
+        return F.transform("upto", lambda last, w: of(F.coalesce(F.get("upto", w - 1), F.lit(0)), last))
+
+    after = lambda group: F.coalesce(F.get("stops", group - 1) + 2, F.lit(0))
+    text = of_words(lambda first, last: F.when(last - first == 1, F.get("texts", first)).otherwise(F.array_join(F.slice("texts", first + 1, last - first), ";")))
+    pairs = of_words(lambda first, last: F.filter(F.slice("pairs", after(first) + 1, after(last) - after(first)), lambda p: p.isNotNull()))
+    return kept_apart(steps.select("slice", "docs", text.alias("w_texts"), of_words(lambda first, last: last - first).alias("w_groups"), pairs.alias("w_pairs")))
+
+
+def kept_apart(df: DataFrame) -> DataFrame:
+    """``df`` behind a generator of its one row, so that its columns are computed once and not anew for each element of a lambda that reads them."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", hot_pairs: int = HOT_PAIRS, slice_bytes: int = WORDS_BYTES) -> DataFrame:
     """id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
-    found = aligned(tokenised(docs, a_path, b_path, id_col=id_col, text_col=text_col))
-    text = F.when(F.size("a_ids") == 0, F.lit("")).otherwise(F.sha2(group_text().cast("binary"), 256))
-    done = stored(found.select("row", "id", "n_a", "n_b", "n_groups", "n_links", text.alias("groups_sha256"), pair_ids().alias("pairs")), "aligned", "zstd")
-    met = looked_up(done.select("row", F.explode("pairs").alias("pair")).where("pair IS NOT NULL"), pair_counts(done), "pair", "n_docs", hot_pairs)
-    sums = met.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("n_docs").alias("count_sum"))
-    zero = lambda name: F.coalesce(name, F.lit(0)).cast("bigint").alias(name)
-    return done.drop("pairs").join(sums, "row", "left").select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
+    found = aligned(sliced(docs, a_path, b_path, id_col=id_col, text_col=text_col, slice_bytes=slice_bytes))
+    over = lambda d, of: F.aggregate(d["words"], F.lit(0).cast("bigint"), lambda s, w: s + of(w))
+
+    def counted(d: Column) -> Column:
+        text = F.array_join(F.transform(d["words"], lambda w: F.get("w_texts", w)), ";")
+        sha = F.when(F.size(d["words"]) == 0, F.lit("")).otherwise(F.sha2(text.cast("binary"), 256))
+        return F.struct(d["id"].alias("id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), over(d, lambda w: F.get("w_groups", w)).alias("n_groups"), sha.alias("sha"), d["words"].alias("words"))
+
+    done = stored(words_aligned(found).select("slice", F.transform("docs", counted).alias("docs"), "w_pairs"), "aligned", "zstd")
+    held = done.select(F.explode(F.transform("docs", lambda d: F.flatten(F.transform(F.array_distinct(d["words"]), lambda w: F.get("w_pairs", w))))).alias("pairs"))
+    links_of_words = done.select("slice", F.posexplode("w_pairs").alias("word", "pairs")).select("slice", "word", F.explode("pairs").alias("pair"))
+    met = looked_up(links_of_words, pair_counts(held), "pair", "n_docs", hot_pairs).select("slice", "word", "best", "n_docs").repartition("slice")
+    sums = met.groupBy("slice", "word").agg(F.sum("best").alias("best"), F.sum("n_docs").alias("n_docs"))
+    by_slice = sums.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("word", "best", "n_docs"))).alias("sums"))
+
+    def summed(d: Column) -> Column:
+        total = lambda name: over(d, lambda w: F.get("sums", w)[name])
+        n_links = d["n_a"] + d["n_b"] - d["n_groups"]  # a group of a and b tokens has a + b - 1
+        return F.struct(d["id"].alias(id_col), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), d["n_groups"].alias("n_groups"), n_links.alias("n_links"), total("best").alias("n_best"), total("n_docs").alias("count_sum"), d["sha"].alias("groups_sha256"))
+
+    return done.select("slice", "docs").join(by_slice, "slice", "left").select(F.inline(F.transform("docs", summed)))

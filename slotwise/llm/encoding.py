@@ -191,8 +191,8 @@ class Vocabulary:
                 self.start[k] = np.concatenate([self.start[k], self.start[k][-1] + np.cumsum(counts)])
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def encode(self, texts: list[str], *, spaced: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each tokenizer: how many tokens each text has, and the ids of all. ``spaced``: a space is put before every text that is not empty."""
+    def numbers(self, texts: list[str], *, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """How many words each text has, and the numbers of all. ``spaced``: a space is put before every text that is not empty."""
         if not self.splits or len(self.start[0]) > MEMO:
             self._clear()
         parts = [(words_of(t) if self.splits else [t]) if t else [] for t in texts]
@@ -203,15 +203,24 @@ class Vocabulary:
             begins[(np.cumsum(words) - words)[words > 0]] = True
             number[begins] = self._numbers(self.first, [p[0] for p in parts if p], "")
         number[~begins] = self._numbers(self.later, list(chain.from_iterable(p if spaced else p[1:] for p in parts)), " ")
-        owner = np.repeat(np.arange(len(texts)), words)
+        return words, number
+
+    def tokens(self, number: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each tokenizer: how many tokens each word has, given by its number until the next call of ``numbers``, and the ids of all."""
         out = []
         for ids, start in zip(self.ids, self.start, strict=True):
             first = start[number]
             n = start[number + 1] - first
             at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
-            out.append((np.bincount(owner, n, len(texts)).astype(np.int64), ids[at]))
+            out.append((n, ids[at]))
         return out
 
+    def encode(self, texts: list[str], *, spaced: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each tokenizer: how many tokens each text has, and the ids of all. ``spaced`` as in ``numbers``."""
+        words, number = self.numbers(texts, spaced=spaced)
+        owner = np.repeat(np.arange(len(texts)), words)
+        return [(np.bincount(owner, n, len(texts)).astype(np.int64), ids) for n, ids in self.tokens(number)]
+
 
 _shared: dict[Hashable, object] = {}
 

@@ -94,11 +94,11 @@ def plain(rows: list[tuple], files) -> tuple[Counter, dict]:
     return Counter((i, na, nb, g, len(ls), sum(counts[p] == best[p[0]] for p in ls), sum(counts[p] for p in ls), sha) for i, na, nb, g, ls, sha in found), counts
 
 
-@pytest.mark.parametrize("hot_pairs", [alignment.HOT_PAIRS, 40])
-def test_alignment(spark, docs, files, hot_pairs, tmp_path):
+@pytest.mark.parametrize(("hot_pairs", "slice_bytes"), [(alignment.HOT_PAIRS, alignment.WORDS_BYTES), (40, 300)])
+def test_alignment(spark, docs, files, hot_pairs, slice_bytes, tmp_path):
     rows = [(r.doc_id, r.text) for r in docs.collect()] + list(enumerate(odd_texts(60), 5000))
     spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "d"))
-    found = alignment.align(spark.read.parquet(str(tmp_path / "d")), A_PATH, B_PATH, hot_pairs=hot_pairs).collect()
+    found = alignment.align(spark.read.parquet(str(tmp_path / "d")), A_PATH, B_PATH, hot_pairs=hot_pairs, slice_bytes=slice_bytes).collect()
     expected, _ = plain(rows, files)
     assert Counter(tuple(r) for r in found) == expected
     assert sum(r.n_a == 0 for r in found) > 5 and max(r.n_a for r in found) > 30_000
