@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotwise.functions.resampling import PARTS
 from slotwise.functions.stats import average_rank, benjamini_hochberg, median, p_value, pearson
 from slotwise.functions.time import local_hour
 from slotwise.operators.places import small
@@ -207,38 +208,49 @@ def episodes(series: DataFrame, pairs: DataFrame, threshold: float, policy: Asso
     return found.withColumn("place", place).where(F.col("place") <= limit).drop("run")
 
 
-def _ranks(values: np.ndarray) -> np.ndarray:
-    """Ranks from 0; ties share their mean."""
-    _, place, n = np.unique(values, return_inverse=True, return_counts=True)
-    return (np.cumsum(n) - (n + 1) / 2)[place]
+def _ranks(values: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Ranks from 0 in every resample, a row of ``weight``, which says how often each value occurs in it; ties share their mean."""
+    order = np.argsort(values, kind="stable")
+    ends = np.flatnonzero(np.append(values[order][1:] != values[order][:-1], True))
+    upto = np.cumsum(weight[:, order], axis=1)[:, ends]
+    ranks = upto - (np.diff(upto, axis=1, prepend=0) + 1) / 2
+    return ranks[:, np.searchsorted(values[order][ends], values)]
+
+
+def _rank_correlations(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The rank correlation in every resample; not a number without variance."""
+    n = weight.sum(1, keepdims=True)
+    a, b = (r - (weight * r).sum(1, keepdims=True) / n for r in (_ranks(x, weight), _ranks(y, weight)))
+    of = lambda p, q: (weight * p * q).sum(1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return of(a, b) / np.sqrt(of(a, a) * of(b, b))
 
 
 def bootstrap(rows: DataFrame, policy: Association) -> DataFrame:
-    """95 % interval of the rank correlation of each test by resampling of UTC days; each test has its own generator.
+    """95 % interval of the rank correlation of each test by resampling of UTC days, drawn by hashes of (seed, test, resample, number).
 
-    A seed derived from the test replaces one generator shared over all tests, so that tests are independent tasks. A
-    test's rows, one an hour of a period, are one task; correlations without variance do not count, and below 20 there is no interval.
+    The resamples of a test are dealt to ``PARTS`` tasks, each with the test's rows, one an hour of a period. A resample is how often
+    each day is drawn, and its ranks are sums of those weights. Correlations without variance do not count, and below 20 there is no interval.
     """
     resamples, seed = policy.resamples, policy.seed
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("bin")
         x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
-        day = frame["bin"].to_numpy() // 86400
-        edges = np.flatnonzero(np.append(True, day[1:] != day[:-1]))
-        blocks = np.split(np.arange(len(day)), edges[1:])
-        draw = random.Random(f"{seed}:{'|'.join(map(str, key))}")
-        values = []
-        for _ in range(resamples):
-            picked = np.concatenate(draw.choices(blocks, k=len(blocks)))
-            a, b = _ranks(x[picked]), _ranks(y[picked])
-            if a.std() > 0 and b.std() > 0:
-                values.append(float(np.corrcoef(a, b)[0, 1]))
-        values.sort()
-        low, high = (values[int(q * (len(values) - 1))] if len(values) >= 20 else None for q in (0.025, 0.975))
-        return pd.DataFrame([(*key, low, high)], columns=[*KEY, "low", "high"])
-
-    return rows.select(*KEY, "bin", "x", "y").groupBy(*KEY).applyInPandas(run, "family string, leader string, follower string, lag_hours int, low double, high double")
+        days, day = np.unique(frame["bin"].to_numpy() // 86400, return_inverse=True)
+        name = "|".join(map(str, key[:-1]))
+        mine = range(int(key[-1]), resamples, PARTS)
+        times = np.zeros((len(mine), len(days)))
+        for row, r in zip(times, mine, strict=True):
+            for j in range(len(days)):
+                row[int(hashlib.md5(f"{seed}:{name}:{r}:{j}".encode()).hexdigest()[:8], 16) % len(days)] += 1
+        found = _rank_correlations(x, y, times[:, day])
+        return pd.DataFrame({**dict(zip(KEY, key, strict=False)), "r": [float(v) if np.isfinite(v) else None for v in found]}, columns=[*KEY, "r"])
+
+    dealt = rows.select(*KEY, "bin", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    each = dealt.groupBy(*KEY, "part").applyInPandas(run, "family string, leader string, follower string, lag_hours int, r double")
+    values = each.groupBy(*KEY).agg(F.sort_array(F.collect_list("r")).alias("v"))
+    end = lambda q: F.when(F.size("v") >= 20, F.get("v", F.floor(q * (F.size("v") - 1)).cast("int")))
+    return values.select(*KEY, end(0.025).alias("low"), end(0.975).alias("high"))
 
 
 def merged(first: DataFrame, later: DataFrame) -> DataFrame:

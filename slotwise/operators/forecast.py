@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import random
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotwise.functions.resampling import ratio_intervals
 from slotwise.functions.stats import quantile
 from slotwise.functions.time import local_date, local_hour
 from slotwise.operators.baseline import models
@@ -190,23 +187,17 @@ def paired(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def bootstrap_gain(pairs: DataFrame, policy: Forecast, level: float = 0.95) -> DataFrame:
-    """Gain in error and its interval by paired day blocks, one seeded generator for each facility and horizon; no interval for a single day."""
-    resamples, seed = policy.resamples, policy.seed
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("origin")
-        gain = ((frame["b"] - frame["actual"]).abs() - (frame["c"] - frame["actual"]).abs()).to_numpy()
-        day = pd.factorize(frame["origin"] // 86400)[0]
-        sums, sizes = np.bincount(day, gain), np.bincount(day)
-        if len(sums) < 2:
-            return pd.DataFrame([(*key, float(gain.mean()), None, None)])
-        draw = random.Random(seed)
-        picks = np.array([draw.choice(range(len(sums))) for _ in range(resamples * len(sums))]).reshape(resamples, -1)
-        means = sums[picks].sum(1) / sizes[picks].sum(1)
-        tail = (1 - level) / 2
-        return pd.DataFrame([(*key, float(gain.mean()), float(np.quantile(means, tail)), float(np.quantile(means, 1 - tail)))])
-
-    return pairs.groupBy("facility", "horizon_minutes").applyInPandas(run, "facility string, horizon_minutes int, gain double, gain_low double, gain_high double")
+    """Gain in error and its interval by paired day blocks, by facility and horizon; no interval for a single day.
+
+    The draws follow from the policy's seed and the number of days, the same for all facilities and horizons that have as many.
+    """
+    key = ["facility", "horizon_minutes"]
+    gain = F.abs(F.col("b") - F.col("actual")) - F.abs(F.col("c") - F.col("actual"))
+    daily = pairs.groupBy(*key, F.floor(F.col("origin") / 86400).alias("day")).agg(F.sum(gain).alias("top"), F.count(F.lit(1)).alias("bottom"))
+    numbered = daily.select(*key, "top", "bottom", (F.row_number().over(Window.partitionBy(*key).orderBy("day")) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy(*key)).alias("size"))
+    found = ratio_intervals(numbered.where("size > 1"), key, policy.resamples, policy.seed, (1 - level) / 2)
+    means = numbered.groupBy(*key).agg((F.sum("top") / F.sum("bottom")).alias("gain"))
+    return means.join(found, key, "left").select(*key, "gain", F.col("low").alias("gain_low"), F.col("high").alias("gain_high"))
 
 
 def gate_scores(rows: DataFrame, chosen: DataFrame, policy: Forecast) -> DataFrame:

@@ -166,6 +166,22 @@ PARTS["iv"] = f"""SELECT l.*, CASE WHEN qs[1] IS NOT NULL THEN greatest(0.0, pre
      SELECT a.facility, a.horizon_minutes, a.model, a.origin, quantile_cont(e, [{(1 - 0.8) / 2}, {1 - (1 - 0.8) / 2}, {(1 - 0.95) / 2}, {1 - (1 - 0.95) / 2}]) AS qs
      FROM long a JOIN err ON err.facility = a.facility AND err.horizon_minutes = a.horizon_minutes AND err.model = a.model AND t > a.origin - {b.REPLAY.interval_days * DAY} AND t <= a.origin
      WHERE a.prediction IS NOT NULL GROUP BY ALL HAVING count(*) >= {b.REPLAY.minimum_errors}) q USING (facility, horizon_minutes, model, origin)"""
+
+
+def _interval(blocks: str, by: str, resamples: int, seed: int) -> str:
+    """(by, low, high) of the ratio of sums over drawn blocks; ``blocks`` has by, k, size, top, bottom."""
+    return f"""SELECT {by}, quantile_cont(top / bottom, 0.025) AS low, quantile_cont(top / bottom, 0.975) AS high FROM (
+      SELECT {", ".join(f"n.{c.strip()}" for c in by.split(","))}, resample, sum(coalesce(top, 0)) AS top, sum(coalesce(bottom, 0)) AS bottom
+      FROM (SELECT {by}, max(size) AS size FROM {blocks} GROUP BY ALL) n JOIN (SELECT size, resample, ('0x' || substr(md5('{seed}:' || resample || ':' || j), 1, 8))::BIGINT % size AS k
+        FROM (SELECT size, resample, unnest(range(size)) AS j FROM (SELECT DISTINCT size FROM {blocks}) z, range({resamples}) y(resample))) p ON p.size = n.size
+      LEFT JOIN {blocks} m ON m.k = p.k AND {" AND ".join(f"m.{c.strip()} = n.{c.strip()}" for c in by.split(","))} GROUP BY ALL) WHERE bottom > 0 GROUP BY ALL"""
+
+
+PARTS["gained"] = f"""SELECT facility, horizon_minutes, row_number() OVER (PARTITION BY facility, horizon_minutes ORDER BY day) - 1 AS k, count(*) OVER (PARTITION BY facility, horizon_minutes) AS size, top, bottom FROM (
+   SELECT b.facility, b.horizon_minutes, b.origin // {DAY} AS day, sum(abs(b.prediction - b.actual) - abs(k.prediction - b.actual)) AS top, count(*) AS bottom
+   FROM long b JOIN long k ON k.facility = b.facility AND k.horizon_minutes = b.horizon_minutes AND k.origin = b.origin
+   WHERE b.model = 'carry_forward' AND k.model = 'm1_median' AND b.actual IS NOT NULL AND b.prediction IS NOT NULL AND k.prediction IS NOT NULL GROUP BY ALL)"""
+PARTS["gainb"] = _interval("gained", "facility, horizon_minutes", b.REPLAY.resamples, b.REPLAY.seed)
 PARTS["entry"] = f"""SELECT k.facility, CASE WHEN k.facility >= 'f' OR n.us < ({T1} - {5 * HOUR}) * 1000000 THEN n.us ELSE o.us END AS us, CASE WHEN k.facility >= 'f' OR n.us < ({T1} - {5 * HOUR}) * 1000000 THEN n.value ELSE o.value END AS value,
      t.facility IS NOT NULL AND k.facility < 'f' AS failed
    FROM (SELECT DISTINCT facility FROM r UNION ALL SELECT 'absent') k
@@ -211,6 +227,13 @@ PARTS |= {
       {_reading("lc", "closest", f"t + drive_c * 60 + {_R.later_minutes * 60}", "LEFT JOIN")} {_reading("la", "alternative", f"t + drive_a * 60 + {_R.later_minutes * 60}", "LEFT JOIN")}
       {_reading("st", "alternative", f"t + drive_a * {_R.stress_ratio}::DOUBLE * 60", "LEFT JOIN")}""",
 }
+PARTS["cl"] = f"""SELECT *, CASE WHEN slot * {b.CADENCE} < {MIDNIGHT} + {21 * DAY} THEN 'discovery' ELSE 'confirmation' END AS period, CASE WHEN kind = 'screen' THEN D > 10 + value * (p90_c + p90_a) WHEN value = 0 THEN D > 0 ELSE D >= value END AS y
+   FROM opp JOIN (VALUES {", ".join(f"('{n}', '{k}', {float(v)}::DOUBLE)" for n, k, v in _R.rules)}) u(rule, kind, value) ON true"""
+PARTS["ruled"] = "SELECT period, rule, kind, value, count(*) FILTER (y) AS claims, count(DISTINCT day) FILTER (y) AS claim_days, round(avg((A > 0)::INTEGER) FILTER (y), 9) AS precision FROM cl GROUP BY ALL"
+PARTS["clday"] = "SELECT *, row_number() OVER (PARTITION BY period ORDER BY day) - 1 AS k, count(*) OVER (PARTITION BY period) AS size FROM (SELECT DISTINCT period, day FROM cl) d"
+PARTS["ruleday"] = """SELECT d.period, rule, k, size, top, bottom FROM (SELECT period, rule, day, count(*) FILTER (y AND A > 0) AS top, count(*) FILTER (y) AS bottom FROM cl GROUP BY ALL) t
+   JOIN clday d ON d.period = t.period AND d.day = t.day WHERE bottom > 0"""
+PARTS["ruleb"] = _interval("ruleday", "period, rule", _R.draws, _R.seed)
 _ORDER = list(PARTS)
 
 
@@ -344,6 +367,21 @@ PARTS |= {
 }
 
 
+_L = "lv_al WHERE family = 'co_deviation'"
+_SAME = lambda a, o: " AND ".join(f"{a}.{c} = {o}.{c}" for c in _TEST.split(", "))
+_OF = lambda a: ", ".join(f"{a}.{c}" for c in _TEST.split(", "))
+PARTS |= {
+    "cbd": f"SELECT {_TEST}, day, row_number() OVER (PARTITION BY {_TEST} ORDER BY day) - 1 AS k, count(*) OVER (PARTITION BY {_TEST}) AS size FROM (SELECT DISTINCT {_TEST}, bin // {DAY} AS day FROM {_L})",
+    "cbp": f"""SELECT {_TEST}, resample, k, count(*) AS m FROM (
+      SELECT {_TEST}, resample, ('0x' || substr(md5('{b.PAIRS.seed}:' || family || '|' || leader || '|' || follower || '|' || lag_hours || ':' || resample || ':' || j), 1, 8))::BIGINT % size AS k
+      FROM (SELECT *, unnest(range(size)) AS j FROM (SELECT DISTINCT {_TEST}, size FROM cbd) z, range({b.PAIRS.resamples}) y(resample))) GROUP BY ALL""",
+    "cbr": f"SELECT {_OF('p')}, resample, m, x, y FROM cbp p JOIN cbd d ON d.k = p.k AND {_SAME('d', 'p')} JOIN lv_al l ON l.bin // {DAY} = d.day AND {_SAME('l', 'd')}",
+    "cbk": "SELECT *, " + ", ".join(f"sum(m) OVER (PARTITION BY {_TEST}, resample ORDER BY {c}) - (sum(m) OVER (PARTITION BY {_TEST}, resample, {c}) + 1) / 2.0::DOUBLE AS r{c}" for c in "xy") + " FROM cbr",
+    "cbc": f"""SELECT {_TEST}, list_sort(list(c / sqrt(va * vb)) FILTER (va > 1e-6 AND vb > 1e-6)) AS v FROM (
+      SELECT {_TEST}, sum(m * rx * ry) - sum(m * rx) * sum(m * ry) / sum(m) AS c, sum(m * rx * rx) - sum(m * rx) ** 2 / sum(m) AS va, sum(m * ry * ry) - sum(m * ry) ** 2 / sum(m) AS vb FROM cbk GROUP BY {_TEST}, resample) GROUP BY {_TEST}""",
+}
+
+
 def _z(r: str, n: str, controls: int) -> str:
     """The argument of the error function for the p of a correlation."""
     return f"CASE WHEN ok AND {r} IS NOT NULL AND {n} - 3 - {controls} > 0 THEN abs(atanh(greatest(-0.999999, least(0.999999, {r})))) * sqrt({n} - 3 - {controls}) / sqrt(2.0::DOUBLE) END"
@@ -486,9 +524,15 @@ SELECTS = {
     "benefit_opportunities": f"SELECT origin, slot, day::VARCHAR AS day, profile, closest, alternative, {', '.join(f'round({c}, 6) AS {c}' for c in ('drive_c', 'drive_a', 'p90_c', 'p90_a', 'D', 'A', 'A60', 'A_stress'))} FROM opp",
     "benefit_rules": f"""SELECT period, coalesce(origin, 'all') AS origin, rule, kind, value, count(*) AS opportunities, count(*) FILTER (y) AS claims, count(DISTINCT day) FILTER (y) AS claim_days, round(avg(y::INTEGER), 9) AS claim_rate,
         round(avg((A > 0)::INTEGER) FILTER (y), 9) AS precision, round(quantile_cont(A, 0.5) FILTER (y), 9) AS median_A, round(quantile_cont(A, 0.1) FILTER (y), 9) AS p10_A, round(avg((A60 > 0)::INTEGER) FILTER (y), 9) AS later_precision,
-        round(avg((A_stress > 0)::INTEGER) FILTER (y), 9) AS stress_precision, count(A60) FILTER (y) AS later_n, count(A_stress) FILTER (y) AS stress_n FROM (
-        SELECT *, CASE WHEN slot * {b.CADENCE} < {MIDNIGHT} + {21 * DAY} THEN 'discovery' ELSE 'confirmation' END AS period, CASE WHEN kind = 'screen' THEN D > 10 + value * (p90_c + p90_a) WHEN value = 0 THEN D > 0 ELSE D >= value END AS y
-        FROM opp JOIN (VALUES {", ".join(f"('{n}', '{k}', {float(v)}::DOUBLE)" for n, k, v in _R.rules)}) u(rule, kind, value) ON true) GROUP BY GROUPING SETS ((period, rule, kind, value), (period, origin, rule, kind, value))""",
+        round(avg((A_stress > 0)::INTEGER) FILTER (y), 9) AS stress_precision, count(A60) FILTER (y) AS later_n, count(A_stress) FILTER (y) AS stress_n FROM cl GROUP BY GROUPING SETS ((period, rule, kind, value), (period, origin, rule, kind, value))""",
+    "forecast_gain": """SELECT q.facility, q.horizon_minutes::INTEGER AS horizon_minutes, round(sum(top) / sum(bottom), 6) AS gain, round(any_value(low) FILTER (size > 1), 6) AS gain_low, round(any_value(high) FILTER (size > 1), 6) AS gain_high
+        FROM gained q JOIN gainb g ON g.facility = q.facility AND g.horizon_minutes = q.horizon_minutes GROUP BY ALL""",
+    "benefit_intervals": "SELECT t.period, t.rule, t.claims, round(low, 6) AS low, round(high, 6) AS high FROM ruled t LEFT JOIN ruleb v ON v.period = t.period AND v.rule = t.rule",
+    "benefit_selection": f"""SELECT s.rule, s.claims AS discovery_claims, s.precision AS discovery_precision, c.claims, c.claim_days, c.precision, round(v.low, 6) AS low, round(v.high, 6) AS high,
+        CASE WHEN c.claims IS NULL OR c.claims < {_R.confirmation_claims} OR c.claim_days < {_R.confirmation_days} THEN 'inconclusive' WHEN c.precision >= {_R.confirmation_precision} THEN 'confirmed' ELSE 'failed' END AS outcome
+        FROM (SELECT t.* FROM ruled t JOIN ruleb v ON v.period = t.period AND v.rule = t.rule WHERE t.period = 'discovery' AND t.claims >= {_R.minimum_claims} AND t.claim_days >= {_R.minimum_days}
+              AND t.precision >= {_R.minimum_precision} AND v.low >= {_R.minimum_lower_bound} ORDER BY t.claims DESC, t.kind <> 'fixed', t.value DESC LIMIT 1) s
+        LEFT JOIN (SELECT * FROM ruled WHERE period = 'confirmation') c ON c.rule = s.rule LEFT JOIN (SELECT * FROM ruleb WHERE period = 'confirmation') v ON v.rule = s.rule""",
     "forecast_gate_scores": f"""SELECT q.*, coalesce(matched, 0) AS matched, days, b_mae, b_rmse, c_mae, c_rmse, availability, coverage_80, coverage_95 FROM (SELECT DISTINCT facility, horizon_minutes::INTEGER AS horizon_minutes, 'carry_forward' AS benchmark, 'm1_median' AS candidate FROM long) q
         LEFT JOIN (SELECT b.facility, b.horizon_minutes, count(*) AS matched, count(DISTINCT b.origin // {DAY}) AS days, round(avg(abs(b.prediction - b.actual)), 9) AS b_mae, round(sqrt(avg((b.prediction - b.actual) ** 2)), 9) AS b_rmse,
                           round(avg(abs(k.prediction - b.actual)), 9) AS c_mae, round(sqrt(avg((k.prediction - b.actual) ** 2)), 9) AS c_rmse FROM long b JOIN long k ON k.facility = b.facility AND k.horizon_minutes = b.horizon_minutes AND k.origin = b.origin
@@ -501,6 +545,7 @@ SELECTS = {
               FROM (SELECT DISTINCT facility FROM grid) f, (SELECT unnest(range({_START}, {_STOP}, {_F.origin_seconds})) AS origin) x, {_HORIZONS})) q
         LEFT JOIN grid g ON g.facility = q.facility AND g.slot_end = origin LEFT JOIN pcell now_ ON now_.facility = q.facility AND now_.fit = q.fit AND now_.cell = now_cell
         LEFT JOIN pcell then_ ON then_.facility = q.facility AND then_.fit = q.fit AND then_.cell = then_cell LEFT JOIN pbeta p ON p.facility = q.facility AND p.fit = q.fit AND p.step = horizon_minutes * 60 // {b.CADENCE} WHERE target < {_STOP}""",
+    "pair_bootstrap": f"SELECT {_TEST.replace('lag_hours', 'lag_hours::INTEGER AS lag_hours')}, " + ", ".join(f"CASE WHEN len(v) >= 20 THEN round(v[floor({q}::DOUBLE * (len(v) - 1))::BIGINT + 1], 6) END AS {n}" for q, n in ((0.025, "low"), (0.975, "high"))) + " FROM cbc",
     "pair_effects": f"""SELECT {_TEST.replace("lag_hours", "lag_hours::INTEGER AS lag_hours")}, bins, days, CASE WHEN ok THEN 'tested' ELSE 'insufficient_support' END AS state, round(CASE WHEN ok THEN r END, 6) AS r, round(CASE WHEN ok THEN n_eff END, 6) AS n_eff, round(CASE WHEN ok THEN sr END, 6) AS system_r, round(CASE WHEN ok THEN rr END, 6) AS residual_r,
         (SELECT round(CASE WHEN u.ok THEN u.r END, 6) FROM ctest u WHERE u.family = 'lagged_change' AND t.family = u.family AND u.leader = t.follower AND u.follower = t.leader AND u.lag_hours = t.lag_hours) AS reverse_r FROM ctest t""",
     "pair_tests": f"""SELECT {_TEST.replace("lag_hours", "lag_hours::INTEGER AS lag_hours")}, bins, days, CASE WHEN ok THEN 'tested' ELSE 'insufficient_support' END AS state, {", ".join(f"round(CASE WHEN ok THEN {v} END, 6) AS {n}" for v, n in (("r", "r"), ("n_eff", "n_eff"), ("p", "p"), ("sr", "system_r"), ("sp", "system_p"), ("rr", "residual_r"), ("rp", "residual_p"), ("q", "q")))},

@@ -448,7 +448,8 @@ def pair_effects(spark, sf_dir):
 @query
 def pair_bootstrap(spark, sf_dir):
     tests = association.tests_of(b.event_registry(b.readings(spark, sf_dir)), b.PAIRS).where("family = 'co_deviation'")
-    return association.bootstrap(association.aligned(_series(spark, sf_dir), tests, b.PAIRS), b.PAIRS)
+    found = association.bootstrap(association.aligned(_series(spark, sf_dir), tests, b.PAIRS), b.PAIRS)
+    return found.select(*association.KEY, F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 def _study(spark, sf_dir):
@@ -565,7 +566,8 @@ def _chosen(spark, sf_dir, rows):
 @query
 def forecast_gain(spark, sf_dir):
     rows = _long(spark, sf_dir)
-    return forecast.bootstrap_gain(forecast.paired(rows, _chosen(spark, sf_dir, rows)), b.REPLAY)
+    found = forecast.bootstrap_gain(forecast.paired(rows, _chosen(spark, sf_dir, rows)), b.REPLAY)
+    return found.select("facility", "horizon_minutes", *[F.round(c, 6).alias(c) for c in ("gain", "gain_low", "gain_high")])
 
 
 @query
@@ -661,7 +663,8 @@ def benefit_intervals(spark, sf_dir):
 
 @query
 def benefit_selection(spark, sf_dir):
-    return studies.benefit_decision(studies.benefit_periods(_opportunities(spark, sf_dir), b.RULES), b.RULES)
+    found = studies.benefit_decision(studies.benefit_periods(_opportunities(spark, sf_dir), b.RULES), b.RULES)
+    return found.withColumns({c: F.round(c, 6) for c in ("low", "high")})
 
 
 @query

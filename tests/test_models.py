@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from dataclasses import replace
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from slotwise.functions.resampling import picks, ratio_intervals
 from slotwise.functions.time import calendar
 from slotwise.operators import association, benefit, dedup, forecast, models
 from slotwise.plans import studies
@@ -228,6 +230,10 @@ def test_phases_are_guarded(spark, tmp_path):
 # ---------------------------------------------------------------- resampling
 
 
+def hashed(seed: int, resample: int, size: int) -> list[int]:
+    return [int(hashlib.md5(f"{seed}:{resample}:{j}".encode()).hexdigest()[:8], 16) % size for j in range(size)]
+
+
 def test_precision_intervals_against_plain_python(spark):
     policy = Benefit(draws=300)
     rng = random.Random(8)
@@ -236,14 +242,28 @@ def test_precision_intervals_against_plain_python(spark):
     found = benefit.precision_intervals(claimed, [], policy).first()
     days = sorted({r[0] for r in rows})
     per = {d: (sum(r[2] for r in rows if r[0] == d), sum(r[2] and r[3] > 0 for r in rows if r[0] == d)) for d in days}
-    draw, values = random.Random(policy.seed), []
-    for _ in range(policy.draws):
-        total = [per[d] for d in draw.choices(days, k=len(days))]
+    values = []
+    for resample in range(policy.draws):
+        total = [per[days[k]] for k in hashed(policy.seed, resample, len(days))]
         if sum(n for n, _ in total):
             values.append(sum(h for _, h in total) / sum(n for n, _ in total))
     assert math.isclose(found.low, np.quantile(values, 0.025)) and math.isclose(found.high, np.quantile(values, 0.975))
 
 
+def test_ratio_intervals_of_counted_draws(spark):
+    """Like those of a seeded generator within its own error; blocks without a row are zeros; tests without a count have no interval."""
+    rng = np.random.default_rng(3)
+    top, bottom = rng.normal(3, 2, 30), rng.integers(5, 20, 30)
+    rows = [("x", k, 30, float(top[k]), float(bottom[k])) for k in range(30) if k != 7] + [("y", 1, 2, 4.0, 2.0), ("z", 0, 3, 0.0, 0.0)]
+    top[7] = bottom[7] = 0
+    found = {r.t: r for r in ratio_intervals(spark.createDataFrame(rows, "t string, k int, size int, top double, bottom double"), ["t"], 2000, 5).collect()}
+    ends = np.array([np.quantile(top[p].sum(1) / bottom[p].sum(1), [0.025, 0.975]) for p in (np.random.default_rng(s).integers(0, 30, (2000, 30)) for s in range(12))])
+    assert np.all(np.abs([found["x"].low, found["x"].high] - ends.mean(0)) < 4 * ends.std(0, ddof=1))
+    assert (found["y"].low, found["y"].high) == (2.0, 2.0) and set(found) == {"x", "y"}
+    drawn = {(r["size"], r.resample): r.picks for r in picks(spark.createDataFrame([(5,), (1,)], "size int"), 40, 9).collect()}
+    assert len(drawn) == 80 and all(p == hashed(9, r, n) for (n, r), p in drawn.items())
+
+
 def test_rule_selection_and_outcome(spark):
     policy = Benefit()
     rows = [("F10", "fixed", 10.0, 60, 6, 0.95, 0.85), ("F20", "fixed", 20.0, 60, 6, 0.95, 0.85), ("S1", "screen", 1.0, 60, 6, 0.99, 0.9), ("F0", "fixed", 0.0, 500, 9, 0.5, 0.4), ("F30", "fixed", 30.0, 49, 9, 1.0, 1.0)]
@@ -253,15 +273,27 @@ def test_rule_selection_and_outcome(spark):
     assert {r.rule: r.outcome for r in benefit.outcome(later, policy).collect()} == {"a": "inconclusive", "b": "confirmed", "c": "failed", "d": "inconclusive"}
 
 
+def plain_ranks(values: list[float]) -> list[float]:
+    return [sum(v < x for v in values) + (values.count(x) - 1) / 2 for x in values]
+
+
 def test_ranks_and_the_interval_of_a_correlation(spark):
-    assert association._ranks(np.array([0, 0, 5, 3])).tolist() == [0.5, 0.5, 3, 2]
+    assert association._ranks(np.array([0, 0, 5, 3]), np.ones((1, 4)))[0].tolist() == [0.5, 0.5, 3, 2] == plain_ranks([0, 0, 5, 3])
     rng = random.Random(6)
-    rows = [("co_deviation", "a", "b", 0, 3600 * k, x := rng.gauss(0, 1), 0.8 * x + rng.gauss(0, 0.5)) for k in range(24 * 20)]
+    rows = [("co_deviation", "a", "b", 0, 3600 * k, x := rng.randrange(-9, 9) / 4, x + rng.randrange(-6, 7) / 4) for k in range(24 * 9)]
     df = spark.createDataFrame(rows, "family string, leader string, follower string, lag_hours int, bin long, x double, y double")
-    found = association.bootstrap(df, Association(resamples=200)).first()
-    r = np.corrcoef(association._ranks(np.array([x[5] for x in rows])), association._ranks(np.array([x[6] for x in rows])))[0, 1]
-    assert found.low < r < found.high and found.high - found.low < 0.15
+    policy = Association(resamples=60)
+    found = association.bootstrap(df, policy).first()
+    values = []
+    for r in range(policy.resamples):
+        days = [int(hashlib.md5(f"{policy.seed}:co_deviation|a|b|0:{r}:{j}".encode()).hexdigest()[:8], 16) % 9 for j in range(9)]
+        some = [row for d in days for row in rows[24 * d : 24 * d + 24]]
+        values.append(np.corrcoef(plain_ranks([row[5] for row in some]), plain_ranks([row[6] for row in some]))[0, 1])
+    values.sort()
+    assert math.isclose(found.low, values[int(0.025 * 59)]) and math.isclose(found.high, values[int(0.975 * 59)])
     assert association.bootstrap(df, Association(resamples=10)).first().low is None
+    flat = association.bootstrap(df.withColumn("x", F.lit(1.0)), policy).collect()
+    assert len(flat) == 1 and flat[0].low is None
 
 
 def test_medians_without_two_members(spark):
