@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from slotwise.functions.resampling import PARTS
 from slotwise.functions.stats import average_rank, benjamini_hochberg, median, p_value, pearson
 from slotwise.functions.time import local_hour
-from slotwise.operators.places import small
+from slotwise.operators.places import name_pairs, small
 from slotwise.policy import Association
 from slotwise.session import cut
 
@@ -91,11 +91,9 @@ def _partial(a: str, b: str):
 
 def tests_of(registry: DataFrame, policy: Association) -> DataFrame:
     """Every pair of the registry in each family: co-deviation, same-time change, lagged change both ways."""
-    a, b = registry.select(F.col("facility").alias("a"), F.col("pos").alias("pa")), registry.select(F.col("facility").alias("b"), F.col("pos").alias("pb"))
-    pairs = a.join(b, F.col("pa") < F.col("pb"))
     kinds = [("co_deviation", False, 0), ("same_time_change", False, 0), *[("lagged_change", turn, lag) for lag in policy.lags for turn in (False, True)]]
     made = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(t).alias("turned"), F.lit(lag).alias("lag_hours")) for f, t, lag in kinds])).alias("k")
-    rows = pairs.select("a", "b", made)
+    rows = name_pairs(registry).select("a", "b", made)
     return rows.select("k.family", F.when(F.col("k.turned"), F.col("b")).otherwise(F.col("a")).alias("leader"), F.when(F.col("k.turned"), F.col("a")).otherwise(F.col("b")).alias("follower"), "k.lag_hours")
 
 

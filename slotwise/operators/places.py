@@ -19,18 +19,22 @@ def small(df: DataFrame, rows: int = REGISTRY_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def pairs(registry: DataFrame) -> DataFrame:
-    """Unordered pairs of the registry in its own order, with their distance. ``registry`` has facility, pos, latitude, longitude.
+def name_pairs(registry: DataFrame) -> DataFrame:
+    """(a, b): unordered pairs of the registry in its own order. ``registry`` has facility, pos.
 
     Every pair is the result wanted here; a registry is a small dimension, and a larger one is refused.
     """
     if registry.limit(REGISTRY_ROWS + 1).count() > REGISTRY_ROWS:
         raise ValueError(f"all pairs are made of at most {REGISTRY_ROWS} places; use within()")
-    a = registry.select(*[F.col(c).alias(f"a_{c}") for c in ("facility", "pos", "latitude", "longitude")])
-    b = registry.select(*[F.col(c).alias(f"b_{c}") for c in ("facility", "pos", "latitude", "longitude")])
-    met = a.join(F.broadcast(b), F.col("a_pos") < F.col("b_pos"))
+    side = lambda name: registry.select(F.col("facility").alias(name), F.col("pos").alias(f"{name}_pos"))
+    return side("a").join(F.broadcast(side("b")), F.col("a_pos") < F.col("b_pos")).select("a", "b")
+
+
+def pairs(registry: DataFrame) -> DataFrame:
+    """``name_pairs`` with their distance ``km``. ``registry`` has latitude and longitude too."""
+    at = lambda name: F.broadcast(registry.select(F.col("facility").alias(name), F.col("latitude").alias(f"{name}_latitude"), F.col("longitude").alias(f"{name}_longitude")))
     km = distance_km(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude"))
-    return met.select(F.col("a_facility").alias("a"), F.col("b_facility").alias("b"), km.alias("km"))
+    return name_pairs(registry).join(at("a"), "a").join(at("b"), "b").select("a", "b", km.alias("km"))
 
 
 def within(registry: DataFrame, km: float) -> DataFrame:
@@ -79,24 +83,31 @@ def neighbour_groups(registry: DataFrame, km: float) -> DataFrame:
             return labels
 
 
-def areas(registry: DataFrame, groups: DataFrame, minimum: int = 3) -> DataFrame:
+# Fixed value: the label of the area of all places.
+ALL_PLACES = "All hospitals"
+
+
+def areas(registry: DataFrame, groups: DataFrame, minimum: int = 3, *, all_label: str = ALL_PLACES, known: dict[str, str] | None = None) -> DataFrame:
     """(place, key, kind, label, members, facilities): all places, neighbour groups of at least ``minimum``, and every region.
 
     Groups stand after all, larger first, of equals the one whose first member comes first; regions in the order of
-    their first member. Members keep the registry's order. ``registry`` has facility, pos, region.
+    their first member. Members keep the registry's order. ``registry`` has facility, pos, region, and name where
+    labels of groups are to show another name than the facility's; a group with a member in ``known`` has the label given there.
     """
     kinds = F.array(
         F.struct(F.lit(0).alias("rank"), F.lit("all").alias("kind"), F.lit("all").alias("area")),
         F.struct(F.lit(1).alias("rank"), F.lit("near").alias("kind"), F.col("group").alias("area")),
         F.when(F.coalesce(F.col("region"), F.lit("")) != "", F.struct(F.lit(2).alias("rank"), F.lit("region").alias("kind"), F.col("region").alias("area"))),
     )
-    rows = registry.join(groups, "facility").select("facility", "pos", F.explode(F.array_compact(kinds)).alias("x"))
-    found = rows.groupBy("x.rank", "x.kind", "x.area").agg(F.count(F.lit(1)).alias("members"), F.min("pos").alias("first"), F.sort_array(F.collect_list(F.struct("pos", "facility"))).alias("list"))
+    shown = F.col("name" if "name" in registry.columns else "facility").alias("shown")
+    rows = registry.join(groups, "facility").select("facility", "pos", shown, F.explode(F.array_compact(kinds)).alias("x"))
+    found = rows.groupBy("x.rank", "x.kind", "x.area").agg(F.count(F.lit(1)).alias("members"), F.min("pos").alias("first"), F.sort_array(F.collect_list(F.struct("pos", "facility", "shown"))).alias("list"))
     found = found.where((F.col("kind") != "near") | (F.col("members") >= minimum))
     names = F.transform("list", lambda x: x["facility"])
     slug = lambda c: F.regexp_replace(F.lower(c), " ", "-")
     key = F.when(F.col("kind") == "all", "all").when(F.col("kind") == "near", F.concat(F.lit("near-"), names[0])).otherwise(F.concat(F.lit("region-"), slug(F.col("area"))))
-    label = F.when(F.col("kind") == "all", "All places").when(F.col("kind") == "near", F.array_join(names, " / ")).otherwise(F.col("area"))
+    joined = F.coalesce(*[F.when(F.array_contains(names, who), text) for who, text in (known or {}).items()], F.array_join(F.transform("list", lambda x: x["shown"]), " / "))
+    label = F.when(F.col("kind") == "all", all_label).when(F.col("kind") == "near", joined).otherwise(F.col("area"))
     # One row an area: the table to number is as small as the registry's groups.
     order = Window.orderBy("rank", F.when(F.col("kind") == "near", -F.col("members")), "first")
     return found.select((F.row_number().over(order) - 1).alias("place"), key.alias("key"), "kind", label.alias("label"), "members", F.array_join(names, ",").alias("facilities"))

@@ -485,7 +485,7 @@ SELECTS = {
     "place_separation": f"SELECT x.facility, round({_km('x', 'o', '6371000.0')}, 3) AS meters FROM reg x, (SELECT 35.0 AS latitude, -90.0 AS longitude) o",
     "neighbour_groups": 'SELECT facility, "group" FROM grp',
     "area_groups": """SELECT (row_number() OVER (ORDER BY rank, CASE WHEN rank = 1 THEN -members END, first) - 1)::INTEGER AS place, CASE rank WHEN 0 THEN 'all' WHEN 1 THEN 'near-' || names[1] ELSE 'region-' || replace(lower(area), ' ', '-') END AS key,
-        CASE rank WHEN 0 THEN 'all' WHEN 1 THEN 'near' ELSE 'region' END AS kind, CASE rank WHEN 0 THEN 'All places' WHEN 1 THEN array_to_string(names, ' / ') ELSE area END AS label, members, array_to_string(names, ',') AS facilities FROM (
+        CASE rank WHEN 0 THEN 'all' WHEN 1 THEN 'near' ELSE 'region' END AS kind, CASE rank WHEN 0 THEN 'All hospitals' WHEN 1 THEN array_to_string(names, ' / ') ELSE area END AS label, members, array_to_string(names, ',') AS facilities FROM (
         SELECT rank, area, count(*) AS members, min(pos) AS first, list(facility ORDER BY pos) AS names FROM (
           SELECT facility, pos, 0 AS rank, 'all' AS area FROM reg UNION ALL SELECT x.facility, x.pos, 1, y."group" FROM reg x JOIN grp y ON y.facility = x.facility UNION ALL SELECT facility, pos, 2, region FROM reg) GROUP BY rank, area)
         WHERE rank <> 1 OR members >= 3""",

@@ -420,8 +420,7 @@ def demeaned_deviations(spark, sf_dir):
 @query
 def pair_episodes(spark, sf_dir):
     found = b.event_registry(b.readings(spark, sf_dir))
-    pairs = found.alias("x").join(found.alias("y"), F.col("x.pos") < F.col("y.pos")).select(F.col("x.facility").alias("a"), F.col("y.facility").alias("b"))
-    return association.episodes(_series(spark, sf_dir), pairs, 0, b.PAIRS)
+    return association.episodes(_series(spark, sf_dir), places.name_pairs(found), 0, b.PAIRS)
 
 
 @query

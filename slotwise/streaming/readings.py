@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from slotwise.functions.time import local_date, local_hour
 from slotwise.streaming import commits
 
 READING = "facility string, at timestamp, batch timestamp, value int"
@@ -34,6 +35,20 @@ def hours(stream: DataFrame, minimum: int = 2, late: str = "1 hour") -> DataFram
     return out.where(F.col("n") >= minimum).select("facility", F.col("window.start").alias("hour"), "median", "n")
 
 
+def deviation_hours(stream: DataFrame, usual: DataFrame, zone: str, minutes: int = 15, minimum: int = 2, late: str = "1 hour") -> DataFrame:
+    """(facility, hour, deviation, n): hourly medians of what the winner of each slot differs from the usual of its local day and hour.
+
+    ``usual`` is a table with facility, local_date, local_hour and median, made from the days before each; slots whose hour has none and hours of
+    fewer than ``minimum`` slots stay out. A slot is settled when the watermark has passed it and an hour when its slots are, so the query runs in append mode.
+    """
+    windowed = stream.withWatermark("at", late).groupBy("facility", F.window("at", f"{minutes} minutes")).agg(F.max(F.struct("at", "batch", "value")).alias("w"))
+    at = F.col("w.at")
+    won = windowed.select("facility", F.window_time("window").alias("end"), "w.value", local_date(at, zone).alias("local_date"), local_hour(at, zone).alias("local_hour"))
+    met = won.join(usual.where("median IS NOT NULL").select("facility", "local_date", "local_hour", "median"), ["facility", "local_date", "local_hour"])
+    out = met.groupBy("facility", F.window("end", "1 hour")).agg(F.percentile(F.col("value") - F.col("median"), F.lit(0.5)).alias("deviation"), F.count(F.lit(1)).alias("n"))
+    return out.where(F.col("n") >= minimum).select("facility", F.col("window.start").alias("hour"), "deviation", "n")
+
+
 def sessions(stream: DataFrame, gap: str = "20 minutes", late: str = "1 hour") -> DataFrame:
     """Runs of readings closed by a gap."""
     out = stream.withWatermark("at", late).groupBy("facility", F.session_window("at", gap)).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("highest"))

@@ -7,7 +7,9 @@ import threading
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
+from slotwise.policy import ZONE
 from slotwise.streaming import commits, readings
 
 
@@ -65,6 +67,18 @@ def test_windows(spark, tmp_path):
     assert sorted(r.n for r in spark.table("runs").collect()) == [1, 3]
 
 
+def test_hours_of_deviations(spark, tmp_path):
+    """Winners of slots against the usual of their local hour; no usual, no slot; one slot, no hour."""
+    day = "2026-01-10T"
+    rows = [("a", "12:01", 5), ("a", "12:14", 7), ("a", "12:16", 1), ("a", "12:50", 30), ("a", "13:05", 9), ("a", "13:40", 9), ("a", "14:00", 9), ("b", "12:00", 2), ("b", "12:20", 2)]
+    put(tmp_path / "in", "1.json", [(f, f"{day}{at}:00Z", v) for f, at, v in rows])
+    put(tmp_path / "in", "2.json", [("a", "2026-01-12T00:00:00Z", 1)])
+    usual = spark.createDataFrame([("a", "2026-01-10", 6, 4.0), ("a", "2026-01-10", 7, None), ("a", "2026-01-10", 8, 1.0), ("b", "2026-01-09", 6, 1.0)], "facility string, local_date string, local_hour int, median double").withColumn("local_date", F.to_date("local_date"))
+    stream = readings.source(spark, str(tmp_path / "in"), files_a_trigger=1)
+    run(readings.deviation_hours(stream, usual, ZONE).writeStream.outputMode("append").format("memory").queryName("departures").option("checkpointLocation", str(tmp_path / "c")))
+    assert [(r.facility, r.hour.hour, r.deviation, r.n) for r in spark.table("departures").collect()] == [("a", 12, 3.0, 3)]
+
+
 def test_published_versions(spark, tmp_path):
     registry = spark.createDataFrame([("a",), ("z",)], "facility string")
     put(tmp_path / "in", "1.json", [("a", "2026-01-01T00:10:00Z", 5)])

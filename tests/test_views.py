@@ -125,12 +125,15 @@ def test_areas_of_a_chain_a_pair_and_regions(spark):
     places_ = table(spark, [(f, p, r, lat, -90.0) for f, p, r, lat in rows], "facility string, pos int, region string, latitude double, longitude double")
     found = places.areas(places_, places.neighbour_groups(places_, 50))
     assert [tuple(r) for r in found.orderBy("place").collect()] == [
-        (0, "all", "all", "All places", 6, "far,c,a,b,p,q"), (1, "near-c", "near", "c / a / b", 3, "c,a,b"),
+        (0, "all", "all", "All hospitals", 6, "far,c,a,b,p,q"), (1, "near-c", "near", "c / a / b", 3, "c,a,b"),
         (2, "region-west", "region", "West", 4, "far,c,p,q"), (3, "region-east-end", "region", "East End", 1, "a"),
     ]
     assert places.areas_problem(found, places_) is None and places.areas_problem(found.where("place > 0"), places_) is not None
     assert places.areas_problem(found, places_.where("facility <> 'q'")) is not None
     assert places.area_members(found, places_).count() == 14
+    named = places_.withColumn("name", F.upper("facility"))
+    labels = lambda **more: [r.label for r in places.areas(named, places.neighbour_groups(places_, 50), **more).orderBy("place").collect()][:2]
+    assert labels() == ["All hospitals", "C / A / B"] and labels(all_label="All", known={"a": "Around A"}) == ["All", "Around A"]
 
 
 def test_origins(spark):
