@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import json
+import re
 import zlib
+from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from slotwise.functions.time import instant
 from slotwise.operators.dedup import duplicate_counts, latest_by_key
@@ -29,6 +32,8 @@ SCHEMA = "facility string, metric string, wait_minutes int, observed_at string,
 #: Every line boundary of text, not the line feed alone.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 MOST_ISSUES = 25
+#: Characters of an unzipped object that are in memory at a time, and records of a raw object that is written.
+PIECE, RECORDS_A_FILE = 1 << 20, 50_000
 #: Names of raw objects (Spark's text writer ends its files in .txt) and of compacted ones.
 RAW, PACKED = r"\.(jsonl|txt)$", r"\.gz$"
 
@@ -75,16 +80,45 @@ def choose(spark: SparkSession, first: str, last: str, raw: DataFrame, compacted
     return rows.withColumn("source", source).withColumn("completeness", state).select("dt", "source", "completeness", n.cast("int").alias("objects"))
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
-def decoded(content: pd.Series, path: pd.Series) -> pd.DataFrame:
-    """Text of an object, unzipped if its name says so; or the name of the error."""
-    rows = []
-    for body, key in zip(content, path, strict=True):
-        try:
-            rows.append(((gzip.decompress(body) if key.endswith(".gz") else body).decode(), None))
-        except (OSError, EOFError, UnicodeError, zlib.error) as error:
-            rows.append((None, type(error).__name__))
-    return pd.DataFrame(rows, columns=["text", "error"])
+def _pieces(body: bytes) -> Iterator[str]:
+    """Text of a gzip object, in pieces of about ``PIECE`` characters that end with a line feed."""
+    with io.TextIOWrapper(gzip.GzipFile(fileobj=io.BytesIO(body)), encoding="utf-8", newline="\n") as text:
+        while found := text.readlines(PIECE):
+            yield "".join(found)
+
+
+def unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(dt, key, first, text, error) of gzip objects: pieces of text with the number of lines before, or the name of the error.
+
+    An object is unzipped twice, piece by piece: first to learn whether it is whole, so that a corrupt one gives no line.
+    """
+    breaks = re.compile(LINE_BREAK)
+
+    def row(batch: pa.RecordBatch, i: int, first: int, text: str | None, error: str | None) -> pa.RecordBatch:
+        dated = batch.slice(i, 1)
+        return pa.RecordBatch.from_arrays([dated.column(0), dated.column(1), pa.array([first], pa.int32()), pa.array([text], pa.string()), pa.array([error], pa.string())], names=["dt", "key", "first", "text", "error"])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            body, first = batch.column(2)[i].as_py(), 0
+            try:
+                for _ in _pieces(body):
+                    pass
+            except (OSError, EOFError, UnicodeError, zlib.error) as error:
+                yield row(batch, i, 0, None, type(error).__name__)
+                continue
+            for text in _pieces(body):
+                yield row(batch, i, first, text, None)
+                first += len(breaks.findall(text))
+
+
+def texts(files: DataFrame, source: str) -> DataFrame:
+    """(dt, key, first, text, error) of the objects of a source. Python sees the compressed ones alone."""
+    if source == "compacted":
+        return files.select("dt", "key", "content").mapInArrow(unzipped, "dt date, key string, first int, text string, error string")
+    text = F.col("content").cast("string")
+    valid = F.is_valid_utf8(text)
+    return files.select("dt", "key", F.lit(0).alias("first"), F.when(valid, text).alias("text"), F.when(~valid, "UnicodeDecodeError").alias("error"))
 
 
 def folders(root: str, dataset: str, chosen: DataFrame) -> dict[str, list[str]]:
@@ -101,23 +135,22 @@ def lines(spark: SparkSession, root: str, dataset: str, chosen: DataFrame, pinne
     Only the chosen days' folders are read. ``pinned`` is a listing (key, etag): an object that is not in it, or whose
     content has changed since, ends the read with an error.
     """
-    patterns, files = {"raw": "*.{jsonl,txt}", "compacted": "*.gz"}, None
+    patterns, found = {"raw": "*.{jsonl,txt}", "compacted": "*.gz"}, []
     for source, places in folders(root, dataset, chosen).items():
         if places:
-            some = spark.read.format("binaryFile").option("pathGlobFilter", patterns[source]).option("recursiveFileLookup", "true").load(places)
-            files = some if files is None else files.unionByName(some)
-    if files is None:
+            files = spark.read.format("binaryFile").option("pathGlobFilter", patterns[source]).option("recursiveFileLookup", "true").load(places)
+            files = files.select(F.col("path").alias("key"), "content", F.regexp_extract("path", r"/dt=(\d{4}-\d{2}-\d{2})/", 1).cast("date").alias("dt"))
+            if pinned is not None:
+                # The reader lists the same objects in the driver: their digests are broadcast, so that no content is shuffled.
+                known = files.join(F.broadcast(pinned.select("key", "etag")), "key", "left")
+                same = F.coalesce(F.md5("content") == F.col("etag"), F.lit(False))
+                files = known.withColumn("content", F.when(same, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("changed since it was listed: "), F.col("key"))).cast("binary"))).drop("etag")
+            found.append(texts(files, source))
+    if not found:
         return spark.createDataFrame([], "dt date, key string, line int, text string, error string")
-    files = files.select(F.col("path").alias("key"), "content", F.regexp_extract("path", r"/dt=(\d{4}-\d{2}-\d{2})/", 1).cast("date").alias("dt"))
-    if pinned is not None:
-        known = files.join(pinned.select("key", "etag"), "key", "left")
-        same = F.coalesce(F.md5("content") == F.col("etag"), F.lit(False))
-        files = known.withColumn("content", F.when(same, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("changed since it was listed: "), F.col("key"))).cast("binary"))).drop("etag")
-    files = files.withColumn("body", decoded("content", "key"))
-    bad = files.where("body.error IS NOT NULL").select("dt", "key", F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("text"), F.col("body.error").alias("error"))
-    good = files.where("body.error IS NULL").select("dt", "key", F.posexplode(F.split("body.text", LINE_BREAK)).alias("line", "text"))
-    good = good.where(F.trim("text") != "").select("dt", "key", (F.col("line") + 1).alias("line"), "text", F.lit(None).cast("string").alias("error"))
-    return good.unionByName(bad)
+    each = reduce(DataFrame.unionByName, found).select("dt", "key", "first", "error", F.posexplode(F.split(F.coalesce("text", F.lit("")), LINE_BREAK)).alias("at", "text"))
+    whole = F.col("error").isNull()
+    return each.where(~whole | (F.trim("text") != "")).select("dt", "key", F.when(whole, F.col("first") + F.col("at") + 1).alias("line"), F.when(whole, F.col("text")).alias("text"), "error")
 
 
 def load(spark: SparkSession, root: str, dataset: str, start: Column, end: Column, now: Column, stored: DataFrame, metric: str | None = None, manifest: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -190,7 +223,7 @@ def unknown_facilities(records: DataFrame, registry: DataFrame) -> DataFrame:
 def write_raw(records: DataFrame, root: str, dataset: str) -> None:
     """Append records as JSON lines under the day of their batch."""
     text = F.to_json(F.struct(*[F.col(f) for f in ("facility", "metric", "wait_minutes", "observed_at", "batch_id", "latency_ms")]))
-    records.select(text.alias("value"), F.to_date(instant(F.col("batch_id"))).alias("dt")).write.mode("append").partitionBy("dt").text(f"{root}/raw/{dataset}")
+    records.select(text.alias("value"), F.to_date(instant(F.col("batch_id"))).alias("dt")).write.mode("append").option("maxRecordsPerFile", RECORDS_A_FILE).partitionBy("dt").text(f"{root}/raw/{dataset}")
 
 
 PART_BYTES = 128 << 20

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gzip
 import json
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +254,26 @@ def test_raw_batches_land_under_their_day(spark, tmp_path):
     history.write_raw(spark.createDataFrame([tuple(r[f] for f in history.FIELDS) for r in rows], "batch_id string, facility string, latency_ms int, metric string, observed_at string, wait_minutes int"), str(tmp_path), "wait")
     found = history.listing(spark, f"{tmp_path}/raw/wait").where("key LIKE '%part-%'").select("dt").distinct().collect()
     assert [str(r.dt) for r in found] == [DAY]
+
+
+def test_raw_objects_are_read_without_python(spark, store, capsys):
+    store("raw", DAY, "a.jsonl", line() + "\r\n\x85" + line(facility="south"))
+    store("raw", DAY, "b.jsonl", line().encode() + b"\n\xff")
+    found = rows(spark, store)
+    assert sorted((r.line or 0, r.facility, r.reject_reason) for r in found.collect()) == [(0, None, "UnicodeDecodeError"), (1, "north", None), (3, "south", None)]
+    found.explain()
+    assert "Arrow" not in capsys.readouterr().out
+
+
+def test_compacted_objects_are_unzipped_in_pieces(spark, store):
+    """Lines keep their numbers over pieces, no piece holds much of an object, and one that is cut off gives no line."""
+    breaks = ["\n", "\r\n", "\r", " \n", "\n\n"]
+    text = "".join(line(wait_minutes=k, facility="é" * (k % 7 + 1)) + breaks[k % 5] for k in range(20_000))
+    body = gzip.compress(text.encode())
+    batch = pa.RecordBatch.from_pydict({"dt": [None] * 2, "key": ["a", "b"], "content": [body, body[:-9]]})
+    pieces = [r for b in history.unzipped(iter([batch])) for r in b.to_pylist()]
+    assert [(r["key"], r["error"]) for r in pieces if r["error"]] == [("b", "EOFError")] and {r["key"] for r in pieces if r["text"]} == {"a"}
+    assert "".join(r["text"] or "" for r in pieces) == text and max(len(r["text"] or "") for r in pieces) < history.PIECE + 1_000 < len(text)
+    store("compacted", DAY, "data.jsonl.gz", body)
+    expected = [(k, json.loads(t)["wait_minutes"]) for k, t in enumerate(re.split(history.LINE_BREAK, text), 1) if t.strip()]
+    assert sorted((r.line, r.wait_minutes) for r in rows(spark, store, "compacted").collect()) == expected
