@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotwise.session import cut, shared_dir
+from slotwise.session import cut, shared_dir, stored
 
 __all__ = ["HOT_KEYS", "col", "cut", "digest", "fresh", "looked_up", "read", "shared_dir", "running_totals", "stored", "whole_row"]
 
@@ -19,14 +17,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write a larger intermediate as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/slotwise/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def col(name: str) -> Column:
     return F.col(f"`{name}`")
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from slotwise.functions.time import instant
 from slotwise.operators.dedup import duplicate_counts, latest_by_key
 from slotwise.session import cut
+from slotwise.session import stored as kept
 from slotwise.sources.manifest import day_folders, listed, objects
 
 # The closed fields of a record, in order of name.
@@ -166,7 +167,8 @@ def load(spark: SparkSession, root: str, dataset: str, start: Column, end: Colum
     raw, packed = (cut(listing(spark, f"{root}/{kind}/{dataset}", first, last, manifest and f"{manifest}/{kind}/{dataset}")) for kind in ("raw", "compacted"))
     inside = lambda objects, pattern: objects.where(F.col("dt").between(first, last) & F.col("key").rlike(pattern))
     partitions = cut(choose(spark, first, last, inside(raw, RAW), inside(packed, PACKED), stored, F.lit(today).cast("date")))
-    rows = validated(lines(spark, root, dataset, partitions, raw.unionByName(packed)), now)
+    # Records, counters and issues are three reads of the rows, which are decoded and checked once.
+    rows = kept(validated(lines(spark, root, dataset, partitions, raw.unionByName(packed)), now), "validated")
     records, counts, issues = history(rows, start, end, metric)
     return records, counts, issues, partitions
 

@@ -277,3 +277,12 @@ def test_compacted_objects_are_unzipped_in_pieces(spark, store):
     store("compacted", DAY, "data.jsonl.gz", body)
     expected = [(k, json.loads(t)["wait_minutes"]) for k, t in enumerate(re.split(history.LINE_BREAK, text), 1) if t.strip()]
     assert sorted((r.line, r.wait_minutes) for r in rows(spark, store, "compacted").collect()) == expected
+
+
+def test_history_is_decoded_once(spark, store, capsys):
+    """Records, counters and issues read what has been decoded, not the objects."""
+    store("raw", DAY, "a.jsonl", "\n".join([line(), line(), "x"]))
+    at = lambda d: F.lit(d).cast("timestamp")
+    records, counts, issues, _ = history.load(spark, store.root, "wait", at(DAY), at("2026-09-14"), at("2026-10-01"), spark.createDataFrame([], "dt date, fingerprint string"))
+    assert (records.count(), counts.first().duplicate_records, counts.first().rejected_records, issues.count()) == (1, 1, 1, 1)
+    assert not any(f.endswith(".jsonl") for df in (records, counts, issues) for f in df.inputFiles())
