@@ -89,12 +89,14 @@ def p_value(r: Column, n_eff: Column, controls: int = 0) -> Column:
 
 def benjamini_hochberg(tests: DataFrame, p: str, order: str, by: list[str], q: str = "q") -> DataFrame:
     """``tests`` with adjusted values: the running minimum of p m / rank from the largest p down. Nulls stay null and do not count."""
-    groups = by or [F.lit(0)]
     none = F.col(p).isNull()
-    ranked = tests.withColumns({"bh_m": F.count(p).over(Window.partitionBy(*groups)), "bh_rank": F.row_number().over(Window.partitionBy(*groups, none).orderBy(p, order))})
-    later = Window.partitionBy(*groups, none).orderBy("bh_rank").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    lowest = F.min(F.col(p) * F.col("bh_m") / F.col("bh_rank")).over(later)
-    return ranked.withColumn(q, F.when(~none, F.least(F.lit(1.0), lowest))).drop("bh_m", "bh_rank")
+    group = Window.partitionBy(*(by or [F.lit(0)]), none)
+    # From the largest p down, so that ranks and the minimum are running values of one order: a frame that ends with its group is made anew for each row.
+    down = group.orderBy(F.desc(p), F.desc(order))
+    m = F.count(F.lit(1)).over(group)
+    ranked = tests.withColumn("bh_p", F.col(p) * m / (m - F.row_number().over(down) + 1))
+    lowest = F.min("bh_p").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ranked.withColumn(q, F.when(~none, F.least(F.lit(1.0), lowest))).drop("bh_p")
 
 
 def spread(rows: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import statistics
+import time
 
 from pyspark.sql import functions as F
 
@@ -64,3 +65,17 @@ def test_erfc_is_that_of_the_library(spark):
     rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", stats.erfc(F.col("x")).alias("y")).collect()
     for r in rows:
         assert (r.y is None) == (r.x is None) and (r.x is None or math.isclose(r.y, math.erfc(r.x), rel_tol=1e-12, abs_tol=1e-300)), r
+
+
+def test_false_discovery_of_a_large_family(spark):
+    """Linear in the family: against plain Python, with ties and nulls, in a time that a quadratic frame does not keep."""
+    ps = [None if k % 11 == 0 else (k * 7919 % 5003 + 1) / 20000 for k in range(150_000)]
+    df = spark.range(len(ps)).select(F.col("id").alias("k"), F.when(F.col("id") % 11 != 0, (F.col("id") * 7919 % 5003 + 1) / 20000.0).alias("p"))
+    began = time.time()
+    found = {r.k: r.q for r in stats.benjamini_hochberg(df, "p", "k", []).collect()}
+    assert time.time() - began < 30
+    order = sorted((k for k, p in enumerate(ps) if p is not None), key=lambda k: (ps[k], k))
+    lowest, expected = 1.0, dict.fromkeys(range(len(ps)))
+    for rank in range(len(order), 0, -1):
+        lowest = expected[order[rank - 1]] = min(lowest, ps[order[rank - 1]] * len(order) / rank)
+    assert found == expected
