@@ -26,10 +26,21 @@ _MARK = "\x01"
 _BLANKS = r"[\s \u0085  -     　\x1c-\x1f]++"
 
 
-@F.pandas_udf(T.StringType())
-def unescaped(text: pd.Series) -> pd.Series:
+#: What the standard library takes for a character reference.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def meant(references: pd.Series) -> pd.Series:
     """Character references as characters; the one step that has no built-in function."""
-    return text.map(entities.unescape, na_action="ignore")
+    return pd.Series([None if some is None else [entities.unescape(r) for r in some] for some in references], dtype=object)
+
+
+def unescaped(text: Column) -> Column:
+    """The text with characters in place of references. Only these go to Python; the text between them stays."""
+    between = F.split(text, _REFERENCE)
+    found = meant(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)))
+    return F.array_join(F.flatten(F.zip_with(between, found, lambda x, r: F.array(x, F.coalesce(r, F.lit(""))))), "")
 
 
 def collapsed(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html as entities
+import random
 import re
 import time
 from html.parser import HTMLParser
@@ -110,3 +112,15 @@ def test_pages_of_the_tables(spark, sf_dir):
     for r in rows:
         plain = Plain(r.html)
         assert re.sub(r"\s+", " ", r.p.text) == one(plain.shown) and r.p.hidden == plain.hidden
+
+
+def test_references_are_those_of_the_library_and_travel_alone(spark, monkeypatch):
+    rng = random.Random(5)
+    parts = ["&", "&amp", "&amp;", "&lt;b", "&notit;", "&notin;", "&#0;", "&#x1F642;", "&#128;", "&#xD800;", "&#99999999;", "&#x;", "&#;", ";", "#", " ", "a", "é", "🙂", "&🙂;", "&CounterClockwiseContourIntegral;", "&eacute", "x" * 40, "\n", "<"]
+    texts = [None, "", "&", "&amp;", "&&amp;amp;", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(3000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", pages.unescaped(F.col("t")).alias("u")).collect()
+    for r in rows:
+        assert r.u == (None if texts[r.k] is None else entities.unescape(texts[r.k])), texts[r.k]
+    monkeypatch.setattr(pages, "meant", lambda found: F.transform(found, lambda r: F.concat(F.lit("["), r, F.lit("]"))))
+    row = spark.createDataFrame([("long text &amp; more &lt",)], "t string").select(pages.unescaped(F.col("t")).alias("u")).first()
+    assert row.u == "long text [&amp;] more [&lt]"
