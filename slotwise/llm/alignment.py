@@ -1,6 +1,6 @@
 """Alignment of two tokenizers over the bytes of each text.
 
-Python only tokenises: it gives each text the ids of both tokenizers and the byte offset at which each token ends. All
+Python only tokenises: it gives the ids of both tokenizers and the byte offset at which each token ends. All
 else is array functions. ``array_intersect`` of the two arrays of ends gives the offsets that cut the text into
 groups. The ends of both, each with its tokenizer and number, are sorted into one array; in it, the place of an
 end less its own number is the number of the other tokenizer's tokens that end before. So one ``transform``
@@ -9,13 +9,20 @@ as two tokens overlap in one range and that ends where the first of them does. T
 tokens ``sequence`` and ``transform`` list; ``aggregate`` finds the tokens they cover. All of it is linear in the tokens,
 and a step that others use is a column of its own, so that it is computed once a text.
 
+``tokenised``, ``aligned``, ``group_ids`` and ``links`` give the groups and links of every document. ``align``, which needs
+digests and counts only, uses that both tokenizers cut a text before its words, so that every word ends a group and its tokens
+are the same wherever it stands: tokenising gives, for a slice of the table, its distinct words one after another as if they
+were one text, and the documents as numbers of words. The words are aligned once a slice (``words_aligned``), by functions that
+Spark compiles where there are some: lambdas are evaluated element by element. Then a document's groups and links are those of its words in
+their order. Where a tokenizer does not cut texts at words, whole texts are the words.
+
 The documents that hold an id pair are counted from the distinct pairs of each document; counts meet the links
 by ``common.looked_up``: pairs that are frequent are broadcast, of a bounded number, and the rest are joined by a shuffle
 in which no pair has many rows. Sums are taken by document before they travel.
 
 Defined cases: a text that is null, empty, or whose tokens of either tokenizer are not the bytes of space+text has
 no tokens and zeros; rows that repeat count each as a document; texts of any length are aligned whole, in a memory of about
-100 bytes a token; an empty table gives an empty result; further columns, whatever their names, are left out.
+100 bytes for each token of their distinct words and 40 for each word; an empty table gives an empty result; further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import col, looked_up, stored
@@ -33,10 +40,15 @@ from slotwise.llm.encoding import BytePairs, Pieces, Vocabulary, shared
 from slotwise.llm.token_counts import tokenizer_file
 from slotwise.llm.words import slices
 
-#: Bytes of text that are tokenised at a time, and pairs that are broadcast at most.
+#: Bytes of text that are tokenised at a time, as texts and as distinct words, and pairs that are broadcast at most.
 SLICE_BYTES = 1 << 20
+WORDS_BYTES = 1 << 19
 HOT_PAIRS = 1_000_000
 TOKENS = ["a_ids", "a_ends", "b_ids", "b_ends"]
+SLICE = ["a_ends", "b_ends", "a", "b", "marks", "codes", "w_ends", "w_tokens"]
+#: Bits of an id beside an end, and the numbers above all ids that stand for the end of a group and of a word.
+_ID = 24
+_GROUP, _WORD = (1 << _ID) - 1, (1 << _ID) - 2
 
 
 def _lists(n: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
@@ -48,18 +60,27 @@ def _lists(n: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> tuple[pa.List
     return pa.ListArray.from_arrays(rows, pa.array(ids)), pa.ListArray.from_arrays(rows, pa.array(ends))
 
 
-def tokenised(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, a_ids, a_ends, b_ids, b_ends) of every document; empty arrays where a text has no tokens.
+def _broadcast(spark: SparkSession, a_path: str, b_path: str) -> Callable[[], Vocabulary]:
+    """What gives a worker its vocabulary of both tokenizers.
 
     A is a byte-level BPE tokenizer, which gets space+text; B one of pieces, which puts the space before by itself.
     """
-    context = docs.sparkSession.sparkContext
     contents = [tokenizer_file(a_path), tokenizer_file(b_path)]
     name = hashlib.sha256(b"".join(hashlib.sha256(c).digest() for c in contents)).hexdigest()
-    a_file, b_file = (context.broadcast(c) for c in contents)
+    a_file, b_file = (spark.sparkContext.broadcast(c) for c in contents)
+    return lambda: shared(name, lambda: Vocabulary([BytePairs(a_file.value, plain=True), Pieces(b_file.value)], spell=True))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text"))
+
+
+def tokenised(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, id, a_ids, a_ends, b_ids, b_ends) of every document; empty arrays where a text has no tokens."""
+    vocabulary = _broadcast(docs.sparkSession, a_path, b_path)
 
     def encode(batches):
-        words = shared(name, lambda: Vocabulary([BytePairs(a_file.value, plain=True), Pieces(b_file.value)], spell=True))
+        words = vocabulary()
         for whole in batches:
             for batch in slices(whole, 2, SLICE_BYTES):
                 found = words.encode([t or "" for t in batch.column(2).to_pylist()], spaced=True)
@@ -72,8 +93,47 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_i
                     columns += _lists(np.where(bad, 0, n), ids[~bad[owner]], lengths)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["row", "id", *TOKENS])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(encode, "row bigint, id bigint, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>")
+    return _rows(docs, id_col, text_col).mapInArrow(encode, "row bigint, id bigint, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>")
+
+
+def sliced(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = WORDS_BYTES) -> DataFrame:
+    """Slices of the table: (docs, n_a, a_ends, b_ends, a, b, marks, codes, w_ends, w_tokens).
+
+    The tokens are those of the slice's distinct words one after another, which end at ``w_ends``, where ``w_tokens`` tokens of both have ended. ``a``
+    and ``b`` have each token's end and id in one long, ``marks`` its end and number, where those of B follow those of A, and ``codes`` its id, moved up by 32 bits for A; ``docs`` has a struct (row, id, n_a, n_b, words) for every document, with the places of its words, none where a text has no tokens.
+    """
+    vocabulary = _broadcast(docs.sparkSession, a_path, b_path)
+
+    def encode(batches):
+        words = vocabulary()
+        for whole in batches:
+            for batch in slices(whole, 2, slice_bytes):
+                n_words, number = words.numbers([t or "" for t in batch.column(2).to_pylist()], spaced=True)
+                owner = np.repeat(np.arange(batch.num_rows), n_words)
+                distinct, place = np.unique(number, return_inverse=True)
+                wrong = np.zeros(len(distinct), bool)
+                for n, ids in words.tokens(distinct):
+                    wrong[np.repeat(np.arange(len(n)), n)[ids < 0]] = True
+                if wrong.any():
+                    bad = np.zeros(batch.num_rows, bool)
+                    bad[owner[wrong[place]]] = True
+                    n_words, number, owner = np.where(bad, 0, n_words), number[~bad[owner]], owner[~bad[owner]]
+                    distinct, place = np.unique(number, return_inverse=True)
+                found = words.tokens(distinct)
+                n_tokens = [pa.array(np.bincount(owner, n[place], batch.num_rows).astype(np.int64)) for n, _ in found]
+                both = [ids.astype(np.int64) for _, ids in found]
+                ends = [np.cumsum(lengths[ids], dtype=np.int64) for ids, lengths in zip(both, words.lengths, strict=True)]
+                marks = (np.concatenate(ends) << 32) + np.arange(sum(map(len, both)))
+                w_ends = np.concatenate([[0], ends[0]])[np.cumsum(found[0][0])]
+                places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_words)]).astype(np.int32)), pa.array(place.astype(np.int32)))
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                rows = one(pa.StructArray.from_arrays([*batch.columns[:2], *n_tokens, places], names=["row", "id", "n_a", "n_b", "words"]))
+                w_tokens = np.cumsum(found[0][0] + found[1][0]).astype(np.int32)
+                lists = [*ends, *((e << _ID) | i for e, i in zip(ends, both, strict=True)), marks, np.concatenate([both[0] << 32, both[1]]), w_ends, w_tokens]
+                yield pa.RecordBatch.from_arrays([rows, pa.array([len(both[0])], pa.int32()), *(one(pa.array(x)) for x in lists)], names=["docs", "n_a", *SLICE])
+
+    doc = "array<struct<row: bigint, id: bigint, n_a: bigint, n_b: bigint, words: array<int>>>"
+    return _rows(docs, id_col, text_col).mapInArrow(encode, f"docs {doc}, n_a int, " + ", ".join(f"{c} array<{'int' if c == 'w_tokens' else 'bigint'}>" for c in SLICE))
 
 
 # A mark is a token's end, tokenizer (0 or 1) and number in one long; marks of A and B with the same end are neighbours.
@@ -113,28 +173,6 @@ def _listed(ids: str, first: Column, last: Column) -> Column:
     return F.transform(F.sequence(first, last), lambda k: F.get(ids, k))
 
 
-#: Stand for the bar and the semicolon in an array of ids.
-_BAR, _NEXT = -1, -2
-
-
-def group_text() -> Column:
-    """``a1,a2|b1;a3|b2,b3``: the ids of the groups.
-
-    The groups are put in one array, with numbers below zero between them; its text is that of the numbers, in which these are then replaced.
-    """
-
-    def one(a: Column, a_last: Column, b: Column, b_last: Column) -> Column:
-        bar, end = F.lit(_BAR), F.lit(_NEXT)
-        single = F.array(F.get("a_ids", a_last), bar, F.get("b_ids", b_last), end)
-        return F.when((a == a_last) & (b == b_last), single).otherwise(F.concat(_listed("a_ids", a, a_last), F.array(bar), _listed("b_ids", b, b_last), F.array(end)))
-
-    text = F.flatten(groups(one)).cast("string")
-    text = F.substr(text, F.lit(2), F.length(text) - len(f"[, {_NEXT}]"))
-    for old, new in ((f", {_BAR}, ", "|"), (f", {_NEXT}, ", ";"), (", ", ",")):
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return text
-
-
 def group_ids() -> Column:
     """The groups as structs of A and B ids."""
     return groups(lambda a, a_last, b, b_last: F.struct(_listed("a_ids", a, a_last).alias("a"), _listed("b_ids", b, b_last).alias("b")))
@@ -150,24 +188,66 @@ def links(of: Callable[[Column, Column], Column]) -> Column:
     return F.transform("marks", one)
 
 
-def pair_ids() -> Column:
-    """The ids of every link's A and B token in one long."""
-    return links(lambda a, b: F.shiftleft(F.get("a_ids", a).cast("bigint"), 32).bitwiseOR(F.get("b_ids", b).cast("bigint")))
-
-
 def pair_counts(pairs: DataFrame) -> DataFrame:
     """(pair, n_docs, best) from rows with an array of ``pairs``: documents that hold it, and whether its A id has none in more."""
-    counted = pairs.select(F.explode(F.array_distinct("pairs")).alias("pair")).where("pair IS NOT NULL").groupBy("pair").agg(F.count(F.lit(1)).alias("n_docs"))
+    counted = pairs.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n_docs"))
     most = F.max("n_docs").over(Window.partitionBy(F.shiftright("pair", 32)))
     return counted.select("pair", "n_docs", (F.col("n_docs") == most).cast("int").alias("best"))
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", hot_pairs: int = HOT_PAIRS) -> DataFrame:
+def kept_apart(df: DataFrame) -> DataFrame:
+    """``df`` behind a generator of its one row, so that its columns are computed once and not anew for each element of a lambda that reads them."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def words_aligned(slices: DataFrame) -> DataFrame:
+    """``sliced`` tokens as (docs, w_texts, w_pairs): the text of the groups and the id pairs of the links of every word.
+
+    The text of a side is its ids with the ends of groups among them, sorted by end and written as one array; cut at the ends of groups, those of
+    both sides are put together. For the links the number of a B token follows those of A; then in the sorted ends the other token at
+    place ``i`` of number ``m`` is ``n_a + i - m`` on either side, and the codes of two tokens add up to their pair.
+    """
+    at_end = lambda ends, id_: F.transform(ends, lambda e: F.shiftleft(e, _ID).bitwiseOR(F.lit(id_).cast("bigint")))
+    inner = F.array_except(F.array_intersect("a_ends", "b_ends"), "w_ends")
+    steps = kept_apart(slices.select("docs", "n_a", "a", "b", "marks", "codes", "w_ends", "w_tokens", inner.alias("inner")))
+
+    stops = F.concat(at_end("inner", _GROUP), at_end("w_ends", _WORD))
+    side = lambda x: F.sort_array(F.concat(x, "stops")).alias(x)
+    steps = kept_apart(steps.select("docs", "n_a", "a", "b", F.sort_array("marks").alias("marks"), "codes", "w_tokens", stops.alias("stops")))
+    steps = kept_apart(steps.select("docs", "n_a", side("a"), side("b"), "marks", "codes", "w_tokens"))
+
+    def parts(x: str, word: str) -> Column:
+        """The ids of each group; ``word`` stands before the first of a word but the first word."""
+        text = F.transform(x, lambda v: v.bitwiseAND((1 << _ID) - 1).cast("int")).cast("string")
+        for old, new in ((f", {_GROUP}, ", ";"), (f", {_WORD}, ", f";{word}"), (f", {_WORD}]", ""), (", ", ","), ("[", "")):
+            text = F.replace(text, F.lit(old), F.lit(new))
+        return F.split(text, ";")
+
+    def pair(mark: Column, i: Column) -> Column:
+        number = mark.bitwiseAND((1 << 32) - 1).cast("int")
+        both = F.get("codes", number) + F.get("codes", F.col("n_a") + i - number)
+        return F.when(F.get("marks", i - 1).bitwiseXOR(mark) < (1 << 32), F.lit(None)).otherwise(both)  # the B token's end at a cut, whose link its A token has given
+
+    steps = kept_apart(steps.select("docs", "w_tokens", parts("a", "w").alias("a"), parts("b", "").alias("b"), F.transform("marks", pair).alias("pairs")))
+    texts = F.split(F.array_join(F.zip_with("a", "b", lambda a, b: F.concat(a, F.lit("|"), b)), ";"), ";w")
+    own = lambda last, w: F.transform(F.sequence(F.coalesce(F.get("w_tokens", w - 1), F.lit(0)), last - 1), lambda k: F.get("pairs", k))
+    pairs = F.transform("w_tokens", lambda last, w: F.filter(own(last, w), lambda p: p.isNotNull()))
+    return kept_apart(steps.select("docs", texts.alias("w_texts"), pairs.alias("w_pairs")))
+
+
+def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", hot_pairs: int = HOT_PAIRS, slice_bytes: int = WORDS_BYTES) -> DataFrame:
     """id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
-    found = aligned(tokenised(docs, a_path, b_path, id_col=id_col, text_col=text_col))
-    text = F.when(F.size("a_ids") == 0, F.lit("")).otherwise(F.sha2(group_text().cast("binary"), 256))
-    done = stored(found.select("row", "id", "n_a", "n_b", "n_groups", "n_links", text.alias("groups_sha256"), pair_ids().alias("pairs")), "aligned", "zstd")
-    met = looked_up(done.select("row", F.explode("pairs").alias("pair")).where("pair IS NOT NULL"), pair_counts(done), "pair", "n_docs", hot_pairs)
+    found = words_aligned(sliced(docs, a_path, b_path, id_col=id_col, text_col=text_col, slice_bytes=slice_bytes))
+
+    def one(d: Column) -> Column:
+        of_words = lambda name: F.transform(d["words"], lambda w: F.get(name, w))
+        sha = F.when(F.size(d["words"]) == 0, F.lit("")).otherwise(F.sha2(F.array_join(of_words("w_texts"), ";").cast("binary"), 256))
+        return F.struct(*[d[c].alias(c) for c in ("row", "id", "n_a", "n_b")], sha.alias("groups_sha256"), F.flatten(of_words("w_pairs")).alias("pairs"))
+
+    done = stored(found.select(F.inline(F.transform("docs", one))), "aligned", "zstd")
+    met = looked_up(done.select("row", F.explode("pairs").alias("pair")), pair_counts(done), "pair", "n_docs", hot_pairs)
     sums = met.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("n_docs").alias("count_sum"))
     zero = lambda name: F.coalesce(name, F.lit(0)).cast("bigint").alias(name)
-    return done.drop("pairs").join(sums, "row", "left").select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
+    n_links = F.size("pairs").cast("bigint")
+    counted = done.select("row", "id", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - n_links).alias("n_groups"), n_links.alias("n_links"), "groups_sha256")  # a group of a and b tokens has a + b - 1 links
+    return counted.join(sums, "row", "left").select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")

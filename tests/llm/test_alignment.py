@@ -112,3 +112,17 @@ def test_groups_as_arrays_and_empty_tables(spark, empty):
     assert len(by[1].groups) == by[1].n_groups and len([x for x in by[1].links if x]) == by[1].n_links == len(by[1].a_ids) + len(by[1].b_ids) - by[1].n_groups
     assert by[2].groups == [] == by[3].groups and by[2].n_links == 0
     assert alignment.align(empty, A_PATH, B_PATH).count() == 0
+
+
+def test_words_of_slices_give_the_rows_of_whole_texts(spark, files):
+    rows = [(k, t) for k, t in enumerate([*odd_texts(40), "over and over again", "again and over", None])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
+    expected, _ = plain(rows, files)
+    for size in (1, 200, alignment.WORDS_BYTES):
+        assert Counter(tuple(r) for r in alignment.align(docs, A_PATH, B_PATH, slice_bytes=size).collect()) == expected
+
+
+def test_a_word_is_aligned_once_a_slice(spark):
+    docs = spark.createDataFrame([(k, "over and over again, over 12345") for k in range(50)], "doc_id bigint, text string").coalesce(1)
+    found = alignment.words_aligned(alignment.sliced(docs, A_PATH, B_PATH)).collect()
+    assert [len(r.w_texts) for r in found] == [len(r.w_pairs) for r in found] == [4] and len(found[0].docs) == 50
