@@ -19,10 +19,8 @@ from slotwise.llm.words import _CELL, mix
 
 _ARRIVAL, _DART, _BAND = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 _HALF = np.uint64(32)
-
-
-def _times(x: np.uint64, n: int) -> np.uint64:
-    return np.uint64(int(x) * n & 0xFFFFFFFFFFFFFFFF)
+#: Arrivals that are made at once.
+AT_ONCE = 1 << 15
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -54,18 +52,24 @@ def signatures(owner: np.ndarray, cell: np.ndarray, n_sets: int, k: int, share:
         own, now, part, most = owner.astype(np.int64) * k, cell, share, limit[owner]
         rank, arrival = np.zeros(len(own)), 1
         while len(own):
-            rank = rank - np.log(_unit(mix(now + _times(_ARRIVAL, arrival))))
-            near = np.flatnonzero(rank <= most)
-            own, now, rank, most = own[near], now[near], rank[near], most[near]
-            dart = mix((now ^ _DART) + _times(_CELL, arrival))
-            slot = own + ((dart >> _HALF) * np.uint64(k) >> _HALF).astype(np.int64)
+            # Of few cells many arrivals are made at once: a set of few cells needs hundreds.
+            nth = np.arange(arrival, arrival + max(1, AT_ONCE // len(own)), dtype=np.uint64)
+            times = -np.log(_unit(mix(now[:, None] + nth * _ARRIVAL)))
+            times[:, 0] += rank
+            np.cumsum(times, axis=1, out=times)
+            hit = times <= most[:, None]
+            of, turn = np.nonzero(hit)
+            dart = mix((now[of] ^ _DART) + (nth * _CELL)[turn])
+            slot = own[of] + ((dart >> _HALF) * np.uint64(k) >> _HALF).astype(np.int64)
             if part is None:
-                slots.append(slot), ranks.append(rank), darts.append(dart)
+                slots.append(slot), ranks.append(times[hit]), darts.append(dart)
             else:
-                part = part[near]
-                inside = _unit(mix(dart + _BAND)) <= part
-                slots.append(slot[inside]), ranks.append(rank[inside]), darts.append(dart[inside])
-            arrival += 1
+                inside = _unit(mix(dart + _BAND)) <= part[of]
+                slots.append(slot[inside]), ranks.append(times[hit][inside]), darts.append(dart[inside])
+            near = np.flatnonzero(hit[:, -1])
+            own, now, most, rank = own[near], now[near], most[near], times[near, -1]
+            part = None if part is None else part[near]
+            arrival += len(nth)
         slot, rank, dart = np.concatenate(slots), np.concatenate(ranks), np.concatenate(darts)
         np.minimum.at(lowest, slot, rank)
         first = rank == lowest[slot]
