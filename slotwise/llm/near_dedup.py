@@ -13,9 +13,9 @@ and classes are the connected components of the links. Equal texts are always on
    of its bucket: the lowest member, then one that is not linked to it. Pairs whose exact similarity
    reaches the threshold are links. Their components are found; buckets whose members are one class are
    finished. In the rest, the members outside a bucket's largest class meet the members of other
-   classes in a join whose condition is the link itself, after two exact bounds: the sizes of the sets,
-   and the triangle inequality of the Jaccard distance (two members whose distances to a pivot differ by
-   more than 0.2 cannot reach 0.8). So no link between classes of a bucket is lost, a group of copies costs two
+   classes in a join whose condition is the link itself, after three exact bounds: the sizes of the sets, bitmaps of them
+   (a bit that the other lacks is a cell that it lacks), and the triangle inequality of the Jaccard distance (two members whose distances to a pivot differ by
+   more than 0.2 cannot reach 0.8); two members that share several such buckets meet in that of the lowest key. So no link between classes of a bucket is lost, a group of copies costs two
    comparisons a member, only links leave the join, large buckets are split in parts of about 512 members, which meet the pivot and
    each other part by part, and none is gathered in a task.
 3. Class numbers go back to the documents by the hashes.
@@ -35,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import col, stored, whole_row
@@ -43,7 +43,7 @@ from slotwise.llm.components import components
 from slotwise.llm.dartminhash import band_keys, signatures
 from slotwise.llm.words import Words, numbered, shingles, slices
 
-SHINGLE, THRESHOLD, BANDS, ROWS, PIVOTS, PART, WEIGHTS, BITMAP = 5, 0.8, 24, 6, 2, 512, "count", 24
+SHINGLE, THRESHOLD, BANDS, ROWS, PIVOTS, PART, WEIGHTS, BITMAP, SKETCH = 5, 0.8, 24, 6, 2, 512, "count", 24, 16
 NODE = ["hi", "lo"]
 
 
@@ -77,7 +77,7 @@ def band_table(texts: DataFrame, *, size: int = SHINGLE, bands: int = BANDS, row
 
 
 def shingle_sets(texts: DataFrame, *, size: int = SHINGLE, weights: str = WEIGHTS) -> DataFrame:
-    """(n, shingles) of rows (n, text): the distinct unit cells of the weighted shingles."""
+    """(n, shingles, sketch) of rows (n, text): the distinct unit cells of the weighted shingles, and a bitmap of them in ``SKETCH`` words of 64 bits."""
 
     def run(batches):
         for whole in batches:
@@ -88,9 +88,13 @@ def shingle_sets(texts: DataFrame, *, size: int = SHINGLE, weights: str = WEIGHT
                 new = np.append(True, (doc[1:] != doc[:-1]) | (cell[1:] != cell[:-1])) if len(doc) else np.empty(0, bool)
                 doc, cell = doc[new], cell[new]
                 offsets = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell.view(np.int64)))], names=["n", "shingles"])
+                sketch = np.zeros((batch.num_rows, SKETCH), np.uint64)
+                np.bitwise_or.at(sketch, (doc, ((cell >> np.uint64(6)) % np.uint64(SKETCH)).astype(np.int64)), np.uint64(1) << (cell & np.uint64(63)))
+                bits = np.arange(batch.num_rows + 1, dtype=np.int32) * SKETCH
+                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(values.view(np.int64).ravel())) for at, values in ((offsets, cell), (bits, sketch))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["n", "shingles", "sketch"])
 
-    return texts.select("n", "text").mapInArrow(run, "n bigint, shingles array<bigint>")
+    return texts.select("n", "text").mapInArrow(run, "n bigint, shingles array<bigint>, sketch array<bigint>")
 
 
 def marked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -112,6 +116,14 @@ def similarity(a: Column, b: Column) -> Column:
     return shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))
 
 
+def _only(a: str, b: str) -> Column:
+    """How many cells the first set has, at least, that the second lacks: the bits of its sketch that are not in the other's.
+
+    Written out as a sum over the words it would make the join's generated loop too long for the JVM's compiler.
+    """
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, k: n + k)
+
+
 def link_labels(docs: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = WEIGHTS) -> DataFrame:
     """(hi, lo, label) of the texts that have a link to a different text, from (hi, lo, text)."""
     texts = docs.select(*NODE, "text").where("text IS NOT NULL")
@@ -131,20 +143,22 @@ def link_labels(docs: DataFrame, *, size: int = SHINGLE, threshold: float = THRE
         """(a, b, j) of distinct pairs (a, b) of a pivot and a member n. A pivot of many members has its set in several parts."""
         split = pairs.withColumn("part", F.pmod(F.xxhash64("n"), "parts").cast("int"))
         heads = split.select("pivot", "part").distinct().join(dealt.select(F.col("n").alias("pivot"), F.col("shingles").alias("x")), "pivot")
-        sides = split.join(dealt.select("n", F.col("shingles").alias("y")), "n").join(heads, ["pivot", "part"])
+        # Sets of pivots travel to the members, whose numbers deal them evenly.
+        sides = split.join(heads, ["pivot", "part"]).select("a", "b", "n", "x").join(dealt.select("n", F.col("shingles").alias("y")), "n")
         return stored(sides.select("a", "b", similarity(F.col("x"), F.col("y")).alias("j")), "tested")
 
     far, least = 1 - threshold + 1e-9, threshold - 1e-9
     ends = [F.least("n", "pivot").alias("a"), F.greatest("n", "pivot").alias("b")]
-    state = state.select("key", "n", "pivot", "parts", F.expr("cast(array() as array<double>)").alias("d"), F.lit(False).alias("linked"))
+    state = state.select("key", "n", "pivot", "parts", F.lit(False).alias("linked"))
+    distances = [f"d{turn}" for turn in range(PIVOTS)]
     known = None
     for turn in range(PIVOTS):
         met = state.where("n <> pivot").select(*ends, "n", "pivot", "parts").groupBy("a", "b").agg(F.max(F.struct("parts", "pivot", "n")).alias("p")).select("a", "b", "p.*")
         new = tested(met if known is None else met.join(known, ["a", "b"], "left_anti"))
         known = new if known is None else known.union(new)
-        state = state.select("key", "n", "pivot", "parts", "d", "linked", *ends).join(known, ["a", "b"], "left")
+        state = state.select("key", "n", "pivot", "parts", *distances[:turn], "linked", *ends).join(known, ["a", "b"], "left")
         j = F.coalesce("j", F.lit(1.0))
-        state = stored(state.select("key", "n", "parts", F.concat("d", F.array(1 - j)).alias("d"), (F.col("linked") | (j >= least)).alias("linked")), "state")
+        state = stored(state.select("key", "n", "parts", *distances[:turn], (1 - j).alias(distances[turn]), (F.col("linked") | (j >= least)).alias("linked")), "state")
         if turn == PIVOTS - 1:
             break
         # The next pivot is a member that the first is not linked to; a bucket without one is a class.
@@ -156,15 +170,22 @@ def link_labels(docs: DataFrame, *, size: int = SHINGLE, threshold: float = THRE
     state = state.drop("linked", "parts").join(labels.withColumnRenamed("node", "n"), "n", "left").withColumn("label", F.coalesce("label", "n"))
     sizes = state.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     majors = sizes.groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("major"), F.count(F.lit(1)).alias("labels"), F.ceil(F.sum("size") / PART).cast("int").alias("parts"))
-    members = state.join(majors.where("labels > 1").drop("labels"), "key").join(dealt, "n")
+    earlier = F.collect_list("key").over(Window.partitionBy("n").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    members = state.join(majors.where("labels > 1").drop("labels"), "key").withColumn("earlier", earlier).join(dealt, "n")
     members = stored(members.withColumn("part", F.pmod(F.xxhash64("n"), "parts").cast("int")), "open")
     # A large bucket is split in parts; its minor members meet each of them.
-    minor = members.where("label <> major").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_x") for c in ("n", "label", "d", "shingles")])
+    minor = members.where("label <> major").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_x") for c in ("n", "label", *distances, "earlier", "sketch", "shingles")])
     once = (F.col("label") == F.col("major")) | (F.col("n_x") < F.col("n"))
     mine, other = F.size("shingles"), F.size("shingles_x")
-    close = (F.least(mine, other) >= least * F.greatest(mine, other)) & F.forall(F.zip_with("d", "d_x", lambda p, q: F.abs(p - q)), lambda e: e <= far)
-    linked = once & (F.col("label") != F.col("label_x")) & close & (similarity(F.col("shingles"), F.col("shingles_x")) >= least)
-    last = stored(minor.join(members, (minor["key"] == members["key"]) & (minor["part"] == members["part"]) & linked).select(F.least("n_x", "n").alias("a"), F.greatest("n_x", "n").alias("b")).distinct(), "links")
+    # The similarity of two sets is the threshold or more if so many cells are shared; said so that they are intersected once.
+    enough = lambda shared: shared * (1 + least) >= least * (mine + other)
+    close = F.least(mine, other) >= least * F.greatest(mine, other)
+    for d in distances:
+        close &= F.abs(F.col(d) - F.col(f"{d}_x")) <= far
+    close &= enough(mine - _only("sketch", "sketch_x")) & enough(other - _only("sketch_x", "sketch"))
+    here = ~F.arrays_overlap("earlier", "earlier_x")
+    linked = once & (F.col("label") != F.col("label_x")) & close & here & enough(F.size(F.array_intersect("shingles", "shingles_x")))
+    last = stored(minor.join(members, (minor["key"] == members["key"]) & (minor["part"] == members["part"]) & linked).select(F.least("n_x", "n").alias("a"), F.greatest("n_x", "n").alias("b")), "links")
     dealt.unpersist()
     labels = labels if last.isEmpty() else components(links.union(last))
     return labels.join(wanted.withColumnRenamed("n", "node"), "node").select(*NODE, "label")

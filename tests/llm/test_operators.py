@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from slotwise.llm import dartminhash, line_dedup, near_dedup, packing, pii, quality, queries, secret_scan, sharding, token_counts, warc
 from slotwise.llm.common import digest
+from slotwise.llm.components import components
 from slotwise.llm.decontamination import flag_contaminated
 from slotwise.llm.words import SLICE_BYTES, Words, shingles
 import brute
@@ -136,6 +137,44 @@ def test_large_group_of_near_copies(spark):
     assert {frozenset(r.ids) for r in found} == expected
 
 
+def test_pairs_of_a_large_group_are_linked_once(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(999)}" for _ in range(150)]
+    rows = []
+    for k in range(200):
+        words = base.copy()
+        for _ in range(3):  # most pairs stand just below the threshold
+            words[rng.randrange(150)] = f"x{rng.randrange(40)}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept, store = {}, near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name: kept.update({name: store(df, name)}) or kept[name])
+    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+    expected = {frozenset(g) for g in brute.classes([t for _, t in rows])}
+    found = near_dedup.near_duplicate_classes(df).groupBy("class_id").agg(F.collect_set("doc_id").alias("ids")).collect()
+    assert {frozenset(r.ids) for r in found} == expected
+    links, sets = kept["links"], kept["sets"]
+    assert links.count() == links.distinct().count() > 0
+    pairs = sets.crossJoin(sets.select(F.col("shingles").alias("y"), F.col("sketch").alias("y_sketch")))
+    fewer = F.size("shingles") - F.size(F.array_intersect("shingles", "y"))
+    low, most = pairs.select((fewer - near_dedup._only("sketch", "y_sketch")).alias("gap")).agg(F.min("gap"), F.max("gap")).first()
+    assert low >= 0 and most < 20
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(0, 60) if k % 7], "a bigint, b bigint")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 16)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = components(edges)
+        assert {r.node: r.label for r in found.collect()} == {k: k - (k - 1) % 7 for k in range(1, 61)}
+        assert len(found.inputFiles()) == 1
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_darts_estimate_the_weighted_similarity():
     rng = np.random.default_rng(1)
     common, one, two = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (60, 20, 20))
