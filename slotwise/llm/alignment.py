@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slotwise.llm.common import col, looked_up, stored
 from slotwise.llm.encoding import BytePairs, Pieces, Vocabulary, shared
@@ -126,14 +127,17 @@ def sliced(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
                 marks = (np.concatenate(ends) << 32) + np.arange(sum(map(len, both)))
                 w_ends = np.concatenate([[0], ends[0]])[np.cumsum(found[0][0])]
                 places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_words)]).astype(np.int32)), pa.array(place.astype(np.int32)))
-                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values, type=pa.list_(pa.field("element", values.type, False)))
                 rows = one(pa.StructArray.from_arrays([*batch.columns[:2], *n_tokens, places], names=["row", "id", "n_a", "n_b", "words"]))
                 w_tokens = np.cumsum(found[0][0] + found[1][0]).astype(np.int32)
                 lists = [*ends, *((e << _ID) | i for e, i in zip(ends, both, strict=True)), marks, np.concatenate([both[0] << 32, both[1]]), w_ends, w_tokens]
                 yield pa.RecordBatch.from_arrays([rows, pa.array([len(both[0])], pa.int32()), *(one(pa.array(x)) for x in lists)], names=["docs", "n_a", *SLICE])
 
-    doc = "array<struct<row: bigint, id: bigint, n_a: bigint, n_b: bigint, words: array<int>>>"
-    return _rows(docs, id_col, text_col).mapInArrow(encode, f"docs {doc}, n_a int, " + ", ".join(f"{c} array<{'int' if c == 'w_tokens' else 'bigint'}>" for c in SLICE))
+    # Arrays that can hold no null are sorted as plain longs; others as objects, one by one compared.
+    whole = lambda of: T.ArrayType(of, containsNull=False)
+    doc = T.StructType([*(T.StructField(c, T.LongType()) for c in ("row", "id", "n_a", "n_b")), T.StructField("words", T.ArrayType(T.IntegerType()))])
+    lists = [T.StructField(c, whole(T.IntegerType() if c == "w_tokens" else T.LongType())) for c in SLICE]
+    return _rows(docs, id_col, text_col).mapInArrow(encode, T.StructType([T.StructField("docs", whole(doc)), T.StructField("n_a", T.IntegerType()), *lists]))
 
 
 # A mark is a token's end, tokenizer (0 or 1) and number in one long; marks of A and B with the same end are neighbours.
@@ -212,14 +216,15 @@ def words_aligned(slices: DataFrame) -> DataFrame:
     steps = kept_apart(slices.select("docs", "n_a", "a", "b", "marks", "codes", "w_ends", "w_tokens", inner.alias("inner")))
 
     stops = F.concat(at_end("inner", _GROUP), at_end("w_ends", _WORD))
-    side = lambda x: F.sort_array(F.concat(x, "stops")).alias(x)
+    last = F.array(F.lit((1 << 63) - (1 << _ID)))  # an id 0 behind all, so that a word follows every word
+    side = lambda x: F.sort_array(F.concat(x, "stops", last)).alias(x)
     steps = kept_apart(steps.select("docs", "n_a", "a", "b", F.sort_array("marks").alias("marks"), "codes", "w_tokens", stops.alias("stops")))
     steps = kept_apart(steps.select("docs", "n_a", side("a"), side("b"), "marks", "codes", "w_tokens"))
 
     def parts(x: str, word: str) -> Column:
         """The ids of each group; ``word`` stands before the first of a word but the first word."""
-        text = F.transform(x, lambda v: v.bitwiseAND((1 << _ID) - 1).cast("int")).cast("string")
-        for old, new in ((f", {_GROUP}, ", ";"), (f", {_WORD}, ", f";{word}"), (f", {_WORD}]", ""), (", ", ","), ("[", "")):
+        text = F.ltrim(F.transform(x, lambda v: v.bitwiseAND((1 << _ID) - 1).cast("int")).cast("string"), F.lit("["))
+        for old, new in ((f", {_GROUP}, ", ";"), (f", {_WORD}, ", f";{word}"), (", ", ",")):
             text = F.replace(text, F.lit(old), F.lit(new))
         return F.split(text, ";")
 
@@ -230,6 +235,7 @@ def words_aligned(slices: DataFrame) -> DataFrame:
 
     steps = kept_apart(steps.select("docs", "w_tokens", parts("a", "w").alias("a"), parts("b", "").alias("b"), F.transform("marks", pair).alias("pairs")))
     texts = F.split(F.array_join(F.zip_with("a", "b", lambda a, b: F.concat(a, F.lit("|"), b)), ";"), ";w")
+    texts = F.slice(texts, F.lit(1), F.size("w_tokens"))
     own = lambda last, w: F.transform(F.sequence(F.coalesce(F.get("w_tokens", w - 1), F.lit(0)), last - 1), lambda k: F.get("pairs", k))
     pairs = F.transform("w_tokens", lambda last, w: F.filter(own(last, w), lambda p: p.isNotNull()))
     return kept_apart(steps.select("docs", texts.alias("w_texts"), pairs.alias("w_pairs")))

@@ -126,3 +126,11 @@ def test_a_word_is_aligned_once_a_slice(spark):
     docs = spark.createDataFrame([(k, "over and over again, over 12345") for k in range(50)], "doc_id bigint, text string").coalesce(1)
     found = alignment.words_aligned(alignment.sliced(docs, A_PATH, B_PATH)).collect()
     assert [len(r.w_texts) for r in found] == [len(r.w_pairs) for r in found] == [4] and len(found[0].docs) == 50
+
+
+def test_arrays_of_slices_hold_no_null(spark, empty):
+    """So that sort_array sorts plain longs and no objects."""
+    slices = alignment.sliced(empty, A_PATH, B_PATH)
+    assert not any(slices.schema[c].dataType.containsNull for c in alignment.SLICE)
+    docs = spark.createDataFrame([(1, "[ some ] words, 0 [0"), (2, ""), (3, None)], "doc_id bigint, text string")
+    assert [len(r.w_texts) for r in alignment.words_aligned(alignment.sliced(docs.coalesce(1), A_PATH, B_PATH)).collect()] == [6]
