@@ -13,7 +13,8 @@ and a step that others use is a column of its own, so that it is computed once a
 digests and counts only, uses that both tokenizers cut a text before its words, so that every word ends a group and its tokens
 are the same wherever it stands: tokenising gives, for a slice of the table, its distinct words one after another as if they
 were one text, and the documents as numbers of words. The words are aligned once a slice (``words_aligned``), by functions that
-Spark compiles where there are some: lambdas are evaluated element by element. Then a document's groups and links are those of its words in
+Spark compiles where there are some: lambdas, and what is inside their arguments, are evaluated element by element. Words that are frequent at the beginning of the
+partitions (``often_met``) are aligned once for all slices; they only save work, all others are aligned with their slice. Then a document's groups and links are those of its words in
 their order. Where a tokenizer does not cut texts at words, whole texts are the words.
 
 The documents that hold an id pair are counted from the distinct pairs of each document; counts meet the links
@@ -28,7 +29,9 @@ no tokens and zeros; rows that repeat count each as a document; texts of any len
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +40,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotwise.llm.common import col, looked_up, stored
-from slotwise.llm.encoding import BytePairs, Pieces, Vocabulary, shared
+from slotwise.llm.encoding import BytePairs, Pieces, Vocabulary, plain, shared, words_of
 from slotwise.llm.token_counts import tokenizer_file
 from slotwise.llm.words import slices
 
 #: Bytes of text that are tokenised at a time, as texts and as distinct words, and pairs that are broadcast at most.
 SLICE_BYTES = 1 << 20
-WORDS_BYTES = 1 << 19
+WORDS_BYTES = 1 << 20
+#: Words of documents that take theirs at a time.
+PART_WORDS = 1 << 17
+#: Frequent words that are aligned once for all slices, and texts of the table in which they are looked for, at most.
+OFTEN, OFTEN_ROWS = 1 << 16, 1 << 12
 HOT_PAIRS = 1_000_000
 TOKENS = ["a_ids", "a_ends", "b_ids", "b_ends"]
-SLICE = ["a_ends", "b_ends", "a", "b", "marks", "codes", "w_ends", "w_tokens"]
+SLICE = ["a_stops", "b_stops", "a", "b", "marks", "codes", "w_stops", "w_tokens"]
 #: Bits of an id beside an end, and the numbers above all ids that stand for the end of a group and of a word.
 _ID = 24
-_GROUP, _WORD = (1 << _ID) - 1, (1 << _ID) - 2
+_GROUP, _WORD = (1 << _ID) - 2, (1 << _ID) - 1
 
 
 def _lists(n: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
@@ -61,15 +68,22 @@ def _lists(n: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> tuple[pa.List
     return pa.ListArray.from_arrays(rows, pa.array(ids)), pa.ListArray.from_arrays(rows, pa.array(ends))
 
 
-def _broadcast(spark: SparkSession, a_path: str, b_path: str) -> Callable[[], Vocabulary]:
+def _broadcast(spark: SparkSession, a_path: str, b_path: str, often: Sequence[str] = ()) -> Callable[[], Vocabulary]:
     """What gives a worker its vocabulary of both tokenizers.
 
     A is a byte-level BPE tokenizer, which gets space+text; B one of pieces, which puts the space before by itself.
     """
     contents = [tokenizer_file(a_path), tokenizer_file(b_path)]
     name = hashlib.sha256(b"".join(hashlib.sha256(c).digest() for c in contents)).hexdigest()
-    a_file, b_file = (spark.sparkContext.broadcast(c) for c in contents)
-    return lambda: shared(name, lambda: Vocabulary([BytePairs(a_file.value, plain=True), Pieces(b_file.value)], spell=True))
+    a_file, b_file, words = (spark.sparkContext.broadcast(c) for c in [*contents, list(often)])
+
+    def vocabulary() -> Vocabulary:
+        """The worker's tokenizers, which are made once, with the words of this call."""
+        found = shared(name, lambda: Vocabulary([BytePairs(a_file.value, plain=True), Pieces(b_file.value)], spell=True))
+        found.keep(words.value)
+        return found
+
+    return vocabulary
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -97,47 +111,57 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_i
     return _rows(docs, id_col, text_col).mapInArrow(encode, "row bigint, id bigint, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>")
 
 
-def sliced(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = WORDS_BYTES) -> DataFrame:
-    """Slices of the table: (docs, n_a, a_ends, b_ends, a, b, marks, codes, w_ends, w_tokens).
+def sliced(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = WORDS_BYTES, often: Sequence[str] = (), known: int = 0) -> DataFrame:
+    """Slices of the table: (docs, parts, n_a, a_stops, b_stops, a, b, marks, codes, w_stops, w_tokens).
 
     The tokens are those of the slice's distinct words one after another, which end at ``w_ends``, where ``w_tokens`` tokens of both have ended. ``a``
     and ``b`` have each token's end and id in one long, ``marks`` its end and number, where those of B follow those of A, and ``codes`` its id, moved up by 32 bits for A; ``docs`` has a struct (row, id, n_a, n_b, words) for every document, with the places of its words, none where a text has no tokens.
     """
-    vocabulary = _broadcast(docs.sparkSession, a_path, b_path)
+    vocabulary = _broadcast(docs.sparkSession, a_path, b_path, often)
+
+    def distinct(number: np.ndarray, words: Vocabulary) -> np.ndarray:
+        met = np.zeros(len(words.start[0]), bool)
+        met[number] = True
+        return known + np.flatnonzero(met[known:])
 
     def encode(batches):
-        words = vocabulary()
         for whole in batches:
+            words = vocabulary()
             for batch in slices(whole, 2, slice_bytes):
                 n_words, number = words.numbers([t or "" for t in batch.column(2).to_pylist()], spaced=True)
-                owner = np.repeat(np.arange(batch.num_rows), n_words)
-                distinct, place = np.unique(number, return_inverse=True)
-                wrong = np.zeros(len(distinct), bool)
-                for n, ids in words.tokens(distinct):
-                    wrong[np.repeat(np.arange(len(n)), n)[ids < 0]] = True
+                owner, own = np.repeat(np.arange(batch.num_rows), n_words), distinct(number, words)
+                wrong = np.zeros(len(words.start[0]), bool)
+                for n, ids in words.tokens(own):
+                    wrong[np.repeat(own, n)[ids < 0]] = True
                 if wrong.any():
                     bad = np.zeros(batch.num_rows, bool)
-                    bad[owner[wrong[place]]] = True
+                    bad[owner[wrong[number]]] = True
                     n_words, number, owner = np.where(bad, 0, n_words), number[~bad[owner]], owner[~bad[owner]]
-                    distinct, place = np.unique(number, return_inverse=True)
-                found = words.tokens(distinct)
-                n_tokens = [pa.array(np.bincount(owner, n[place], batch.num_rows).astype(np.int64)) for n, _ in found]
+                    own = distinct(number, words)
+                place = np.arange(len(words.start[0]))
+                place[own] = np.arange(known, known + len(own))
+                place = place[number]
+                found = words.tokens(own)
+                n_tokens = [pa.array(np.bincount(owner, n[number], batch.num_rows).astype(np.int64)) for n in words.counts()]
                 both = [ids.astype(np.int64) for _, ids in found]
                 ends = [np.cumsum(lengths[ids], dtype=np.int64) for ids, lengths in zip(both, words.lengths, strict=True)]
                 marks = (np.concatenate(ends) << 32) + np.arange(sum(map(len, both)))
-                w_ends = np.concatenate([[0], ends[0]])[np.cumsum(found[0][0])]
+                w_stops = (np.concatenate([[0], ends[0]])[np.cumsum(found[0][0])] << _ID) | _WORD
                 places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_words)]).astype(np.int32)), pa.array(place.astype(np.int32)))
                 one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values, type=pa.list_(pa.field("element", values.type, False)))
                 rows = one(pa.StructArray.from_arrays([*batch.columns[:2], *n_tokens, places], names=["row", "id", "n_a", "n_b", "words"]))
+                firsts = np.flatnonzero(np.diff(np.cumsum(n_words) // PART_WORDS, prepend=-1)).astype(np.int32)
+                parts = one(pa.StructArray.from_arrays([pa.array(firsts + 1), pa.array(np.diff(firsts, append=np.int32(batch.num_rows)))], names=["first", "n"]))
                 w_tokens = np.cumsum(found[0][0] + found[1][0]).astype(np.int32)
-                lists = [*ends, *((e << _ID) | i for e, i in zip(ends, both, strict=True)), marks, np.concatenate([both[0] << 32, both[1]]), w_ends, w_tokens]
-                yield pa.RecordBatch.from_arrays([rows, pa.array([len(both[0])], pa.int32()), *(one(pa.array(x)) for x in lists)], names=["docs", "n_a", *SLICE])
+                lists = [*((e << _ID) | _GROUP for e in ends), *((e << _ID) | i for e, i in zip(ends, both, strict=True)), marks, np.concatenate([both[0] << 32, both[1]]), w_stops, w_tokens]
+                yield pa.RecordBatch.from_arrays([rows, parts, pa.array([len(both[0])], pa.int32()), *(one(pa.array(x)) for x in lists)], names=["docs", "parts", "n_a", *SLICE])
 
     # Arrays that can hold no null are sorted as plain longs; others as objects, one by one compared.
     whole = lambda of: T.ArrayType(of, containsNull=False)
     doc = T.StructType([*(T.StructField(c, T.LongType()) for c in ("row", "id", "n_a", "n_b")), T.StructField("words", T.ArrayType(T.IntegerType()))])
+    part = T.StructType([T.StructField(c, T.IntegerType()) for c in ("first", "n")])
     lists = [T.StructField(c, whole(T.IntegerType() if c == "w_tokens" else T.LongType())) for c in SLICE]
-    return _rows(docs, id_col, text_col).mapInArrow(encode, T.StructType([T.StructField("docs", whole(doc)), T.StructField("n_a", T.IntegerType()), *lists]))
+    return _rows(docs, id_col, text_col).mapInArrow(encode, T.StructType([T.StructField("docs", whole(doc)), T.StructField("parts", whole(part)), T.StructField("n_a", T.IntegerType()), *lists]))
 
 
 # A mark is a token's end, tokenizer (0 or 1) and number in one long; marks of A and B with the same end are neighbours.
@@ -211,46 +235,68 @@ def words_aligned(slices: DataFrame) -> DataFrame:
     both sides are put together. For the links the number of a B token follows those of A; then in the sorted ends the other token at
     place ``i`` of number ``m`` is ``n_a + i - m`` on either side, and the codes of two tokens add up to their pair.
     """
-    at_end = lambda ends, id_: F.transform(ends, lambda e: F.shiftleft(e, _ID).bitwiseOR(F.lit(id_).cast("bigint")))
-    inner = F.array_except(F.array_intersect("a_ends", "b_ends"), "w_ends")
-    steps = kept_apart(slices.select("docs", "n_a", "a", "b", "marks", "codes", "w_ends", "w_tokens", inner.alias("inner")))
-
-    stops = F.concat(at_end("inner", _GROUP), at_end("w_ends", _WORD))
-    last = F.array(F.lit((1 << 63) - (1 << _ID)))  # an id 0 behind all, so that a word follows every word
-    side = lambda x: F.sort_array(F.concat(x, "stops", last)).alias(x)
-    steps = kept_apart(steps.select("docs", "n_a", "a", "b", F.sort_array("marks").alias("marks"), "codes", "w_tokens", stops.alias("stops")))
-    steps = kept_apart(steps.select("docs", "n_a", side("a"), side("b"), "marks", "codes", "w_tokens"))
-
-    def parts(x: str, word: str) -> Column:
-        """The ids of each group; ``word`` stands before the first of a word but the first word."""
-        text = F.ltrim(F.transform(x, lambda v: v.bitwiseAND((1 << _ID) - 1).cast("int")).cast("string"), F.lit("["))
-        for old, new in ((f", {_GROUP}, ", ";"), (f", {_WORD}, ", f";{word}"), (", ", ",")):
-            text = F.replace(text, F.lit(old), F.lit(new))
-        return F.split(text, ";")
+    keep = ("docs", "parts", "w_tokens")
+    side = lambda *x: F.sort_array(F.concat(*x)).alias(x[0])
+    steps = slices.withColumn("stops", F.array_intersect("a_stops", "b_stops"))
+    steps = kept_apart(steps.select(*keep, "n_a", side("a", "stops", "w_stops"), side("b", "stops"), F.sort_array("marks").alias("marks"), "codes"))
+
+    def parts(x: str) -> Column:
+        """The ids of each group, and what follows the last; the end of a word stands before the first of the next."""
+        text = F.transform(x, lambda v: v.bitwiseAND((1 << _ID) - 1).cast("int")).cast("string")
+        return F.split(F.ltrim(text, F.lit("[")), f", {_GROUP}(?:, |])")
 
     def pair(mark: Column, i: Column) -> Column:
         number = mark.bitwiseAND((1 << 32) - 1).cast("int")
         both = F.get("codes", number) + F.get("codes", F.col("n_a") + i - number)
         return F.when(F.get("marks", i - 1).bitwiseXOR(mark) < (1 << 32), F.lit(None)).otherwise(both)  # the B token's end at a cut, whose link its A token has given
 
-    steps = kept_apart(steps.select("docs", "w_tokens", parts("a", "w").alias("a"), parts("b", "").alias("b"), F.transform("marks", pair).alias("pairs")))
-    texts = F.split(F.array_join(F.zip_with("a", "b", lambda a, b: F.concat(a, F.lit("|"), b)), ";"), ";w")
-    texts = F.slice(texts, F.lit(1), F.size("w_tokens"))
+    texts = F.array_join(F.zip_with(parts("a"), parts("b"), lambda a, b: F.concat(a, F.lit("|"), b)), ";")
+    texts = F.slice(F.split(F.replace(texts, F.lit(", "), F.lit(",")), f";{_WORD}[],|]"), F.lit(1), F.size("w_tokens"))
+    steps = kept_apart(steps.select(*keep, texts.alias("w_texts"), F.transform("marks", pair).alias("pairs")))
     own = lambda last, w: F.transform(F.sequence(F.coalesce(F.get("w_tokens", w - 1), F.lit(0)), last - 1), lambda k: F.get("pairs", k))
     pairs = F.transform("w_tokens", lambda last, w: F.filter(own(last, w), lambda p: p.isNotNull()))
-    return kept_apart(steps.select("docs", texts.alias("w_texts"), pairs.alias("w_pairs")))
+    return kept_apart(steps.select("docs", "parts", "w_texts", pairs.alias("w_pairs")))
+
+
+def often_met(docs: DataFrame, *, text_col: str = "text", rows: int = OFTEN_ROWS, most: int = OFTEN) -> list[str]:
+    """Words that texts at the beginning of each partition hold twice or more, the most frequent of them, of at most 40 characters.
+
+    They only save work: whatever other words a text holds are aligned with its slice.
+    """
+    few = max(1, rows // max(1, docs.rdd.getNumPartitions()))
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    first = docs.select(col(text_col).cast("string").alias("text"), row.alias("row")).where(F.col("row") < few)
+
+    def count(batches):
+        for whole in batches:
+            for batch in slices(whole, 0, SLICE_BYTES):
+                found = Counter(chain.from_iterable(words_of(t) for t in batch.column(0).to_pylist() if t))
+                found = {w: n for w, n in found.items() if len(w) <= 40 and plain(w)}
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+
+    counted = first.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counted.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", hot_pairs: int = HOT_PAIRS, slice_bytes: int = WORDS_BYTES) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", hot_pairs: int = HOT_PAIRS, slice_bytes: int = WORDS_BYTES, often_rows: int = OFTEN_ROWS) -> DataFrame:
     """id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
-    found = words_aligned(sliced(docs, a_path, b_path, id_col=id_col, text_col=text_col, slice_bytes=slice_bytes))
+    spark = docs.sparkSession
+    often = often_met(docs, text_col=text_col, rows=often_rows)
+    theirs = spark.createDataFrame([(0, " ".join(often))], "id bigint, text string")
+    theirs = stored(words_aligned(sliced(theirs, a_path, b_path, id_col="id", often=often)).select(F.col("w_texts").alias("o_texts"), F.col("w_pairs").alias("o_pairs")), "often")
+    if theirs.where(F.size("o_texts") == len(often)).isEmpty():  # a word that a tokenizer does not spell
+        often, theirs = [], theirs.select(F.slice("o_texts", 1, 0).alias("o_texts"), F.slice("o_pairs", 1, 0).alias("o_pairs"))
+    found = words_aligned(sliced(docs, a_path, b_path, id_col=id_col, text_col=text_col, slice_bytes=slice_bytes, often=often, known=len(often)))
+    found = found.crossJoin(F.broadcast(theirs)).select("docs", "parts", F.concat("o_texts", "w_texts").alias("w_texts"), F.concat("o_pairs", "w_pairs").alias("w_pairs"))
 
     def one(d: Column) -> Column:
         of_words = lambda name: F.transform(d["words"], lambda w: F.get(name, w))
         sha = F.when(F.size(d["words"]) == 0, F.lit("")).otherwise(F.sha2(F.array_join(of_words("w_texts"), ";").cast("binary"), 256))
         return F.struct(*[d[c].alias(c) for c in ("row", "id", "n_a", "n_b")], sha.alias("groups_sha256"), F.flatten(of_words("w_pairs")).alias("pairs"))
 
-    done = stored(found.select(F.inline(F.transform("docs", one))), "aligned", "zstd")
+    parts = kept_apart(found).select("docs", "w_texts", "w_pairs", F.explode("parts").alias("part"))
+    parts = parts.select("w_texts", "w_pairs", F.slice("docs", F.col("part.first"), F.col("part.n")).alias("docs"))
+    done = stored(kept_apart(parts).select(F.inline(F.transform("docs", one))), "aligned", "zstd")
     met = looked_up(done.select("row", F.explode("pairs").alias("pair")), pair_counts(done), "pair", "n_docs", hot_pairs)
     sums = met.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("n_docs").alias("count_sum"))
     zero = lambda name: F.coalesce(name, F.lit(0)).cast("bigint").alias(name)

@@ -13,14 +13,14 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Sequence
 from itertools import chain, compress
 
 import numpy as np
 
 from slotwise.llm.token_counts import _LETTERS
 
-MEMO, CHUNK = 300_000, 512
+MEMO, CHUNK = 150_000, 512
 _RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: ASCII and the Latin letters of Europe: one class each in all versions of Unicode.
@@ -38,6 +38,11 @@ def words_of(text: str) -> list[str]:
     return text.split(" ")
 
 
+def plain(word: str) -> bool:
+    """Whether a word is settled characters between visible ones, without any space."""
+    return bool(_PLAIN.fullmatch(word)) and word.split() == [word]
+
+
 def told_apart(words: list[str], plain: int, encode: Callable[[str], list[int]], lengths: np.ndarray, bytes_of: dict[int, bytes], spell: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the words one after another, and how many each has; with ``spell`` the one id -1 for a word that its tokens do not spell.
 
@@ -160,7 +165,7 @@ class Vocabulary:
     """The tokens of the words met so far, as runs of one array of ids for each tokenizer.
 
     Words behind a space and words that begin a text are told apart. With ``spell`` a word whose tokens are not its bytes
-    has the one id -1.
+    has the one id -1. The words of ``keep``, each behind a space, have the first numbers and are never given up.
     """
 
     def __init__(self, tokenizers: list[BytePairs | Pieces], *, spell: bool) -> None:
@@ -168,17 +173,27 @@ class Vocabulary:
         self.splits = all(t.splits for t in tokenizers)
         #: Bytes of each id; the last entry is that of id -1.
         self.lengths = [np.array([*(len(t.bytes_of.get(i, b"")) for i in range(max(t.bytes_of) + 1)), 0], np.int32) for t in tokenizers]
+        self.keep([])
+
+    def keep(self, often: Sequence[str]) -> None:
+        """Begin again with these words for ``often``, unless they are so already."""
+        if getattr(self, "_kept", None) == list(often):
+            return
+        self._kept = list(often)
+        self._often: tuple = {}, [np.empty(0, np.int32) for _ in self.tokenizers], [np.zeros(1, np.int64) for _ in self.tokenizers]
         self._clear()
+        if often:
+            self._numbers(self.later, self._kept, " ")
+            self._often = dict(self.later), self.ids, self.start
 
     def _clear(self) -> None:
-        self.later: dict[str, int] = {}
+        self.later: dict[str, int] = dict(self._often[0])
         self.first: dict[str, int] = {}
-        self.ids = [np.empty(0, np.int32) for _ in self.tokenizers]
-        self.start = [np.zeros(1, np.int64) for _ in self.tokenizers]
+        self.ids, self.start = list(self._often[1]), list(self._often[2])
 
     def _numbers(self, known: dict[str, int], words: list[str], before: str) -> np.ndarray:
         """The numbers of the words, after those that are new have been encoded."""
-        if new := [w for w in set(words) if w not in known]:
+        if new := [w for w in dict.fromkeys(words) if w not in known]:
             ready = [bool(self.splits and before and _PLAIN.fullmatch(w)) for w in new]
             plain = sum(ready)
             new = [*compress(new, ready), *(w for w, r in zip(new, ready, strict=True) if not r)]
@@ -193,7 +208,7 @@ class Vocabulary:
 
     def numbers(self, texts: list[str], *, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
         """How many words each text has, and the numbers of all. ``spaced``: a space is put before every text that is not empty."""
-        if not self.splits or len(self.start[0]) > MEMO:
+        if not self.splits or len(self.start[0]) - len(self._often[0]) > MEMO:
             self._clear()
         parts = [(words_of(t) if self.splits else [t]) if t else [] for t in texts]
         words = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -205,6 +220,10 @@ class Vocabulary:
         number[~begins] = self._numbers(self.later, list(chain.from_iterable(p if spaced else p[1:] for p in parts)), " ")
         return words, number
 
+    def counts(self) -> list[np.ndarray]:
+        """For each tokenizer: how many tokens the word of each number has."""
+        return [np.diff(start) for start in self.start]
+
     def tokens(self, number: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each tokenizer: how many tokens each word has, given by its number until the next call of ``numbers``, and the ids of all."""
         out = []

@@ -134,3 +134,30 @@ def test_arrays_of_slices_hold_no_null(spark, empty):
     assert not any(slices.schema[c].dataType.containsNull for c in alignment.SLICE)
     docs = spark.createDataFrame([(1, "[ some ] words, 0 [0"), (2, ""), (3, None)], "doc_id bigint, text string")
     assert [len(r.w_texts) for r in alignment.words_aligned(alignment.sliced(docs.coalesce(1), A_PATH, B_PATH)).collect()] == [6]
+
+
+def test_frequent_words_are_aligned_once_for_all_slices(spark, files):
+    rows = [*((k, f"over and over again, over {k}") for k in range(40)), *((k, t) for k, t in enumerate(odd_texts(20), 100))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    often = alignment.often_met(docs)
+    assert {"over", "and", "again,"} <= set(often) and not any(w.split() != [w] for w in often)
+    slices = alignment.sliced(docs.where("doc_id < 40"), A_PATH, B_PATH, slice_bytes=200, often=often, known=len(often)).collect()
+    assert len(slices) > 3 and sum(len(r.w_tokens) for r in slices) == sum(str(k) not in often for k in range(40))
+    expected, _ = plain(rows, files)
+    for few in (1, alignment.OFTEN_ROWS):
+        assert Counter(tuple(r) for r in alignment.align(docs, A_PATH, B_PATH, slice_bytes=200, often_rows=few).collect()) == expected
+
+
+def test_frequent_words_that_are_not_spelled_are_left_to_the_slices(spark, files, monkeypatch):
+    monkeypatch.setattr(alignment, "often_met", lambda *_, **__: ["x", "a▁b"])
+    rows = [(1, "x y"), (2, "x a▁b"), (3, "x")]
+    found = alignment.align(spark.createDataFrame(rows, "doc_id bigint, text string"), A_PATH, B_PATH).collect()
+    assert Counter(tuple(r) for r in found) == plain(rows, files)[0]
+
+
+def test_documents_of_a_slice_take_their_words_in_parts(spark, files, monkeypatch):
+    monkeypatch.setattr(alignment, "PART_WORDS", 3)
+    rows = [(k, t) for k, t in enumerate([*odd_texts(30), "one two three four five", "", None, "six"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert max(len(r.parts) for r in alignment.sliced(docs, A_PATH, B_PATH).collect()) > 3
+    assert Counter(tuple(r) for r in alignment.align(docs, A_PATH, B_PATH).collect()) == plain(rows, files)[0]
